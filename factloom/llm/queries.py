@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat_format, exact_dedup, quality_rules
+from factloom.llm import chat_format, exact_dedup, packing, quality_rules, tokens
 from factloom.session import table
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), capacity=2048, end_id=0)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = quality_rules.measures(table(spark, sf_dir, "documents"))
     failed = quality_rules.base_failed()
@@ -30,6 +34,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_best_fit_packing": op3_best_fit_packing,
         "op4_quality_rules": op4_quality_rules,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_chat_format": op10_chat_format,
