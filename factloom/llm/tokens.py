@@ -23,6 +23,7 @@ _PRETOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\
 
 #: Pre-tokens kept by a worker, about 150 MB.
 KNOWN_LIMIT = 500_000
+STEP = 1_000_000
 
 
 class Encoder:
@@ -44,7 +45,19 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
+        """The ids of each text; works through about ``STEP`` characters at a time."""
+        out: list[bytes] = []
+        step: list[str] = []
+        held = 0
+        for t in texts:
+            step.append(t or "")
+            held += len(step[-1])
+            if held >= STEP:
+                out += self._step(step)
+                step, held = [], 0
+        return out + self._step(step)
+
+    def _step(self, texts: list[str]) -> list[bytes]:
         known = self.known
         cut = [_PRETOKENS(t) if self.by_word and _PLAIN(t) and not self.special(t) else None for t in texts]
         new = list(set().union(*(c for c in cut if c)).difference(known))
