@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat_format, exact_dedup, packing, quality_rules, token_output, tokens
+from factloom.llm import chat_format, exact_dedup, mixing, packing, quality_rules, token_output, tokens
 from factloom.session import table
 
 
@@ -21,6 +21,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & quality_rules.verdict()).alias("kept"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = mixing.plan(table(spark, sf_dir, "documents"))
+    return p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_output.scratch(spark)
     token_output.write(table(spark, sf_dir, "documents"), out, tokens.default_path(), end_id=2)
@@ -42,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_quality_rules": op4_quality_rules,
+        "op5_source_mixing": op5_source_mixing,
         "op7_token_output": op7_token_output,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_chat_format": op10_chat_format,
