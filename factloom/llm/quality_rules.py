@@ -123,5 +123,10 @@ def base_failed() -> Column:
 
 
 def passing(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return measures(docs, text_col).filter(~base_failed() & verdict(rules)).select("row.*")
+    """The documents that pass, with their own columns.
+
+    A column that isn't deterministic keeps the optimizer from pushing the filter below the
+    projections, where it would compute every shared measure again for each rule that uses it.
+    """
+    judged = measures(docs, text_col).select("row", (~base_failed() & verdict(rules)).alias("ok"), F.monotonically_increasing_id().alias("tick"))
+    return judged.filter("ok and tick >= 0").select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat_format, exact_dedup, mixing, packing, quality_rules, token_output, tokens
+from factloom.llm import chat_format, exact_dedup, mixing, packing, quality_rules, simhash, token_output, tokens
 from factloom.session import table
 
 
@@ -32,6 +32,10 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digest(spark, out)
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.assign(table(spark, sf_dir, "documents"), k=4, radius=4)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"), keep="max")
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_source_mixing": op5_source_mixing,
         "op7_token_output": op7_token_output,
+        "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_chat_format": op10_chat_format,
     }
