@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat_format, exact_dedup, mixing, packing, quality_rules, simhash, token_output, tokens
+from factloom.llm import chat_format, exact_dedup, langid, mixing, packing, quality_model, quality_rules, simhash, token_output, tokens
+from factloom.llm.common import held_out
 from factloom.session import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~held_out(F.col("doc_id"))))
+    p = langid.predict(docs, model)
+    return p.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), capacity=2048, end_id=0)
 
@@ -26,6 +34,13 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_model.fit(docs, labels.filter(~held_out(F.col("doc_id"))))
+    p = quality_model.predict(docs, model, threshold=0.3)
+    return p.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_output.scratch(spark)
     token_output.write(table(spark, sf_dir, "documents"), out, tokens.default_path(), end_id=2)
@@ -49,9 +64,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_quality_rules": op4_quality_rules,
         "op5_source_mixing": op5_source_mixing,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_token_output": op7_token_output,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,

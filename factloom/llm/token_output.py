@@ -50,8 +50,8 @@ def _segments(path: str, end_id: int, segment_ids: int, percentile: float):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, SEGMENT, strict=True)], schema=SEGMENT)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
                 for doc, ids in zip(part["id"].to_pylist(), enc.encode(part["body"].to_pylist()), strict=True):
                     if parts and held + len(ids) // 4 > segment_ids:
                         yield flush()
