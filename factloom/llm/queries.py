@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat_format, exact_dedup, langid, mixing, packing, quality_model, quality_rules, simhash, token_output, tokens
+from factloom.llm import chat_format, exact_dedup, langid, license_scan, mixing, packing, quality_model, quality_rules, simhash, token_output, tokens
 from factloom.llm.common import held_out
+from factloom.llm.license_texts import TEMPLATES
 from factloom.session import table
 
 
@@ -19,6 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), TEMPLATES)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), capacity=2048, end_id=0)
 
@@ -65,6 +70,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_license_scan": op2_license_scan,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_quality_rules": op4_quality_rules,
         "op5_source_mixing": op5_source_mixing,
