@@ -6,8 +6,9 @@ The script of a word (fixed code-point ranges) narrows the candidates to languag
 write it. A Viterbi pass over a text's words, which pays a penalty for each switch, labels spans of one
 language; the document's language is the one that covers most letters.
 
-The pass runs over many texts at once: texts of like length share numpy steps, one per word position,
-so whole texts of any length are labelled without a loop over single words and languages.
+The pass is exact and runs over many texts at once: texts are cut into blocks of words, every block is
+solved for each language that it may be entered from (all blocks in the same numpy steps), and the blocks
+of a text are then chained. So whole texts of any length are labelled without a loop over single words.
 
 Training: n-gram counts by language over at most about ``fit_rows`` documents of each language (a
 documented bound; chosen by the hash of the id), whole texts, counted on the executors.
@@ -20,11 +21,12 @@ results; null ids are kept; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import re
-import zlib
+import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +49,21 @@ def script(word: str) -> int:
     return _KINDS[at - 1] if at else 0
 
 
-def grams(word: str) -> list[int]:
-    w = f"<{word.lower()}>"
-    n = len(w)
-    return [zlib.crc32(w[i : i + k].encode("utf-8", "surrogatepass")) % FEATURES for k in (1, 2, 3) for i in range(k == 1, n - k + 1 - (k == 1))]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, word number) of all character n-grams of one to three letters, with bounds, of all words."""
+    c = np.frombuffer("".join(f"<{w}>" for w in words).lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    start = c == ord("<")
+    end = c == ord(">")
+    word = np.cumsum(start) - 1
+    salt = np.uint64(0x9E3779B97F4A7C15)
+    two = c[:-1] * salt + c[1:]
+    three = two[:-1] * salt + c[2:]
+    parts, of = [], []
+    for k, (h, ok) in enumerate(((c, ~(start | end)), (two, ~end[:-1]), (three, ~(end[:-2] | end[1:-1])))):
+        h = (h[ok] + np.uint64(k + 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        parts.append(((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(48))
+        of.append(word[: len(ok)][ok])
+    return np.concatenate(parts).astype(np.int64), np.concatenate(of)
 
 
 @dataclass
@@ -59,6 +72,7 @@ class Model:
     logp: np.ndarray  # (FEATURES, languages)
     scripts: np.ndarray  # (scripts, languages): seen to write it
     penalty: float = 4.0
+    uid: str = ""
 
 
 def fit(docs: DataFrame, fit_rows: int = 1500, alpha: float = 0.5, penalty: float = 4.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_share: float = 0.005) -> Model:
@@ -78,10 +92,11 @@ def fit(docs: DataFrame, fit_rows: int = 1500, alpha: float = 0.5, penalty: floa
                 words.setdefault(lang, Counter()).update(LETTERS.findall(text))
         out = []
         for lang, c in words.items():
-            n, kinds = np.zeros(FEATURES), Counter()
+            kinds: Counter = Counter()
             for w, k in c.items():
-                np.add.at(n, grams(w), k)
                 kinds[script(w)] += k
+            f, word = grams(list(c)) if c else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            n = np.bincount(f, np.fromiter(c.values(), np.float64, len(c))[word], FEATURES)
             at = np.flatnonzero(n)
             out += [(lang, int(f), float(n[f])) for f in at] + [(lang, FEATURES + s, float(k)) for s, k in kinds.items()]
         if out:
@@ -96,88 +111,124 @@ def fit(docs: DataFrame, fit_rows: int = 1500, alpha: float = 0.5, penalty: floa
         f = own["feature"].to_numpy()
         n[f[f < FEATURES], k] += own["n"].to_numpy()[f < FEATURES]
         scripts[f[f >= FEATURES] - FEATURES, k] = own["n"].to_numpy()[f >= FEATURES]
-    return Model(langs, np.log(n / n.sum(axis=0)).astype(np.float32), scripts >= least_share * np.maximum(scripts.sum(axis=0), 1), penalty)
+    return Model(langs, np.log(n / n.sum(axis=0)).astype(np.float32), scripts >= least_share * np.maximum(scripts.sum(axis=0), 1), penalty, uuid.uuid4().hex)
 
 
 class Labeller:
     """Labels spans with a model; remembers the scores of the words seen first."""
 
-    KNOWN = 200_000
+    KNOWN = 300_000
+    BLOCK = 128
+    #: Back pointers held at once, in bytes.
+    HELD = 1 << 26
 
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.langs)), np.float32)
 
-    def score(self, word: str) -> np.ndarray:
-        at = self.model.logp[grams(word)]
-        s = at.mean(axis=0) * len(at) ** 0.5
-        may = self.model.scripts[script(word)]
-        if may.any() and not may.all():
-            s = np.where(may, s, s.min() - 20)
-        return s - s.max()
+    def scores(self, words: list[str]) -> np.ndarray:
+        """(words, languages), the best language of each word at 0."""
+        if not words:
+            return np.zeros((0, len(self.model.langs)), np.float32)
+        f, word = grams(words)
+        n = np.bincount(word, minlength=len(words))
+        order = np.argsort(word, kind="stable")
+        s = np.add.reduceat(self.model.logp[f[order]], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / np.sqrt(n)[:, None]
+        may = self.model.scripts[[script(w) for w in words]]
+        narrow = may.any(axis=1) & ~may.all(axis=1)
+        s = np.where(may | ~narrow[:, None], s, s.min(axis=1, keepdims=True) - 20)
+        return (s - s.max(axis=1, keepdims=True)).astype(np.float32)
 
-    def _ids(self, texts: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Row numbers of each text's words, and the table they point into."""
+    def _ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers of all words of all texts, and the table they point into."""
         new = list(set().union(*texts).difference(self.known))
         known, table = self.known, self.table
         if new:
             n = len(known)
-            scores = np.array([self.score(w) for w in new], np.float32)
+            scores = self.scores(new)
             if n + len(new) > self.KNOWN:
                 table = np.concatenate([table[:n], scores])
-                known = dict(known)
-                known.update(zip(new, range(n, n + len(new)), strict=True))
+                extra = dict(zip(new, range(n, n + len(new)), strict=True))
+                get = lambda w: extra[w] if w in extra else known[w]
             else:
                 while len(self.table) < n + len(new):
                     self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                 self.table[n : n + len(new)] = scores
                 known.update(zip(new, range(n, n + len(new)), strict=True))
-                table = self.table
-        get = known.__getitem__
-        return [np.fromiter(map(get, t), np.int64, len(t)) for t in texts], table
+                table, get = self.table, known.__getitem__
+        else:
+            get = known.__getitem__
+        return np.fromiter(map(get, chain.from_iterable(texts)), np.int64, sum(map(len, texts))), table
 
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The language number of each word of each text (lists of letter words)."""
-        ids, table = self._ids(texts)
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(texts)
-        order = sorted((i for i in range(len(texts)) if len(ids[i])), key=lambda i: len(ids[i]))
+        langs = len(self.model.langs)
+        most = max(self.BLOCK, self.HELD // (langs * langs + langs))
+        out: list[np.ndarray] = []
         lo = 0
-        while lo < len(order):
-            hi = lo + 1
-            while hi < len(order) and hi - lo < 512 and (len(ids[order[hi]]) <= 1.3 * len(ids[order[lo]]) + 8):
+        while lo < len(texts):
+            hi, held = lo, 0
+            while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= most):
+                held += len(texts[hi]) + self.BLOCK
                 hi += 1
-            part = order[lo:hi]
-            for i, path in zip(part, self._viterbi([ids[i] for i in part], table), strict=True):
-                out[i] = path
+            out += self._viterbi(texts[lo:hi])
             lo = hi
         return out
 
-    def _viterbi(self, ids: list[np.ndarray], table: np.ndarray) -> list[np.ndarray]:
-        lengths = np.array([len(x) for x in ids])
-        n, most, langs = len(ids), int(lengths.max()), len(self.model.langs)
-        at = np.zeros((most, n), np.int64)
-        for j, x in enumerate(ids):
-            at[: len(x), j] = x
-        score = table[at]
-        score[np.arange(most)[:, None] >= lengths] = 0
-        came = np.empty((most, n), np.int8)  # the language that a switch comes from
-        switched = np.empty((most, n, langs), bool)
-        best = score[0].copy()
-        for t in range(1, most):
-            top = best.argmax(axis=1)
-            jump = best[np.arange(n), top] - self.model.penalty
+    def _viterbi(self, texts: list[list[str]]) -> list[np.ndarray]:
+        ids, table = self._ids(texts)
+        lengths = np.array([len(t) for t in texts])
+        blocks = -(-lengths // self.BLOCK)
+        n, size, langs, penalty = int(blocks.sum()), self.BLOCK, len(self.model.langs), np.float32(self.model.penalty)
+        if not n:
+            return [np.zeros(0, np.int8)] * len(texts)
+        first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
+        begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        score = np.zeros((n * size, langs), np.float32)  # padding scores nothing and changes no path
+        score[np.arange(len(ids)) + np.repeat(first * size - begin, lengths)] = table[ids]
+        score = np.ascontiguousarray(score.reshape(n, size, langs).swapaxes(0, 1))
+        came = np.zeros((size, n, langs), np.int8)  # by entry: the language that a switch comes from
+        switched = np.zeros((size, n, langs, langs), bool)
+        best = score[0][:, None, :] - penalty * (1 - np.eye(langs, dtype=np.float32))
+        for t in range(1, size):
+            top = best.argmax(axis=2)
+            jump = np.take_along_axis(best, top[:, :, None], 2) - penalty
             came[t] = top
-            np.greater(jump[:, None], best, out=switched[t])
-            best = np.maximum(best, jump[:, None]) + score[t]
-        state = best.argmax(axis=1)
-        path = np.empty((most, n), np.int8)
-        each = np.arange(n)
-        for t in range(most - 1, 0, -1):
+            np.greater(jump, best, out=switched[t])
+            best = np.maximum(best, jump) + score[t][:, None, :]
+        entry, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for a, k in zip(first.tolist(), blocks.tolist(), strict=True):
+            if not k:
+                continue
+            at, back = np.zeros(langs, np.float64), []
+            for b in range(a, a + k):
+                through = at[:, None] + best[b]
+                back.append(through.argmax(axis=0))
+                at = through.max(axis=0)
+            state = int(at.argmax())
+            for b in range(a + k - 1, a - 1, -1):
+                last[b], entry[b] = state, back[b - a][state]
+                state = int(entry[b])
+        each, state = np.arange(n), last
+        path = np.empty((size, n), np.int8)
+        for t in range(size - 1, 0, -1):
             path[t] = state
-            state = np.where(switched[t, each, state], came[t], state)
+            state = np.where(switched[t, each, entry, state], came[t, each, entry], state)
         path[0] = state
-        return [path[: lengths[j], j] for j in range(n)]
+        flat = path.T.reshape(-1)
+        return [flat[f * size : f * size + k] for f, k in zip(first.tolist(), lengths.tolist(), strict=True)]
+
+
+_labellers: dict[str, Labeller] = {}
+
+
+def labeller_of(model: Model) -> Labeller:
+    """The worker's labeller for this model; tasks of one worker share what it remembers."""
+    if model.uid not in _labellers:
+        _labellers.clear()
+        _labellers[model.uid] = Labeller(model)
+    return _labellers[model.uid]
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
@@ -187,7 +238,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     langs = model.langs
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(sent.value)
+        labeller = labeller_of(sent.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)

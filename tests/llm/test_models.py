@@ -63,7 +63,7 @@ def test_viterbi_matches_plain(spark, sf):
     labeller = langid.Labeller(model)
     for words, path in zip(texts, labeller.label(texts), strict=True):
         if words:
-            scores = [labeller.score(w) for w in words]
+            scores = labeller.scores(words)
             mine = plain_viterbi(scores, model.penalty)
             cost = lambda p: sum(float(s[k]) for s, k in zip(scores, p, strict=True)) - model.penalty * sum(a != b for a, b in zip(p, p[1:], strict=False))
             assert cost(path.tolist()) == pytest.approx(cost(mine), abs=1e-2)
