@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -19,11 +20,11 @@ import numpy as np
 _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ɏ]*").fullmatch
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: The tokenizer's published pre-token pattern, with its classes spelt out for those characters.
-_PRETOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+").findall
+_PRETOKENS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?(?:[{_LETTER}]+|[0-9]+|[^\s{_LETTER}0-9]+)|\s+(?!\S)|\s+").findall
 
-#: Pre-tokens kept by a worker, about 150 MB.
-KNOWN_LIMIT = 500_000
-STEP = 4_000_000
+#: Pre-tokens kept by a worker, about 200 MB.
+KNOWN_LIMIT = 700_000
+STEP = 200_000
 
 
 class Encoder:
@@ -39,6 +40,9 @@ class Encoder:
         self.by_word = isinstance(pre, ByteLevel) and not pre.add_prefix_space and self.tokenizer.normalizer is None
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
+        self.words = Tokenizer.from_file(path)  # for strings that are single pre-tokens already
+        if self.by_word:
+            self.words.pre_tokenizer, self.words.post_processor = ByteLevel(add_prefix_space=False, use_regex=False), None
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -46,7 +50,7 @@ class Encoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of each pre-token: one call of the library for all."""
-        e = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        e = self.words.encode(words, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(e.ids, "<u4").tobytes()
         ends = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(words)), side="right")).tolist()
         return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
@@ -65,16 +69,24 @@ class Encoder:
         return out + self._step(step)
 
     def _step(self, texts: list[str]) -> list[bytes]:
-        known = self.known
         cut = [_PRETOKENS(t) if self.by_word and _PLAIN(t) and not self.special(t) else None for t in texts]
-        new = list(set().union(*(c for c in cut if c)).difference(known))
-        if new:
-            if len(known) + len(new) > KNOWN_LIMIT:  # the first words seen are the frequent ones; later ones live for one call
-                seen = set().union(*(c for c in cut if c)).intersection(known)
-                known = {w: known[w] for w in seen}
-            known.update(zip(new, self._words(new), strict=True))
-        get = known.__getitem__
-        return [self._whole([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        flat = list(chain.from_iterable(c for c in cut if c))
+        found = list(map(self.known.get, flat))
+        missed = [w for w, ids in zip(flat, found, strict=True) if ids is None]
+        if missed:
+            new = list(set(missed))
+            ids_of = dict(zip(new, self._words(new), strict=True))
+            found = [ids_of[w] if ids is None else ids for w, ids in zip(flat, found, strict=True)]
+            if len(self.known) < KNOWN_LIMIT:  # the first words seen are the frequent ones
+                self.known.update(ids_of)
+        out, at = [], 0
+        for t, c in zip(texts, cut, strict=True):
+            if c is None:
+                out.append(self._whole([t])[0])
+            else:
+                out.append(b"".join(found[at : at + len(c)]))
+                at += len(c)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
