@@ -193,13 +193,177 @@ def assign(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc_id",
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def survivors(docs: DataFrame, k: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with their own columns: of each component the row with the smallest id (then text hash)."""
-    tie = F.xxhash64(F.coalesce(column(docs, text_col), F.lit("")))
+# The verified form: a wide radius finds candidates, an exact comparison of shingle sets decides.
+
+WIDE, WIDE_SECOND = 16, 18
+_NODE = np.dtype([("fp", "<u8"), ("fp2", "<u8"), ("node", "<i8"), ("root", "<i8"), ("near", "<i8")])
+_FAR = 1 << 20
+
+
+def shingles(text: str | None, k: int) -> set[bytes]:
+    """Distinct shingles of ``k`` words; a shorter text is one shingle, a blank one has none."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return set()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def jaccard(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def second_fingerprint(words: list[bytes], k: int) -> int:
+    """A SimHash of its own: reversed words give independent shingle hashes."""
+    return fingerprint([w[::-1] for w in words], k)
+
+
+def double_fingerprints(docs: DataFrame, k: int) -> DataFrame:
+    """(who, fp, fp2) of ``docs`` (who, text)."""
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [(t or "").encode().lower().split() for t in batch["text"].to_pylist()]
+            both = [pa.array(np.array([f(w, k) for w in words], np.uint64).view(np.int64)) for f in (fingerprint, second_fingerprint)]
+            yield pa.RecordBatch.from_arrays([batch["who"], *both], ["who", "fp", "fp2"])
+
+    return docs.select("who", "text").mapInArrow(run, T.StructType([T.StructField("who", docs.schema["who"].dataType), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType())]))
+
+
+def wide_links(a: np.ndarray, b: np.ndarray | None, radius: int, second: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate links (u, v) among ``a``, or between ``a`` and ``b``; arrays of ``_NODE``.
+
+    Each node gets a link to its nearest partner if that is nearer than the one it has (``near``), and each
+    pair of groups (``root``) that meet gets one link, the nearest seen where they first meet. ``a`` is
+    updated with the groups and distances found when ``b`` is None. Links follow the nodes, not the pairs.
+    Nearness is the distance of both fingerprints together.
+    """
+
+    def bounds(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts, at = np.bitwise_count(fp.view(np.uint8).reshape(-1, 8)).astype(np.int8), np.arange(0, len(fp), SUB)
+        return np.minimum.reduceat(counts, at), np.maximum.reduceat(counts, at)
+
+    alone = b is None
+    both = a if alone else np.concatenate([a, b])
+    shift = 0 if alone else len(a)
+    b = a if alone else b
+    fa, fb = np.ascontiguousarray(a["fp"]), np.ascontiguousarray(b["fp"])
+    (lo_a, hi_a), (lo_b, hi_b) = bounds(fa), bounds(fb)
+    roots, label = np.unique(both["root"], return_inverse=True)
+    found = _Union(len(roots))
+    best = both["near"] << 32 | 0xFFFFFFFF
+    start = best.copy()
+    joins: list[tuple[int, int]] = []
+    for i in range(len(lo_a)):
+        gap = np.maximum(0, np.maximum(lo_a[i] - hi_b, lo_b - hi_a[i])).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(gap <= radius)
+        x = fa[i * SUB : (i + 1) * SUB, None]
+        for j in (near[near >= i] if alone else near).tolist():
+            d = np.bitwise_count(x ^ fb[None, j * SUB : (j + 1) * SUB])
+            p, q = np.nonzero(d <= radius)
+            if not len(p):
+                continue
+            h = d[p, q].astype(np.int64)
+            p, q = p + i * SUB, q + j * SUB + shift
+            h2 = np.bitwise_count(both["fp2"][p] ^ both["fp2"][q])
+            ok = (h2 <= second) & (p != q)
+            p, q, h = p[ok], q[ok], (h + h2)[ok]
+            if not len(p):
+                continue
+            np.minimum.at(best, p, h << 32 | q)
+            np.minimum.at(best, q, h << 32 | p)
+            r, s = found.roots(label[p]), found.roots(label[q])
+            apart = np.flatnonzero(r != s)
+            if len(apart):
+                by = apart[np.argsort(h[apart], kind="stable")]
+                key = np.minimum(r[by], s[by]) * len(roots) + np.maximum(r[by], s[by])
+                for m in by[np.sort(np.unique(key, return_index=True)[1])].tolist():
+                    u, v = found.roots(label[[p[m], q[m]]])
+                    if u != v:
+                        found.up[max(u, v)] = min(u, v)
+                        joins.append((p[m], q[m]))
+    nearer = np.flatnonzero(best < start)
+    partner = best[nearer] & 0xFFFFFFFF
+    if alone:
+        a["root"] = roots[found.roots(np.arange(len(roots)))[label]]
+        a["near"] = best >> 32
+    j = np.array(joins, np.int64).reshape(-1, 2)
+    node = both["node"]
+    return np.concatenate([node[nearer], node[j[:, 0]]]), np.concatenate([node[partner], node[j[:, 1]]])
+
+
+def candidates(nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND, chunk: int = CHUNK) -> DataFrame:
+    """``nodes``: a written table (node, fp, fp2). Links (u, v), u < v, each once: first inside tiles, then between them."""
+    spark = nodes.sparkSession
+    tiled = nodes.select("node", "fp", "fp2", _tile(1).alias("tile"))
+    counts = {r["tile"]: r["count"] for r in tiled.groupBy("tile").count().collect()}  # at most 65 rows
+    chunks = F.create_map(*[F.lit(x) for t, n in sorted(counts.items()) for x in (t, -(-n // chunk))]) if counts else F.create_map(F.lit(0), F.lit(1))
+    cut = tiled.withColumn("chunk", F.pmod(F.xxhash64("fp"), chunks[F.col("tile")]).cast("int"))
+
+    def inside(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros(len(pdf), _NODE)
+        x["fp"], x["fp2"], x["node"] = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["fp2"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy(np.int64)
+        x = x[np.lexsort(np.bitwise_count(np.ascontiguousarray(x["fp"]).view(np.uint8).reshape(-1, 8)).T[::-1])]
+        x["root"], x["near"] = x["node"], _FAR
+        u, v = wide_links(x, None, radius, second)
+        return pd.DataFrame({"tile": [key[0]], "chunk": [key[1]], "packed": [x.tobytes()], "links": [np.stack([u, v], axis=1).astype("<i8").tobytes()]})
+
+    def between(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        side = {s: np.frombuffer(p, _NODE) for s, p in zip(pdf["side"], pdf["packed"], strict=True)}
+        u, v = wide_links(side[0], side[1], radius, second)
+        return pd.DataFrame({"u": u, "v": v})
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch["links"].to_pylist():
+                e = np.frombuffer(raw, "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])
+
+    packed = materialize(cut.groupBy("tile", "chunk").applyInPandas(inside, "tile int, chunk int, packed binary, links binary"), "tiles")
+    work = _jobs(counts, radius, chunk)
+    paired = {r[2] for r in work if r[3] == 1}
+    jobs = spark.createDataFrame([r for r in work if r[2] in paired], "tile int, chunk int, job int, side int")
+    outer = packed.select("tile", "chunk", "packed").join(jobs, ["tile", "chunk"]).select("job", "side", "packed").groupBy("job").applyInPandas(between, "u long, v long")
+    both = packed.select("links").mapInArrow(unpack, "u long, v long").union(outer)
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def verified(links: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links whose texts' shingle sets have at least this Jaccard similarity. ``texts``: (node, text)."""
+    ship_package(links.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [jaccard(shingles(a, k), shingles(b, k)) >= similarity for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch["u"], batch["v"])], ["u", "v"])
+
+    a, b = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("u", "a"), ("v", "b")))
+    return links.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def survivors(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, with their own columns: one of each group of near duplicates.
+
+    Candidates are pairs whose two SimHashes both lie within a wide radius; a link counts if the exact Jaccard
+    similarity of the texts' sets of ``k``-word shingles reaches ``similarity``. Compared exactly are, for every
+    text, its nearest candidate and the nearest candidate pair by which groups of candidates first meet, so the
+    work follows the number of texts even in a group of thousands. Of a group the row with the smallest id (then
+    text hash) stays; texts with equal double fingerprints count as copies.
+    """
+    text = F.coalesce(column(docs, text_col), F.lit(""))
+    tie = F.xxhash64(text)
     who = F.struct(column(docs, id_col).isNull().alias("no_id"), column(docs, id_col).alias("id"), tie.alias("tie"))
-    prints = materialize(fingerprints(docs.select(who.alias("doc_id"), column(docs, text_col).alias("text")), k), "prints")
-    first = prints.join(groups(prints, radius), "fp").groupBy("component_id").agg(F.min("doc_id").alias("w"))
-    keep = first.select(F.col("w.id").alias("keep_id"), F.col("w.tie").alias("keep_tie"))
-    rows = docs.select(packed_row(docs).alias("row"), column(docs, id_col).alias("id"), tie.alias("tie"))
-    stay = rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("tie") == F.col("keep_tie")))
+    prints = double_fingerprints(docs.select(who.alias("who"), text.alias("text")), k)
+    nodes = materialize(prints.groupBy("fp", "fp2").agg(F.min("who").alias("who")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    found = materialize(candidates(nodes), "candidates")
+    ends = found.select(F.col("u").alias("node")).union(found.select("v")).distinct()
+    rows = docs.select(column(docs, id_col).alias("id"), tie.alias("tie"), text.alias("text"))
+    named = nodes.join(ends, "node", "left_semi").select("node", F.col("who.id").alias("w_id"), F.col("who.tie").alias("w_tie"))
+    texts = named.join(rows, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tie") == F.col("w_tie"))).select("node", "text").dropDuplicates(["node"])
+    linked = materialize(verified(found, texts, k, similarity), "verified")
+    roots = components.components(linked)
+    grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("who").alias("who"))
+    keep = grouped.select(F.col("who.id").alias("keep_id"), F.col("who.tie").alias("keep_tie"))
+    own = docs.select(packed_row(docs).alias("row"), column(docs, id_col).alias("id"), tie.alias("tie"))
+    stay = own.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("tie") == F.col("keep_tie")))
     return stay.groupBy("id", "tie").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
