@@ -54,12 +54,16 @@ def iso_text(ms: Column) -> Column:
 
 # writes: each returns rows to append, or the table with them
 
-def transact(facts: DataFrame, batch: DataFrame, tx: int) -> DataFrame:
-    """``facts`` with the rows of ``batch`` that are new: a live fact with the same e, a, v and start makes a row a no-op."""
+def fresh(facts: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of ``batch`` that are new: a live fact with the same e, a, v and start makes a row a no-op."""
     keys = ["e", "a", "v", "vf_ms"]
     live = facts.filter("tx_retracted IS NULL").select(*keys)
-    fresh = batch.dropDuplicates(keys).join(live, keys, "left_anti")
-    rows = fresh.withColumns({"tx": F.lit(tx).cast("long"), "tx_retracted": F.lit(None).cast("long")})
+    return batch.dropDuplicates(keys).join(live, keys, "left_anti")
+
+
+def transact(facts: DataFrame, batch: DataFrame, tx: int) -> DataFrame:
+    """``facts`` with the new rows of ``batch``."""
+    rows = fresh(facts, batch).withColumns({"tx": F.lit(tx).cast("long"), "tx_retracted": F.lit(None).cast("long")})
     return facts.unionByName(rows.select(*FACT_COLUMNS))
 
 
@@ -93,3 +97,10 @@ def intervals_from_log(log: DataFrame) -> DataFrame:
     after = Window.partitionBy("e", "a", "v").orderBy("tx").rowsBetween(1, Window.unboundedFollowing)
     seen = log.withColumn("tx_retracted", F.min(F.when(~F.col("asserted"), F.col("tx"))).over(after))
     return seen.filter("asserted")
+
+
+def facts_from_log(log: DataFrame) -> DataFrame:
+    """The fact table of a log: an open fact ends with the first later retract of its e, a and v; bounded ones stay."""
+    seen = intervals_from_log(log.withColumnRenamed("tx_retracted", "__was"))
+    ended = F.coalesce("__was", F.when(F.col("vt_ms") == FOREVER, F.col("tx_retracted")))
+    return seen.withColumn("tx_retracted", ended).select(*FACT_COLUMNS)

@@ -1,39 +1,56 @@
-"""The stored fact log: Parquet, partitioned by attribute, appended batch by batch."""
+"""The stored fact log: Parquet, appended batch by batch, partitioned by attribute; compaction folds it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.model import FACT_COLUMNS, FACT_DDL, MAX_VALUE_CHARS
+from factloom.model import FACT_COLUMNS, FOREVER, MAX_VALUE_CHARS
 from factloom.operators import memory, temporal
 from factloom.plans.datalog import Session
 
+LOG_DDL = "e string, v_type string, v string, v_num double, vf_ms long, vt_ms long, tx long, asserted boolean, tx_retracted long, a string"
+LOG_COLUMNS = [c.split()[0] for c in LOG_DDL.split(", ")]
+
 
 class FactStore:
-    """Facts under ``path``; every write needs a reason and gives the next transaction."""
+    """Facts under ``path``; every write needs a reason, appends rows and takes the next transaction number.
+
+    A reader sees the parts that the table of parts names, so half-written or superseded parts do not count.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def facts(self) -> DataFrame:
+    def _parts(self) -> list[tuple[int, str]]:
+        """(transaction, folder) of the live parts: the last compaction and what follows it."""
         try:
-            versions = [int(r["v"]) for r in self.spark.read.text(f"{self.path}/_versions").select(F.col("value").alias("v")).collect()]
+            rows = self.spark.read.schema("tx long, kind string").parquet(f"{self.path}/_parts").collect()  # a row per write
         except Exception as x:
             if "PATH_NOT_FOUND" not in str(x):
                 raise
-            return self.spark.createDataFrame([], FACT_DDL)
-        return self.spark.read.schema(FACT_DDL).parquet(f"{self.path}/v{max(versions)}").select(*FACT_COLUMNS)
+            return []
+        base = max((r["tx"] for r in rows if r["kind"] == "base"), default=0)
+        return sorted((r["tx"], f"{self.path}/{r['kind']}-{r['tx']}") for r in rows if r["tx"] > base or r["kind"] == "base" and r["tx"] == base)
 
-    def _next(self) -> int:
-        return (self.facts().agg(F.max(F.greatest("tx", F.coalesce("tx_retracted", F.lit(0))))).first()[0] or 0) + 1
+    def facts(self) -> DataFrame:
+        parts = self._parts()
+        if not parts:
+            return self.spark.createDataFrame([], LOG_DDL).select(*FACT_COLUMNS)
+        log = None
+        for _, p in parts:
+            part = self.spark.read.schema(LOG_DDL).parquet(p).select(*LOG_COLUMNS)
+            log = part if log is None else log.union(part)
+        return temporal.facts_from_log(log)
 
-    def _write(self, facts: DataFrame, tx: int) -> int:
-        """A new version next to the old: a reader never sees half of one."""
-        facts.repartition("a").sortWithinPartitions("a", "e").write.partitionBy("a").parquet(f"{self.path}/v{tx}")
-        self.spark.createDataFrame([(str(tx),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_versions")
+    def _append(self, rows: DataFrame, kind: str, tx: int) -> int:
+        rows.select(*LOG_COLUMNS).write.partitionBy("a").parquet(f"{self.path}/{kind}-{tx}")
+        self.spark.createDataFrame([(tx, kind)], "tx long, kind string").coalesce(1).write.mode("append").parquet(f"{self.path}/_parts")
         return tx
 
+    def _next(self) -> int:
+        return max((tx for tx, _ in self._parts()), default=0) + 1
+
     def transact(self, batch: DataFrame, reason: str, validate: DataFrame | None = None) -> int:
         """Append the new facts of ``batch`` (e, a, v_type, v, v_num, vf_ms, vt_ms). ``validate``: facts that must
         meet the closed schema (see :mod:`factloom.operators.memory`)."""
@@ -43,22 +60,40 @@ class FactStore:
         if validate is not None and (bad := memory.validate(validate).take(5)):
             raise ValueError(f"violations: {[tuple(r) for r in bad]}")
         tx = self._next()
-        return self._write(temporal.transact(self.facts(), batch, tx), tx)
+        return self._append(_asserts(temporal.fresh(self.facts(), batch), tx), "log", tx)
 
     def retract(self, targets: DataFrame, reason: str) -> int:
         _need_reason(reason)
         tx = self._next()
-        return self._write(temporal.retract(self.facts(), targets, tx), tx)
+        return self._append(_retracts(targets, tx), "log", tx)
 
     def close(self, targets: DataFrame, at_ms: int, reason: str) -> int:
+        """End the window of open facts: retracted, and asserted again with an end, in one transaction."""
         _need_reason(reason)
         tx = self._next()
-        return self._write(temporal.close(self.facts(), targets, at_ms, tx), tx)
+        live = self.facts().filter(F.col("tx_retracted").isNull() & (F.col("vt_ms") == FOREVER))
+        bounded = live.join(targets.select("e", "a", "v").distinct(), ["e", "a", "v"], "left_semi").withColumn("vt_ms", F.lit(at_ms).cast("long"))
+        return self._append(_retracts(targets, tx).unionByName(_asserts(bounded, tx)), "log", tx)
+
+    def compact(self) -> int:
+        """Fold the log into one part; what was superseded stays readable for those who hold it."""
+        tx = self._next()
+        return self._append(self.facts().withColumn("asserted", F.lit(True)), "base", tx)
 
     def session(self, now: int, attr_types: dict[str, str] | None = None) -> Session:
         return Session(self.facts(), now, attr_types)
 
 
+def _asserts(facts: DataFrame, tx: int) -> DataFrame:
+    return facts.withColumns({"tx": F.lit(tx).cast("long"), "asserted": F.lit(True), "tx_retracted": F.lit(None).cast("long")}).select(*LOG_COLUMNS)
+
+
+def _retracts(targets: DataFrame, tx: int) -> DataFrame:
+    none = F.lit(None)
+    rows = targets.select("e", "a", "v").distinct()
+    return rows.withColumns({"v_type": none.cast("string"), "v_num": none.cast("double"), "vf_ms": none.cast("long"), "vt_ms": none.cast("long"), "tx": F.lit(tx).cast("long"), "asserted": F.lit(False), "tx_retracted": none.cast("long")}).select(*LOG_COLUMNS)
+
+
 def _need_reason(reason: str) -> None:
     if not reason or not reason.strip():
         raise ValueError("a write needs a reason")

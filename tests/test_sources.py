@@ -24,6 +24,10 @@ def test_store_round_trip(spark, tmp_path):
     assert [r["e"] for r in s.query(q).collect()] == [":x"]
     assert sorted(r["e"] for r in s.query(q, as_of=2).collect()) == [":x", ":y"]
     assert store.session(now=60).query(q).count() == 0
+    before = sorted(tuple(r) for r in store.facts().select("e", "vf_ms", "vt_ms", "tx", "tx_retracted").collect())
+    store.compact()
+    assert sorted(tuple(r) for r in store.facts().select("e", "vf_ms", "vt_ms", "tx", "tx_retracted").collect()) == before
+    assert store.transact(batch, "back again") == 6 and [r["e"] for r in store.session(now=60).query(q).collect()] == [":y"]  # :x keeps its bounded fact of that start
     with pytest.raises(ValueError):
         store.transact(batch, " ")
     with pytest.raises(ValueError):
