@@ -209,3 +209,41 @@ def python_entities(path: str, source: str | None) -> list[tuple[str, str, str,
 
     visit(tree, "")
     return out
+
+
+def linearize(commits: DataFrame) -> DataFrame:
+    """``commits``: (hash, parents). (hash, level): each commit above all its parents, whatever the dates.
+
+    One round for each level of the graph; ``row_number`` over (level, hash) makes a position of it. A git
+    source gives positions directly and is the better way where there is one.
+    """
+    edges = materialize(commits.select("hash", F.explode_outer("parents").alias("parent")), "parents")
+    done = materialize(edges.groupBy("hash").agg(F.count("parent").alias("n")).filter("n = 0").select("hash", F.lit(0).alias("level")), "level")
+    total, level = commits.select("hash").distinct().count(), 0
+    while done.count() < total:
+        level += 1
+        known = done.select(F.col("hash").alias("parent"), F.lit(True).alias("ok"))
+        ready = edges.join(known, "parent", "left").groupBy("hash").agg(F.min(F.coalesce("ok", F.col("parent").isNull())).alias("ready")).filter("ready")
+        fresh = ready.join(done, "hash", "left_anti").select("hash", F.lit(level).alias("level"))
+        after = materialize(done.union(fresh), "level")
+        if after.count() == done.count():
+            raise ValueError("parents that are missing or form a circle")
+        discard(done)
+        done = after
+    return done
+
+
+def tag_facts(tags: DataFrame, commits: DataFrame) -> DataFrame:
+    """``tags``: (name, hash, date); ``commits``: (hash, …). Facts (e, a, v) of tags on known commits."""
+    from factloom.functions.idents import commit_ident, slug
+
+    t = tags.join(commits.select("hash").distinct(), "hash")
+    return unpivot(t, F.concat(F.lit(":tag/"), slug(F.col("name"))), {":name": F.col("name"), ":date": F.col("date"), ":tagged-commit": commit_ident(F.col("hash"))})
+
+
+def resolve_submodules(placeholders: DataFrame, submodules: DataFrame) -> DataFrame:
+    """``placeholders``: (e, name) of unresolved imports; ``submodules``: (e, path). ``:resolves-to`` edges by a name
+    that starts with the last part of a submodule's path, or equals it."""
+    sub = submodules.select(F.col("e").alias("v"), F.element_at(F.split("path", "/"), -1).alias("first"))
+    own = placeholders.select("e", F.regexp_extract("name", r"^([^./]+)", 1).alias("first"))
+    return own.join(sub, "first").select("e", F.lit(":resolves-to").alias("a"), "v")

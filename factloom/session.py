@@ -45,6 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def workspace(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables in the shared folder."""
+    return f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -52,7 +57,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executor costs a re-read, never a recompute of what stands before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._factloom_path = path
@@ -62,9 +67,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Remove a table made by :func:`materialize` once nothing will read it."""
     path = getattr(df, "_factloom_path", None)
-    if path is None:
-        return
-    sc = df.sparkSession.sparkContext
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application, once their results are written elsewhere."""
+    _delete(spark, workspace(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 

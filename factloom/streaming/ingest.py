@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import intervals
-from factloom.session import shared_dir
+from factloom.session import workspace
 
 _MS = "(unix_date(CAST(ts AS DATE)) * 86400000L + hour(ts) * 3600000L + minute(ts) * 60000L + CAST(floor(extract(SECOND FROM ts) * 1000) AS BIGINT))"
 
@@ -36,7 +36,7 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 def incremental_states(spark: SparkSession, source: str) -> DataFrame:
     """Runs the stream over ``source`` to its end and returns the intervals of the log."""
-    base = f"{shared_dir(spark)}/factloom/stream-{uuid.uuid4().hex}"
+    base = f"{workspace(spark)}/stream-{uuid.uuid4().hex}"
     staged = f"{base}/in"
     spark.read.parquet(source).write.parquet(staged)
     append_states(spark, staged, f"{base}/log", f"{base}/checkpoint")
