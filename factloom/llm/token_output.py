@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import for_codec, tokens
 from factloom.llm.common import column
-from factloom.session import shared_dir, ship_package
+from factloom.session import ship_package, workspace
 
 SEGMENT = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
 SEGMENT_DDL = "shard int, segment int, before long, n_ids long, payload binary, doc_ids array<long>, lengths array<long>"
@@ -105,4 +105,4 @@ def read_digest(spark: SparkSession, out: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/factloom/tokens-{uuid.uuid4().hex}"
+    return f"{workspace(spark)}/tokens-{uuid.uuid4().hex}"

@@ -72,11 +72,12 @@ class Encoder:
         cut = [_PRETOKENS(t) if self.by_word and _PLAIN(t) and not self.special(t) else None for t in texts]
         flat = list(chain.from_iterable(c for c in cut if c))
         found = list(map(self.known.get, flat))
-        missed = [w for w, ids in zip(flat, found, strict=True) if ids is None]
+        missed = [i for i, ids in enumerate(found) if ids is None]
         if missed:
-            new = list(set(missed))
+            new = list({flat[i] for i in missed})
             ids_of = dict(zip(new, self._words(new), strict=True))
-            found = [ids_of[w] if ids is None else ids for w, ids in zip(flat, found, strict=True)]
+            for i in missed:
+                found[i] = ids_of[flat[i]]
             if len(self.known) < KNOWN_LIMIT:  # the first words seen are the frequent ones
                 self.known.update(ids_of)
         out, at = [], 0
