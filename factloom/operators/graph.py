@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from factloom.session import discard, materialize
 
 MOST_ROUNDS = 200
+#: Up to so many edges and seeds are walked on the driver, where a round costs no job.
+LOCAL_EDGES, LOCAL_SEEDS = 200_000, 1_000
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -38,18 +43,31 @@ def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, most_depth:
     """
     step = edges.select(F.col("dst" if reverse else "src").alias("at"), F.col("src" if reverse else "dst").alias("to")).distinct()
     step = materialize(step, "edges")
+    if step.count() <= LOCAL_EDGES and len(start := seeds.select("seed").distinct().limit(LOCAL_SEEDS + 1).collect()) <= LOCAL_SEEDS:
+        return _walk(seeds, step, [r["seed"] for r in start], most_depth)
     delta = materialize(seeds.select("seed").distinct().join(step, F.col("seed") == F.col("at")).select("seed", F.col("to").alias("node")).distinct(), "reach")
-    parts = [delta.withColumn("depth", F.lit(1))]
-    known, depth = delta, 1
+    parts, depth = [delta], 1
     while delta.take(1) and (most_depth is None or depth < most_depth):
         depth += 1
         if depth > MOST_ROUNDS:
             raise RuntimeError(f"no fixpoint in {MOST_ROUNDS} rounds")
         new = delta.join(step, F.col("node") == F.col("at")).select("seed", F.col("to").alias("node")).distinct()
-        delta = materialize(new.join(known, ["seed", "node"], "left_anti"), "reach")
-        parts.append(delta.withColumn("depth", F.lit(depth)))
-        known = materialize(known.union(delta), "known")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        delta = materialize(new.join(reduce(DataFrame.union, parts), ["seed", "node"], "left_anti"), "reach")
+        parts.append(delta)
+    return reduce(DataFrame.union, [p.withColumn("depth", F.lit(k)) for k, p in enumerate(parts, 1)])
+
+
+def _walk(seeds: DataFrame, step: DataFrame, start: list, most_depth: int | None) -> DataFrame:
+    """:func:`reach` for a small graph."""
+    following: dict = {}
+    for a, b in step.select("at", "to").collect():
+        following.setdefault(a, []).append(b)
+    out = []
+    for seed in start:
+        seen, level, depth = set(), [seed], 0
+        while level and (most_depth is None or depth < most_depth):
+            depth += 1
+            level = [x for x in dict.fromkeys(n for at in level for n in following.get(at, ())) if x not in seen]
+            seen.update(level)
+            out += [(seed, x, depth) for x in level]
+    return seeds.sparkSession.createDataFrame(out, StructType([StructField("seed", seeds.schema["seed"].dataType), StructField("node", step.schema["to"].dataType), StructField("depth", IntegerType())]))

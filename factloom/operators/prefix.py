@@ -22,10 +22,11 @@ def running(df: DataFrame, pos: str, value: Column, agg: Callable[[Column], Colu
     """
     rows = df.withColumns({"__block": F.floor(F.col(pos) / block), "__value": value})
     totals = rows.groupBy("__block").agg(agg(F.col("__value")).alias("__total"))
-    everywhere = Window.partitionBy(F.lit(0)).orderBy("__block")
-    outside = everywhere.rowsBetween(1, Window.unboundedFollowing) if after else everywhere.rowsBetween(Window.unboundedPreceding, -1)
+    # later rows are those before in reverse order: Spark keeps a running value for frames from the start only
+    turn = (lambda c: F.col(c).desc()) if after else F.col
+    own = Window.unboundedPreceding
+    outside = Window.partitionBy(F.lit(0)).orderBy(turn("__block")).rowsBetween(own, -1)
     edges = totals.select("__block", agg(F.col("__total")).over(outside).alias("__outside"))
-    own = Window.partitionBy("__block").orderBy(pos)
-    inside = own.rowsBetween(1, Window.unboundedFollowing) if after else own.rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("__block").orderBy(turn(pos)).rowsBetween(own, -1 if after else 0)
     out = rows.withColumn("__inside", agg(F.col("__value")).over(inside)).join(edges, "__block")
     return out.withColumn(name, join(F.col("__inside"), F.col("__outside"))).drop("__block", "__value", "__total", "__outside", "__inside")

@@ -25,10 +25,14 @@ K1, B = 1.2, 0.75
 _FOLD = {c: d[0] for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()}
 
 
+def fold(text: Column) -> Column:
+    """Latin letters without their diacritics; plain texts are passed on as they are."""
+    return F.when(text.rlike("[\u00c0-\u024f]"), F.translate(text, "".join(_FOLD), "".join(_FOLD.values()))).otherwise(text)
+
+
 def index_tokens(*columns: Column) -> Column:
     text = F.lower(F.concat_ws(" ", *columns))
-    folded = F.translate(text, "".join(_FOLD), "".join(_FOLD.values()))
-    return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def tokens_of(query: str) -> list[str]:
@@ -45,10 +49,13 @@ def score(rows: DataFrame, query: str) -> DataFrame:
     if not distinct:
         return rows.withColumn("score", F.lit(0.0)).limit(0)
     df = rows.withColumn("__tokens", index_tokens(F.col("entity"), F.col("attribute"), F.col("value")))
-    times = lambda word: F.size(F.filter("__tokens", lambda t: t == word))
-    df = df.select(*rows.columns, F.size("__tokens").alias("__dl"), *[times(w).alias(f"__f{i}") for i, w in enumerate(distinct)])
+    df = df.select(*rows.columns, F.size("__tokens").alias("__dl"), F.filter("__tokens", lambda t: t.isin(*distinct)).alias("__hits"))
+    times = lambda word: F.size(F.filter("__hits", lambda t: t == word))
+    counted = lambda rows_: rows_.select(*rows.columns, "__dl", *[times(w).alias(f"__f{i}") for i, w in enumerate(distinct)])
+    hits = df.filter(F.size("__hits") > 0)  # one cheap condition: a filter on the counts would copy them all below
+    df = counted(df)
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.avg("__dl").alias("avgdl"), *[F.count_if(F.col(f"__f{i}") > 0).alias(f"n{i}") for i in range(len(distinct))])
-    df = df.filter(reduce(lambda a, b: a | b, [F.col(f"__f{i}") > 0 for i in range(len(distinct))])).crossJoin(F.broadcast(stats))  # one row
+    df = counted(hits).crossJoin(F.broadcast(stats))  # one row
 
     def part(i: int) -> Column:
         f, n = F.col(f"__f{i}"), F.col(f"n{i}")

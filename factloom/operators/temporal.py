@@ -94,7 +94,8 @@ def upsert_if_changed(facts: DataFrame, new: DataFrame, at_ms: int, tx: int) ->
 
 def intervals_from_log(log: DataFrame) -> DataFrame:
     """Asserts of a log (tx, asserted, e, a, v, vf_ms, vt_ms) with the first later retract of the same e, a, v."""
-    after = Window.partitionBy("e", "a", "v").orderBy("tx").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("e", "a", "v").orderBy(F.col("tx").desc(), F.col("asserted").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    # newest first, so the frame is a running one; in one transaction asserts come before the retracts they follow
     seen = log.withColumn("tx_retracted", F.min(F.when(~F.col("asserted"), F.col("tx"))).over(after))
     return seen.filter("asserted")
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.model import FOREVER, as_of, to_ms, valid_at
+from factloom.operators.graph import reach
 from factloom.plans.edn import EdnError, Form, Keyword, Symbol, Tagged, Vector, read
 from factloom.session import materialize
 
@@ -64,38 +65,27 @@ class Rule:
     body: list
 
 
-def mirrored(rules: list[Rule], given: dict[int, object]) -> list[Rule]:
-    """Rules of a transitive closure over attributes, turned so that a bound argument is handed on unchanged.
-
-    ``[?a :p ?m] (h ?m ?b)`` and ``(h ?a ?m) [?m :p ?b]`` derive the same relation if the attributes that
-    recursion follows are those it starts from; then a bound first argument wants the second form, a bound
-    second argument the first.
-    """
-    if len(given) != 1 or any(len(r.args) != 2 for r in rules):
-        return rules
-    starts, steps, out = set(), set(), []
+def transitive(rules: list[Rule]) -> set[str]:
+    """The attributes whose transitive closure the rules derive; empty if they are anything else."""
+    starts, steps = set(), set()
     for r in rules:
-        edges = [c for c in r.body if isinstance(c, Vector) and len(c) == 3 and isinstance(c[1], Keyword)]
-        calls = [c for c in r.body if isinstance(c, Form) and c[0] == Symbol(r.name)]
-        a, b = (Symbol(f"?{x}") for x in r.args)
-        if len(r.body) == len(edges) == 1 and [edges[0][0], edges[0][2]] == [a, b]:
-            starts.add(edges[0][1])
-            out.append(r)
+        a, b = (Symbol(f"?{x}") for x in r.args) if len(r.args) == 2 else (None, None)
+        edges = [c for c in r.body if isinstance(c, Vector) and len(c) == 3 and isinstance(c[1], Keyword) and c[1].name not in WINDOW]
+        calls = [c for c in r.body if isinstance(c, Form) and c and c[0] == Symbol(r.name) and len(c) == 3]
+        if a is None or len(edges) != 1 or len(r.body) != 1 + len(calls) or len(calls) > 1:
+            return set()
+        e = edges[0]
+        if not calls:
+            if [e[0], e[2]] != [a, b]:
+                return set()
+            starts.add(e[1].name)
             continue
-        if len(r.body) != 2 or len(edges) != 1 or len(calls) != 1 or len(calls[0]) != 3:
-            return rules
-        e, c = edges[0], calls[0]
-        right = e[0] == a and e[2] == c[1] and c[2] == b
-        left = c[1] == a and c[2] == e[0] and e[2] == b
-        m = e[2] if right else e[0]
-        if not (right or left) or m in (a, b) or var_name(m) is None:
-            return rules
-        steps.add(e[1])
-        if 0 in given:
-            out.append(Rule(r.name, r.args, [Form([c[0], a, m]), Vector([m, e[1], b])]))
-        else:
-            out.append(Rule(r.name, r.args, [Vector([a, e[1], m]), Form([c[0], m, b])]))
-    return out if starts == steps else rules
+        c = calls[0]
+        right, left = e[0] == a and e[2] == c[1] and c[2] == b, c[1] == a and c[2] == e[0] and e[2] == b
+        if not (right or left) or (e[2] if right else e[0]) in (a, b) or var_name(e[2] if right else e[0]) is None:
+            return set()
+        steps.add(e[1].name)
+    return starts if starts == steps else set()
 
 
 @dataclass
@@ -467,7 +457,9 @@ class Session:
         Constants of the call go into the start of the loop where every recursive call hands that
         argument on unchanged, so only what they touch is derived.
         """
-        rules = mirrored(self.rules[name], given)
+        rules = self.rules[name]
+        if len(given) == 1 and (attributes := transitive(rules)):
+            return self._reached(q, attributes, *next(iter(given.items())))
         recursive = [r for r in rules if any(n == name for n, _ in called(r.body))]
         base = [r for r in rules if r not in recursive]
         keep = {i: x for i, x in given.items() if all(len(p) > i + 1 and var_name(p[i + 1]) == r.args[i] for r in recursive for p in r.body if isinstance(p, Form) and p[0].name == name)}
@@ -509,6 +501,23 @@ class Session:
                 parts = [whole, fresh]
         raise QueryError(f"{name} has no fixpoint within {MOST_ROUNDS} rounds")
 
+    def _reached(self, q: Query, attributes: set[str], bound: int, constant: object) -> DataFrame:
+        """A transitive relation from one of its ends: only what that end reaches is expanded.
+
+        Nodes carry their type in front, so a text that looks like an entity leads nowhere.
+        """
+        own = lambda t, v: F.concat(t, F.lit("\x00"), v)
+        edges = self._scan(q).filter(F.col("a").isin(*attributes)).select(own(F.lit("ref"), F.col("e")).alias("src"), own(F.col("v_type"), F.col("v")).alias("dst"))
+        kinds = ["ref"] if isinstance(constant, Keyword) else ["str"] if isinstance(constant, str) else ["bool"] if isinstance(constant, bool) else ["int", "float"]
+        text = constant.name if isinstance(constant, Keyword) else str(constant).lower() if isinstance(constant, bool) else str(constant)
+        seeds = self.spark.createDataFrame([(f"{k}\x00{text}",) for k in kinds], "seed string")
+        pairs = reach(edges, seeds, reverse=bound == 1)
+        cols = []
+        for i, c in enumerate(("seed", "node") if bound == 0 else ("node", "seed")):
+            kind, value = F.substring_index(c, "\x00", 1), F.substring_index(c, "\x00", -1)
+            cols += [value.alias(f"{i}"), kind.alias(f"{i}:t"), F.when(kind.isin("int", "float"), value.try_cast("double")).alias(f"{i}:n")]
+        return pairs.select(*cols)
+
     def _body(self, q: Query, r: Rule, name: str, delta, which: int) -> Bound:
         """The rule's body, its ``which``-th recursive call reading the last round's news and others all that is known."""
         outer = self._relation

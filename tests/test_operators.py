@@ -154,7 +154,9 @@ def test_writes(spark):
     assert rows(up.select("op", "e", "v")) == [("assert", "y", "9")]
 
 
-def test_graph(spark):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_graph(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", most)
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     assert graph.closure(e).count() == 12
     got = graph.reach(e, spark.createDataFrame([("d",)], "seed string"), reverse=True)
