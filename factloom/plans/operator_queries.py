@@ -195,7 +195,7 @@ def _round(df: DataFrame, *names: str) -> DataFrame:
 derived("split_thirds", TRACE, lambda d: _third(d).select("run", "seq", "third"), f", {_THIRDS} SELECT run, seq, third FROM t")
 derived("ols_fit", TRACE, lambda d: _round(stats.ols(_third(d), ["run", "third"], "w", "apply_s"), "a", "b", "r2"), f", {_THIRDS}, {_OLS} SELECT run, third, round(a, 6) AS a, round(b, 6) AS b, round(r2, 6) AS r2, n FROM f")
 derived("control_gate", TRACE, lambda d: _round(stats.control_gate(_third(d), ["run"]), "mean_first", "mean_last", "growth"), f", {_THIRDS}, {_GATE} SELECT run, round(mean_first, 6) AS mean_first, round(mean_last, 6) AS mean_last, round(growth, 6) AS growth, coalesce(growth >= 2.0, false) AS passed FROM h")
-derived("growth_ratio", TRACE, lambda d: _round(d.groupBy("run").agg(F.min_by("apply_s", "seq").alias("f"), F.max_by("apply_s", "seq").alias("l")).select("run", stats.growth(F.col("f") - 20, F.col("l")).alias("ratio")), "ratio"), "SELECT run, round(CASE WHEN f - 20 > 0 THEN l / (f - 20) END, 6) AS ratio FROM (SELECT run, arg_min(apply_s, seq) AS f, arg_max(apply_s, seq) AS l FROM src GROUP BY run)")
+derived("growth_ratio", TRACE, lambda d: _round(d.groupBy("run").agg(F.min_by("apply_s", F.struct("seq", "apply_s")).alias("f"), F.max_by("apply_s", F.struct("seq", "apply_s")).alias("l")).select("run", stats.growth(F.col("f") - 20, F.col("l")).alias("ratio")), "ratio"), "SELECT run, round(CASE WHEN f - 20 > 0 THEN l / (f - 20) END, 6) AS ratio FROM (SELECT run, arg_min(apply_s, (seq, apply_s)) AS f, arg_max(apply_s, (seq, apply_s)) AS l FROM src GROUP BY run)")
 derived("cost_verdict", TRACE, lambda d: stats.cost_verdict(_third(d), ["run"], "w", "apply_s").select("run", "passed", "verdict"), f", {_THIRDS}, {_OLS}, {_GATE}, {_RATIOS} SELECT run, coalesce(growth >= 2.0, false) AS passed, CASE WHEN NOT coalesce(growth >= 2.0, false) THEN 'VOID' WHEN a_ratio IS NULL OR b_ratio IS NULL THEN 'INCONCLUSIVE' WHEN a_ratio >= 2 OR b_ratio >= 2 THEN 'REAL' WHEN a_ratio < 1.5 AND b_ratio < 1.5 THEN 'CONFOUNDED' ELSE 'INCONCLUSIVE' END AS verdict FROM r JOIN h USING (run)")
 derived("latency_stats", TRACE, lambda d: stats.latency_stats(d, ["run"], "apply_s"), ", o AS (SELECT run, list_sort(list(apply_s)) AS s, count(*) AS n FROM src GROUP BY run) SELECT run, s[1] AS min, s[CAST(least(n - 1, round_even(0.5 * (n - 1), 0)) AS BIGINT) + 1] AS p50, s[CAST(least(n - 1, round_even(0.99 * (n - 1), 0)) AS BIGINT) + 1] AS p99, s[n] AS max FROM o")
 derived("throughput", TRACE, lambda d: _round(d.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("apply_s").alias("s")).select("run", stats.throughput_per_minute(F.col("n"), F.col("s")).alias("per_minute")), "per_minute"), "SELECT run, round(CASE WHEN sum(apply_s) > 0 THEN count(*) / (sum(apply_s) / 60.0) ELSE 0 END, 6) AS per_minute FROM src GROUP BY run")
