@@ -27,15 +27,14 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """(blocks, BLOCK) values below 2**width to (blocks, BLOCK * width / 32) words."""
-    lanes = np.ascontiguousarray(values.T, np.uint64)
-    out = np.zeros((BLOCK * width // 32, values.shape[0]), np.uint64)
+    lanes = np.ascontiguousarray(values.T, np.uint32)
+    out = np.zeros((BLOCK * width // 32, values.shape[0]), np.uint32)
     for i in range(BLOCK):
         word, shift = divmod(i * width, 32)
-        part = lanes[i] << np.uint64(shift)
-        out[word] |= part & np.uint64(0xFFFFFFFF)
+        out[word] |= lanes[i] << np.uint32(shift)  # what does not fit falls off the top
         if shift + width > 32:
-            out[word + 1] |= part >> np.uint64(32)
-    return np.ascontiguousarray(out.T).astype("<u4")
+            out[word + 1] |= lanes[i] >> np.uint32(32 - shift)
+    return np.ascontiguousarray(out.T).astype("<u4", copy=False)
 
 
 def _unpack(words: np.ndarray, width: int) -> np.ndarray:

@@ -76,7 +76,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 2, id_col: str = "
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, payload, docs, lengths in zip(*(batch[c].to_pylist() for c in ("first", "payload", "doc_ids", "lengths")), strict=True):
-            raw = for_codec.decode(payload).astype("<u4").tobytes()
+            raw = memoryview(np.ascontiguousarray(for_codec.decode(payload), "<u4")).cast("B")
             ends = np.cumsum(lengths, dtype=np.int64)
             starts = ends - lengths
             sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

@@ -22,8 +22,8 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: The tokenizer's published pre-token pattern, with its classes spelt out for those characters.
 _PRETOKENS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?(?:[{_LETTER}]+|[0-9]+|[^\s{_LETTER}0-9]+)|\s+(?!\S)|\s+").findall
 
-#: Pre-tokens kept by a worker, about 200 MB.
-KNOWN_LIMIT = 700_000
+#: Pre-tokens kept by a worker, about 250 MB.
+KNOWN_LIMIT = 1_200_000
 STEP = 200_000
 
 
