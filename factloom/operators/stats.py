@@ -80,7 +80,7 @@ def cost_verdict(records: DataFrame, keys: list[str], x: str, y: str) -> DataFra
 
 def deciles(samples: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Mean of ``value`` in each tenth of a group's rows."""
-    tenth = F.ntile(10).over(Window.partitionBy(*keys).orderBy(*order))
+    tenth = F.ntile(10).over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
     return samples.withColumn("decile", tenth).groupBy(*keys, "decile").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 

@@ -73,7 +73,7 @@ TALK = """SELECT p_partkey AS id, concat(CASE WHEN p_partkey % 4 = 0 THEN 'Last
 derived("heuristic_extract", TALK, lambda d: texts.heuristic_extract(d, "id", "msg"), ", s AS (" + " UNION ALL ".join(f"SELECT id, {i} AS rank, '{t}' AS entity_type, unnest(regexp_extract_all(msg, '(?i){p.replace(chr(39), chr(39) * 2)}', 1)) AS value, unnest(range(len(regexp_extract_all(msg, '(?i){p.replace(chr(39), chr(39) * 2)}', 1)))) AS pos FROM src" for i, (t, p) in enumerate(texts.SIGNALS)) + f") SELECT id, entity_type, arg_min(value, (rank, pos)) AS value FROM s WHERE length(value) >= 2 AND NOT list_contains([{', '.join(repr(w) for w in texts.STOP_WORDS)}], lower(value)) GROUP BY id, entity_type, lower(value)")
 derived("temporal_signal", TALK, lambda d: d.select("id", texts.past_signal(F.col("msg")).alias("past"), texts.first_date(F.col("msg")).alias("first_date")), f"SELECT id, regexp_matches(msg, '{texts.PAST}') AS past, nullif(regexp_extract(msg, '{texts.DATE}', 1), '') AS first_date FROM src")
 derived("extract_entities", TALK, lambda d: d.select("id", F.explode(texts.candidate_entities(F.col("msg"))).alias("token")), f"SELECT id, trim(t, '.,?!;:\"''()[]') AS token FROM (SELECT id, unnest(string_split(trim(regexp_replace(lower(msg), '\\s+', ' ', 'g')), ' ')) AS t FROM src) WHERE length(t) >= 4 AND NOT list_contains([{', '.join(repr(w) for w in texts.STOP_WORDS)}], t)")
-derived("tokenize_query", TALK, lambda d: d.select("id", F.posexplode(texts.query_tokens(F.col("msg"))).alias("at", "token")), "SELECT id, unnest(range(len(t))) AS at, unnest(t) AS token FROM (SELECT id, regexp_extract_all(lower(msg), '[a-z0-9]+') AS t FROM src)")
+derived("tokenize_query", TALK, lambda d: d.select("id", F.posexplode(texts.query_tokens(F.col("msg"))).alias("at", "token")).withColumn("at", F.col("at").cast("long")), "SELECT id, unnest(range(len(t))) AS at, unnest(t) AS token FROM (SELECT id, regexp_extract_all(lower(msg), '[a-z0-9]+') AS t FROM src)")
 derived(
     "parse_facts_block", """SELECT concat('[[:function/part-', p_partkey, ' :description "', p_name, ' ', chr(92), '"quoted', chr(92), '" text"] [:function/part-', p_partkey, ' :size ', p_size, '] [:function/part-', p_partkey, ' :calls :function/part-', p_partkey + 1, ']]') AS block FROM part""",
     lambda d: texts.parse_facts(d, "block"),
