@@ -230,30 +230,18 @@ def double_fingerprints(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("who", "text").mapInArrow(run, T.StructType([T.StructField("who", docs.schema["who"].dataType), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType())]))
 
 
-def wide_links(a: np.ndarray, b: np.ndarray | None, radius: int, second: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate links (u, v) among ``a``, or between ``a`` and ``b``; arrays of ``_NODE``.
-
-    Each node gets a link to its nearest partner if that is nearer than the one it has (``near``), and each
-    pair of groups (``root``) that meet gets one link, the nearest seen where they first meet. ``a`` is
-    updated with the groups and distances found when ``b`` is None. Links follow the nodes, not the pairs.
-    Nearness is the distance of both fingerprints together.
-    """
+def _near(a: np.ndarray, b: np.ndarray | None, radius: int, second: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(p, q, distance) of all pairs inside both radii among ``a``, or between ``a`` and ``b`` (``q`` counts on from ``a``)."""
 
     def bounds(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts, at = np.bitwise_count(fp.view(np.uint8).reshape(-1, 8)).astype(np.int8), np.arange(0, len(fp), SUB)
         return np.minimum.reduceat(counts, at), np.maximum.reduceat(counts, at)
 
     alone = b is None
-    both = a if alone else np.concatenate([a, b])
     shift = 0 if alone else len(a)
     b = a if alone else b
     fa, fb = np.ascontiguousarray(a["fp"]), np.ascontiguousarray(b["fp"])
     (lo_a, hi_a), (lo_b, hi_b) = bounds(fa), bounds(fb)
-    roots, label = np.unique(both["root"], return_inverse=True)
-    found = _Union(len(roots))
-    best = both["near"] << 32 | 0xFFFFFFFF
-    start = best.copy()
-    joins: list[tuple[int, int]] = []
     for i in range(len(lo_a)):
         gap = np.maximum(0, np.maximum(lo_a[i] - hi_b, lo_b - hi_a[i])).sum(axis=1, dtype=np.int64)
         near = np.flatnonzero(gap <= radius)
@@ -264,24 +252,41 @@ def wide_links(a: np.ndarray, b: np.ndarray | None, radius: int, second: int) ->
             if not len(p):
                 continue
             h = d[p, q].astype(np.int64)
-            p, q = p + i * SUB, q + j * SUB + shift
-            h2 = np.bitwise_count(both["fp2"][p] ^ both["fp2"][q])
-            ok = (h2 <= second) & (p != q)
-            p, q, h = p[ok], q[ok], (h + h2)[ok]
-            if not len(p):
-                continue
-            np.minimum.at(best, p, h << 32 | q)
-            np.minimum.at(best, q, h << 32 | p)
-            r, s = found.roots(label[p]), found.roots(label[q])
-            apart = np.flatnonzero(r != s)
-            if len(apart):
-                by = apart[np.argsort(h[apart], kind="stable")]
-                key = np.minimum(r[by], s[by]) * len(roots) + np.maximum(r[by], s[by])
-                for m in by[np.sort(np.unique(key, return_index=True)[1])].tolist():
-                    u, v = found.roots(label[[p[m], q[m]]])
-                    if u != v:
-                        found.up[max(u, v)] = min(u, v)
-                        joins.append((p[m], q[m]))
+            p, q = p + i * SUB, q + j * SUB
+            h2 = np.bitwise_count(a["fp2"][p] ^ b["fp2"][q])
+            ok = (h2 <= second) & (p < q) if alone else h2 <= second
+            if ok.any():
+                yield p[ok], q[ok] + shift, (h + h2)[ok]
+
+
+def wide_links(a: np.ndarray, b: np.ndarray | None, radius: int, second: int) -> tuple[np.ndarray, np.ndarray]:
+    """First candidate links (u, v) among ``a``, or between ``a`` and ``b``; arrays of ``_NODE``.
+
+    Each node gets a link to its nearest partner if that is nearer than the one it has (``near``), and each
+    pair of groups (``root``) that meet gets one link, the nearest seen where they first meet. ``a`` is
+    updated with the groups and distances found when ``b`` is None. Links follow the nodes, not the pairs;
+    the pairs that they leave open are for :func:`open_pairs`. Nearness is the distance of both fingerprints together.
+    """
+    alone = b is None
+    both = a if alone else np.concatenate([a, b])
+    roots, label = np.unique(both["root"], return_inverse=True)
+    found = _Union(len(roots))
+    best = both["near"] << 32 | 0xFFFFFFFF
+    start = best.copy()
+    joins: list[tuple[int, int]] = []
+    for p, q, h in _near(a, b, radius, second):
+        np.minimum.at(best, p, h << 32 | q)
+        np.minimum.at(best, q, h << 32 | p)
+        r, s = found.roots(label[p]), found.roots(label[q])
+        apart = np.flatnonzero(r != s)
+        if len(apart):
+            by = apart[np.argsort(h[apart], kind="stable")]
+            key = np.minimum(r[by], s[by]) * len(roots) + np.maximum(r[by], s[by])
+            for m in by[np.sort(np.unique(key, return_index=True)[1])].tolist():
+                u, v = found.roots(label[[p[m], q[m]]])
+                if u != v:
+                    found.up[max(u, v)] = min(u, v)
+                    joins.append((p[m], q[m]))
     nearer = np.flatnonzero(best < start)
     partner = best[nearer] & 0xFFFFFFFF
     if alone:
@@ -292,19 +297,60 @@ def wide_links(a: np.ndarray, b: np.ndarray | None, radius: int, second: int) ->
     return np.concatenate([node[nearer], node[j[:, 0]]]), np.concatenate([node[partner], node[j[:, 1]]])
 
 
-def candidates(nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND, chunk: int = CHUNK) -> DataFrame:
-    """``nodes``: a written table (node, fp, fp2). Links (u, v), u < v, each once: first inside tiles, then between them."""
-    spark = nodes.sparkSession
-    tiled = nodes.select("node", "fp", "fp2", _tile(1).alias("tile"))
+def open_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, second: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches (nodes, pairs) of all candidate pairs whose ends have different ``root``, nearest first in a batch.
+
+    ``pairs`` (n, 2) counts places in ``nodes``. A batch has the nodes of two sub-tiles at most; of more sub-tiles while those are few.
+    """
+    both = a if b is None else np.concatenate([a, b])
+    held: list[np.ndarray] = []
+    n = 0
+
+    def batch() -> tuple[np.ndarray, np.ndarray]:
+        e = np.concatenate(held)
+        e = e[np.argsort(e[:, 2], kind="stable")]
+        at, pairs = np.unique(e[:, :2], return_inverse=True)
+        return both["node"][at], pairs.reshape(-1, 2)
+
+    for p, q, h in _near(a, b, radius, second):
+        apart = both["root"][p] != both["root"][q]
+        if not apart.any():
+            continue
+        e = np.stack([p[apart], q[apart], h[apart]], axis=1)
+        more = len(np.unique(e[:, :2]))
+        if held and n + more > 2 * SUB:
+            yield batch()
+            held, n = [], 0
+        held.append(e)
+        n += more
+    if held:
+        yield batch()
+
+
+def _cut(nodes: DataFrame, chunk: int) -> tuple[DataFrame, dict[int, int]]:
+    """``nodes`` with tile and chunk, and the size of each tile."""
+    tiled = nodes.withColumn("tile", _tile(1))
     counts = {r["tile"]: r["count"] for r in tiled.groupBy("tile").count().collect()}  # at most 65 rows
     chunks = F.create_map(*[F.lit(x) for t, n in sorted(counts.items()) for x in (t, -(-n // chunk))]) if counts else F.create_map(F.lit(0), F.lit(1))
-    cut = tiled.withColumn("chunk", F.pmod(F.xxhash64("fp"), chunks[F.col("tile")]).cast("int"))
+    return tiled.withColumn("chunk", F.pmod(F.xxhash64("fp"), chunks[F.col("tile")]).cast("int")), counts
+
+
+def _nodes(pdf: pd.DataFrame) -> np.ndarray:
+    """The rows as ``_NODE``, sorted so that neighbours have like byte population counts."""
+    x = np.zeros(len(pdf), _NODE)
+    x["fp"], x["fp2"], x["node"] = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["fp2"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy(np.int64)
+    x["root"] = pdf["root"].to_numpy(np.int64) if "root" in pdf else x["node"]
+    x["near"] = _FAR
+    return x[np.lexsort(np.bitwise_count(np.ascontiguousarray(x["fp"]).view(np.uint8).reshape(-1, 8)).T[::-1])]
+
+
+def candidates(nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND, chunk: int = CHUNK) -> DataFrame:
+    """``nodes``: a written table (node, fp, fp2). First links (u, v), u < v, each once: first inside tiles, then between them."""
+    spark = nodes.sparkSession
+    cut, counts = _cut(nodes.select("node", "fp", "fp2"), chunk)
 
     def inside(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros(len(pdf), _NODE)
-        x["fp"], x["fp2"], x["node"] = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["fp2"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy(np.int64)
-        x = x[np.lexsort(np.bitwise_count(np.ascontiguousarray(x["fp"]).view(np.uint8).reshape(-1, 8)).T[::-1])]
-        x["root"], x["near"] = x["node"], _FAR
+        x = _nodes(pdf)
         u, v = wide_links(x, None, radius, second)
         return pd.DataFrame({"tile": [key[0]], "chunk": [key[1]], "packed": [x.tobytes()], "links": [np.stack([u, v], axis=1).astype("<i8").tobytes()]})
 
@@ -328,6 +374,47 @@ def candidates(nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND,
     return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def remaining(nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND, chunk: int = CHUNK) -> DataFrame:
+    """``nodes``: (node, fp, fp2, root). All candidate pairs between different roots, as batches (batch, nodes, pairs)."""
+    spark = nodes.sparkSession
+    cut, counts = _cut(nodes.select("node", "fp", "fp2", "root"), chunk)
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"tile": [key[0]], "chunk": [key[1]], "packed": [_nodes(pdf).tobytes()]})
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        side = {s: np.frombuffer(p, _NODE) for s, p in zip(pdf["side"], pdf["packed"], strict=True)}
+        rows = [(f"{key[0]}:{n}", at.tolist(), pairs.astype("<u2").tobytes()) for n, (at, pairs) in enumerate(open_pairs(side[0], side.get(1), radius, second))]
+        return pd.DataFrame(rows, columns=["batch", "nodes", "pairs"])
+
+    packed = materialize(cut.groupBy("tile", "chunk").applyInPandas(pack, "tile int, chunk int, packed binary"), "tiles")
+    jobs = spark.createDataFrame(_jobs(counts, radius, chunk), "tile int, chunk int, job int, side int")
+    return packed.join(jobs, ["tile", "chunk"]).select("job", "side", "packed").groupBy("job").applyInPandas(compare, "batch string, nodes array<long>, pairs binary")
+
+
+def verified_batches(batches: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (u, v) that join what the similar pairs of ``batches`` join; a pair is left out only if found links join its ends already."""
+    ship_package(batches.sparkSession)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        sets = {n: shingles(t, k) for n, t in zip(right["node"], right["text"], strict=True)}
+        out = []
+        for nodes, raw in zip(left["nodes"], left["pairs"], strict=True):
+            group = list(range(len(nodes)))
+            for p, q in np.frombuffer(raw, "<u2").reshape(-1, 2).tolist():
+                if group[p] == group[q]:
+                    continue
+                a, b = sets[nodes[p]], sets[nodes[q]]
+                if min(len(a), len(b)) >= similarity * max(len(a), len(b)) and jaccard(a, b) >= similarity:
+                    old, new = group[p], group[q]
+                    group = [new if g == old else g for g in group]
+                    out.append((nodes[p], nodes[q]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    wanted = batches.select(F.col("batch").alias("of"), F.explode("nodes").alias("node")).join(texts, "node")
+    return batches.groupBy("batch").cogroup(wanted.groupBy("of")).applyInPandas(run, "u long, v long")
+
+
 def verified(links: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """Links whose texts' shingle sets have at least this Jaccard similarity. ``texts``: (node, text)."""
     ship_package(links.sparkSession)
@@ -345,23 +432,30 @@ def survivors(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str
     """The documents that stay, with their own columns: one of each group of near duplicates.
 
     Candidates are pairs whose two SimHashes both lie within a wide radius; a link counts if the exact Jaccard
-    similarity of the texts' sets of ``k``-word shingles reaches ``similarity``. Compared exactly are, for every
-    text, its nearest candidate and the nearest candidate pair by which groups of candidates first meet, so the
-    work follows the number of texts even in a group of thousands. Of a group the row with the smallest id (then
-    text hash) stays; texts with equal double fingerprints count as copies.
+    similarity of the texts' sets of ``k``-word shingles reaches ``similarity``. Compared exactly are first, for
+    every text, its nearest candidate and the nearest candidate pair by which groups of candidates first meet, and
+    then all candidate pairs that the links found so do not join already; no candidate pair is dropped untested. A
+    group of thousands of copies that are alike takes few comparisons, one of candidates that are not takes all its
+    pairs. Of a group the row with the smallest id (then text hash) stays; texts with equal double fingerprints count
+    as copies.
     """
     text = F.coalesce(column(docs, text_col), F.lit(""))
     tie = F.xxhash64(text)
     who = F.struct(column(docs, id_col).isNull().alias("no_id"), column(docs, id_col).alias("id"), tie.alias("tie"))
     prints = double_fingerprints(docs.select(who.alias("who"), text.alias("text")), k)
     nodes = materialize(prints.groupBy("fp", "fp2").agg(F.min("who").alias("who")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    found = materialize(candidates(nodes), "candidates")
-    ends = found.select(F.col("u").alias("node")).union(found.select("v")).distinct()
     rows = docs.select(column(docs, id_col).alias("id"), tie.alias("tie"), text.alias("text"))
-    named = nodes.join(ends, "node", "left_semi").select("node", F.col("who.id").alias("w_id"), F.col("who.tie").alias("w_tie"))
-    texts = named.join(rows, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tie") == F.col("w_tie"))).select("node", "text").dropDuplicates(["node"])
-    linked = materialize(verified(found, texts, k, similarity), "verified")
-    roots = components.components(linked)
+
+    def texts(of: DataFrame) -> DataFrame:
+        named = nodes.join(of.distinct(), "node", "left_semi").select("node", F.col("who.id").alias("w_id"), F.col("who.tie").alias("w_tie"))
+        return named.join(rows, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tie") == F.col("w_tie"))).select("node", "text").dropDuplicates(["node"])
+
+    found = materialize(candidates(nodes), "candidates")
+    first = materialize(verified(found, texts(found.select(F.col("u").alias("node")).union(found.select("v"))), k, similarity), "verified")
+    joined = nodes.join(components.components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = materialize(remaining(joined), "remaining")
+    second = verified_batches(left, texts(left.select(F.explode("nodes").alias("node"))), k, similarity)
+    roots = components.components(first.union(second))
     grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("who").alias("who"))
     keep = grouped.select(F.col("who.id").alias("keep_id"), F.col("who.tie").alias("keep_tie"))
     own = docs.select(packed_row(docs).alias("row"), column(docs, id_col).alias("id"), tie.alias("tie"))

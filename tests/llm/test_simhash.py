@@ -102,6 +102,41 @@ def test_corners(spark):
     assert simhash.assign(docs.limit(0)).count() == 0 and simhash.survivors(docs.limit(0)).count() == 0
 
 
+def test_survivors_of_edited_copies_unlike_each_other(spark):
+    rng = random.Random(7)
+    rows = []
+    for group, copies in enumerate((1, 5, 60, 250)):
+        base = [f"g{group}w{rng.randrange(5000)}" for _ in range(300)]
+        rows.append((1000 * group, " ".join(base)))
+        for c in range(1, copies + 1):
+            words = list(base)
+            for at in rng.sample(range(0, 300, 10), 6):
+                words[at] = f"edit{rng.random()}"
+            rows.append((1000 * group + c, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = [(simhash.fingerprint(w := t.encode().split(), 5), simhash.second_fingerprint(w, 5)) for _, t in rows]
+    sets = [simhash.shingles(t, 5) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    unlike = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i][0] ^ fps[j][0]).bit_count() <= simhash.WIDE and (fps[i][1] ^ fps[j][1]).bit_count() <= simhash.WIDE_SECOND:
+                if simhash.jaccard(sets[i], sets[j]) >= 0.8:
+                    p, q = sorted((root(i), root(j)))
+                    up[q] = p
+                else:
+                    unlike += 1
+    assert unlike > 10_000
+    got = sorted(r["doc_id"] for r in simhash.survivors(docs).collect())
+    assert got == sorted({rows[root(i)][0] for i in range(len(rows))})
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(1000 + rng.randrange(80), 1000 + rng.randrange(80)) for _ in range(60)] + [(5000, 5000 + i) for i in range(1, 300)]
