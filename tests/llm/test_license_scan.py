@@ -70,3 +70,14 @@ def test_winnow_keeps_one_of_every_window():
     h = np.array([random.Random(k).getrandbits(60) for k in range(100)], np.uint64)
     at = ls.winnow(h, 4)
     assert all(any(lo <= p < lo + 4 for p in at) for lo in range(97))
+
+
+def names_of(text):
+    return [r[0] for r in ls.scan_words(ls.WORD.findall(text.lower()), ls.build(TEMPLATES), {}, 0.8)]
+
+
+def test_template_set_is_whole():
+    assert names_of("some words. All rights reserved. more words") == ["All rights reserved"]
+    assert TEMPLATES["BSD-2-Clause"].endswith("POSSIBILITY OF SUCH DAMAGE.") and "3. This notice may not be removed" in TEMPLATES["Zlib"] and TEMPLATES["ISC"].endswith("PERFORMANCE OF THIS SOFTWARE.")
+    for name in TEMPLATES:
+        assert names_of("before it " + TEMPLATES[name] + " and after it") == [name]
