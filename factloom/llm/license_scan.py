@@ -3,10 +3,13 @@
 Templates are cut into lower-case words; hashes of all runs of ``K`` words are winnowed (the least hash
 of every ``WINDOW`` neighbours stays) into an inverted index from fingerprint to (template, place). The
 index follows the templates, never the documents, and travels with the task. A document's runs are all
-looked up, so any shared passage of ``K + WINDOW - 1`` words is found. Hits on nearby diagonals make a
-candidate region, and a semi-global alignment inside a band around its diagonals, vectorised over the
-band, counts the template words that the text has in order. Reported are the matched share of the
-template and the span of the match in the text.
+looked up, so any shared passage of ``K + WINDOW - 1`` words is found. Hits in the order of the template
+are chained across inserted and left-out passages as long as that pays by the alignment's own scores; a
+semi-global alignment inside a band around all diagonals of a chain, vectorised over the band, counts
+the template words that the text has in order. Words of a match are then taken out for that template,
+and what hits are left are aligned again, chain by chain and diagonal by diagonal, so each occurrence
+gets a row. Regions that have too few of the template's words in any order are not aligned. Reported
+are the matched share of the template and the span of the match in the text.
 
 Defined results: a null or blank text has no match; a text may hold several templates and the same one
 several times, each a row; of matches that cover each other's words the one with more matched words
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,35 +88,100 @@ def build(templates: dict[str, str]) -> Index:
     return Index(names, words, np.array(keys, np.uint64), np.array(template, np.int64), np.array(place, np.int64))
 
 
-def align(text: list[str], template: list[str], start: int, band: int) -> tuple[int, int, int]:
+def align(text: list[str | None], template: list[str], start: int, band: int) -> tuple[int, int, int]:
     """(matched words, first, end) of the template in ``text``: matches in order, inside a band.
 
     Row i of the table belongs to the template's i-th word, cell j to the text's word ``start + i + j - band``.
     A match scores 2, a skipped word of either side costs 1, and ends of the text around it are free.
     """
     width = 2 * band + 1
+    cells = np.arange(width)
     off = start - band
+    ids: dict[str, int] = {}
+    # -1 where the band leaves the text; a word taken out (None) equals no word
+    inside = np.array([-1 if w is None else ids.setdefault(w, len(ids)) for w in text[max(off, 0) : max(off + len(template) + width, 0)]], np.int64)
+    around = np.full(len(template) + width, -1, np.int64)
+    around[max(-off, 0) : max(-off, 0) + len(inside)] = inside[: len(around)]
     low = -(10**6)
     score = np.zeros(width, np.int64)
     matched = np.zeros(width, np.int64)
     first = np.maximum(off + np.arange(width), 0)
     for i, w in enumerate(template):
         at = off + i + np.arange(width)
-        same = np.array([0 <= j < len(text) and text[j] == w for j in at.tolist()])
+        same = around[i : i + width] == ids.get(w, -2)
         up_s = np.append(score[1:], low) - 1  # the template's word is skipped
         up_m, up_f = np.append(matched[1:], 0), np.append(first[1:], 0)
         hit = score + 2
         take = same & (hit >= up_s)
         s, m, f = np.where(take, hit, up_s), np.where(take, matched + 1, up_m), np.where(take & (matched == 0), at, np.where(take, first, up_f))
-        for j in range(1, width):  # the text's word is skipped
-            if s[j - 1] - 1 > s[j] and at[j] < len(text):
-                s[j], m[j], f[j] = s[j - 1] - 1, m[j - 1], f[j - 1]
+        level = s + cells  # the text's word is skipped: each cell takes the best to its left, at 1 a word
+        source = np.maximum.accumulate(np.where(level == np.maximum.accumulate(level), cells, 0))
+        source = np.where(at < len(text), source, cells)
+        s, m, f = s[source] - (cells - source), m[source], f[source]
         score, matched, first = s, m, f
     best = int(score.argmax())
     end = off + len(template) + best
     return int(matched[best]), int(first[best]), min(max(end, int(first[best])), len(text))
 
 
+def chains(hits: np.ndarray, size: int) -> list[np.ndarray]:
+    """Rows of ``hits`` (text place, template place; sorted) that stand in the order of a template of ``size`` words, best first.
+
+    A hit adds 2 for each word that is new, a step to another diagonal costs 1 a word, as in :func:`align`. No row is in two chains.
+    """
+    d, p = hits[:, 0], hits[:, 1]
+    score, back = np.full(len(hits), 2 * K, np.int64), np.full(len(hits), -1, np.int64)
+    since = np.searchsorted(d, d - 3 * size - K, "left")  # from further back no step pays
+    for i in range(len(hits)):
+        lo = since[i]
+        step_d, step_p = d[i] - d[lo:i], p[i] - p[lo:i]
+        gain = np.where((step_d > 0) & (step_p > 0), score[lo:i] + 2 * np.minimum(np.minimum(step_d, step_p), K) - np.abs(step_d - step_p), 0)
+        if len(gain) and gain.max() > score[i]:
+            score[i], back[i] = gain.max(), lo + int(gain.argmax())
+    used, out = np.zeros(len(hits), bool), []
+    for i in np.argsort(-score, kind="stable").tolist():
+        rows = []
+        while i >= 0 and not used[i]:
+            used[i] = True
+            rows.append(i)
+            i = int(back[i])
+        if rows:
+            out.append(np.array(rows[::-1]))
+    return out
+
+
+def occurrences(words: list[str], template: list[str], hits: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """(matched words, first, end) of each occurrence of the template around ``hits`` (text place, template place; sorted)."""
+    need, size = least * len(template), len(template)
+    have = Counter(template)
+
+    def enough(lo: int, hi: int) -> bool:
+        return hi - lo >= need and sum(min(n, have[w]) for w, n in Counter(left[lo:hi]).items() if w in have) >= need
+
+    left: list[str | None] = list(words)
+    if not enough(0, len(left)):
+        return []
+    diagonal = hits[:, 0] - hits[:, 1]
+    by_chain = chains(hits, size)
+    # chains over all their diagonals; after them each diagonal of its own, for what no chain accounts for
+    tasks = [(diagonal[c].min(), diagonal[c].max(), hits[c, 0]) for c in by_chain]
+    tasks += [(x, x, hits[diagonal == x, 0]) for x in np.unique(diagonal)]
+    out = []
+    for lo, hi, places in tasks:
+        lo, hi = int(lo), int(hi)
+        while any(left[x] is not None for x in places.tolist()) and enough(max(lo - BAND - 1, 0), min(hi + size + BAND + 1, len(left))):
+            matched, first, end = align(left, template, (lo + hi) // 2, BAND + (hi - lo + 1) // 2)
+            if matched < need:
+                break
+            while end > first and left[end - 1] not in have:
+                end -= 1
+            if end <= first:
+                break
+            out.append((matched, first, end))
+            left[first:end] = [None] * (end - first)
+    return out
+
+
 def scan_words(words: list[str], index: Index, known: dict[str, int], least: float) -> list[tuple[str, float, int, int, int]]:
     """(name, coverage, matched, first word, end word) of each template found."""
     h = _hashes(words, known)
@@ -123,24 +192,12 @@ def scan_words(words: list[str], index: Index, known: dict[str, int], least: flo
     hits: dict[int, list[tuple[int, int]]] = {}
     for d in at.tolist():
         for e in range(lo[d], hi[d]):
-            hits.setdefault(int(index.template[e]), []).append((d - int(index.place[e]), d))
+            hits.setdefault(int(index.template[e]), []).append((d, int(index.place[e])))
     out = []
     for t, pairs in hits.items():
         template = index.words[t]
-        pairs.sort()
-        groups: list[list[tuple[int, int]]] = []
-        for p in pairs:
-            if groups and p[0] - groups[-1][0][0] <= BAND:
-                groups[-1].append(p)
-            else:
-                groups.append([p])
-        for g in groups:
-            start = (g[0][0] + g[-1][0]) // 2
-            matched, first, end = align(words, template, start, BAND)
-            if matched >= least * len(template):
-                while end > first and words[end - 1] not in template:
-                    end -= 1
-                out.append((index.names[t], matched / len(template), matched, first, end))
+        for matched, first, end in occurrences(words, template, np.array(sorted(pairs), np.int64), least):
+            out.append((index.names[t], matched / len(template), matched, first, end))
     out.sort(key=lambda r: (-r[2], r[0], r[3]))
     kept: list[tuple[str, float, int, int, int]] = []
     for r in out:

@@ -81,3 +81,16 @@ def test_template_set_is_whole():
     assert TEMPLATES["BSD-2-Clause"].endswith("POSSIBILITY OF SUCH DAMAGE.") and "3. This notice may not be removed" in TEMPLATES["Zlib"] and TEMPLATES["ISC"].endswith("PERFORMANCE OF THIS SOFTWARE.")
     for name in TEMPLATES:
         assert names_of("before it " + TEMPLATES[name] + " and after it") == [name]
+
+
+def test_inserted_passages_and_repeated_notices():
+    half = TEMPLATES["MIT"].split()
+    for at in (40, 90, 130):
+        text = " ".join(["lorem"] * 50 + half[:at] + ["inserted"] * 30 + half[at:] + ["ipsum"] * 50)
+        words = ls.WORD.findall(text.lower())
+        ((name, cover, matched, first, end),) = ls.scan_words(words, ls.build(TEMPLATES), {}, 0.8)
+        assert (name, cover, first, end) == ("MIT", 1.0, 50, len(words) - 50)
+    for notice in ("MIT notice", "CC-BY-NC-4.0 notice", "Apache-2.0 notice"):
+        for n in (2, 3, 8, 50):
+            assert names_of((TEMPLATES[notice] + "\n") * n) == [notice] * n
+    assert names_of((TEMPLATES["ISC"] + "\n") * 3) == ["ISC"] * 3
