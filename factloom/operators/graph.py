@@ -13,6 +13,8 @@ from factloom.session import discard, materialize
 MOST_ROUNDS = 200
 #: Up to so many edges and seeds are walked on the driver, where a round costs no job.
 LOCAL_EDGES, LOCAL_SEEDS = 200_000, 1_000
+#: Rounds of :func:`reach` after which what is known is written as one table.
+MOST_PARTS = 16
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -39,22 +41,24 @@ def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, most_depth:
     """(seed, node, depth) of all nodes reachable from ``seeds`` (seed); only what the seeds touch is expanded.
 
     ``reverse`` walks edges backwards. Depth is the shortest path's length; the seed itself is a result
-    only if a cycle leads back to it.
+    only if a cycle leads back to it. A round is taken for each step of depth, however many there are.
     """
     step = edges.select(F.col("dst" if reverse else "src").alias("at"), F.col("src" if reverse else "dst").alias("to")).distinct()
     step = materialize(step, "edges")
     if step.count() <= LOCAL_EDGES and len(start := seeds.select("seed").distinct().limit(LOCAL_SEEDS + 1).collect()) <= LOCAL_SEEDS:
         return _walk(seeds, step, [r["seed"] for r in start], most_depth)
     delta = materialize(seeds.select("seed").distinct().join(step, F.col("seed") == F.col("at")).select("seed", F.col("to").alias("node")).distinct(), "reach")
-    parts, depth = [delta], 1
+    known, parts, depth = None, [delta.withColumn("depth", F.lit(1))], 1
     while delta.take(1) and (most_depth is None or depth < most_depth):
         depth += 1
-        if depth > MOST_ROUNDS:
-            raise RuntimeError(f"no fixpoint in {MOST_ROUNDS} rounds")
         new = delta.join(step, F.col("node") == F.col("at")).select("seed", F.col("to").alias("node")).distinct()
-        delta = materialize(new.join(reduce(DataFrame.union, parts), ["seed", "node"], "left_anti"), "reach")
-        parts.append(delta)
-    return reduce(DataFrame.union, [p.withColumn("depth", F.lit(k)) for k, p in enumerate(parts, 1)])
+        so_far = reduce(DataFrame.union, parts if known is None else [known, *parts])
+        delta = materialize(new.join(so_far, ["seed", "node"], "left_anti"), "reach")
+        parts.append(delta.withColumn("depth", F.lit(depth)))
+        if len(parts) > MOST_PARTS:
+            whole = materialize(reduce(DataFrame.union, parts if known is None else [known, *parts]), "reach")
+            known, parts = whole, []
+    return reduce(DataFrame.union, parts if known is None else [known, *parts])
 
 
 def _walk(seeds: DataFrame, step: DataFrame, start: list, most_depth: int | None) -> DataFrame:

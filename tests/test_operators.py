@@ -201,3 +201,13 @@ SQLS = entry.oracle_sql()
 def test_query_equals_sql(spark, sf, name):
     said = compare(spark, name, entry.queries()[name], SQLS[name], sf)
     assert said.startswith("OK"), said
+
+
+def test_reach_has_no_depth_bound(spark, monkeypatch):
+    n = 230
+    e = spark.createDataFrame([(str(i), str(i + 1)) for i in range(n)], "src string, dst string").coalesce(1)
+    seeds = spark.createDataFrame([("0",)], "seed string").coalesce(1)
+    want = [("0", str(i), i) for i in range(1, n + 1)]
+    assert sorted(map(tuple, graph.reach(e, seeds).collect()), key=lambda r: r[2]) == want
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    assert sorted(map(tuple, graph.reach(e, seeds).collect()), key=lambda r: r[2]) == want
