@@ -2,7 +2,8 @@
 
 A turn's content is a string or an array of parts (type, text, uri, width, height, seconds,
 pages). The visitor walks the parts in order: text is escaped, any other part becomes a
-placeholder, and its reference and expanded token count are recorded. Each turn is written
+placeholder, and its reference and expanded token count (0 for a type without a known cost) are
+recorded. Each turn is written
 as ``<|turn|>role<|body|>content<|end|>``; the loss mask is a flag on each written segment.
 
 Escape: the escape character itself becomes ESC 0, the i-th control string ESC i-th letter.
@@ -28,6 +29,8 @@ from factloom.llm.common import column
 
 ESC = "\x1b"
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
+#: Placeholder of an attachment of any other type; its reference names the type.
+OTHER = "<|attachment|>"
 #: Control strings of this template and of common chat templates.
 CONTROL = (TURN, BODY, END, "<|image|>", "<|audio|>", "<|document|>", "<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 #: Token costs of attachments: an image patch edge, audio tokens a second, tokens a document page.
@@ -55,8 +58,9 @@ def _visit(part: Column) -> Column:
     kind = F.lower(F.coalesce(part["type"], F.lit("text")))
     patches = F.ceil(F.coalesce(part["width"], F.lit(0)) / PATCH) * F.ceil(F.coalesce(part["height"], F.lit(0)) / PATCH)
     tokens = F.when(kind == "image", patches).when(kind == "audio", F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) * AUDIO_RATE)).when(kind == "document", F.coalesce(part["pages"], F.lit(0)) * PAGE_TOKENS).otherwise(0).cast("long")
-    attached = kind.isin("image", "audio", "document")
-    written = F.when(attached, F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+    attached = kind != "text"
+    mark = F.when(kind.isin("image", "audio", "document"), F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(F.lit(OTHER))
+    written = F.when(attached, mark).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
     return F.struct(written.alias("written"), attached.alias("attached"), kind.alias("type"), part["uri"].alias("uri"), tokens.alias("tokens"))
 
 
@@ -68,12 +72,14 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     content = column(turns, content_col)
     plain = isinstance(turns.schema[content_col].dataType, T.StringType)
     role = F.coalesce(column(turns, role_col).cast("string"), F.lit(""))
-    if plain:
-        body, refs = escape(F.coalesce(content, F.lit(""))), F.array().cast("array<struct<type:string,uri:string,tokens:bigint>>")
+    if plain:  # a string is one part of text
+        of = {"type": F.lit("text"), "text": F.coalesce(content, F.lit(""))}
+        parts = F.array(F.struct(*[of.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PARTS.elementType]))
     else:
-        seen = F.transform(F.filter(F.coalesce(content.cast(PARTS), F.array().cast(PARTS)), lambda p: p.isNotNull()), _visit)
-        body = F.array_join(F.transform(seen, lambda v: v["written"]), "")
-        refs = F.transform(F.filter(seen, lambda v: v["attached"]), lambda v: F.struct(v["type"].alias("type"), v["uri"].alias("uri"), v["tokens"].alias("tokens")))
+        parts = F.filter(F.coalesce(content.cast(PARTS), F.array().cast(PARTS)), lambda p: p.isNotNull())
+    seen = F.transform(parts, _visit)
+    body = F.array_join(F.transform(seen, lambda v: v["written"]), "")
+    refs = F.transform(F.filter(seen, lambda v: v["attached"]), lambda v: F.struct(v["type"].alias("type"), v["uri"].alias("uri"), v["tokens"].alias("tokens")))
     turn = F.struct(column(turns, turn_col).alias("turn"), role.alias("role"), body.alias("body"), refs.alias("refs"))
     rows = turns.select(column(turns, id_col).alias("conv"), turn.alias("t"))
     conv = rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("ts"))

@@ -83,3 +83,15 @@ def test_chat_parts(spark):
     r = chat_format.format_conversations(df).first()
     assert [(a["turn_index"], a["type"], a["uri"], a["tokens"]) for a in r["attachments"]] == [(0, "image", "a.png", 4), (0, "audio", "b.wav", 38), (0, "document", "c.pdf", 1024)]
     assert r["n_attachment_tokens"] == 1066 and r["formatted"].count("<|image|>") == 1
+
+
+def test_chat_other_parts_and_strings_are_visited(spark, monkeypatch):
+    parts = chat_format.T.StructType([chat_format.T.StructField("conv_id", chat_format.T.LongType()), chat_format.T.StructField("turn", chat_format.T.LongType()), chat_format.T.StructField("role", chat_format.T.StringType()), chat_format.T.StructField("text", chat_format.PARTS)])
+    content = [{"type": "video", "uri": "a.mp4", "seconds": 2.0}, {"type": "text", "text": "<|attachment|>x"}]
+    r = chat_format.format_conversations(spark.createDataFrame([(1, 0, "user", content)], parts)).first()
+    assert [(a["type"], a["uri"], a["tokens"]) for a in r["attachments"]] == [("video", "a.mp4", 0)]
+    assert r["formatted"].count("<|attachment|>") == 1
+    seen, visit = [], chat_format._visit
+    monkeypatch.setattr(chat_format, "_visit", lambda p: seen.append(p) or visit(p))
+    r = chat_format.format_conversations(spark.createDataFrame([(1, 0, "user", "a<|b")], "conv_id long, turn long, role string, text string")).first()
+    assert seen and r["attachments"] == [] and r["formatted"] == f"<|turn|>user<|body|>{'a'}{chat_format.ESC}{chr(ord('a') + chat_format.CONTROL.index('<|'))}b<|end|>"
