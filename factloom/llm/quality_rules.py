@@ -3,18 +3,24 @@
 :func:`measures` turns the text into counts with built-in functions only, row by row and
 without a shuffle; :func:`verdict` compiles a rule table into one boolean expression.
 
-Repeated windows are found inside the row: 64-bit hashes of all windows, a distinct count
-that settles most texts, and only where a hash repeats a sort of (hash, position) pairs,
+Repeated windows are found inside the row: every word is hashed once, and hashes of neighbouring
+spans are hashed together, twice as long each time, up to the window; a distinct count settles
+most texts, and only where a hash repeats a sort of (hash, position) pairs follows,
 after which neighbours with equal hashes are the repeated windows. That is n log n in the
 length of the text, so very long texts need no cut. Two different windows of one text are
 taken for equal with a chance of 2^-64 a pair.
 
+The rule on stop words compares words as they are written with ``stop_words``, by default those of the
+four languages of the corpus: texts in other languages fail it unless a list for them is given.
+
 Defined results: a null text equals the empty text and fails the base rules; equal rows get
-equal results; an empty table gives an empty result; other columns are not looked at.
+equal results; an empty table gives an empty result; other columns are not looked at, and
+:func:`passing` returns them whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,35 +60,47 @@ THRESHOLDS = (
 )
 
 
-def _repeated_words(tokens: Column, window: int) -> tuple[Column, Column]:
-    """Names are resolved by the caller: hashes first, then the count from ``hashes`` and ``ranked``."""
-    hashes = F.when(F.size(tokens) > window, F.transform(F.sequence(F.lit(1), F.size(tokens) - (window - 1)), lambda i: F.xxhash64(F.slice(tokens, i, window)))).otherwise(F.array().cast("array<bigint>"))
-    h, s = F.col("hashes"), F.col("ranked")
+def _window_hashes(df: DataFrame, tokens: str, window: int) -> DataFrame:
+    """Adds ``hashes``: a 64-bit hash of each run of ``window`` words, null if there is no longer run."""
+    df = df.withColumn("hashes", F.transform(tokens, lambda w: F.xxhash64(w)))
+
+    def longer(df: DataFrame, step: int) -> DataFrame:
+        return df.withColumn("hashes", F.transform("hashes", lambda h, i: F.xxhash64(h, F.get("hashes", i + step))))
+
+    have = 1
+    while have < window:
+        step = min(have, window - have)
+        df, have = longer(df, step), have + step
+    return df.withColumn("hashes", F.when(F.size("hashes") > window, F.slice("hashes", 1, F.greatest(F.size("hashes") - (window - 1), F.lit(0)))))
+
+
+def _repeated_words(window: int) -> Column:
+    """Words inside repeated windows, from ``ranked``: (hash, position) in order, null if none repeats."""
+    s = F.col("ranked")
     again = lambda k: F.coalesce(F.get(s, k)["h"] == F.get(s, k - 1)["h"], F.lit(False)) | F.coalesce(F.get(s, k)["h"] == F.get(s, k + 1)["h"], F.lit(False))
     at = F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), again), lambda k: F.get(s, k)["at"]))
     start = F.struct(F.lit(-window).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate(at, start, lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(window), p - acc["last"])).alias("n")))["n"]
-    return hashes, F.when(F.size(s) > 0, covered).otherwise(F.lit(0))
+    return F.when(F.size(s) > 0, covered).otherwise(F.lit(0))
 
 
-def measures(docs: DataFrame, text_col: str = "text", window: int = 8) -> DataFrame:
+def measures(docs: DataFrame, text_col: str = "text", window: int = 8, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """``row`` (all input columns as a struct) and the counts that rules are made of."""
     df = docs.select(packed_row(docs).alias("row"), F.coalesce(column(docs, text_col), F.lit("")).alias("body"))
     df = df.withColumn("tokens", words(F.col("body")))
     lines = F.filter(F.split(F.col("body"), "\n", -1), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))
-    hashes, repeated = _repeated_words(F.col("tokens"), window)
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
     df = df.select(
         "row",
         F.size("tokens").cast("long").alias("n_words"),
         F.length(F.array_join("tokens", "")).cast("long").alias("word_chars"),
         F.regexp_count("body", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("body", F.lit("[!?]{2,}")).cast("long").alias("n_shouts"),
-        F.size(F.filter("tokens", lambda w: F.array_contains(stop, w))).cast("long").alias("n_stop"),
-        F.size(F.filter("tokens", lambda w, i: F.get("tokens", i - 1) == w)).cast("long").alias("n_stutter"),
+        F.size(F.filter("tokens", lambda w: w.isin(list(dict.fromkeys(stop_words))))).cast("long").alias("n_stop"),
         lines.alias("lines"),
-        hashes.alias("hashes"),
+        "tokens",
     )
+    df = df.withColumn("n_stutter", F.size(F.filter("tokens", lambda w, i: F.get("tokens", i - 1) == w)).cast("long"))
+    df = _window_hashes(df, "tokens", window)
     ranked = F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("at")))))
     df = df.select(
         "row", "n_words", "word_chars", "n_symbols", "n_shouts", "n_stop", "n_stutter",
@@ -90,7 +108,7 @@ def measures(docs: DataFrame, text_col: str = "text", window: int = 8) -> DataFr
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         ranked.alias("ranked"),
     )
-    return df.select("row", "n_words", "word_chars", "n_symbols", "n_shouts", "n_stop", "n_stutter", "n_lines", "n_dup_lines", repeated.cast("long").alias("n_repeat_words"))
+    return df.select("row", "n_words", "word_chars", "n_symbols", "n_shouts", "n_stop", "n_stutter", "n_lines", "n_dup_lines", _repeated_words(window).cast("long").alias("n_repeat_words"))
 
 
 def ratio(name: str) -> Column:
@@ -122,11 +140,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def passing(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
+def passing(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = THRESHOLDS, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """The documents that pass, with their own columns.
 
     A column that isn't deterministic keeps the optimizer from pushing the filter below the
     projections, where it would compute every shared measure again for each rule that uses it.
     """
-    judged = measures(docs, text_col).select("row", (~base_failed() & verdict(rules)).alias("ok"), F.monotonically_increasing_id().alias("tick"))
+    judged = measures(docs, text_col, stop_words=stop_words).select("row", (~base_failed() & verdict(rules)).alias("ok"), F.monotonically_increasing_id().alias("tick"))
     return judged.filter("ok and tick >= 0").select("row.*")
