@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from factloom.session import discard, materialize
 
-MOST_ROUNDS = 60
-
 
 def _least(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m"))
@@ -41,9 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges``: (u, v), u <> v. Returns (node, root) for every node with an edge; the root is the least node reachable."""
     edges = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(edges)
-    for _ in range(MOST_ROUNDS):
-        if not state[0]:
-            break
+    while state[0]:  # each round brings nodes nearer to their root, so the edges settle
         after = materialize(_small_star(_large_star(edges)).distinct(), "edges")
         new = _state(after)
         discard(edges)
@@ -51,6 +47,4 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
         if settled:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())

@@ -1,30 +1,33 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints are computed per document; copies collapse to distinct fingerprints before anything is
-compared. Distinct fingerprints are dealt into tiles by the population counts of their parts. Two
-fingerprints within the radius differ in those counts by no more than the radius (summed over the
-parts), so only such pairs of tiles become jobs, and a job compares two packed arrays by exclusive-or
-and bit counts in numpy. Inside a job the arrays are cut once more into small sub-tiles with bounds on
-the population counts of their eight bytes, and pairs of sub-tiles whose bounds lie beyond the radius
-are skipped the same way. All skipping is exact: no pair within the radius is lost.
+compared. Distinct fingerprints are range-partitioned by population counts — of the whole, of a half, of
+quarters — and cut into tiles of at most ``CHUNK``; a tile keeps the least and the largest count of the whole, the
+halves, the quarters and the bytes among its fingerprints. The differences in those counts, summed over the parts of
+one level, are a lower bound of the distance, so pairs of tiles that are farther apart than the radius are skipped.
+The pairs that are left are found by a join of the tiles' bounds on the executors, and each is a job that compares
+two packed arrays by exclusive-or and bit counts in numpy. Inside a job the arrays are cut once more into runs of
+``SUB`` with bounds of their own, and skipped the same way. All skipping is exact: no pair within the radius is lost.
 
 A job unites what it finds and emits at most one link for each fingerprint, so a group of thousands of
 near copies gives a star, not all its pairs. Links are joined to components in
 :mod:`factloom.llm.components`.
 
-Defined results: a null or blank text has fingerprint 0; repeated rows and equal fingerprints are one
-component; a component's id is the smallest id in it, ignoring nulls (null if there is none); an empty
-table gives an empty result; other columns are ignored by :func:`assign` and kept by :func:`survivors`.
+Defined results: a null or blank text has fingerprint 0; very long texts are read whole; repeated rows and equal
+fingerprints are one component; a component's id is the smallest id in it, ignoring nulls (null if there is none); an
+empty table gives an empty result; other columns are ignored by :func:`assign` and kept by :func:`survivors`, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,27 +36,29 @@ from factloom.llm import components
 from factloom.llm.common import column, packed_row
 from factloom.session import materialize, ship_package
 
-#: Fingerprints of a tile that one job holds; a larger tile is cut into chunks.
-CHUNK = 1 << 17
-#: Distinct fingerprints from which two parts instead of one deal them into tiles.
-FINE_FROM = 4_000_000
+#: Fingerprints of a tile.
+CHUNK = 1 << 15
 SUB = 256
 
 
-def fingerprint(words: list[bytes], k: int) -> int:
-    """Bit by bit, 1 where more than half of the shingles' XXH64 (seed 42) have it; 0 without words."""
+def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle of ``k`` words, joined by spaces; a shorter text is one shingle, a blank one has none."""
     import xxhash
 
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    h = xxhash.xxh64_intdigest
     if n <= k:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([h(joined, 42)], "<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = np.concatenate([[0], ends[: n - k]]).tolist()
-    h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], "<u8")
+    return np.array([h(joined[a:b], 42) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit by bit, 1 where more than half of the hashes have it; 0 without hashes."""
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 1 << 15):
         bits = np.unpackbits(hashes[lo : lo + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -61,6 +66,10 @@ def fingerprint(words: list[bytes], k: int) -> int:
     return struct.unpack("<Q", np.packbits(2 * ones > len(hashes), bitorder="little").tobytes())[0]
 
 
+def fingerprint(words: list[bytes], k: int) -> int:
+    return majority(shingle_hashes(words, k))
+
+
 def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit number."""
     ship_package(docs.sparkSession)
@@ -74,37 +83,96 @@ def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", rows.schema["id"].dataType), T.StructField("fp", T.LongType())]))
 
 
-def _tile(parts: int):
-    """The tile of a fingerprint: the population counts of its parts, in base 65."""
-    if parts == 1:
-        return F.bit_count("fp").cast("int")
-    low = F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF))
-    return ((F.bit_count("fp") - low) * 65 + low).cast("int")
+#: Where the levels of :func:`_counts` begin: the whole, halves, quarters, bytes.
+_LEVELS = [0, 1, 3, 7]
+
+
+def _counts(fp: np.ndarray) -> np.ndarray:
+    """(n, 15): population counts of the whole, the halves, the quarters and the bytes."""
+    eighths = np.bitwise_count(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8)).astype(np.int8)
+    quarters = eighths[:, ::2] + eighths[:, 1::2]
+    halves = quarters[:, ::2] + quarters[:, 1::2]
+    return np.concatenate([halves.sum(axis=1, dtype=np.int8)[:, None], halves, quarters, eighths], axis=1)
+
 
+def _order(fp: np.ndarray) -> np.ndarray:
+    """An order in which neighbours have like counts, from the whole down to the bytes."""
+    c = _counts(fp)
+    return np.lexsort(c[:, [13, 11, 9, 7, 5, 3, 1, 0]].T)
 
-def _jobs(counts: dict[int, int], radius: int, chunk: int) -> list[tuple[int, int, int, int]]:
-    """(tile, chunk, job, side): which job gets which chunk. Tiles and chunks, not documents."""
-    tiles = np.array(sorted(counts), np.int64)
-    out, job = [], 0
-    for i, t in enumerate(tiles.tolist()):
-        apart = np.abs(tiles[i:] // 65 - t // 65) + np.abs(tiles[i:] % 65 - t % 65)
-        for u in tiles[i:][apart <= radius].tolist():
-            for a in range(-(-counts[t] // chunk)):
-                for b in range(a if u == t else 0, -(-counts[u] // chunk)):
-                    out.append((t, a, job, 0))
-                    if (u, b) != (t, a):
-                        out.append((u, b, job, 1))
-                    job += 1
-    return out
 
+def _apart(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray) -> np.ndarray:
+    """The least distance that the bounds of counts (…, 15) allow between members of both sides."""
+    gap = np.maximum(0, np.maximum(lo_a.astype(np.int16) - hi_b, lo_b.astype(np.int16) - hi_a))
+    return np.add.reduceat(gap, _LEVELS, axis=1).max(axis=1)
 
-def _sub_tiles(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted so that neighbours have like byte population counts, with bounds for each run of ``SUB``."""
-    counts = np.bitwise_count(x.view(np.uint8).reshape(-1, 8)).astype(np.int8)
-    order = np.lexsort(counts.T[::-1])
-    x, counts = x[order], counts[order]
-    at = np.arange(0, len(x), SUB)
-    return x, np.minimum.reduceat(counts, at), np.maximum.reduceat(counts, at)
+
+def _bounds(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest counts of each run of ``SUB``."""
+    counts, at = _counts(fp), np.arange(0, len(fp), SUB)
+    return np.minimum.reduceat(counts, at), np.maximum.reduceat(counts, at)
+
+
+def tiles(nodes: DataFrame, pack: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, bytes, bytes]]) -> DataFrame:
+    """``nodes`` (fp, …), cut into tiles and written: (tile, least, most, lo, hi, packed, extra).
+
+    ``pack`` makes of a tile's columns, sorted by :func:`_order`, their fingerprints and two byte strings.
+    """
+    ship_package(nodes.sparkSession)
+    names = nodes.columns
+    fp = F.col("fp")
+    keys = [F.bit_count(fp).alias("k0"), *[F.bit_count(fp.bitwiseAND(m)).alias(f"k{i}") for i, m in enumerate((0xFFFFFFFF, 0xFFFF, 0xFFFF00000000), 1)]]
+    n = nodes.count()
+    ranged = nodes.select(*names, *keys).repartitionByRange(max(1, -(-n // CHUNK)), "k0", "k1", "k2", "k3", "fp")
+    ranged = ranged.sortWithinPartitions("k0", "k1", "k2", "k3", "fp").select(*names)
+    chunk = CHUNK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        number = TaskContext.get().partitionId() << 32
+
+        def tile(size: int) -> pa.RecordBatch:
+            nonlocal held, number
+            whole = pa.Table.from_batches(held)
+            held = whole.slice(size).to_batches()
+            part = whole.slice(0, size)
+            columns = {c: part[c].to_numpy() for c in names}
+            order = _order(columns["fp"].view(np.uint64))
+            x, packed, extra = pack({c: v[order] for c, v in columns.items()})
+            counts = _counts(x)
+            row = [[number], [int(counts[:, 0].min())], [int(counts[:, 0].max())], [counts.min(axis=0).tobytes()], [counts.max(axis=0).tobytes()], [packed], [extra]]
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["tile", "least", "most", "lo", "hi", "packed", "extra"])
+
+        for batch in batches:
+            held.append(batch)
+            while sum(h.num_rows for h in held) >= chunk:
+                yield tile(chunk)
+        if left := sum(h.num_rows for h in held):
+            yield tile(left)
+
+    return materialize(ranged.mapInArrow(run, "tile long, least int, most int, lo binary, hi binary, packed binary, extra binary"), "tiles")
+
+
+def jobs(cut: DataFrame, radius: int, with_self: bool = True) -> DataFrame:
+    """(a, b, side, packed) of every pair of tiles that may hold a pair within ``radius``, dealt by (a, b); side 0 alone for a = b.
+
+    Tiles meet by the population count of the whole, then their bounds decide; there is a row of bounds for each
+    tile, not for each fingerprint.
+    """
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = {c: np.frombuffer(b"".join(batch[c].to_pylist()), np.int8).reshape(-1, 15) for c in ("lo_a", "hi_a", "lo_b", "hi_b")}
+            yield batch.select(["a", "b"]).filter(pa.array(_apart(**bound) <= radius)) if batch.num_rows else batch.select(["a", "b"])
+
+    own = cut.select(F.col("tile").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.sequence("least", "most")).alias("k"))
+    other = cut.select(F.col("tile").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(F.sequence(F.col("least") - radius, F.col("most") + radius)).alias("k"))
+    met = own.join(other, "k").filter("a <= b" if with_self else "a < b").drop("k").distinct()
+    pairs = materialize(met.mapInArrow(near, "a long, b long"), "jobs")
+    n = pairs.count()
+    sides = pairs.select("a", "b", F.col("a").alias("tile"), F.lit(0).alias("side")).union(pairs.filter("a < b").select("a", "b", F.col("b").alias("tile"), F.lit(1).alias("side")))
+    return sides.join(cut.select("tile", "packed"), "tile").select("a", "b", "side", "packed").repartition(max(1, n // 32, min(n, 64)), "a", "b")
 
 
 class _Union:
@@ -132,17 +200,18 @@ class _Union:
 
 def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) links that connect whatever lies within ``radius``, among ``a`` or between ``a`` and ``b``."""
-    a, lo_a, hi_a = _sub_tiles(a)
+    a = a[_order(a)]
+    lo_a, hi_a = _bounds(a)
     if b is None:
         both, shift = a, 0
         b, lo_b, hi_b = a, lo_a, hi_a
     else:
-        b, lo_b, hi_b = _sub_tiles(b)
+        b = b[_order(b)]
+        lo_b, hi_b = _bounds(b)
         both, shift = np.concatenate([a, b]), len(a)
     found = _Union(len(both))
     for i in range(len(lo_a)):
-        gap = np.maximum(0, np.maximum(lo_a[i] - hi_b, lo_b - hi_a[i])).sum(axis=1, dtype=np.int64)
-        near = np.flatnonzero(gap <= radius)
+        near = np.flatnonzero(_apart(lo_a[i], hi_a[i], lo_b, hi_b) <= radius)
         x = a[i * SUB : (i + 1) * SUB, None]
         for j in (near[near >= i] if not shift else near).tolist():
             p, q = np.nonzero(np.bitwise_count(x ^ b[None, j * SUB : (j + 1) * SUB]) <= radius)
@@ -153,27 +222,19 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
     return both[linked], both[root[linked]]
 
 
-def near_links(fps: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """``fps``: a written table of distinct ``fp``. Links (u, v) whose components are those of all pairs within ``radius``."""
-    spark = fps.sparkSession
-    ship_package(spark)
-    parts = 1 if fps.count() < FINE_FROM else 2
-    tiled = fps.select("fp", _tile(parts).alias("tile"))
-    counts = {r["tile"]: r["count"] for r in tiled.groupBy("tile").count().collect()}  # at most 65 or 33 * 33 rows
-    chunks = F.create_map(*[F.lit(x) for t, n in sorted(counts.items()) for x in (t, -(-n // chunk))]) if counts else F.create_map(F.lit(0), F.lit(1))
-    cut = tiled.withColumn("chunk", F.pmod(F.xxhash64("fp"), chunks[F.col("tile")]).cast("int"))
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"tile": [key[0]], "chunk": [key[1]], "packed": [pdf["fp"].to_numpy(np.int64).tobytes()]})
+    def pack(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, bytes, bytes]:
+        x = columns["fp"].view(np.uint64)
+        return x, x.tobytes(), b""
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         side = {s: np.frombuffer(p, "<u8") for s, p in zip(pdf["side"], pdf["packed"], strict=True)}
         u, v = links(side[0], side.get(1), radius)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    packed = materialize(cut.groupBy("tile", "chunk").applyInPandas(pack, "tile int, chunk int, packed binary"), "tiles")
-    jobs = spark.createDataFrame(_jobs(counts, radius, chunk), "tile int, chunk int, job int, side int")
-    return packed.join(jobs, ["tile", "chunk"]).select("job", "side", "packed").groupBy("job").applyInPandas(compare, "u long, v long")
+    return jobs(tiles(fps.select("fp"), pack), radius).groupBy("a", "b").applyInPandas(compare, "u long, v long")
 
 
 def groups(prints: DataFrame, radius: int = 4) -> DataFrame:
@@ -198,53 +259,57 @@ def assign(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc_id",
 WIDE, WIDE_SECOND = 16, 18
 _NODE = np.dtype([("fp", "<u8"), ("fp2", "<u8"), ("node", "<i8"), ("root", "<i8"), ("near", "<i8")])
 _FAR = 1 << 20
+#: Links, at most about so many, whose texts are compared together.
+LINKS_A_BATCH = 256
 
 
-def shingles(text: str | None, k: int) -> set[bytes]:
-    """Distinct shingles of ``k`` words; a shorter text is one shingle, a blank one has none."""
-    w = (text or "").encode().lower().split()
-    if not w:
-        return set()
-    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The set of a text's shingles as sorted 64-bit hashes: equal hashes of unlike shingles have a chance of 2^-64 a pair."""
+    return np.unique(shingle_hashes((text or "").encode().lower().split(), k))
 
 
-def jaccard(a: set, b: set) -> float:
-    return len(a & b) / len(a | b) if a or b else 1.0
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
-def second_fingerprint(words: list[bytes], k: int) -> int:
-    """A SimHash of its own: reversed words give independent shingle hashes."""
-    return fingerprint([w[::-1] for w in words], k)
+def second_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the same shingles whose bits have nothing to do with those of the first."""
+    h = hashes.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
 
 
-def double_fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """(who, fp, fp2) of ``docs`` (who, text)."""
+def set_fingerprints(docs: DataFrame, k: int) -> DataFrame:
+    """(who, fp, fp2, same) of ``docs`` (who, text): two SimHashes of the text's set of shingles and the set's 128-bit digest."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            words = [(t or "").encode().lower().split() for t in batch["text"].to_pylist()]
-            both = [pa.array(np.array([f(w, k) for w in words], np.uint64).view(np.int64)) for f in (fingerprint, second_fingerprint)]
-            yield pa.RecordBatch.from_arrays([batch["who"], *both], ["who", "fp", "fp2"])
+            sets = [shingle_set(t, k) for t in batch["text"].to_pylist()]
+            prints = [pa.array(np.array([majority(f(x)) for x in sets], np.uint64).view(np.int64)) for f in (lambda x: x, second_hashes)]
+            same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["who"], *prints, same], ["who", "fp", "fp2", "same"])
 
-    return docs.select("who", "text").mapInArrow(run, T.StructType([T.StructField("who", docs.schema["who"].dataType), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType())]))
+    fields = [T.StructField("who", docs.schema["who"].dataType), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("same", T.BinaryType())]
+    return docs.select("who", "text").mapInArrow(run, T.StructType(fields))
 
 
 def _near(a: np.ndarray, b: np.ndarray | None, radius: int, second: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(p, q, distance) of all pairs inside both radii among ``a``, or between ``a`` and ``b`` (``q`` counts on from ``a``)."""
 
-    def bounds(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts, at = np.bitwise_count(fp.view(np.uint8).reshape(-1, 8)).astype(np.int8), np.arange(0, len(fp), SUB)
-        return np.minimum.reduceat(counts, at), np.maximum.reduceat(counts, at)
-
     alone = b is None
     shift = 0 if alone else len(a)
     b = a if alone else b
     fa, fb = np.ascontiguousarray(a["fp"]), np.ascontiguousarray(b["fp"])
-    (lo_a, hi_a), (lo_b, hi_b) = bounds(fa), bounds(fb)
+    (lo_a, hi_a), (lo_b, hi_b) = _bounds(fa), _bounds(fb)
     for i in range(len(lo_a)):
-        gap = np.maximum(0, np.maximum(lo_a[i] - hi_b, lo_b - hi_a[i])).sum(axis=1, dtype=np.int64)
-        near = np.flatnonzero(gap <= radius)
+        near = np.flatnonzero(_apart(lo_a[i], hi_a[i], lo_b, hi_b) <= radius)
         x = fa[i * SUB : (i + 1) * SUB, None]
         for j in (near[near >= i] if alone else near).tolist():
             d = np.bitwise_count(x ^ fb[None, j * SUB : (j + 1) * SUB])
@@ -327,32 +392,22 @@ def open_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, second: int) ->
         yield batch()
 
 
-def _cut(nodes: DataFrame, chunk: int) -> tuple[DataFrame, dict[int, int]]:
-    """``nodes`` with tile and chunk, and the size of each tile."""
-    tiled = nodes.withColumn("tile", _tile(1))
-    counts = {r["tile"]: r["count"] for r in tiled.groupBy("tile").count().collect()}  # at most 65 rows
-    chunks = F.create_map(*[F.lit(x) for t, n in sorted(counts.items()) for x in (t, -(-n // chunk))]) if counts else F.create_map(F.lit(0), F.lit(1))
-    return tiled.withColumn("chunk", F.pmod(F.xxhash64("fp"), chunks[F.col("tile")]).cast("int")), counts
-
-
-def _nodes(pdf: pd.DataFrame) -> np.ndarray:
-    """The rows as ``_NODE``, sorted so that neighbours have like byte population counts."""
-    x = np.zeros(len(pdf), _NODE)
-    x["fp"], x["fp2"], x["node"] = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["fp2"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy(np.int64)
-    x["root"] = pdf["root"].to_numpy(np.int64) if "root" in pdf else x["node"]
+def _nodes(columns: dict[str, np.ndarray]) -> np.ndarray:
+    """A tile's columns as ``_NODE``."""
+    x = np.zeros(len(columns["fp"]), _NODE)
+    x["fp"], x["fp2"], x["node"] = columns["fp"].view(np.uint64), columns["fp2"].view(np.uint64), columns["node"]
+    x["root"] = columns.get("root", x["node"])
     x["near"] = _FAR
-    return x[np.lexsort(np.bitwise_count(np.ascontiguousarray(x["fp"]).view(np.uint8).reshape(-1, 8)).T[::-1])]
+    return x
 
 
-def candidates(nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND, chunk: int = CHUNK) -> DataFrame:
+def candidates(nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND) -> DataFrame:
     """``nodes``: a written table (node, fp, fp2). First links (u, v), u < v, each once: first inside tiles, then between them."""
-    spark = nodes.sparkSession
-    cut, counts = _cut(nodes.select("node", "fp", "fp2"), chunk)
 
-    def inside(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _nodes(pdf)
+    def inside(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, bytes, bytes]:
+        x = _nodes(columns)
         u, v = wide_links(x, None, radius, second)
-        return pd.DataFrame({"tile": [key[0]], "chunk": [key[1]], "packed": [x.tobytes()], "links": [np.stack([u, v], axis=1).astype("<i8").tobytes()]})
+        return np.ascontiguousarray(x["fp"]), x.tobytes(), np.stack([u, v], axis=1).astype("<i8").tobytes()
 
     def between(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         side = {s: np.frombuffer(p, _NODE) for s, p in zip(pdf["side"], pdf["packed"], strict=True)}
@@ -361,43 +416,55 @@ def candidates(nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND,
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch["links"].to_pylist():
+            for raw in batch["extra"].to_pylist():
                 e = np.frombuffer(raw, "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])
 
-    packed = materialize(cut.groupBy("tile", "chunk").applyInPandas(inside, "tile int, chunk int, packed binary, links binary"), "tiles")
-    work = _jobs(counts, radius, chunk)
-    paired = {r[2] for r in work if r[3] == 1}
-    jobs = spark.createDataFrame([r for r in work if r[2] in paired], "tile int, chunk int, job int, side int")
-    outer = packed.select("tile", "chunk", "packed").join(jobs, ["tile", "chunk"]).select("job", "side", "packed").groupBy("job").applyInPandas(between, "u long, v long")
-    both = packed.select("links").mapInArrow(unpack, "u long, v long").union(outer)
+    cut = tiles(nodes.select("fp", "fp2", "node"), inside)
+    outer = jobs(cut, radius, with_self=False).groupBy("a", "b").applyInPandas(between, "u long, v long")
+    both = cut.select("extra").mapInArrow(unpack, "u long, v long").union(outer)
     return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def remaining(nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND, chunk: int = CHUNK) -> DataFrame:
-    """``nodes``: (node, fp, fp2, root). All candidate pairs between different roots, as batches (batch, nodes, pairs)."""
-    spark = nodes.sparkSession
-    cut, counts = _cut(nodes.select("node", "fp", "fp2", "root"), chunk)
+def remaining(nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND) -> DataFrame:
+    """``nodes``: a written table (node, fp, fp2, root). All candidate pairs between different roots, as batches (batch, nodes, pairs)."""
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"tile": [key[0]], "chunk": [key[1]], "packed": [_nodes(pdf).tobytes()]})
+    def pack(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, bytes, bytes]:
+        x = _nodes(columns)
+        return np.ascontiguousarray(x["fp"]), x.tobytes(), b""
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         side = {s: np.frombuffer(p, _NODE) for s, p in zip(pdf["side"], pdf["packed"], strict=True)}
-        rows = [(f"{key[0]}:{n}", at.tolist(), pairs.astype("<u2").tobytes()) for n, (at, pairs) in enumerate(open_pairs(side[0], side.get(1), radius, second))]
+        rows = [(f"{key[0]}:{key[1]}:{n}", at.tolist(), pairs.astype("<u2").tobytes()) for n, (at, pairs) in enumerate(open_pairs(side[0], side.get(1), radius, second))]
         return pd.DataFrame(rows, columns=["batch", "nodes", "pairs"])
 
-    packed = materialize(cut.groupBy("tile", "chunk").applyInPandas(pack, "tile int, chunk int, packed binary"), "tiles")
-    jobs = spark.createDataFrame(_jobs(counts, radius, chunk), "tile int, chunk int, job int, side int")
-    return packed.join(jobs, ["tile", "chunk"]).select("job", "side", "packed").groupBy("job").applyInPandas(compare, "batch string, nodes array<long>, pairs binary")
+    return jobs(tiles(nodes.select("fp", "fp2", "node", "root"), pack), radius).groupBy("a", "b").applyInPandas(compare, "batch string, nodes array<long>, pairs binary")
 
 
-def verified_batches(batches: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Links (u, v) that join what the similar pairs of ``batches`` join; a pair is left out only if found links join its ends already."""
+def batched(links: DataFrame) -> DataFrame:
+    """``links``: a written table (u, v). The same as batches (batch, nodes, pairs) of about ``LINKS_A_BATCH`` links.
+
+    Links are dealt by both ends, so those of a node that a third of all links meet in spread over all batches,
+    and its text is fetched once for each batch, not for each link.
+    """
+    n = max(1, -(-links.count() // LINKS_A_BATCH))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at, pairs = np.unique(pdf[["u", "v"]].to_numpy(), return_inverse=True)
+        return pd.DataFrame({"batch": [str(key[0])], "nodes": [at.tolist()], "pairs": [pairs.reshape(-1, 2).astype("<u2").tobytes()]})
+
+    return links.withColumn("of", F.pmod(F.xxhash64("u", "v"), F.lit(n))).groupBy("of").applyInPandas(pack, "batch string, nodes array<long>, pairs binary")
+
+
+def verified(batches: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (u, v) that join what the similar pairs of ``batches`` join; a pair is left out only if found links join its ends already.
+
+    ``texts``: (node, text). Similar are pairs whose shingle sets have at least this Jaccard similarity.
+    """
     ship_package(batches.sparkSession)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sets = {n: shingles(t, k) for n, t in zip(right["node"], right["text"], strict=True)}
+        sets = {n: shingle_set(t, k) for n, t in zip(right["node"], right["text"], strict=True)}
         out = []
         for nodes, raw in zip(left["nodes"], left["pairs"], strict=True):
             group = list(range(len(nodes)))
@@ -415,47 +482,32 @@ def verified_batches(batches: DataFrame, texts: DataFrame, k: int, similarity: f
     return batches.groupBy("batch").cogroup(wanted.groupBy("of")).applyInPandas(run, "u long, v long")
 
 
-def verified(links: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Links whose texts' shingle sets have at least this Jaccard similarity. ``texts``: (node, text)."""
-    ship_package(links.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [jaccard(shingles(a, k), shingles(b, k)) >= similarity for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch["u"], batch["v"])], ["u", "v"])
-
-    a, b = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("u", "a"), ("v", "b")))
-    return links.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
-
 def survivors(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their own columns: one of each group of near duplicates.
 
-    Candidates are pairs whose two SimHashes both lie within a wide radius; a link counts if the exact Jaccard
-    similarity of the texts' sets of ``k``-word shingles reaches ``similarity``. Compared exactly are first, for
-    every text, its nearest candidate and the nearest candidate pair by which groups of candidates first meet, and
-    then all candidate pairs that the links found so do not join already; no candidate pair is dropped untested. A
-    group of thousands of copies that are alike takes few comparisons, one of candidates that are not takes all its
-    pairs. Of a group the row with the smallest id (then text hash) stays; texts with equal double fingerprints count
-    as copies.
+    Texts with the same set of ``k``-word shingles are one node. Candidates are pairs of nodes whose two SimHashes both
+    lie within a wide radius; a link counts if the exact Jaccard similarity of the sets reaches ``similarity``.
+    Compared exactly are first, for every node, its nearest candidate and the nearest candidate pair by which groups of
+    candidates first meet, and then all candidate pairs that the links found so do not join already; no candidate pair is
+    dropped untested. A group of thousands of copies that are alike takes few comparisons, one of candidates that are
+    not takes all its pairs. Of a group the row with the smallest id (then text hash) stays.
     """
     text = F.coalesce(column(docs, text_col), F.lit(""))
     tie = F.xxhash64(text)
     who = F.struct(column(docs, id_col).isNull().alias("no_id"), column(docs, id_col).alias("id"), tie.alias("tie"))
-    prints = double_fingerprints(docs.select(who.alias("who"), text.alias("text")), k)
-    nodes = materialize(prints.groupBy("fp", "fp2").agg(F.min("who").alias("who")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    prints = set_fingerprints(docs.select(who.alias("who"), text.alias("text")), k)
+    nodes = materialize(prints.groupBy("fp", "fp2", "same").agg(F.min("who").alias("who")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = docs.select(column(docs, id_col).alias("id"), tie.alias("tie"), text.alias("text"))
 
     def texts(of: DataFrame) -> DataFrame:
-        named = nodes.join(of.distinct(), "node", "left_semi").select("node", F.col("who.id").alias("w_id"), F.col("who.tie").alias("w_tie"))
+        named = nodes.join(of.select(F.explode("nodes").alias("node")).distinct(), "node", "left_semi").select("node", F.col("who.id").alias("w_id"), F.col("who.tie").alias("w_tie"))
         return named.join(rows, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tie") == F.col("w_tie"))).select("node", "text").dropDuplicates(["node"])
 
-    found = materialize(candidates(nodes), "candidates")
-    first = materialize(verified(found, texts(found.select(F.col("u").alias("node")).union(found.select("v"))), k, similarity), "verified")
+    first = materialize(batched(materialize(candidates(nodes), "candidates")), "batches")
+    first = materialize(verified(first, texts(first), k, similarity), "verified")
     joined = nodes.join(components.components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = materialize(remaining(joined), "remaining")
-    second = verified_batches(left, texts(left.select(F.explode("nodes").alias("node"))), k, similarity)
-    roots = components.components(first.union(second))
+    left = materialize(remaining(materialize(joined.select("node", "fp", "fp2", "root"), "joined")), "remaining")
+    roots = components.components(first.union(verified(left, texts(left), k, similarity)))
     grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("who").alias("who"))
     keep = grouped.select(F.col("who.id").alias("keep_id"), F.col("who.tie").alias("keep_tie"))
     own = docs.select(packed_row(docs).alias("row"), column(docs, id_col).alias("id"), tie.alias("tie"))

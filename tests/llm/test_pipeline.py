@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import mixing, quality_rules, simhash, tokens
+from factloom.llm import mixing, quality_rules, tokens
 from factloom.session import table
 
 
@@ -30,6 +30,11 @@ def steps(spark, tmp_path_factory):
     return out
 
 
+def shingles(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
 def texts(df):
     return {r["doc_id"]: r["text"] for r in df.collect()}
 
@@ -58,7 +63,7 @@ def test_exact_keeps_one_of_each_text(steps):
 def test_near_matches_exact_jaccard_groups(steps):
     _, before, after = steps[2]
     had, have = texts(before), texts(after)
-    sets = {d: simhash.shingles(t, 5) for d, t in had.items()}
+    sets = {d: shingles(t) for d, t in had.items()}
     by = {}
     for d, s in sets.items():
         for g in s:

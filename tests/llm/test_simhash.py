@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from factloom.llm import components, simhash
@@ -24,6 +25,15 @@ def plain_fingerprint(text, k=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def shingles(text, k=5):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
 def groups(fps, radius):
     """{id: smallest id reachable} by comparing all pairs."""
     ids = sorted(fps)
@@ -77,17 +87,27 @@ def test_links_lose_nothing():
         assert {n: root(n) for n in up} == want
 
 
-def test_two_part_tiles_and_small_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("chunk", [1 << 15, 50, 7])
+def test_tiles_lose_nothing(spark, monkeypatch, chunk):
     rng = random.Random(2)
     base = [rng.getrandbits(63) for _ in range(150)]
     fps = sorted({b ^ sum(1 << k for k in rng.sample(range(63), rng.randint(0, 4))) for b in base for _ in range(4)})
     df = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "doc_id long, fp long")
-    monkeypatch.setattr(simhash, "FINE_FROM", 10)
-    monkeypatch.setattr(simhash, "CHUNK", 7)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
     got = {r["fp"]: r["component_id"] for r in simhash.groups(df).collect()}
     assert {i: got[f] for i, f in enumerate(fps)} == groups(dict(enumerate(fps)), 4)
 
 
+def test_bounds_never_exceed_the_distance():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    y = x ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (rng.integers(0, 2**63, 400, dtype=np.uint64) * (rng.random(400) < 0.5).astype(np.uint64))
+    c, d = simhash._counts(x), simhash._counts(y)
+    assert (simhash._apart(c, c, d, d) <= np.bitwise_count(x ^ y)).all() and (c[:, 0] == np.bitwise_count(x)).all()
+    lo, hi = c.min(axis=0), c.max(axis=0)
+    assert (simhash._apart(lo, hi, d, d) <= np.bitwise_count(x[:, None] ^ y[None]).min(axis=0)).all()
+
+
 def test_corners(spark):
     long = "word other thing here " * 8000
     rows = [(1, None, "x", 1), (2, "", "x", 1), (3, " \n\t", None, None), (4, "one two", "x", 1), (5, "ONE\ttwo", "x", 1), (None, "one two", "x", 1), (6, long, "x", 1), (6, long, "x", 1), (7, "É two three four five", "x", 1), (8, "é two three four five", "x", 1)]
@@ -114,8 +134,9 @@ def test_survivors_of_edited_copies_unlike_each_other(spark):
                 words[at] = f"edit{rng.random()}"
             rows.append((1000 * group + c, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    fps = [(simhash.fingerprint(w := t.encode().split(), 5), simhash.second_fingerprint(w, 5)) for _, t in rows]
-    sets = [simhash.shingles(t, 5) for _, t in rows]
+    sets = [shingles(t) for _, t in rows]
+    hashed = [simhash.shingle_set(t, 5) for _, t in rows]
+    fps = [(simhash.majority(h), simhash.majority(simhash.second_hashes(h))) for h in hashed]
     up = list(range(len(rows)))
 
     def root(i):
@@ -127,7 +148,7 @@ def test_survivors_of_edited_copies_unlike_each_other(spark):
     for i in range(len(rows)):
         for j in range(i):
             if (fps[i][0] ^ fps[j][0]).bit_count() <= simhash.WIDE and (fps[i][1] ^ fps[j][1]).bit_count() <= simhash.WIDE_SECOND:
-                if simhash.jaccard(sets[i], sets[j]) >= 0.8:
+                if jaccard(sets[i], sets[j]) >= 0.8:
                     p, q = sorted((root(i), root(j)))
                     up[q] = p
                 else:
@@ -137,6 +158,56 @@ def test_survivors_of_edited_copies_unlike_each_other(spark):
     assert got == sorted({rows[root(i)][0] for i in range(len(rows))})
 
 
+@pytest.mark.parametrize(("sizes", "runs"), [([12] * 40, (1, 4)), ([50] * 10, (1, 4)), ([200] * 2, (1, 4)), ([12] * 20, (2, 7))])
+def test_survivors_against_exact_jaccard_groups(spark, sizes, runs):
+    """At least 98 % of what groups by exact similarity drop is dropped, and nothing else."""
+    rng = random.Random(len(sizes))
+    rows = []
+    for g, n in enumerate(sizes):
+        base = [f"g{g}w{rng.randrange(5000)}" for _ in range(60)]
+        for c in range(n):
+            words = list(base)
+            size = rng.randint(*runs)
+            at = rng.randrange(60 - size)
+            words[at : at + size] = [f"x{rng.random()}" for _ in range(size)] if c else words[at : at + size]
+            rows.append((1000 * g + c, " ".join(words)))
+    sets, up = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, (a, _) in enumerate(rows):
+        for j in range(i - a % 1000, i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                p, q = sorted((root(i), root(j)))
+                up[q] = p
+    dropped = {a for i, (a, _) in enumerate(rows) if root(i) != i}
+    left = {r["doc_id"] for r in simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {a for a, _ in rows} - left
+    assert got <= dropped and len(got) >= 0.98 * len(dropped), (len(got), len(dropped))
+
+
+def test_equal_fingerprints_of_unlike_sets_are_verified(spark):
+    docs = spark.createDataFrame([(i, f"one two three four five{i % 3} six") for i in range(9)], "doc_id long, text string")
+    long = " ".join(f"w{i}" for i in range(100))
+    docs = docs.union(spark.createDataFrame([(20, long), (21, long + " tail")], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in simhash.survivors(docs).collect()) == [0, 1, 2, 20]
+    nodes = spark.createDataFrame([(i, 7, 7) for i in range(4)], "node long, fp long, fp2 long")
+    texts = spark.createDataFrame([(0, "a b c d e"), (1, "f g h i j"), (2, "A b c d e"), (3, "f g h i j")], "node long, text string")
+    first = simhash.verified(simhash.batched(simhash.candidates(nodes)), texts, 5, 0.8)
+    rest = simhash.verified(simhash.remaining(nodes.withColumn("root", nodes["node"])), texts, 5, 0.8)
+    found = {frozenset((r["u"], r["v"])) for r in first.union(rest).collect()}
+    assert found == {frozenset((0, 2)), frozenset((1, 3))}
+
+
+def test_links_of_a_hub_are_dealt_to_many_batches(spark):
+    links = spark.createDataFrame([(0, i) for i in range(1, 5000)], "u long, v long")
+    per = [len(r["pairs"]) // 4 for r in simhash.batched(links).collect()]
+    assert sum(per) == 4999 and max(per) < 2 * simhash.LINKS_A_BATCH
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(1000 + rng.randrange(80), 1000 + rng.randrange(80)) for _ in range(60)] + [(5000, 5000 + i) for i in range(1, 300)]
