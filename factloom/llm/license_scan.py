@@ -11,9 +11,13 @@ and what hits are left are aligned again, chain by chain and diagonal by diagona
 gets a row. Regions that have too few of the template's words in any order are not aligned. Reported
 are the matched share of the template and the span of the match in the text.
 
-Defined results: a null or blank text has no match; a text may hold several templates and the same one
-several times, each a row; of matches that cover each other's words the one with more matched words
-stays (ties: the name first in code-point order); repeated rows report alike; null ids are kept; an empty
+A match needs the share ``least`` of the template's words; or, for a license that is there in part, at least ``passage``
+words of it and that share of the words between the first and the last of them. Its coverage then says how much of the
+license it is.
+
+Defined results: very long texts are read whole; a null or blank text has no match; a text may hold several templates and the same one
+several times, each a row; of matches that cover each other's words the one with more matched words,
+weighed by its coverage, stays (ties: the name first in code-point order); repeated rows report alike; null ids are kept; an empty
 table or no templates give an empty result; other columns are ignored.
 """
 
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -124,22 +129,23 @@ def align(text: list[str | None], template: list[str], start: int, band: int) ->
     return int(matched[best]), int(first[best]), min(max(end, int(first[best])), len(text))
 
 
-def chains(hits: np.ndarray, size: int) -> list[np.ndarray]:
+def chains(hits: np.ndarray, size: int, whole: bool) -> list[np.ndarray]:
     """Rows of ``hits`` (text place, template place; sorted) that stand in the order of a template of ``size`` words, best first.
 
-    A hit adds 2 for each word that is new, a step to another diagonal costs 1 a word, as in :func:`align`. No row is in two chains.
+    A hit adds 2 for each word that is new, a step to another diagonal costs 1 a word, as in :func:`align`; for chains
+    through the ``whole`` template its words before and after the chain cost as much. No row is in two chains.
     """
     d, p = hits[:, 0], hits[:, 1]
-    score, back = np.full(len(hits), 2 * K, np.int64), np.full(len(hits), -1, np.int64)
+    score, back = 2 * K - p * whole, np.full(len(hits), -1, np.int64)
     since = np.searchsorted(d, d - 3 * size - K, "left")  # from further back no step pays
     for i in range(len(hits)):
         lo = since[i]
         step_d, step_p = d[i] - d[lo:i], p[i] - p[lo:i]
-        gain = np.where((step_d > 0) & (step_p > 0), score[lo:i] + 2 * np.minimum(np.minimum(step_d, step_p), K) - np.abs(step_d - step_p), 0)
+        gain = np.where((step_d > 0) & (step_p > 0), score[lo:i] + 2 * np.minimum(np.minimum(step_d, step_p), K) - np.abs(step_d - step_p), score[i])
         if len(gain) and gain.max() > score[i]:
             score[i], back[i] = gain.max(), lo + int(gain.argmax())
     used, out = np.zeros(len(hits), bool), []
-    for i in np.argsort(-score, kind="stable").tolist():
+    for i in np.argsort((size - p) * whole - score, kind="stable").tolist():
         rows = []
         while i >= 0 and not used[i]:
             used[i] = True
@@ -150,27 +156,21 @@ def chains(hits: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
-def occurrences(words: list[str], template: list[str], hits: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+def occurrences(words: list[str], template: list[str], hits: np.ndarray, least: float, passage: int) -> list[tuple[int, int, int]]:
     """(matched words, first, end) of each occurrence of the template around ``hits`` (text place, template place; sorted)."""
-    need, size = least * len(template), len(template)
-    have = Counter(template)
+    left: list[str | None] = list(words)
+    out: list[tuple[int, int, int]] = []
 
-    def enough(lo: int, hi: int) -> bool:
-        return hi - lo >= need and sum(min(n, have[w]) for w, n in Counter(left[lo:hi]).items() if w in have) >= need
+    def take(part: list[str], shift: int, lo: int, hi: int, places: np.ndarray) -> None:
+        """Align ``part`` of the template, which begins at its word ``shift``, along the diagonals ``lo`` to ``hi`` as often as it is there."""
+        have, need = Counter(part), least * len(part)
 
-    left: list[str | None] = list(words)
-    if not enough(0, len(left)):
-        return []
-    diagonal = hits[:, 0] - hits[:, 1]
-    by_chain = chains(hits, size)
-    # chains over all their diagonals; after them each diagonal of its own, for what no chain accounts for
-    tasks = [(diagonal[c].min(), diagonal[c].max(), hits[c, 0]) for c in by_chain]
-    tasks += [(x, x, hits[diagonal == x, 0]) for x in np.unique(diagonal)]
-    out = []
-    for lo, hi, places in tasks:
-        lo, hi = int(lo), int(hi)
-        while any(left[x] is not None for x in places.tolist()) and enough(max(lo - BAND - 1, 0), min(hi + size + BAND + 1, len(left))):
-            matched, first, end = align(left, template, (lo + hi) // 2, BAND + (hi - lo + 1) // 2)
+        def enough(a: int, b: int) -> bool:
+            return b - a >= need and sum(min(n, have[w]) for w, n in Counter(left[a:b]).items() if w in have) >= need
+
+        lo, hi = lo + shift, hi + shift
+        while any(left[x] is not None for x in places.tolist()) and enough(max(lo - BAND - 1, 0), min(hi + len(part) + BAND + 1, len(left))):
+            matched, first, end = align(left, part, (lo + hi) // 2, BAND + (hi - lo + 1) // 2)
             if matched < need:
                 break
             while end > first and left[end - 1] not in have:
@@ -179,10 +179,23 @@ def occurrences(words: list[str], template: list[str], hits: np.ndarray, least:
                 break
             out.append((matched, first, end))
             left[first:end] = [None] * (end - first)
+
+    diagonal = hits[:, 0] - hits[:, 1]
+    have, need = Counter(template), least * len(template)
+    if sum(min(n, have[w]) for w, n in Counter(words).items() if w in have) >= need:
+        # chains over all their diagonals; after them each diagonal of its own, for what no chain accounts for
+        for c in chains(hits, len(template), True):
+            take(template, 0, int(diagonal[c].min()), int(diagonal[c].max()), hits[c, 0])
+        for x in np.unique(diagonal).tolist():
+            take(template, 0, x, x, hits[diagonal == x, 0])
+    for c in chains(hits, len(template), False):
+        start, end = max(int(hits[c[0], 1]) - WINDOW + 1, 0), min(int(hits[c[-1], 1]) + K + WINDOW - 1, len(template))
+        if end - start >= passage / least:
+            take(template[start:end], start, int(diagonal[c].min()), int(diagonal[c].max()), hits[c, 0])
     return out
 
 
-def scan_words(words: list[str], index: Index, known: dict[str, int], least: float) -> list[tuple[str, float, int, int, int]]:
+def scan_words(words: list[str], index: Index, known: dict[str, int], least: float = 0.8, passage: int = 30) -> list[tuple[str, float, int, int, int]]:
     """(name, coverage, matched, first word, end word) of each template found."""
     h = _hashes(words, known)
     if not len(h) or not len(index.keys):
@@ -196,17 +209,18 @@ def scan_words(words: list[str], index: Index, known: dict[str, int], least: flo
     out = []
     for t, pairs in hits.items():
         template = index.words[t]
-        for matched, first, end in occurrences(words, template, np.array(sorted(pairs), np.int64), least):
+        for matched, first, end in occurrences(words, template, np.array(sorted(pairs), np.int64), least, passage):
             out.append((index.names[t], matched / len(template), matched, first, end))
-    out.sort(key=lambda r: (-r[2], r[0], r[3]))
-    kept: list[tuple[str, float, int, int, int]] = []
+    out.sort(key=lambda r: (-r[1] * r[2], r[0], r[3]))
+    kept: list[tuple[str, float, int, int, int]] = []  # in order of their places, none over another
     for r in out:
-        if all(min(r[4], k[4]) - max(r[3], k[3]) <= 0 for k in kept):
-            kept.append(r)
-    return sorted(kept, key=lambda r: r[3])
+        at = bisect_left(kept, r[3], key=lambda k: k[3])
+        if (at == 0 or kept[at - 1][4] <= r[3]) and (at == len(kept) or r[4] <= kept[at][3]):
+            kept.insert(at, r)
+    return kept
 
 
-def scan(docs: DataFrame, templates: dict[str, str], least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str], least: float = 0.8, passage: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per match: id, license, coverage, matched_words, start, end (code points of the span)."""
     ship_package(docs.sparkSession)
     index = build(templates)
@@ -217,7 +231,7 @@ def scan(docs: DataFrame, templates: dict[str, str], least: float = 0.8, id_col:
             out = []
             for doc, text in zip(batch["id"].to_pylist(), batch["body"].to_pylist(), strict=True):
                 body = text or ""
-                found = scan_words(WORD.findall(body.lower()), index, known, least)
+                found = scan_words(WORD.findall(body.lower()), index, known, least, passage)
                 if found:
                     spans = [m.span() for m in WORD.finditer(body)]
                     if len(spans) != len(WORD.findall(body.lower())):  # a letter whose lower case is longer
