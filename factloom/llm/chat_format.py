@@ -4,7 +4,8 @@ A turn's content is a string or an array of parts (type, text, uri, width, heigh
 pages). The visitor walks the parts in order: text is escaped, any other part becomes a
 placeholder, and its reference and expanded token count (0 for a type without a known cost) are
 recorded. Each turn is written
-as ``<|turn|>role<|body|>content<|end|>``; the loss mask is a flag on each written segment.
+as ``<|turn|>role<|body|>content<|end|>``. The loss mask is a list of spans over the written string, in code
+points: the number of the turn, and from where to where in what that turn writes, its ``<|turn|>`` included.
 
 Escape: the escape character itself becomes ESC 0, the i-th control string ESC i-th letter.
 After that no control string can stand inside a text, and undoing the letters first and
@@ -65,7 +66,7 @@ def _visit(part: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", content_col: str = "text", loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row per conversation: conv_id, formatted, segments (text, loss), attachments, n_attachment_tokens.
+    """One row per conversation: conv_id, formatted, loss_mask (turn, start, end), attachments, n_attachment_tokens.
 
     ``attachments`` has (turn_index, type, uri, tokens) in order of the placeholders.
     """
@@ -83,26 +84,41 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     turn = F.struct(column(turns, turn_col).alias("turn"), role.alias("role"), body.alias("body"), refs.alias("refs"))
     rows = turns.select(column(turns, id_col).alias("conv"), turn.alias("t"))
     conv = rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-    trained = lambda t: t["role"].isin(*loss_roles)
-    segments = F.flatten(F.transform("ts", lambda t: F.array(segment(F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY)), F.lit(False)), segment(t["body"], trained(t)), segment(F.lit(END), F.lit(False)))))
+    head = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY))
+    written = F.array_join(F.transform("ts", lambda t: F.concat(head(t), t["body"], F.lit(END))), "")
+    span = lambda t, i: F.when(t["role"].isin(*loss_roles), F.struct(i.alias("turn"), F.length(head(t)).alias("start"), (F.length(head(t)) + F.length(t["body"])).alias("end")))
+    mask = F.filter(F.transform("ts", span), lambda x: x.isNotNull())
     attachments = F.flatten(F.transform("ts", lambda t, i: F.transform(t["refs"], lambda r: F.struct(i.alias("turn_index"), r["type"].alias("type"), r["uri"].alias("uri"), r["tokens"].alias("tokens")))))
-    out = conv.select("conv", segments.alias("segments"), attachments.alias("attachments"))
-    return out.select(F.col("conv").alias(id_col), F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", "attachments", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("n_attachment_tokens"))
+    out = conv.select("conv", written.alias("formatted"), mask.alias("loss_mask"), attachments.alias("attachments"))
+    return out.select(F.col("conv").alias(id_col), "formatted", "loss_mask", "attachments", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("n_attachment_tokens"))
+
+
+def _turns(formatted: Column) -> Column:
+    """What each turn wrote after its ``<|turn|>``."""
+    return F.when(formatted == "", F.array().cast("array<string>")).otherwise(F.split(F.substring(formatted, len(TURN) + 1, 2**31 - 1), re.escape(TURN), -1))
+
+
+def _turn(written: Column) -> Column:
+    parts = F.split(written, re.escape(BODY), -1)
+    body = F.replace(F.get(parts, F.lit(1)), F.lit(END), F.lit(""))
+    return F.struct(unescape(F.get(parts, F.lit(0))).alias("role"), unescape(body).alias("text"))
 
 
 def parse_formatted(formatted: Column) -> Column:
     """Array of (role, text) read back from a formatted string; placeholders stay as written."""
-    turns = F.split(F.substring(formatted, len(TURN) + 1, 2**31 - 1), re.escape(TURN), -1)
-    turn = lambda s: F.split(s, re.escape(BODY), -1)
-    body = lambda s: F.replace(F.get(turn(s), F.lit(1)), F.lit(END), F.lit(""))
-    return F.when(formatted == "", F.array().cast("array<struct<role:string,text:string>>")).otherwise(F.transform(turns, lambda s: F.struct(unescape(F.get(turn(s), F.lit(0))).alias("role"), unescape(body(s)).alias("text"))))
+    return F.transform(_turns(formatted), _turn)
+
+
+def trained_texts(formatted: Column, loss_mask: Column) -> Column:
+    """The texts under the loss mask, cut out of the formatted string and unescaped."""
+    turns = _turns(formatted)
+    cut = lambda m: F.substring(F.concat(F.lit(TURN), F.get(turns, m["turn"])), m["start"] + 1, m["end"] - m["start"])
+    return F.transform(loss_mask, lambda m: unescape(cut(m)))
 
 
 def digest(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """What the formatted rows hold, read back from them."""
-    df = formatted.select(F.col(id_col), "formatted", parse_formatted(F.col("formatted")).alias("turns"), F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])).alias("trained"))
+    """What the formatted rows hold, read back from the strings and their masks."""
+    df = formatted.select(F.col(id_col), "formatted", parse_formatted(F.col("formatted")).alias("turns"), F.array_join(trained_texts(F.col("formatted"), F.col("loss_mask")), "").alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join("trained", "")
     sha = lambda c: F.sha2(c.cast("binary"), 256)
-    return df.select(id_col, F.size("turns").cast("long").alias("n_turns"), sha(said).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), sha(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return df.select(id_col, F.size("turns").cast("long").alias("n_turns"), sha(said).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), sha(F.col("loss")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

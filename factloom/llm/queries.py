@@ -63,7 +63,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema)
+    extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :probe), (-7L, 1L, 'assistant', :probe) AS t(conv_id, turn, role, text)", args={"probe": probe})
     return chat_format.digest(chat_format.format_conversations(turns.unionByName(extra)))
 
 
