@@ -5,9 +5,12 @@ times; a copy's virtual finish time is the source's words served by then over th
 Copies are taken in order of virtual finish time over all sources until the total budget is
 spent. Since every source's clock runs at the rate of its target, each is served near it.
 
-The running sums are two-level prefix sums: a source is cut into buckets of its shuffle hash, about
-``ROWS_PER_BUCKET`` documents each; bucket totals are summed up on a written table of sizes, and only
-the rows of one bucket meet in a task, so a source with a third of all rows is spread over many. The
+The running sums are prefix sums of three levels: a source is cut into buckets of its shuffle hash, about
+``ROWS_PER_BUCKET`` documents each, and buckets into blocks of ``BUCKETS_PER_BLOCK``; totals of blocks and
+buckets are summed up on a written table of sizes, and only the rows of one bucket, the buckets of one block
+or the blocks of one source meet in a task, so a source with a third of all rows is spread over many. The
+shuffle hashes the whole row of id, source and text, so rows that share an id, or have none, spread as well;
+only rows that are equal in all three share a place and with it a bucket. The
 budget's cut-off is found the same way over steps of virtual time. No row is joined back to its text:
 the text takes part in the pass that needs it and in the final range sort, nowhere else.
 
@@ -16,8 +19,9 @@ a target stops at ``max_repeats`` times its source's size, and the excess is sha
 until none is above (water filling, solved in closed form on the table of sources).
 
 Defined results: a null text has size 0 and is never served; a source of size 0 has target 0;
-repeated rows are documents of their own; null ids shuffle as one more id; ties in the shuffle go by
-id, then size; an empty table gives an empty result; other columns are passed through.
+repeated rows are documents of their own; a null id is one more id; ties in the shuffle go by
+id, then size; very long texts are counted whole; an empty table gives an empty result; other columns are
+passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from factloom.llm.common import column, n_words, packed_row
 from factloom.session import materialize
 
 ROWS_PER_BUCKET = 2_000
+BUCKETS_PER_BLOCK = 4_096
 #: Steps of virtual time up to 1, at most; later times than 2 share the last step.
 MOST_STEPS = 65_536
 #: Up to so many rows (sources, or buckets of sources) a small table is broadcast.
@@ -77,9 +82,9 @@ class Queue:
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
     """The columns doc_id, source, size and shuffle (a random-looking number from 0 to 1) of a document."""
-    doc = column(docs, id_col)
-    shuffle = F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc), 11) / float(1 << 53)
-    return [doc.alias("doc_id"), column(docs, source_col).alias("source"), n_words(column(docs, text_col)).alias("size"), shuffle.alias("shuffle")]
+    doc, source, text = column(docs, id_col), column(docs, source_col), column(docs, text_col)
+    shuffle = F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc, source, text), 11) / float(1 << 53)
+    return [doc.alias("doc_id"), source.alias("source"), n_words(text).alias("size"), shuffle.alias("shuffle")]
 
 
 def _bucketed(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -88,6 +93,11 @@ def _bucketed(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.withColumn("bucket", F.floor(F.col("shuffle") * F.col("buckets")))
 
 
+def _before(value: str, of: list[str], order: str) -> Column:
+    """The sum of ``value`` over the rows before, 0 for the first."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(*of).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
@@ -116,8 +126,12 @@ def open_queue(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat
     sources = _small(sources, total["n"])
 
     sums = _bucketed(rows, sources).groupBy("source", "bucket").agg(F.sum("size").alias("t"))
-    base = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = _small(materialize(sums.select("source", "bucket", base.alias("base")), "bases"), n_buckets)
+    sums = materialize(sums.withColumn("block", F.floor(F.col("bucket") / BUCKETS_PER_BLOCK)), "sums")
+    blocks = sums.groupBy("source", "block").agg(F.sum("t").alias("t"))
+    blocks = blocks.select(F.col("source").alias("of"), F.col("block").alias("part"), _before("t", ["source"], "block").alias("blocks_before"))
+    within = sums.withColumn("within", _before("t", ["source", "block"], "bucket"))
+    placed = within.join(blocks, within["source"].eqNullSafe(blocks["of"]) & (within["block"] == blocks["part"]))
+    bases = _small(materialize(placed.select("source", "bucket", (F.col("blocks_before") + F.col("within")).alias("base")), "bases"), n_buckets)
 
     steps = max(1, min(MOST_STEPS, n_buckets))
     queued = _queued(rows, sources, bases)

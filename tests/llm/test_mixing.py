@@ -69,6 +69,7 @@ def test_whole_table_and_reruns(spark, sf):
 
 def test_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 16)
+    monkeypatch.setattr(mixing, "BUCKETS_PER_BLOCK", 3)
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", 2)
     rows = [(i, "w " * (i * i % 13 + 1), "hot" if i % 3 else f"s{i % 4}", 1, "t", "r") for i in range(900)]
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -78,3 +79,33 @@ def test_many_buckets(spark, monkeypatch):
     order = [r["doc_id"] for r in mixing.mix(docs).filter(F.col("source") == "hot").collect()]
     first = list(dict.fromkeys(order))
     assert [finish[d] for d in first] == sorted(finish[d] for d in first)
+
+
+def test_copies_follow_a_plain_queue(spark, sf):
+    """Every document's copies, from a queue that is sorted whole and cut where the budget ends."""
+    docs = table(spark, sf, "documents")
+    rows = docs.select(*mixing.sized(docs, "doc_id", "text", "source", 0)).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+    goal, queue = fill(sizes), []
+    for s in sizes:
+        served = 0
+        for r in sorted((r for r in rows if r["source"] == s), key=lambda r: (r["shuffle"], r["doc_id"], r["size"])):
+            served += r["size"]
+            queue += [((served + e * sizes[s]) / goal[s], r["doc_id"], r["size"]) for e in range(3) if r["size"]]
+    spent, want = 0, {r["doc_id"]: 0 for r in rows}
+    for _, doc, size in sorted(queue):
+        spent += size
+        if spent > sum(sizes.values()):
+            break
+        want[doc] += 1
+    assert {r["doc_id"]: r["copies"] for r in mixing.plan(docs).collect()} == want
+
+
+def test_rows_without_an_id_spread(spark):
+    n = 30_000
+    docs = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    sized = docs.select(*mixing.sized(docs, "doc_id", "text", "source", 0))
+    per = [r["count"] for r in sized.groupBy(F.floor(F.col("shuffle") * 15)).count().collect()]
+    assert len(per) == 15 and max(per) < 1.2 * n / 15
