@@ -14,8 +14,8 @@ in the tokenizing tasks plus a prefix sum over (length, chunk), so a length shar
 all pieces is spread over all tasks.
 
 Defined results: a null text is empty and packs as its end id alone; repeated rows are packed
-as often as they occur; null ids are kept; an empty table gives an empty result; other columns
-are ignored.
+as often as they occur; null ids are kept; a very long text is cut into as many pieces as it takes; lengths
+tie by rank; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,62 +65,74 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: i
     return docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("body")).mapInArrow(cut, PIECES_DDL)
 
 
-class _Available:
-    """How often each length is still to be placed, and which lengths those are."""
+class SumIndex:
+    """How often each length is still to be placed, and which singles, pairs and triples of lengths add up to what.
 
-    def __init__(self, counts: dict[int, int]):
+    Pairs stand by their sum, the longer part falling. Lengths are only ever used up, so the index is built once:
+    what is used up at the head of a sum's list is passed for good. Triples are a length and a pair of the index.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
         self.counts = {n: c for n, c in counts.items() if c > 0}
-        self.lengths = np.array(sorted(self.counts), np.int64)
+        self.lengths = np.array(sorted(self.counts, reverse=True), np.int64)
+        i, j = np.triu_indices(len(self.lengths))
+        longer, other = self.lengths[i], self.lengths[j]
+        fits = longer + other < capacity
+        longer, other = longer[fits], other[fits]
+        order = np.argsort((longer + other) * (capacity + 1) - longer)
+        self.longer = longer[order].tolist()
+        self.ends = np.cumsum(np.bincount(longer + other, minlength=capacity + 1)).tolist()  # by sum: where its list ends
+        self.at = [0, *self.ends[:-1]]  # by sum: the first pair that is not used up
+        self.open = np.array(self.at) < np.array(self.ends)
 
     def take(self, combo: tuple[int, ...], times: int) -> None:
         for n in combo:
             self.counts[n] -= times
             if not self.counts[n]:
                 del self.counts[n]
-        if len(self.counts) != len(self.lengths):
-            self.lengths = np.array(sorted(self.counts), np.int64)
+                self.lengths = self.lengths[self.lengths != n]
 
     def times(self, combo: tuple[int, ...]) -> int:
         """How often the combination can be taken, repeats of a length counted."""
         return min(self.counts.get(n, 0) // combo.count(n) for n in combo)
 
-
-def _complement(have: _Available, gap: int, head: int) -> tuple[int, ...] | None:
-    """A single, pair or triple of available lengths with sum ``gap``, next to one piece of length ``head``."""
-    left = have.counts
-
-    def ok(*combo: int) -> bool:
-        return have.times((head, *combo)) > 0
-
-    if gap in left and ok(gap):
-        return (gap,)
-    small = have.lengths[have.lengths < gap]
-    mirror = np.isin(gap - small, small)
-    for a in small[mirror][::-1].tolist():  # pair sums, the longer part first
-        if 2 * a >= gap and ok(a, gap - a):
-            return (a, gap - a)
-    for a in small[::-1].tolist():  # triple sums: the longest part, then a pair for the rest
-        if 3 * a < gap:
-            break
-        rest = gap - a
-        tail = small[(small <= a) & (small < rest)]
-        for b in tail[np.isin(rest - tail, tail)][::-1].tolist():
-            if 2 * b >= rest and ok(a, b, rest - b):
-                return (a, b, rest - b)
-    return None
+    def _pair(self, total: int, beside: tuple[int, ...]) -> tuple[int, int] | None:
+        """The first available pair with this sum that can be taken together with ``beside``."""
+        at, end, left = self.at[total], self.ends[total], self.counts
+        for k in range(at, end):
+            a = self.longer[k]
+            if a in left and total - a in left:
+                if self.times((a, total - a, *beside)):
+                    return a, total - a
+            elif k == at:
+                at = self.at[total] = k + 1
+        self.open[total] = at < end
+        return None
+
+    def complement(self, gap: int, head: int) -> tuple[int, ...] | None:
+        """A single, pair or triple of available lengths with sum ``gap``, next to one piece of length ``head``."""
+        if gap in self.counts and self.times((gap, head)):
+            return (gap,)
+        if pair := self._pair(gap, (head,)) if gap > 0 else None:
+            return pair
+        small = self.lengths[self.lengths < gap]
+        for a in small[self.open[gap - small]].tolist():
+            if pair := self._pair(gap - a, (a, head)):
+                return (a, *pair)
+        return None
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """(times, lengths) combinations that place every counted piece."""
     out: list[tuple[int, tuple[int, ...]]] = []
-    have = _Available(counts)
+    have = SumIndex(counts, capacity)
     if full := have.counts.get(capacity, 0):
         out.append((full, (capacity,)))
         have.take((capacity,), full)
     open_bins: dict[int, list[list]] = {}  # by gap: [times, lengths]
     while have.counts:
-        head = int(have.lengths[-1])
-        combo = _complement(have, capacity - head, head)
+        head = int(have.lengths[0])
+        combo = have.complement(capacity - head, head)
         if combo:
             whole = (head, *combo)
             times = have.times(whole)
