@@ -11,7 +11,8 @@ solved for each language that it may be entered from (all blocks in the same num
 of a text are then chained. So whole texts of any length are labelled without a loop over single words.
 
 Training: n-gram counts by language over at most about ``fit_rows`` documents of each language (a
-documented bound; chosen by the hash of the id), whole texts, counted on the executors.
+documented bound; chosen by the hash of the id), whole texts, counted on the executors. The model, and
+what comes to the driver for it, is 2^16 numbers (262 KB) a language, whatever the corpus.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with nothing learned all
 texts are ``und``; ties go to the language that comes first in code-point order; repeated rows get equal
@@ -21,6 +22,8 @@ results; null ids are kept; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
 from bisect import bisect_right
 from collections import Counter
@@ -39,7 +42,29 @@ from factloom.session import ship_package
 #: First code points of script blocks, in order; 0 is "other".
 SCRIPTS = ((0x41, 1), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x900, 7), (0x980, 8), (0xE00, 9), (0xE80, 0), (0x10A0, 10), (0x1100, 11), (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 12), (0x3100, 0), (0x3400, 13), (0xA000, 0), (0xAC00, 11), (0xD7B0, 0), (0xF900, 13), (0xFB00, 0), (0x20000, 13))
 _STARTS, _KINDS = [s for s, _ in SCRIPTS], [k for _, k in SCRIPTS]
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _category(*kinds: str) -> str:
+    """All characters of these Unicode categories."""
+    return "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in kinds)
+
+
+#: Numbers such as ½ that Python takes for letters, and the marks that follow letters.
+_NUMBERS, _MARKS = _category("Nl", "No"), _category("Mn", "Mc", "Me")
+_ODD = frozenset(_NUMBERS + _MARKS)
+_PLAIN = re.compile(r"[^\W\d_]+")
+_EXACT = re.compile(rf"[^\W\d_{_NUMBERS}]+(?:[{_MARKS}]+(?:[^\W\d_{_NUMBERS}]+)?)*")
+
+
+def letters(text: str) -> re.Pattern:
+    """What finds the words of a text: letters (category L) with their marks (M). Most texts need the plain form only."""
+    return _PLAIN if text.isascii() or _ODD.isdisjoint(text) else _EXACT
+
+
+def words_of(text: str) -> list[str]:
+    return letters(text).findall(text)
+
+
 FEATURES = 1 << 16
 UND = "und"
 
@@ -89,7 +114,7 @@ def fit(docs: DataFrame, fit_rows: int = 1500, alpha: float = 0.5, penalty: floa
         words: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["body"].to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(LETTERS.findall(text))
+                words.setdefault(lang, Counter()).update(words_of(text))
         out = []
         for lang, c in words.items():
             kinds: Counter = Counter()
@@ -164,7 +189,7 @@ class Labeller:
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The language number of each word of each text (lists of letter words)."""
         langs = len(self.model.langs)
-        most = max(self.BLOCK, self.HELD // (langs * langs + langs))
+        most = max(self.BLOCK, self.HELD // (langs * langs + 4 * langs))
         out: list[np.ndarray] = []
         lo = 0
         while lo < len(texts):
@@ -182,13 +207,13 @@ class Labeller:
         blocks = -(-lengths // self.BLOCK)
         n, size, langs, penalty = int(blocks.sum()), self.BLOCK, len(self.model.langs), np.float32(self.model.penalty)
         if not n:
-            return [np.zeros(0, np.int8)] * len(texts)
+            return [np.zeros(0, np.int32)] * len(texts)
         first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
         begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         score = np.zeros((n * size, langs), np.float32)  # padding scores nothing and changes no path
         score[np.arange(len(ids)) + np.repeat(first * size - begin, lengths)] = table[ids]
         score = np.ascontiguousarray(score.reshape(n, size, langs).swapaxes(0, 1))
-        came = np.zeros((size, n, langs), np.int8)  # by entry: the language that a switch comes from
+        came = np.zeros((size, n, langs), np.int32)  # by entry: the language that a switch comes from
         switched = np.zeros((size, n, langs, langs), bool)
         best = score[0][:, None, :] - penalty * (1 - np.eye(langs, dtype=np.float32))
         for t in range(1, size):
@@ -211,7 +236,7 @@ class Labeller:
                 last[b], entry[b] = state, back[b - a][state]
                 state = int(entry[b])
         each, state = np.arange(n), last
-        path = np.empty((size, n), np.int8)
+        path = np.empty((size, n), np.int32)
         for t in range(size - 1, 0, -1):
             path[t] = state
             state = np.where(switched[t, each, entry, state], came[t, each, entry], state)
@@ -243,7 +268,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 bodies = [t or "" for t in part["body"].to_pylist()]
-                texts = [LETTERS.findall(t) if langs else [] for t in bodies]
+                texts = [words_of(t) if langs else [] for t in bodies]
                 preds, scores, found = [], [], []
                 for body, words, path in zip(bodies, texts, labeller.label(texts) if langs else texts, strict=True):
                     if not words:
@@ -256,7 +281,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     preds.append(langs[k])
                     scores.append(float(mass[k] / mass.sum()))
                     if spans:
-                        ends = [m.span() for m in LETTERS.finditer(body)]
+                        ends = [m.span() for m in letters(body).finditer(body)]
                         cuts = np.flatnonzero(np.diff(path)) + 1
                         found.append([{"lang": langs[path[a]], "start": ends[a][0], "end": ends[b - 1][1]} for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(path)], strict=True)])
                 arrays = [part["id"], pa.array(preds, pa.string()), pa.array(scores, pa.float64())]

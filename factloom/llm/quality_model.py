@@ -9,11 +9,13 @@ logistic curve fitted on margins of rows held back from that fit.
 
 The model is fitted on at most about ``fit_rows`` labelled documents of each class (a documented bound;
 chosen by the hash of the id), whole texts; their sparse features, some thousand numbers each, are what
-comes to the driver. Every document is scored, each in one pass over its whole text.
+comes to the driver, once for each chosen id and label however often the tables repeat them. Every document
+is scored, each in one pass over its whole text.
 
 Defined results: a null text is empty and has the bias alone for a margin; rows without a usable label
-teach nothing; with one class only, every score is that class's share after smoothing; several labels
-of a document each count; repeated rows get equal scores; null ids are kept; an empty table gives an
+teach nothing; with one class only, every score is that class's share after smoothing; contradicting labels
+of a document each count, repeated ones once; of several texts with a chosen id the one with the least
+features in byte order teaches; repeated rows get equal scores; null ids are kept; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -36,9 +38,9 @@ DIM = 1 << 19
 
 
 def shape(word: str) -> str:
-    """Letter case and other characters in runs, at most eight characters long."""
-    s = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
-    return re.sub(r"([Xx0])\1+", r"\1", re.sub(r"([^Xx0])\1+", r"\1\1", s))[:8]
+    """Letter case, digits and other characters of the whole word, runs shortened to one or two."""
+    s = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+    return re.sub(r"([Xx0])\1+", r"\1", re.sub(r"([^Xx0])\1+", r"\1\1", s))
 
 
 class Features:
@@ -167,7 +169,7 @@ def train(rows: list[np.ndarray], labels: list[int], smooth: float = 1.0, cost:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **how) -> Model:
     """Learn from the documents of ``docs`` that ``labels`` (id, label 0 or 1) knows, about ``fit_rows`` of each class at most."""
     ship_package(docs.sparkSession)
-    known = labels.select(column(labels, id_col).alias("id"), column(labels, label_col).cast("int").alias("y")).filter("y in (0, 1) and id is not null")
+    known = labels.select(column(labels, id_col).alias("id"), column(labels, label_col).cast("int").alias("y")).filter("y in (0, 1) and id is not null").distinct()
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not sizes:
         return train([], [])
@@ -182,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 3000, id_col: str =
             found = [make(t).astype("<i4").tobytes() for t in batch["body"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], pa.array(found, pa.binary())], ["id", "y", "f"])
 
-    got = rows.join(chosen, "id").select(F.col("id").cast("long").alias("id"), "y", "body").mapInArrow(features, "id long, y int, f binary").collect()  # at most about 2 * fit_rows rows
+    taught = rows.join(F.broadcast(chosen), "id").select(F.col("id").cast("long").alias("id"), "y", "body").mapInArrow(features, "id long, y int, f binary")
+    got = taught.groupBy("id", "y").agg(F.min("f").alias("f")).collect()  # like `chosen`: at most about 2 * fit_rows rows
     got.sort(key=lambda r: (r["id"], r["y"], r["f"]))
     return train([np.frombuffer(r["f"], "<i4") for r in got], [r["y"] for r in got], **how)
 
