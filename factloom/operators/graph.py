@@ -1,30 +1,27 @@
-"""Recursive traversal of edges as driver-side fixpoints over DataFrames."""
+"""Recursive traversal of edges as fixpoints over DataFrames; a round is one job, and nothing is walked on the driver."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from factloom.session import discard, materialize
 
-MOST_ROUNDS = 200
-#: Up to so many edges and seeds are walked on the driver, where a round costs no job.
-LOCAL_EDGES, LOCAL_SEEDS = 200_000, 1_000
-#: Rounds of :func:`reach` after which what is known is written as one table.
-MOST_PARTS = 16
+#: Single steps of a round of :func:`reach`; more cost a longer plan, fewer cost more jobs.
+HOPS = 2
+#: Levels of :func:`jumps` (of 2, 4, 8, … steps) from which they are worth their joins.
+LEAST_LEVELS = 5
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """All (src, dst) joined by a path of one or more ``edges`` (src, dst), each once; cycles are safe.
 
-    The paths known so far are joined with themselves, so a chain of n edges takes log n rounds.
+    The paths known so far are joined with themselves, so a chain of n edges takes log n rounds. The result is as
+    large as the relation is: ask :func:`reach` where the ends are known.
     """
     known = materialize(edges.select("src", "dst").distinct(), "closure")
     n = known.count()
-    for _ in range(MOST_ROUNDS):
+    while True:  # the set of pairs grows and is finite
         a, b = known.alias("a"), known.alias("b")
         longer = a.join(b, F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
         more = materialize(known.union(longer).distinct(), "closure")
@@ -34,44 +31,56 @@ def closure(edges: DataFrame) -> DataFrame:
         if m == n:
             return known
         n = m
-    raise RuntimeError(f"no fixpoint in {MOST_ROUNDS} rounds")
+
+
+def jumps(step: DataFrame) -> list[DataFrame]:
+    """Along chains, where a node has one successor: tables (at, to) of jumps over 2, 4, 8, … steps, by doubling.
+
+    Levels end when none is left or none ends any more: then what is left runs in circles.
+    """
+    level = materialize(step.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("to").alias("to")).filter("n = 1").select("at", "to"), "jumps")
+    n, out = level.count(), []
+    while n:
+        a, b = level.alias("a"), level.alias("b")
+        level = materialize(a.join(b, F.col("a.to") == F.col("b.at")).select("a.at", "b.to"), "jumps")
+        before, n = n, level.count()
+        if n == before:
+            break
+        if n:
+            out.append(level)
+    return out
 
 
 def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, most_depth: int | None = None) -> DataFrame:
     """(seed, node, depth) of all nodes reachable from ``seeds`` (seed); only what the seeds touch is expanded.
 
     ``reverse`` walks edges backwards. Depth is the shortest path's length; the seed itself is a result
-    only if a cycle leads back to it. A round is taken for each step of depth, however many there are.
+    only if a cycle leads back to it. A round takes ``HOPS`` steps and then follows chains by jumps of doubling
+    length where there are long ones, so a chain of any length takes one round; a path takes a round for every
+    ``HOPS`` forks on it.
     """
     step = edges.select(F.col("dst" if reverse else "src").alias("at"), F.col("src" if reverse else "dst").alias("to")).distinct()
     step = materialize(step, "edges")
-    if step.count() <= LOCAL_EDGES and len(start := seeds.select("seed").distinct().limit(LOCAL_SEEDS + 1).collect()) <= LOCAL_SEEDS:
-        return _walk(seeds, step, [r["seed"] for r in start], most_depth)
-    delta = materialize(seeds.select("seed").distinct().join(step, F.col("seed") == F.col("at")).select("seed", F.col("to").alias("node")).distinct(), "reach")
-    known, parts, depth = None, [delta.withColumn("depth", F.lit(1))], 1
-    while delta.take(1) and (most_depth is None or depth < most_depth):
-        depth += 1
-        new = delta.join(step, F.col("node") == F.col("at")).select("seed", F.col("to").alias("node")).distinct()
-        so_far = reduce(DataFrame.union, parts if known is None else [known, *parts])
-        delta = materialize(new.join(so_far, ["seed", "node"], "left_anti"), "reach")
-        parts.append(delta.withColumn("depth", F.lit(depth)))
-        if len(parts) > MOST_PARTS:
-            whole = materialize(reduce(DataFrame.union, parts if known is None else [known, *parts]), "reach")
-            known, parts = whole, []
-    return reduce(DataFrame.union, parts if known is None else [known, *parts])
-
-
-def _walk(seeds: DataFrame, step: DataFrame, start: list, most_depth: int | None) -> DataFrame:
-    """:func:`reach` for a small graph."""
-    following: dict = {}
-    for a, b in step.select("at", "to").collect():
-        following.setdefault(a, []).append(b)
-    out = []
-    for seed in start:
-        seen, level, depth = set(), [seed], 0
-        while level and (most_depth is None or depth < most_depth):
-            depth += 1
-            level = [x for x in dict.fromkeys(n for at in level for n in following.get(at, ())) if x not in seen]
-            seen.update(level)
-            out += [(seed, x, depth) for x in level]
-    return seeds.sparkSession.createDataFrame(out, StructType([StructField("seed", seeds.schema["seed"].dataType), StructField("node", step.schema["to"].dataType), StructField("depth", IntegerType())]))
+    far = jumps(step)
+    far = far if len(far) >= LEAST_LEVELS else []
+    least = lambda df: df.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
+
+    def follow(at: DataFrame, table: DataFrame, steps: int) -> DataFrame:
+        return at.join(table, F.col("node") == F.col("at")).select("seed", F.col("to").alias("node"), (F.col("depth") + steps).alias("depth"))
+
+    def bounded(df: DataFrame) -> DataFrame:
+        return df if most_depth is None else df.filter(F.col("depth") <= most_depth)
+
+    start = seeds.select("seed").distinct().join(step, F.col("seed") == F.col("at")).select("seed", F.col("to").alias("node"), F.lit(1).alias("depth")).distinct()
+    fresh = materialize(bounded(start), "reach")
+    known = fresh
+    while fresh.take(1):  # each round finds new nodes or shorter paths, and both end
+        found = fresh
+        for _ in range(HOPS):
+            found = least(found.union(bounded(follow(found, step, 1))))
+        for k, table in enumerate(far, 1):
+            found = least(found.union(bounded(follow(found, table, 1 << k))))
+        both = known.withColumn("was", F.col("depth")).unionByName(found.withColumn("was", F.lit(None).cast("int")))
+        merged = materialize(both.groupBy("seed", "node").agg(F.min("depth").alias("depth"), F.min("was").alias("was")), "reach")
+        known, fresh = merged.drop("was"), merged.filter("was IS NULL OR depth < was").drop("was")
+    return known

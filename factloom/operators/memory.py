@@ -9,26 +9,74 @@ from pyspark.sql import functions as F
 
 from factloom.operators.retrieval import MEMORY_PREFIXES
 
-_EDGES = ":introduced-by :modified-in :renamed-from :renamed-to"
-#: Entity type -> required and optional string attributes (a trailing ``!`` marks a boolean).
-SCHEMA = {
-    "decision": (":description", ":rationale :date :alias"),
-    "preference": (":description", ":rationale :alias"),
-    "constraint": (":description", ":rationale :alias"),
-    "dependency": (":description", ":rationale :alias"),
-    "module": (":description", f":path :alias :contains :depends-on :calls {_EDGES}"),
-    "function": (":description", f":file :alias {_EDGES}"),
-    "class": (":description", f":file :alias {_EDGES}"),
-    "variable": (":description", f":file :alias {_EDGES}"),
-    "field": (":description", f":file :alias :class :static! {_EDGES}"),
-    "ingestion": (":description", ":hash :alias :last-run-at :last-commit :total-ingested :version"),
-}
+#: Entity type, attribute, whether it is required, type.
+SCHEMA = (
+    ("decision", ":description", True, "str"),
+    ("decision", ":rationale", False, "str"),
+    ("decision", ":date", False, "str"),
+    ("decision", ":alias", False, "str"),
+    ("preference", ":description", True, "str"),
+    ("preference", ":rationale", False, "str"),
+    ("preference", ":alias", False, "str"),
+    ("constraint", ":description", True, "str"),
+    ("constraint", ":rationale", False, "str"),
+    ("constraint", ":alias", False, "str"),
+    ("dependency", ":description", True, "str"),
+    ("dependency", ":rationale", False, "str"),
+    ("dependency", ":alias", False, "str"),
+    ("module", ":description", True, "str"),
+    ("module", ":path", False, "str"),
+    ("module", ":alias", False, "str"),
+    ("module", ":contains", False, "str"),
+    ("module", ":depends-on", False, "str"),
+    ("module", ":calls", False, "str"),
+    ("module", ":introduced-by", False, "str"),
+    ("module", ":modified-in", False, "str"),
+    ("module", ":renamed-from", False, "str"),
+    ("module", ":renamed-to", False, "str"),
+    ("function", ":description", True, "str"),
+    ("function", ":file", False, "str"),
+    ("function", ":alias", False, "str"),
+    ("function", ":introduced-by", False, "str"),
+    ("function", ":modified-in", False, "str"),
+    ("function", ":renamed-from", False, "str"),
+    ("function", ":renamed-to", False, "str"),
+    ("class", ":description", True, "str"),
+    ("class", ":file", False, "str"),
+    ("class", ":alias", False, "str"),
+    ("class", ":introduced-by", False, "str"),
+    ("class", ":modified-in", False, "str"),
+    ("class", ":renamed-from", False, "str"),
+    ("class", ":renamed-to", False, "str"),
+    ("variable", ":description", True, "str"),
+    ("variable", ":file", False, "str"),
+    ("variable", ":alias", False, "str"),
+    ("variable", ":introduced-by", False, "str"),
+    ("variable", ":modified-in", False, "str"),
+    ("variable", ":renamed-from", False, "str"),
+    ("variable", ":renamed-to", False, "str"),
+    ("field", ":description", True, "str"),
+    ("field", ":file", False, "str"),
+    ("field", ":alias", False, "str"),
+    ("field", ":class", False, "str"),
+    ("field", ":static", False, "bool"),
+    ("field", ":introduced-by", False, "str"),
+    ("field", ":modified-in", False, "str"),
+    ("field", ":renamed-from", False, "str"),
+    ("field", ":renamed-to", False, "str"),
+    ("ingestion", ":description", True, "str"),
+    ("ingestion", ":hash", False, "str"),
+    ("ingestion", ":alias", False, "str"),
+    ("ingestion", ":last-run-at", False, "str"),
+    ("ingestion", ":last-commit", False, "str"),
+    ("ingestion", ":total-ingested", False, "str"),
+    ("ingestion", ":version", False, "str"),
+)
 
 
 def schema_table(spark: SparkSession) -> DataFrame:
     """(entity_type, attribute, required, wants): a fixed, small table."""
-    rows = [(t, a.rstrip("!"), req, "bool" if a.endswith("!") else "str") for t, parts in SCHEMA.items() for req, part in zip((True, False), parts, strict=True) for a in part.split()]
-    return spark.createDataFrame(rows, "entity_type string, attribute string, required boolean, wants string")
+    return spark.createDataFrame(SCHEMA, "entity_type string, attribute string, required boolean, wants string")
 
 
 def validate(facts: DataFrame) -> DataFrame:
@@ -58,7 +106,23 @@ def audit(facts: DataFrame) -> DataFrame:
     return v.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("k")).join(per, "entity").groupBy("kind").agg(F.sum("k").alias("violations"), F.count(F.lit(1)).alias("entities"), F.sum("n").alias("facts_to_retract"))
 
 
+def subjects(facts: DataFrame) -> DataFrame:
+    """A snapshot of the fact table as (entity, entity_type, attribute, v_type, value) of entities that are audited: internal
+    type tags and idents are not subject to the schema, and neither are types kept by the system alone."""
+    kind = F.regexp_extract("e", "^:([^/]+)/", 1)
+    known = facts.sparkSession.createDataFrame([(t,) for t in sorted({r[0] for r in SCHEMA})], "entity_type string")
+    rows = facts.filter(~F.col("a").isin(":entity-type", ":ident")).select(F.col("e").alias("entity"), kind.alias("entity_type"), F.col("a").alias("attribute"), "v_type", F.col("v").alias("value"))
+    return rows.join(F.broadcast(known), "entity_type", "left_semi").select("entity", "entity_type", "attribute", "v_type", "value")
+
+
+def retractions(facts: DataFrame) -> DataFrame:
+    """(e, a, v) that a current audit retracts from a snapshot: all facts of entities with a violation."""
+    bad = validate(subjects(facts)).select(F.col("entity").alias("e")).distinct()
+    return facts.join(bad, "e", "left_semi").select("e", "a", "v")
+
+
 def violators(facts: DataFrame) -> DataFrame:
+    """The facts of ``facts`` (entity, …) whose entity violates the schema."""
     return facts.join(validate(facts).select("entity").distinct(), "entity", "left_semi")
 
 

@@ -2,8 +2,8 @@
 
 An index row is (entity, attribute, value, valid_from, valid_to). The index tokenizer folds case and
 Latin diacritics and cuts at everything but letters and digits; the query tokenizer is ASCII only.
-One-off queries score in two passes over the rows without a shuffle of text; a stored index keeps
-postings, partitioned by term, and reads only the query's terms.
+One-off queries score in two passes over the rows without a shuffle of text; a stored index
+(:mod:`factloom.sources.fact_index`) keeps postings by term and reads only the query's terms.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ BOOST, DISCOUNT, SCAN_LIMIT = 2.0, 0.5, 50
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
 
-_FOLD = {c: d[0] for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()}
+#: Letters with diacritics by their base letter, for all letters that Unicode decomposes; other marks are dropped.
+_FOLD = {c: d[0] for c in map(chr, range(0xC0, 0x20000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and unicodedata.category(d[0])[0] == "L" and all(unicodedata.category(m) == "Mn" for m in d[1:])}
 
 
 def fold(text: Column) -> Column:
-    """Latin letters without their diacritics; plain texts are passed on as they are."""
-    return F.when(text.rlike("[\u00c0-\u024f]"), F.translate(text, "".join(_FOLD), "".join(_FOLD.values()))).otherwise(text)
+    """Letters without their diacritics, whether composed or as marks of their own; plain texts are passed on as they are."""
+    folded = F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), "".join(_FOLD), "".join(_FOLD.values()))
+    return F.when(text.rlike(r"[^\x00-\x7f]"), folded).otherwise(text)
 
 
 def index_tokens(*columns: Column) -> Column:
@@ -66,10 +68,13 @@ def score(rows: DataFrame, query: str) -> DataFrame:
     return df.select(*rows.columns, (-reduce(lambda a, b: a + b, map(part, range(len(distinct))))).alias("score"))
 
 
+def is_memory_entity() -> Column:
+    return reduce(lambda a, b: a | b, [F.col("entity").startswith(p) for p in MEMORY_PREFIXES])
+
+
 def weigh(scored: DataFrame, boost: float = BOOST, discount: float = DISCOUNT) -> DataFrame:
     """Boost and discount inside the sort key."""
-    memory = reduce(lambda a, b: a | b, [F.col("entity").startswith(p) for p in MEMORY_PREFIXES])
-    weight = F.when(memory, F.lit(boost)).otherwise(1.0) * F.when(F.col("valid_to").isNotNull(), F.lit(discount)).otherwise(1.0)
+    weight = F.when(is_memory_entity(), F.lit(boost)).otherwise(1.0) * F.when(F.col("valid_to").isNotNull(), F.lit(discount)).otherwise(1.0)
     return scored.withColumn("score", F.col("score") * weight)
 
 
@@ -108,13 +113,17 @@ def format_row() -> Column:
     return F.concat(F.lit("  "), F.col("entity"), F.lit(" | "), F.col("attribute"), F.lit(" | "), F.col("value"), F.coalesce(window, F.lit("")))
 
 
-def prepare_turn(rows: DataFrame, message: str, n: int = SCAN_LIMIT) -> DataFrame:
-    """The block of best facts for a message: rank and line, best first; nothing when no token matches."""
+def numbered(best: DataFrame) -> DataFrame:
+    """Rank and line of a few best rows."""
     from pyspark.sql import Window
 
-    best = top(rows, message, n)
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("score", "entity", "attribute", "value"))  # at most n rows
     return best.select(rank.cast("long").alias("rank"), format_row().alias("line"))
 
 
+def prepare_turn(rows: DataFrame, message: str, n: int = SCAN_LIMIT) -> DataFrame:
+    """The block of best facts for a message: rank and line, best first; nothing when no token matches."""
+    return numbered(top(rows, message, n))
+
+
 __all__ = ["query_tokens", "index_tokens", "score", "weigh", "top", "postings", "dedup", "insert", "delete_current", "format_row", "prepare_turn"]

@@ -17,10 +17,27 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("e", "a", "v").exceptAll(b.select("e", "a", "v"))
 
 
-def snapshot_join(rows: DataFrame, snapshot: DataFrame, key: str) -> DataFrame:
-    """Values that a snapshot holds for the entities in ``key``."""
-    s = snapshot.select(F.col("e").alias(key), F.col("v").alias("value"))
-    return rows.join(s, key)
+#: Width of the blocks of time in which rows of :func:`asof_join` meet.
+ASOF_BLOCK_MS = 86_400_000
+
+
+def asof_join(rows: DataFrame, states: DataFrame, key: str, at: str, value: str, tie: str, block: int = ASOF_BLOCK_MS) -> DataFrame:
+    """``rows`` (key, at, …) with the value that ``states`` (key, at, value, tie) had latest at or before; null without one.
+
+    Both sides are put in order together, but only inside blocks of time: the last state of each block is handed on by a
+    window over blocks, so a key with a third of all rows is spread over its blocks.
+    """
+    struct = F.struct(F.col(at).alias("s_at"), F.col(tie).alias("s_tie"), F.col(value).alias("s_value"))
+    a = rows.select(F.col(key).alias("__key"), F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(*rows.columns).alias("__row"), F.lit(None).cast(states.select(struct).schema[0].dataType).alias("__state"))
+    b = states.select(F.col(key).alias("__key"), F.col(at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), struct.alias("__state"))
+    both = a.unionByName(b).withColumn("__block", F.floor(F.col("__at") / block))
+    last = both.groupBy("__key", "__block").agg(F.max("__state").alias("__last"))
+    over = Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.select("__key", "__block", F.max("__last").over(over).alias("__before"))
+    inside = Window.partitionBy("__key", "__block").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("__seen", F.max("__state").over(inside)).filter("__side = 1")
+    found = seen.join(before, ["__key", "__block"])
+    return found.select("__row.*", F.coalesce("__seen", "__before")["s_value"].alias(value))
 
 
 def resolve_ident(ids: DataFrame, facts: DataFrame) -> DataFrame:

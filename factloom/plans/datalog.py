@@ -42,6 +42,19 @@ AGGREGATES = ("count", "count-distinct", "sum", "min", "max")
 WINDOW = {":db/valid-from": "vf_ms", ":db/valid-to": "vt_ms"}
 #: Rounds after which what is known is written as one table.
 MOST_PARTS = 16
+#: The rules that every session has, over code edges and commits.
+BUILT_IN = (
+    "[(linked ?a ?b) [?a :depends-on ?b]]",
+    "[(linked ?a ?b) [?a :calls ?b]]",
+    "[(ancestor ?a ?b) [?a :parent ?b]]",
+    "[(ancestor ?a ?b) [?a :parent ?m] (ancestor ?m ?b)]",
+    "[(reachable ?a ?b) [?a :depends-on ?b]]",
+    "[(reachable ?a ?b) [?a :calls ?b]]",
+    "[(reachable ?a ?b) [?a :contains ?b]]",
+    "[(reachable ?a ?b) (reachable ?a ?m) [?m :depends-on ?b]]",
+    "[(reachable ?a ?b) (reachable ?a ?m) [?m :calls ?b]]",
+    "[(reachable ?a ?b) (reachable ?a ?m) [?m :contains ?b]]",
+)
 
 
 class QueryError(ValueError):
@@ -163,13 +176,20 @@ def called(clauses: list, negative: bool = False) -> list[tuple[str, bool]]:
 
 
 class Session:
-    """Facts, rules and a clock. ``attr_types`` says which attributes hold numbers (``num``)."""
+    """Facts, rules and a clock. ``attr_types`` says which attributes hold numbers (``num``).
+
+    A session begins with the rules of ``BUILT_IN``; the first rule of one of their names that a user registers
+    replaces them.
+    """
 
     def __init__(self, facts: DataFrame, now: int, attr_types: dict[str, str] | None = None, predicates: dict[str, Callable[..., Column]] | None = None):
         self.facts, self.now = facts, now
         self.attr_types = attr_types or {}
         self.predicates = predicates or {}
         self.rules: dict[str, list[Rule]] = {}
+        for text in BUILT_IN:
+            self.rule(text)
+        self.built_in = set(self.rules)
 
     @property
     def spark(self) -> SparkSession:
@@ -180,6 +200,9 @@ class Session:
     def rule(self, text: str) -> None:
         """Register a rule; several rules with one head are a union. Recursion through negation is refused."""
         r = parse_rule(text)
+        if r.name in getattr(self, "built_in", ()):
+            self.built_in.discard(r.name)
+            self.rules = {n: rs for n, rs in self.rules.items() if n != r.name}
         if any(len(x.args) != len(r.args) for x in self.rules.get(r.name, [])):
             raise QueryError(f"{r.name}: every rule of one name takes as many arguments")
         trial = {**self.rules, r.name: [*self.rules.get(r.name, []), r]}
@@ -196,19 +219,23 @@ class Session:
 
     # queries
 
-    def query(self, text: str, as_of: int | None = None, order_by: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    def query(self, text: str, as_of: int | None = None, order_by: list[str] | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
         q = parse_query(text)
         if as_of is not None:
             q.as_of = as_of
         out = self._find(q, self._where(q, q.where, Bound()))
         if order_by:
             out = out.orderBy(*order_by)
+        out = out.offset(offset) if offset else out
         return out.limit(limit) if limit is not None else out
 
-    def to_result(self, text: str, **how) -> dict:
-        """Never raises: {ok, results} or {ok, error}."""
+    def to_result(self, text: str, most: int = 100_000, **how) -> dict:
+        """Never raises: {ok, results} or {ok, error}. More than ``most`` rows are an error, not a cut: query() returns them all."""
         try:
-            return {"ok": True, "results": [list(r) for r in self.query(text, **how).collect()]}
+            rows = self.query(text, **how).limit(most + 1).collect()
+            if len(rows) > most:
+                return {"ok": False, "error": f"more than {most} results"}
+            return {"ok": True, "results": [list(r) for r in rows]}
         except (QueryError, EdnError, ValueError) as x:
             return {"ok": False, "error": str(x)}
 

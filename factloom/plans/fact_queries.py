@@ -12,21 +12,6 @@ from factloom.plans import fixtures as fx
 from factloom.plans.datalog import Session
 from factloom.plans.registry import register
 
-RULES = (
-    # fixed values: the built-in rules over code edges
-    "[(linked ?a ?b) [?a :depends-on ?b]]",
-    "[(linked ?a ?b) [?a :calls ?b]]",
-    "[(ancestor ?a ?b) [?a :parent ?b]]",
-    "[(ancestor ?a ?b) [?a :parent ?m] (ancestor ?m ?b)]",
-    "[(reachable ?a ?b) [?a :depends-on ?b]]",
-    "[(reachable ?a ?b) [?a :calls ?b]]",
-    "[(reachable ?a ?b) [?a :contains ?b]]",
-    "[(reachable ?a ?b) (reachable ?a ?m) [?m :depends-on ?b]]",
-    "[(reachable ?a ?b) (reachable ?a ?m) [?m :calls ?b]]",
-    "[(reachable ?a ?b) (reachable ?a ?m) [?m :contains ?b]]",
-)
-
-
 def session(spark: SparkSession, sf_dir: str) -> Session:
     return Session(fx.facts(spark, sf_dir), fx.NOW, fx.ATTR_TYPES)
 
@@ -153,12 +138,16 @@ register("delta_removed", *_delta(fx.NOW, fx.MID))
 
 
 def asof_snapshot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's first order, with where the customer was valid at the orders' common instant."""
-    f = fx.facts(spark, sf_dir)
-    return temporal.snapshot_join(model.snapshot(f).filter(F.col("a") == ":author").select(F.col("e").alias("commit"), F.col("v").alias("who")), model.snapshot(f, fx.MID).filter(F.col("a") == ":in-nation"), "who")
+    """Each order line's shipping instant on the scale of events, with the state its user had latest before."""
+    probe = fx.sql(spark, sf_dir, _PROBE.format(ts=fx.ms("l_shipdate", "spark")))
+    states = model.snapshot(fx.facts(spark, sf_dir)).filter(F.col("a") == ":state").select("e", F.col("vf_ms").alias("at_ms"), F.col("v").alias("value"), F.col("tx").alias("tie"))
+    return temporal.asof_join(probe, states, "e", "at_ms", "value", "tie").select("line", "e", "at_ms", "value")
 
 
-register("asof_snapshot_join", asof_snapshot_join, f"WITH {fx.facts_cte()} SELECT c.e AS commit, c.v AS who, n.v AS value FROM {at(':author', None)} c JOIN {at(':in-nation', fx.MID)} n ON c.v = n.e")
+_PROBE = f"SELECT l_orderkey * 10 + l_linenumber AS line, concat(':user/', l_partkey % 150) AS e, {fx.T0} + ({{ts}} + l_suppkey * 1000003) % {31 * fx.DAY} AS at_ms FROM lineitem"
+register("asof_snapshot_join", asof_snapshot_join, f"""WITH {fx.facts_cte()}, p AS ({_PROBE.format(ts=fx.ms('l_shipdate', 'duckdb'))}),
+s AS (SELECT e, vf_ms, arg_max(v, tx) AS v FROM {at(':state', None)} GROUP BY e, vf_ms)
+SELECT p.line, p.e, p.at_ms, s.v AS value FROM p ASOF LEFT JOIN s ON p.e = s.e AND p.at_ms >= s.vf_ms""")
 
 
 def iso_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,11 +219,13 @@ UNION ALL SELECT 'assert', n.e, n.a, n.v FROM n LEFT JOIN k ON n.e = k.e AND n.a
 # rules
 
 datalog("rule_register", "[:find ?c ?r :where (home-region ?c ?r)]", f"SELECT DISTINCT s.e AS c, n.v AS r FROM {at(':in-nation')} s JOIN {at(':in-region')} n ON s.v = n.e", ("[(home-region ?c ?r) [?c :in-nation ?n] [?n :in-region ?r]]",))
-datalog("rule_linked", "[:find ?a ?b :where (linked ?a ?b)]", f"SELECT e AS a, v AS b FROM {at(':depends-on')} UNION SELECT e, v FROM {at(':calls')}", RULES)
-datalog("rule_union", "[:find (count ?a) :where (linked ?a ?b)]", f"SELECT count(e) AS count_a FROM (SELECT e, v FROM {at(':depends-on')} UNION SELECT e, v FROM {at(':calls')})", RULES)
-datalog("rule_ancestor", "[:find ?b :any-valid-time :where (ancestor :commit/14000 ?b)]", f", r AS (SELECT v FROM {at(':parent', None)} WHERE e = ':commit/14000' UNION SELECT p.v FROM r JOIN {at(':parent', None)} p ON p.e = r.v) SELECT v AS b FROM r", RULES)
+datalog("join_attribute_variable", "[:find ?a ?x ?y :where [:module/nation-1 ?a ?x] [:module/nation-2 ?a ?y]]", f"SELECT p.a, p.v AS x, q.v AS y FROM {at()} p JOIN {at()} q ON p.a = q.a WHERE p.e = ':module/nation-1' AND q.e = ':module/nation-2'")
+datalog("order_limit_offset", "[:find ?n ?e :where [?e :size ?n]]", f"SELECT v_num AS n, e FROM {at(':size')} ORDER BY n, e LIMIT 30 OFFSET 20", order_by=["n", "e"], limit=30, offset=20)
+datalog("rule_linked", "[:find ?a ?b :where (linked ?a ?b)]", f"SELECT e AS a, v AS b FROM {at(':depends-on')} UNION SELECT e, v FROM {at(':calls')}")
+datalog("rule_union", "[:find (count ?a) :where (linked ?a ?b)]", f"SELECT count(e) AS count_a FROM (SELECT e, v FROM {at(':depends-on')} UNION SELECT e, v FROM {at(':calls')})")
+datalog("rule_ancestor", "[:find ?b :any-valid-time :where (ancestor :commit/14000 ?b)]", f", r AS (SELECT v FROM {at(':parent', None)} WHERE e = ':commit/14000' UNION SELECT p.v FROM r JOIN {at(':parent', None)} p ON p.e = r.v) SELECT v AS b FROM r")
 _EDGES = "(" + " UNION ".join(f"SELECT e, v FROM {at(a)}" for a in (":depends-on", ":calls", ":contains")) + ")"
-datalog("rule_reachable", "[:find ?b :where (reachable :module/nation-7 ?b)]", f", r AS (SELECT v FROM {_EDGES} WHERE e = ':module/nation-7' UNION SELECT p.v FROM r JOIN {_EDGES} p ON p.e = r.v) SELECT v AS b FROM r", RULES)
+datalog("rule_reachable", "[:find ?b :where (reachable :module/nation-7 ?b)]", f", r AS (SELECT v FROM {_EDGES} WHERE e = ':module/nation-7' UNION SELECT p.v FROM r JOIN {_EDGES} p ON p.e = r.v) SELECT v AS b FROM r")
 
 
 def _edges(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFrame:
@@ -254,10 +245,9 @@ SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node""")
 
 
 def rule_cycle_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = graph.closure(_edges(spark, sf_dir, ":depends-on"))
-    return c.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("src") == F.col("dst")).cast("int")).alias("in_cycle"))
+    return graph.closure(_edges(spark, sf_dir, ":depends-on"))
 
 
 register("rule_cycle_safe", rule_cycle_safe, f"""WITH RECURSIVE {fx.facts_cte()}, d AS (SELECT e, v FROM {at(':depends-on')}),
 r AS (SELECT e AS src, v AS dst FROM d UNION SELECT r.src, d.v FROM r JOIN d ON d.e = r.dst)
-SELECT src, count(*) AS n, max(CAST(src = dst AS INT)) AS in_cycle FROM r GROUP BY src""")
+SELECT src, dst FROM r""")

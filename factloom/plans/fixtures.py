@@ -6,10 +6,13 @@ their key, those of events from the order of events; see the comments by the fam
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.model import FOREVER
-from factloom.session import table
+from factloom.session import table, workspace
+from factloom.sources.store import FactStore
 
 DAY = 86_400_000
 T0 = 1_704_067_200_000  # 2024-01-01T00:00:00Z
@@ -104,11 +107,28 @@ def sql(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) -> Dat
     return spark.sql(text, **used, **frames)
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table: a union whose branches an attribute filter prunes, as it prunes partitions of a stored one."""
+_stored: dict[tuple[str, str], str] = {}
+
+
+def derived_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, "\nUNION ALL\n".join(branches("spark")))
 
 
+def store(spark: SparkSession, sf_dir: str) -> FactStore:
+    """The fact store of these tables, made once an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path = f"{workspace(spark)}/facts-{uuid.uuid4().hex}"
+        FactStore(spark, path).load(derived_facts(spark, sf_dir))
+        _stored[key] = path
+    return FactStore(spark, _stored[key])
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table, read through the store: an attribute filter prunes its partitions."""
+    return store(spark, sf_dir).facts()
+
+
 def facts_cte() -> str:
     """``facts AS (…)`` for DuckDB."""
     return "facts AS (\n" + "\nUNION ALL\n".join(branches("duckdb")) + "\n)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from factloom.operators import ingest, intervals, memory, positions, retrieval,
 from factloom.plans import fixtures as fx
 from factloom.plans.fact_queries import at
 from factloom.plans.registry import register
-from factloom.session import table
+from factloom.session import table, workspace
+from factloom.sources.fact_index import FactIndex
 
 
 def derived(name: str, sql: str, run, check: str, **dialects: str) -> None:
@@ -87,7 +90,7 @@ derived("detect_language", PATHS, lambda d: d.select("path", texts.language(F.co
 RAW = """SELECT concat(':', CASE WHEN o_orderkey % 6 = 0 THEN '160000' ELSE '100644' END, ' ', CASE WHEN o_orderkey % 4 = 0 THEN '160000' ELSE '100755' END, ' ', 'a1b2c3d ', 'd4e5f6a ', CASE WHEN o_orderkey % 5 = 0 THEN 'R087' WHEN o_orderkey % 5 = 1 THEN 'A' WHEN o_orderkey % 5 = 2 THEN 'D' ELSE 'M' END, chr(9), 'src/f', o_orderkey, '.py', CASE WHEN o_orderkey % 5 = 0 THEN concat(chr(9), 'lib/g', o_orderkey, '.py') ELSE '' END) AS line FROM orders"""
 _HEAD = "string_split(string_split(line, chr(9))[1], ' ')"
 derived("parse_raw_diff", RAW, lambda d: d.select(texts.parse_raw_diff(F.col("line")).alias("x")).select("x.*"), f"SELECT {_HEAD}[1][2:7] AS old_mode, {_HEAD}[2] AS new_mode, {_HEAD}[5][1:1] AS status, CAST(nullif({_HEAD}[5][2:4], '') AS INT) AS score, string_split(line, chr(9))[2] AS old_path, coalesce(string_split(line, chr(9))[3], string_split(line, chr(9))[2]) AS new_path FROM src")
-derived("gitlink_transitions", RAW, lambda d: d.select(texts.parse_raw_diff(F.col("line")).alias("x")).groupBy(F.coalesce(ingest.gitlink_action(F.col("x.old_mode"), F.col("x.new_mode")), F.lit("none")).alias("action")).agg(F.count(F.lit(1)).alias("n")), f"SELECT CASE WHEN {_HEAD}[1][2:7] = '160000' AND {_HEAD}[2] = '160000' THEN 'repin' WHEN {_HEAD}[2] = '160000' THEN 'open' WHEN {_HEAD}[1][2:7] = '160000' THEN 'close' ELSE 'none' END AS action, count(*) AS n FROM src GROUP BY 1")
+derived("gitlink_transitions", RAW, lambda d: d.select("line", texts.parse_raw_diff(F.col("line")).alias("x")).select("line", F.coalesce(ingest.gitlink_action(F.col("x.old_mode"), F.col("x.new_mode")), F.lit("none")).alias("action")), f"SELECT line, CASE WHEN {_HEAD}[1][2:7] = '160000' AND {_HEAD}[2] = '160000' THEN 'repin' WHEN {_HEAD}[2] = '160000' THEN 'open' WHEN {_HEAD}[1][2:7] = '160000' THEN 'close' ELSE 'none' END AS action FROM src")
 
 
 def last_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +142,7 @@ t AS (SELECT ts_ms, min(pos) AS lo, max(pos) AS hi FROM commits GROUP BY ts_ms),
 p AS (SELECT e.*, i.lo AS i_lo, i.hi AS i_hi, c.lo AS c_lo, c.hi AS c_hi FROM edges e LEFT JOIN t i ON i.ts_ms = e.vf_ms LEFT JOIN t c ON c.ts_ms = e.vt_ms)"""
 WATERMARKS = (100, 700)
 register("live_at_position", _on_edges(lambda s, e, c: positions.live_at_position(e, c, 700)), f"{_POSITIONED} SELECT src_e, dep, vf_ms, vt_ms FROM p WHERE i_hi <= 700 AND (vt_ms >= {FOREVER} OR c_lo > 700)")
-register("live_edges_at", _on_edges(lambda s, e, c: positions.live_edges_at(e, c, s.createDataFrame([(w,) for w in WATERMARKS], "w long")).groupBy("w").agg(F.count(F.lit(1)).alias("live"), F.count_distinct("src_e").alias("sources"))), f"{_POSITIONED} SELECT w, count(*) AS live, count(DISTINCT src_e) AS sources FROM p JOIN (SELECT unnest([{', '.join(map(str, WATERMARKS))}])::BIGINT AS w) ON i_lo <= w AND (vt_ms >= {FOREVER} OR c_hi IS NULL OR w < c_hi) GROUP BY w")
+register("live_edges_at", _on_edges(lambda s, e, c: positions.live_edges_at(e, c, s.createDataFrame([(w,) for w in WATERMARKS], "w long"))), f"{_POSITIONED} SELECT w, src_e, dep, vf_ms, vt_ms FROM p JOIN (SELECT unnest([{', '.join(map(str, WATERMARKS))}])::BIGINT AS w) ON i_lo <= w AND (vt_ms >= {FOREVER} OR c_hi IS NULL OR w < c_hi)")
 register("unmappable_facts", _on_edges(lambda s, e, c: positions.unmappable(e, c)), f"{_POSITIONED} SELECT count(*) FILTER (i_lo IS NULL) AS unmappable_from, count(*) FILTER (vt_ms < {FOREVER} AND c_lo IS NULL) AS unmappable_to FROM p")
 
 
@@ -295,15 +298,34 @@ def _scores(df: DataFrame) -> DataFrame:
 
 
 _BM25 = _bm25_sql(QUESTION)
-derived("bm25_score", INDEX, lambda d: _scores(retrieval.score(d, QUESTION)), f"{_BM25} SELECT entity, round(score, 6) AS score FROM scored")
-derived("bm25_boosted", INDEX, lambda d: _scores(retrieval.weigh(retrieval.score(d, QUESTION), discount=1.0)), f"{_BM25} SELECT entity, round(score, 6) AS score FROM boosted")
-derived("bm25_discount", INDEX, lambda d: _scores(retrieval.weigh(retrieval.score(d, QUESTION), boost=1.0)), f"{_BM25} SELECT entity, round(score * CASE WHEN valid_to IS NOT NULL THEN 0.5 ELSE 1.0 END, 6) AS score FROM scored")
-derived("bm25_topn", INDEX, lambda d: _scores(retrieval.top(d, QUESTION, 10)), f"{_BM25} SELECT entity, round(score, 6) AS score FROM ranked ORDER BY ranked.score, entity, attribute, value LIMIT 10")
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> FactIndex:
+    """The index of these tables, made once an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = f"{workspace(spark)}/index-{uuid.uuid4().hex}"
+        FactIndex(spark, path).rebuild(fx.sql(spark, sf_dir, INDEX))
+        _indexes[key] = path
+    return FactIndex(spark, _indexes[key])
+
+
+def indexed(name: str, run, check: str) -> None:
+    register(name, lambda spark, sf_dir: run(stored_index(spark, sf_dir)), f"WITH RECURSIVE src AS ({INDEX}){check}")
+
+
+indexed("index_rebuild", lambda i: i.rows().select("entity", "attribute", "valid_from", "valid_to", F.col("dl").cast("long").alias("tokens")), " SELECT entity, attribute, valid_from, valid_to, len(regexp_extract_all(strip_accents(lower(concat_ws(' ', entity, attribute, value))), '[\\p{L}\\p{N}]+')) AS tokens FROM (SELECT DISTINCT * FROM src)")
+indexed("bm25_score", lambda i: _scores(i.score(QUESTION, 1.0, 1.0)), f"{_BM25} SELECT entity, round(score, 6) AS score FROM scored")
+indexed("bm25_boosted", lambda i: _scores(i.score(QUESTION, discount=1.0)), f"{_BM25} SELECT entity, round(score, 6) AS score FROM boosted")
+indexed("bm25_discount", lambda i: _scores(i.score(QUESTION, boost=1.0)), f"{_BM25} SELECT entity, round(score * CASE WHEN valid_to IS NOT NULL THEN 0.5 ELSE 1.0 END, 6) AS score FROM scored")
+indexed("bm25_topn", lambda i: _scores(i.top(QUESTION, 10)), f"{_BM25} SELECT entity, round(score, 6) AS score FROM ranked ORDER BY ranked.score, entity, attribute, value LIMIT 10")
+indexed("bm25_scan_limit", lambda i: _scores(i.top(QUESTION)), f"{_BM25} SELECT entity, round(score, 6) AS score FROM ranked ORDER BY ranked.score, entity, attribute, value LIMIT 50")
 _FORMAT = "'  ' || entity || ' | ' || attribute || ' | ' || value || CASE WHEN valid_to IS NOT NULL THEN '  [was valid ' || coalesce(valid_from, 'None') || ' → ' || valid_to || ']' ELSE '' END"
-derived("prepare_turn", INDEX, lambda d: retrieval.prepare_turn(d, QUESTION, 20), f"{_BM25} SELECT row_number() OVER (ORDER BY score, entity, attribute, value) AS rank, {_FORMAT} AS line FROM (SELECT * FROM ranked ORDER BY score, entity, attribute, value LIMIT 20)")
+indexed("prepare_turn", lambda i: retrieval.numbered(i.top(QUESTION, 20)), f"{_BM25} SELECT row_number() OVER (ORDER BY score, entity, attribute, value) AS rank, {_FORMAT} AS line FROM (SELECT * FROM ranked ORDER BY score, entity, attribute, value LIMIT 20)")
 derived("format_facts", INDEX, lambda d: d.select("entity", retrieval.format_row().alias("line")), f"SELECT entity, {_FORMAT} AS line FROM src")
-derived("index_postings", INDEX, lambda d: retrieval.postings(d, "entity").groupBy("term").agg(F.count(F.lit(1)).alias("rows"), F.sum("tf").alias("occurrences")), ", w AS (SELECT entity, unnest(regexp_extract_all(strip_accents(lower(concat_ws(' ', entity, attribute, value))), '[\\p{L}\\p{N}]+')) AS term FROM src) SELECT term, count(DISTINCT entity) AS rows, count(*) AS occurrences FROM w GROUP BY term")
-derived("index_dedup", f"{INDEX} UNION ALL SELECT concat(':constraint/item-', item_id), ':description', text, CAST(NULL AS STRING), CAST(NULL AS STRING) FROM benchmark", lambda d: retrieval.dedup(d).groupBy("entity").agg(F.count(F.lit(1)).alias("n")), "SELECT entity, count(*) AS n FROM (SELECT DISTINCT * FROM src) GROUP BY entity")
+derived("index_postings", INDEX, lambda d: retrieval.postings(d, "entity").select("term", "entity", "tf"), ", w AS (SELECT entity, unnest(regexp_extract_all(strip_accents(lower(concat_ws(' ', entity, attribute, value))), '[\\p{L}\\p{N}]+')) AS term FROM src) SELECT term, entity, count(*) AS tf FROM w GROUP BY term, entity")
+derived("index_dedup", f"{INDEX} UNION ALL SELECT concat(':constraint/item-', item_id), ':description', text, CAST(NULL AS STRING), CAST(NULL AS STRING) FROM benchmark", retrieval.dedup, "SELECT DISTINCT * FROM src")
 derived("index_delete_current", INDEX, lambda d: retrieval.delete_current(d, d.filter(F.col("entity").startswith(":decision/"))).select("entity", "valid_from", "valid_to"), "SELECT entity, valid_from, valid_to FROM src WHERE NOT (valid_to IS NULL AND starts_with(entity, ':decision/'))")
 
 # memory
@@ -313,7 +335,7 @@ MEMORY = """SELECT entity, entity_type, attribute, v_type, value FROM (
  FROM (SELECT c_custkey, c_name, c_nationkey, CASE c_custkey % 6 WHEN 0 THEN 'decision' WHEN 1 THEN 'preference' WHEN 2 THEN 'module' WHEN 3 THEN 'function' WHEN 4 THEN 'widget' ELSE 'field' END AS t FROM customer)
  CROSS JOIN (SELECT ':description' AS a UNION ALL SELECT ':rationale' UNION ALL SELECT ':static'))
 WHERE NOT (attribute = ':description' AND c_custkey % 4 = 0) AND NOT (attribute = ':static' AND entity_type <> 'field' AND c_custkey % 9 <> 0) AND NOT (attribute = ':rationale' AND c_custkey % 5 = 0)"""
-_SCHEMA_SQL = ", ".join(f"('{t}', '{a.rstrip('!')}', {str(req).lower()}, '{'bool' if a.endswith('!') else 'str'}')" for t, parts in memory.SCHEMA.items() for req, part in zip((True, False), parts, strict=True) for a in part.split())
+_SCHEMA_SQL = ", ".join(f"('{t}', '{a}', {str(req).lower()}, '{wants}')" for t, a, req, wants in memory.SCHEMA)
 _VALIDATE = f""", sch(entity_type, attribute, required, wants) AS (VALUES {_SCHEMA_SQL}), et AS (SELECT DISTINCT entity, entity_type FROM src), ty AS (SELECT DISTINCT entity_type FROM sch),
 viol AS (SELECT entity, 'unknown_type' AS kind, '' AS attribute FROM et WHERE entity_type NOT IN (SELECT entity_type FROM ty)
 UNION ALL SELECT DISTINCT entity, CASE WHEN wants IS NULL THEN 'unknown_attribute' ELSE 'wrong_type' END, src.attribute FROM src LEFT JOIN sch USING (entity_type, attribute) WHERE entity_type IN (SELECT entity_type FROM ty) AND (wants IS NULL OR wants <> v_type)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_workspaces: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -34,20 +35,29 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) one is made under the
-    local temporary folder and set as the checkpoint directory.
+    Only where the session names none and the master is local (tests, one machine) one is made under the
+    local temporary folder and set as the checkpoint directory; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="factloom-shared-")
     spark.sparkContext.setCheckpointDir(made)
     return f"file://{made}"
 
 
 def workspace(spark: SparkSession) -> str:
-    """This application's folder for intermediate tables in the shared folder."""
-    return f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}"
+    """This application's folder for intermediate tables in the shared folder; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}"
+    if path not in _workspaces:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _workspaces.add(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,9 @@ LOG_COLUMNS = [c.split()[0] for c in LOG_DDL.split(", ")]
 class FactStore:
     """Facts under ``path``; every write needs a reason, appends rows and takes the next transaction number.
 
-    A reader sees the parts that the table of parts names, so half-written or superseded parts do not count.
+    A reader sees the parts that ``_parts`` names, so half-written or superseded parts do not count. Two writers
+    never share a number: it is claimed by creating a file that must not exist. Rows are rebalanced by attribute, so a
+    write has few files for each, and adaptive execution splits a large one.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -24,32 +29,47 @@ class FactStore:
 
     def _parts(self) -> list[tuple[int, str]]:
         """(transaction, folder) of the live parts: the last compaction and what follows it."""
-        try:
-            rows = self.spark.read.schema("tx long, kind string").parquet(f"{self.path}/_parts").collect()  # a row per write
-        except Exception as x:
-            if "PATH_NOT_FOUND" not in str(x):
-                raise
-            return []
-        base = max((r["tx"] for r in rows if r["kind"] == "base"), default=0)
-        return sorted((r["tx"], f"{self.path}/{r['kind']}-{r['tx']}") for r in rows if r["tx"] > base or r["kind"] == "base" and r["tx"] == base)
+        names = _names(self.spark, f"{self.path}/_parts")  # a file per write since the store was made
+        rows = [(int(tx), kind) for kind, tx in (n.split("-") for n in names if "-" in n)]
+        base = max((tx for tx, kind in rows if kind == "base"), default=0)
+        return sorted((tx, f"{self.path}/{kind}-{tx}") for tx, kind in rows if tx > base or (kind == "base" and tx == base))
 
     def facts(self) -> DataFrame:
+        """The fact table. Without a log after the last compaction it is read as it stands."""
         parts = self._parts()
         if not parts:
             return self.spark.createDataFrame([], LOG_DDL).select(*FACT_COLUMNS)
-        log = None
-        for _, p in parts:
-            part = self.spark.read.schema(LOG_DDL).parquet(p).select(*LOG_COLUMNS)
-            log = part if log is None else log.union(part)
-        return temporal.facts_from_log(log)
+        read = lambda paths: [self.spark.read.schema(LOG_DDL).parquet(p).select(*LOG_COLUMNS) for p in paths]
+        if len(parts) == 1 and parts[0][1].rsplit("/", 1)[1].startswith("base-"):
+            return read([parts[0][1]])[0].select(*FACT_COLUMNS)
+        return temporal.facts_from_log(reduce(DataFrame.union, read([p for _, p in parts])))
 
     def _append(self, rows: DataFrame, kind: str, tx: int) -> int:
-        rows.select(*LOG_COLUMNS).write.partitionBy("a").parquet(f"{self.path}/{kind}-{tx}")
-        self.spark.createDataFrame([(tx, kind)], "tx long, kind string").coalesce(1).write.mode("append").parquet(f"{self.path}/_parts")
-        return tx
+        """Write a part of its own, then claim the transaction number by making its entry, which only one writer can.
+
+        A writer that loses the number takes the next one: its rows carry the number in a column, so it writes again.
+        """
+        while True:
+            tx = max(tx, self._next())
+            numbered = rows.withColumn("tx", F.lit(tx).cast("long")) if kind == "log" else rows
+            staged = f"{self.path}/.staged-{uuid.uuid4().hex}"
+            numbered.select(*LOG_COLUMNS).hint("rebalance", "a").write.partitionBy("a").parquet(staged)
+            if _claim(self.spark, f"{self.path}/_numbers/{tx}"):
+                _rename(self.spark, staged, f"{self.path}/{kind}-{tx}")
+                _claim(self.spark, f"{self.path}/_parts/{kind}-{tx}")
+                return tx
+            _remove(self.spark, staged)
+            tx += 1
 
     def _next(self) -> int:
-        return max((tx for tx, _ in self._parts()), default=0) + 1
+        return max((int(n) for n in _names(self.spark, f"{self.path}/_numbers")), default=0) + 1
+
+    def load(self, facts: DataFrame) -> int:
+        """Take in a whole fact table with its own transactions (a migration); the store must be empty."""
+        if self._parts():
+            raise ValueError("only an empty store takes in a whole table")
+        last = facts.agg(F.greatest(F.max("tx"), F.max("tx_retracted"))).first()[0] or 0
+        return self._append(facts.withColumn("asserted", F.lit(True)), "base", last)
 
     def transact(self, batch: DataFrame, reason: str, validate: DataFrame | None = None) -> int:
         """Append the new facts of ``batch`` (e, a, v_type, v, v_num, vf_ms, vt_ms). ``validate``: facts that must
@@ -94,6 +114,38 @@ def _retracts(targets: DataFrame, tx: int) -> DataFrame:
     return rows.withColumns({"v_type": none.cast("string"), "v_num": none.cast("double"), "vf_ms": none.cast("long"), "vt_ms": none.cast("long"), "tx": F.lit(tx).cast("long"), "asserted": F.lit(False), "tx_retracted": none.cast("long")}).select(*LOG_COLUMNS)
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _claim(spark: SparkSession, path: str) -> bool:
+    """Make an empty file that must not exist yet; False if another writer has made it."""
+    fs, p = _fs(spark, path)
+    try:
+        return bool(fs.createNewFile(p))
+    except Exception as x:
+        if "already exists" in str(x):
+            return False
+        raise
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, p = _fs(spark, old)
+    if not fs.rename(p, _fs(spark, new)[1]):
+        raise RuntimeError(f"cannot put {new} in place")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def _need_reason(reason: str) -> None:
     if not reason or not reason.strip():
         raise ValueError("a write needs a reason")
