@@ -34,6 +34,19 @@ def commit_ident(commit: Column) -> Column:
     return F.concat(F.lit(":commit/"), F.substring(commit, 1, 12))
 
 
+def _flat(entity: Column) -> Column:
+    return F.replace(F.regexp_replace(entity, "^:+", ""), F.lit("/"), F.lit("-"))
+
+
+def marker_ident(entity: Column) -> Column:
+    """The companion that says an entity's introduction is provisional."""
+    return F.concat(F.lit(":lineage/"), _flat(entity))
+
+
+def candidate_ident(commit: Column, entity: Column) -> Column:
+    return F.concat(F.lit(":candidate/"), F.substring(commit, 1, 12), F.lit("-"), _flat(entity))
+
+
 def keyword_uuid(keyword: Column) -> Column:
     """uuid5 in the OID namespace: sha1 of the namespace's bytes and the keyword, with version and variant set."""
     h = F.sha1(F.concat(F.unhex(F.lit("6ba7b8129dad11d180b400c04fd430c8")), keyword.cast("binary")))

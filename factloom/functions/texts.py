@@ -132,3 +132,54 @@ def parse_raw_diff(line: Column) -> Column:
     status = head[4]
     score = F.regexp_extract(status, r"\d+", 0)
     return F.struct(F.substring(head[0], 2, 6).alias("old_mode"), head[1].alias("new_mode"), F.substring(status, 1, 1).alias("status"), F.when(score != "", score.cast("int")).alias("score"), parts[1].alias("old_path"), F.coalesce(F.get(parts, F.lit(2)), parts[1]).alias("new_path"))
+
+
+#: Language -> pattern of an import and what is kept of its name (``first`` dotted part, ``last`` part of a
+#: path, the path's ``stem``, or the ``whole``).
+IMPORTS = {
+    "python": (r"(?m)^[ \t]*(?:import|from)[ \t]+([.\w]+)", "whole"),
+    "javascript": (r"""(?m)(?:\bfrom[ \t]*|\brequire[ \t]*\([ \t]*|^[ \t]*import[ \t]*)['"]([^'"\n]+)['"]""", "whole"),
+    "typescript": (r"""(?m)(?:\bfrom[ \t]*|\brequire[ \t]*\([ \t]*|^[ \t]*import[ \t]*)['"]([^'"\n]+)['"]""", "whole"),
+    "tsx": (r"""(?m)(?:\bfrom[ \t]*|\brequire[ \t]*\([ \t]*|^[ \t]*import[ \t]*)['"]([^'"\n]+)['"]""", "whole"),
+    "rust": (r"(?m)^[ \t]*(?:pub[ \t]+)?use[ \t]+(?:(?:crate|self|super)::)*(\w+)", "whole"),
+    "go": (r'(?m)^[ \t]*(?:import[ \t]+)?(?:[\w.]+[ \t]+)?"([^"\n]+)"[ \t]*$', "last"),
+    "java": (r"(?m)^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.]+)", "first"),
+    "kotlin": (r"(?m)^[ \t]*import[ \t]+([\w.]+)", "first"),
+    "scala": (r"(?m)^[ \t]*import[ \t]+([\w.]+)", "first"),
+    "haskell": (r"(?m)^[ \t]*import[ \t]+(?:qualified[ \t]+)?([\w.]+)", "first"),
+    "swift": (r"(?m)^[ \t]*import[ \t]+(\w+)", "whole"),
+    "c_sharp": (r"(?m)^[ \t]*using[ \t]+(?:static[ \t]+)?([\w.]+)[ \t]*;", "first"),
+    "c": (r'(?m)^[ \t]*#[ \t]*include[ \t]*[<"]([^>"\n]+)[>"]', "stem"),
+    "cpp": (r'(?m)^[ \t]*#[ \t]*include[ \t]*[<"]([^>"\n]+)[>"]', "stem"),
+    "ruby": (r"""(?m)^[ \t]*require(?:_relative)?[ \t(]+['"]([^'"\n]+)['"]""", "stem"),
+    "php": (r"""(?m)\b(?:include|require)(?:_once)?[ \t(]+['"]([^'"\n]+)['"]""", "stem"),
+    "lua": (r"""(?m)\brequire[ \t(]+['"]([^'"\n]+)['"]""", "whole"),
+    "elixir": (r"(?m)^[ \t]*(?:alias|import|use)[ \t]+([\w.]+)", "first"),
+}
+
+
+def imports_of(lang: Column, source: Column) -> Column:
+    """The distinct names that a source imports, by its language's line patterns; no grammar and no user function."""
+    keep = {
+        "whole": lambda x: x,
+        "first": lambda x: F.split(x, "[.]")[0],
+        "last": lambda x: F.element_at(F.split(x, "/"), -1),
+        "stem": lambda x: F.regexp_replace(F.element_at(F.split(x, "/"), -1), r"\.[^.]*$", ""),
+    }
+    out = F.array().cast("array<string>")
+    for name, (pattern, part) in IMPORTS.items():
+        out = F.when(lang == name, F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)), keep[part])).otherwise(out)
+    return F.array_sort(F.array_distinct(out))
+
+
+def string_triples(rows: DataFrame, text_col: str) -> DataFrame:
+    """(entity, entity_type, attribute, value) of the quoted triples of a block: what validation judges. Keyword values are left out."""
+    pick = lambda k: F.regexp_extract_all(F.col(text_col), F.lit(r'\[(\S+)\s+(\S+)\s+"([^"]+)"\]'), F.lit(k))
+    t = rows.select(F.explode(F.arrays_zip(pick(1).alias("e"), pick(2).alias("a"), pick(3).alias("v"))).alias("t"))
+    kind = F.when(F.col("t.e").contains("/"), F.regexp_replace(F.split("t.e", "/")[0], "^:+", "")).otherwise("")
+    return t.select(F.col("t.e").alias("entity"), kind.alias("entity_type"), F.col("t.a").alias("attribute"), F.col("t.v").alias("value"))
+
+
+def cut(text: Column, most: int) -> Column:
+    """The first ``most`` characters: 120 for descriptions, 200 for subjects."""
+    return F.substring(text, 1, most)

@@ -79,7 +79,7 @@ def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, most_depth:
         for _ in range(HOPS):
             found = least(found.union(bounded(follow(found, step, 1))))
         for k, table in enumerate(far, 1):
-            found = least(found.union(bounded(follow(found, table, 1 << k))))
+            found = materialize(least(found.union(bounded(follow(found, table, 1 << k)))), "reach")  # long plans cost more than small jobs
         both = known.withColumn("was", F.col("depth")).unionByName(found.withColumn("was", F.lit(None).cast("int")))
         merged = materialize(both.groupBy("seed", "node").agg(F.min("depth").alias("depth"), F.min("was").alias("was")), "reach")
         known, fresh = merged.drop("was"), merged.filter("was IS NULL OR depth < was").drop("was")

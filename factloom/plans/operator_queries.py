@@ -258,9 +258,9 @@ _LINEAGE = f"WITH {_TOUCH}, {_LIVE}, {_MARK}"
 register("provisional_entities", _lineage(lambda t, l, m: t.select("e").distinct().join(m, "e", "left_semi")), f"{_LINEAGE} SELECT DISTINCT e FROM touches WHERE e IN (SELECT e FROM markers)")
 register("lineage_trusted", _lineage(lambda t, l, m: ingest.lineage_trusted(ingest.introduced_by(t), m, 300)), f"{_LINEAGE} SELECT e, arg_min(commit, pos) AS introduced_by, min(pos) AS pos FROM touches WHERE e NOT IN (SELECT e FROM markers) GROUP BY e HAVING min(pos) <= 300")
 register("ambiguous_introduced_by", _lineage(lambda t, l, m: l.groupBy("e").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), f"{_LINEAGE} SELECT e, count(*) AS n FROM live GROUP BY e HAVING count(*) > 1")
-register("correction_sweep", _lineage(lambda t, l, m: ingest.sweep_actions(t, l, m).groupBy("action").agg(F.count(F.lit(1)).alias("n"))), f"""{_LINEAGE}, v AS (SELECT e, count(*) AS n, min(v) AS sole FROM live GROUP BY e)
-SELECT CASE WHEN t.e IN (SELECT e FROM markers) AND n = 1 AND sole = commit THEN 'confirm' WHEN t.e IN (SELECT e FROM markers) THEN 'skip_provisional' WHEN coalesce(n, 0) <> 1 THEN 'skip_ambiguous' WHEN sole = commit THEN 'skip_own'
- WHEN NOT body_changed AND has_modified THEN 'retract_modified' WHEN body_changed AND NOT has_modified THEN 'assert_modified' ELSE 'keep' END AS action, count(*) AS n FROM touches t LEFT JOIN v USING (e) GROUP BY 1""")
+register("correction_sweep", _lineage(ingest.sweep_actions), f"""{_LINEAGE}, v AS (SELECT e, count(*) AS n, min(v) AS sole FROM live GROUP BY e)
+SELECT t.e, t.commit, CASE WHEN t.e IN (SELECT e FROM markers) AND n = 1 AND sole = commit THEN 'confirm' WHEN t.e IN (SELECT e FROM markers) THEN 'skip_provisional' WHEN coalesce(n, 0) <> 1 THEN 'skip_ambiguous' WHEN sole = commit THEN 'skip_own'
+ WHEN NOT body_changed AND has_modified THEN 'retract_modified' WHEN body_changed AND NOT has_modified THEN 'assert_modified' ELSE 'keep' END AS action FROM touches t LEFT JOIN v USING (e)""")
 
 
 def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:

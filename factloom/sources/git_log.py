@@ -10,15 +10,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from factloom.session import ship_package
+
 COMMITS = "pos long, hash string, ts_iso string, author string, subject string, parents array<string>"
 CHANGES = "pos long, hash string, line string"
+BLOBS = "pos long, hash string, status string, old_path string, path string, mode string, source string"
+TAGS = "name string, hash string, date string"
+_SCHEMAS = {"commits": COMMITS, "changes": CHANGES, "blobs": BLOBS, "tags": TAGS}
 _SEP = "\x1f"
 
 
-def linearization(repo: str) -> list[str]:
+def _git(repo: str, *args: str, text: str | None = None) -> str:
+    return subprocess.run(["git", "-C", repo, *args], input=text, capture_output=True, text=True, check=True).stdout
+
+
+def default_branch(repo: str) -> str:
+    """``main`` or ``master`` if there is one, else what is checked out."""
+    names = _git(repo, "for-each-ref", "--format=%(refname:short)", "refs/heads").split()
+    return next((b for b in ("main", "master") if b in names), "HEAD")
+
+
+def linearization(repo: str, branch: str = "HEAD") -> list[str]:
     """Commit hashes, parents before children whatever their dates."""
-    done = subprocess.run(["git", "-C", repo, "rev-list", "--topo-order", "--reverse", "HEAD"], capture_output=True, text=True, check=True)
-    return done.stdout.split()
+    return _git(repo, "rev-list", "--topo-order", "--reverse", branch).split()
+
+
+def _raw(repo: str, commit: str) -> list[str]:
+    return _git(repo, "diff-tree", "--root", "-r", "-M", "--raw", "--no-abbrev", "--no-commit-id", "-m", "--first-parent", commit).splitlines()
+
+
+def _contents(repo: str, blobs: list[str]) -> dict[str, str | None]:
+    """Texts of blobs by hash from one ``cat-file`` process; None for what is no UTF-8 text."""
+    done = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input="\n".join(blobs).encode(), capture_output=True, check=True).stdout
+    out, at = {}, 0
+    for b in blobs:
+        head, at = done[at : done.index(b"\n", at)].split(), done.index(b"\n", at) + 1
+        if head[-1] == b"missing":
+            out[b] = None
+            continue
+        raw, at = done[at : at + int(head[2])], at + int(head[2]) + 1
+        try:
+            out[b] = raw.decode()
+        except UnicodeDecodeError:
+            out[b] = None
+    return out
 
 
 class _Range(InputPartition):
@@ -28,44 +63,64 @@ class _Range(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.repo, self.what = options["path"], options.get("what", "commits")
+        self.repo, self.what, self.branch = options["path"], options.get("what", "commits"), options.get("branch", "HEAD")
         self.step = int(options.get("commitsperpartition", "500"))
 
     def partitions(self) -> list[_Range]:
-        order = linearization(self.repo)
+        order = linearization(self.repo, self.branch) if self.what != "tags" else [""]
         return [_Range(i, order[i : i + self.step]) for i in range(0, len(order), self.step)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        if self.what == "changes":
-            for pos, commit in enumerate(partition.hashes, partition.lo):
-                done = subprocess.run(["git", "-C", self.repo, "diff-tree", "--root", "-r", "-M", "--raw", "--no-commit-id", "-m", "--first-parent", commit], capture_output=True, text=True, check=True)
-                for line in done.stdout.splitlines():
-                    yield pos, commit, line
-            return
-        done = subprocess.run(["git", "-C", self.repo, "log", "--no-walk=unsorted", "--stdin", f"--format=%H{_SEP}%cI{_SEP}%an{_SEP}%s{_SEP}%P"], input="\n".join(partition.hashes), capture_output=True, text=True, check=True)
-        for pos, line in enumerate(done.stdout.splitlines(), partition.lo):
+        yield from {"commits": self._commits, "changes": self._changes, "blobs": self._blobs, "tags": self._tags}[self.what](partition)
+
+    def _changes(self, partition: _Range) -> Iterator[tuple]:
+        for pos, commit in enumerate(partition.hashes, partition.lo):
+            for line in _raw(self.repo, commit):
+                yield pos, commit, line
+
+    def _blobs(self, partition: _Range) -> Iterator[tuple]:
+        """Changed files with their new text; a commit's blobs are read at once."""
+        for pos, commit in enumerate(partition.hashes, partition.lo):
+            found = []
+            for line in _raw(self.repo, commit):
+                head, *paths = line.split("\t")
+                _, mode, _, new, status = head[1:].split(" ")
+                found.append((status[0], paths[0], paths[-1], mode, new))
+            texts = _contents(self.repo, [new for status, _, _, mode, new in found if status != "D" and mode != "160000"])
+            for status, old, path, mode, new in found:
+                yield pos, commit, status, old, path, mode, texts.get(new)
+
+    def _tags(self, partition: _Range) -> Iterator[tuple]:
+        for line in _git(self.repo, "for-each-ref", f"--format=%(refname:short){_SEP}%(*objectname){_SEP}%(objectname){_SEP}%(creatordate:iso-strict)", "refs/tags").splitlines():
+            name, peeled, own, date = line.split(_SEP)
+            yield name, peeled or own, date or None
+
+    def _commits(self, partition: _Range) -> Iterator[tuple]:
+        lines = _git(self.repo, "log", "--no-walk=unsorted", "--stdin", f"--format=%H{_SEP}%cI{_SEP}%ae{_SEP}%s{_SEP}%P", text="\n".join(partition.hashes)).splitlines()
+        for pos, line in enumerate(lines, partition.lo):
             commit, ts, author, subject, parents = line.split(_SEP)
             yield pos, commit, ts, author, subject[:200], parents.split()
 
 
 class GitLogSource(DataSource):
-    """``spark.read.format("git_log").option("what", "commits" or "changes").load(repo)``; the repository must be
-    reachable under that path on every executor. Partitions are ranges of the linearization."""
+    """``spark.read.format("git_log").option("what", …).load(repo)`` of commits, changes, blobs or tags; the repository
+    must be reachable under that path on every executor. Partitions are ranges of the linearization of ``branch``."""
 
     @classmethod
     def name(cls) -> str:
         return "git_log"
 
     def schema(self) -> str:
-        return CHANGES if self.options.get("what") == "changes" else COMMITS
+        return _SCHEMAS[self.options.get("what", "commits")]
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options)
 
 
-def read(spark: SparkSession, repo: str, what: str = "commits") -> DataFrame:
+def read(spark: SparkSession, repo: str, what: str = "commits", branch: str = "HEAD") -> DataFrame:
+    ship_package(spark)
     spark.dataSource.register(GitLogSource)
-    return spark.read.format("git_log").option("what", what).load(repo)
+    return spark.read.format("git_log").option("what", what).option("branch", branch).load(repo)
 
 
 def submodules(text: str) -> dict[str, dict[str, str]]:

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TRACE = "pos long, idents_considered long, apply_s double, await_s double, ckpt_d_count long, ckpt_d_seconds double"
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
-    """Ingestion trace records, one JSON object a line; lines that are none are left out."""
-    return spark.read.schema(TRACE).option("mode", "DROPMALFORMED").json(path)
+    """Ingestion trace records, one JSON object a line, with ``broken``: the line itself where it is none, else null."""
+    return parse_trace(spark.read.text(path), "value")
+
+
+def parse_trace(lines: DataFrame, text_col: str) -> DataFrame:
+    x = F.from_json(F.col(text_col), f"{TRACE}, broken string", {"columnNameOfCorruptRecord": "broken"})
+    return lines.select(x.alias("x")).select("x.*")
 
 
 def write_json(df: DataFrame, path: str) -> None:

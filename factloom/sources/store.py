@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factloom.model import FACT_COLUMNS, FOREVER, MAX_VALUE_CHARS
 from factloom.operators import memory, temporal
 from factloom.plans.datalog import Session
+from factloom.session import materialize
 
 LOG_DDL = "e string, v_type string, v string, v_num double, vf_ms long, vt_ms long, tx long, asserted boolean, tx_retracted long, a string"
 LOG_COLUMNS = [c.split()[0] for c in LOG_DDL.split(", ")]
@@ -95,6 +96,29 @@ class FactStore:
         bounded = live.join(targets.select("e", "a", "v").distinct(), ["e", "a", "v"], "left_semi").withColumn("vt_ms", F.lit(at_ms).cast("long"))
         return self._append(_retracts(targets, tx).unionByName(_asserts(bounded, tx)), "log", tx)
 
+    def close_entities(self, ends: DataFrame, attributes: tuple[str, ...], reason: str) -> int | None:
+        """``ends`` (e, at_ms): end the open facts of these entities in these attributes, and the edges that lead to them."""
+        _need_reason(reason)
+        live = self.facts().filter(F.col("tx_retracted").isNull() & (F.col("vt_ms") == FOREVER) & F.col("a").isin(*attributes))
+        own = live.join(ends, "e")
+        to = live.filter("v_type = 'ref'").join(ends.select(F.col("e").alias("v"), "at_ms"), "v")
+        ended = own.unionByName(to).groupBy("e", "a", "v").agg(F.min("at_ms").alias("at_ms"))
+        bounded = materialize(live.join(ended, ["e", "a", "v"]).withColumn("vt_ms", F.greatest("at_ms", "vf_ms")), "ended")
+        if not bounded.take(1):
+            return None
+        tx = self._next()
+        return self._append(_retracts(bounded, tx).unionByName(_asserts(bounded, tx)), "log", tx)
+
+    def upsert(self, new: DataFrame, at_ms: int, reason: str) -> int | None:
+        """Bring single-valued attributes to ``new`` (e, a, v_type, v, v_num); what has not changed is not written."""
+        _need_reason(reason)
+        tx = self._next()
+        ops = materialize(temporal.upsert_if_changed(self.facts(), new, at_ms, tx), "upsert")
+        if not ops.take(1):
+            return None
+        come = ops.filter("op = 'assert'").withColumns({"vf_ms": F.lit(at_ms).cast("long"), "vt_ms": F.lit(FOREVER)})
+        return self._append(_retracts(ops.filter("op = 'retract'"), tx).unionByName(_asserts(come, tx)), "log", tx)
+
     def compact(self) -> int:
         """Fold the log into one part; what was superseded stays readable for those who hold it."""
         tx = self._next()
