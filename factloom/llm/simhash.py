@@ -123,7 +123,9 @@ def tiles(nodes: DataFrame, pack: Callable[[dict[str, np.ndarray]], tuple[np.nda
     fp = F.col("fp")
     keys = [F.bit_count(fp).alias("k0"), *[F.bit_count(fp.bitwiseAND(m)).alias(f"k{i}") for i, m in enumerate((0xFFFFFFFF, 0xFFFF, 0xFFFF00000000), 1)]]
     n = nodes.count()
-    ranged = nodes.select(*names, *keys).repartitionByRange(max(1, -(-n // CHUNK)), "k0", "k1", "k2", "k3", "fp")
+    parts = max(1, -(-n // CHUNK))
+    # coalesced, so that tiles are of that size even where a session raises the number of partitions
+    ranged = nodes.select(*names, *keys).repartitionByRange(parts, "k0", "k1", "k2", "k3", "fp").coalesce(parts)
     ranged = ranged.sortWithinPartitions("k0", "k1", "k2", "k3", "fp").select(*names)
     chunk = CHUNK
 
