@@ -3,6 +3,11 @@
 Each stage takes what its predecessor kept, written as Parquet and read again, and its decisions take
 effect: rejected documents and copies are gone, the mix repeats or leaves out documents, and the last
 stage returns a row for each packed piece. All stages but the last return the columns of ``documents``.
+
+Defined results: a null, empty or blank text fails the quality rules; very long texts are read whole by every stage; a
+null id is an id like another that never wins against a real one; of repeated rows and copies one row stays, and ties
+go by the hash of the row; an empty table gives an empty result; further columns pass through to the last stage, whatever
+their names, and change nothing.
 """
 
 from __future__ import annotations
