@@ -51,7 +51,8 @@ def test_tags_and_submodules(spark):
 def test_reports(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"pos": 1, "apply_s": 0.5, "ckpt_d_count": 2}\nnot json\n')
     t = reports.read_trace(spark, str(tmp_path / "t.jsonl"))
-    assert [(r["pos"], r["apply_s"]) for r in t.collect()] == [(1, 0.5)]
+    assert [(r["pos"], r["apply_s"], r["broken"]) for r in t.collect()] == [(1, 0.5, None), (None, None, "not json")]
+    t = t.filter("broken IS NULL")
     assert reports.markdown(t.select("pos", "apply_s"), "T") == "## T\n\n| pos | apply_s |\n| --- | --- |\n| 1 | 0.5 |\n"
     reports.write_json(t, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1
