@@ -511,7 +511,8 @@ def survivors(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str
     left = materialize(remaining(materialize(joined.select("node", "fp", "fp2", "root"), "joined")), "remaining")
     roots = components.components(first.union(verified(left, texts(left), k, similarity)))
     grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("who").alias("who"))
-    keep = grouped.select(F.col("who.id").alias("keep_id"), F.col("who.tie").alias("keep_tie"))
-    own = docs.select(packed_row(docs).alias("row"), column(docs, id_col).alias("id"), tie.alias("tie"))
-    stay = own.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("tie") == F.col("keep_tie")))
-    return stay.groupBy("id", "tie").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    keep = grouped.select(F.col("who").alias("kept"))
+    own = docs.select(packed_row(docs).alias("row"), who.alias("who"))
+    # one struct is the key of join and grouping, so whole rows are shuffled once; nulls inside a struct are equal
+    stay = own.join(keep, own["who"] == keep["kept"])
+    return stay.groupBy("kept").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
