@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat_format, exact_dedup, langid, license_scan, mixing, packing, quality_model, quality_rules, simhash, token_output, tokens
-from factloom.llm.common import held_out
+from factloom.llm import chat_format, exact_dedup, langid, license_scan, mixing, packing, periodic, pii, quality_model, quality_rules, simhash, token_output, tokens, whitening
+from factloom.llm.common import held_out, words
 from factloom.llm.license_texts import TEMPLATES
 from factloom.session import table
 
@@ -67,6 +67,28 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(turns.unionByName(extra)))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, chosen by the id's crc32, the words from one on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    w = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words(F.col("text"))).alias("w"))
+    w = w.withColumn("n", F.coalesce(F.size("w"), F.lit(0))).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    w = w.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))), " ")
+    return w.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.scan(planted(table(spark, sf_dir, "documents")), min_exp=4, min_len=6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -79,6 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_chat_format": op10_chat_format,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_pii": op12_pii,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
