@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from factloom.session import discard, materialize, ship_package
 
-#: git's mode of a gitlink; shortest body that a rename is matched on.
-GITLINK, MIN_BODY = "160000", 20
+#: git's mode of a gitlink; shortest body that a rename is matched on, and rounds of matching.
+GITLINK, MIN_BODY, MOST_ROUNDS = "160000", 20, 10
 
 
 def introduced_by(touches: DataFrame) -> DataFrame:
@@ -68,6 +68,43 @@ def rename_match(bodies: DataFrame) -> DataFrame:
     return g.filter("r = 1 AND a = 1").select("commit", "renamed_from", "renamed_to")
 
 
+def rename_rounds(bodies: DataFrame, names: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
+    """(commit, renamed_from, renamed_to) of entities that a commit takes away under one name and brings under another.
+
+    ``bodies`` (commit, pos, side ``removed``/``added``, e, entity_type, name, tokens); ``names`` (name, first_pos) of all entities,
+    with the position from which on each is known. An identifier that names a known entity must stay, or become
+    what a rename confirmed in an earlier round made of it; others may change one to one. An entity's own name is free.
+    A round matches what is each other's only partner of its type; the next sees the names so found.
+    """
+    own = F.transform("tokens", lambda t: F.when(t == F.col("name"), F.lit("\x01")).otherwise(t))
+    b = bodies.filter(F.length(F.array_join("tokens", " ")) >= MIN_BODY).withColumn("tokens", own).withColumn("id", F.struct("commit", "side", "e"))
+    used = b.select("id", "pos", F.explode(F.array_distinct("tokens")).alias("name")).join(names.select("name", "first_pos"), "name").filter("first_pos <= pos")
+    tracked = used.groupBy("id").agg(F.collect_set("name").alias("tracked"))
+    left = materialize(b.join(tracked, "id", "left").select("commit", "side", "e", "entity_type", "name", "tokens", F.coalesce("tracked", F.array().cast("array<string>")).alias("tracked")), "bodies")
+    found = None
+    for _ in range(most):
+        now = left
+        if found is not None:
+            one = found.groupBy("commit", "old").agg(F.count_distinct("new").alias("n"), F.min("new").alias("new")).filter("n = 1")
+            maps = one.groupBy("commit").agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("to"))
+            moved = lambda c: F.transform(c, lambda t: F.coalesce(F.try_element_at("to", t), t))
+            gone = F.col("side") == "removed"
+            now = left.join(maps, "commit", "left").withColumn("to", F.coalesce("to", F.create_map().cast("map<string,string>")))
+            now = now.withColumns({"tokens": F.when(gone, moved("tokens")).otherwise(F.col("tokens")), "tracked": F.when(gone, moved("tracked")).otherwise(F.col("tracked"))})
+        form = now.withColumn("form", normalized(F.col("tokens"), F.col("tracked")))
+        side = lambda s: F.when(F.col("side") == s, F.struct("e", "name"))
+        g = form.groupBy("commit", "entity_type", "form").agg(F.count(side("removed")).alias("r"), F.count(side("added")).alias("a"), F.max(side("removed")).alias("x"), F.max(side("added")).alias("y"))
+        new = materialize(g.filter("r = 1 AND a = 1").select("commit", F.col("x.e").alias("renamed_from"), F.col("y.e").alias("renamed_to"), F.col("x.name").alias("old"), F.col("y.name").alias("new")), "renames")
+        if not new.take(1):
+            break
+        found = new if found is None else found.unionByName(new)
+        taken = new.select("commit", F.explode(F.array("renamed_from", "renamed_to")).alias("e"))
+        left = materialize(left.join(taken, ["commit", "e"], "left_anti"), "bodies")
+    if found is None:
+        return bodies.select("commit", F.col("e").alias("renamed_from"), F.col("e").alias("renamed_to")).limit(0)
+    return found.select("commit", "renamed_from", "renamed_to")
+
+
 def chain_ends(steps: DataFrame) -> DataFrame:
     """``steps``: (src, dst), at most one a source. (src, last, hops) by pointer doubling: log rounds of a chain's length."""
     at = materialize(steps.select("src", F.col("dst").alias("last"), F.lit(1).cast("long").alias("hops")), "chain")
@@ -125,28 +162,35 @@ def interleave(total: DataFrame, key: str, forward: int, reverse: int) -> DataFr
     return steps.select(key, "step", F.when(fwd, "forward").otherwise("reverse").alias("stream"), F.when(fwd, ahead).otherwise(F.col("total_positions") - 1 - (F.col("step") - ahead)).alias("pos"))
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """``imports``: (importing_file, name); ``files``: (path). Adds ``path`` of the module, null if external.
+def _suffixes(c: Column) -> Column:
+    parts = F.split(c, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
+def import_index(files: DataFrame) -> DataFrame:
+    """``files`` (path, …): (key, exact, rank, path, …) of every name under which an import may find a file.
 
-    Relative names resolve against the importing file; others try source roots, ``*/name/mod.rs``, a file
-    whose path without extension ends in the name's segments, then a directory that does. Every file is
-    known under all suffixes of its path, so each try is an equi-join; ties go to the first path in order.
+    Relative names meet whole stems (``exact`` 0). Others meet, by rank: source roots, ``*/name/mod.rs``, a path without
+    extension that ends in the name's segments, then a directory that does.
     """
     stem = F.regexp_replace("path", r"\.[^./]+$", "")
     parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    suffixes = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda i: F.array_join(F.slice(F.split(c, "/"), i, F.size(F.split(c, "/"))), "/"))
-    known = [
-        files.select(stem.alias("key"), F.lit(0).alias("rank"), "path"),
-        files.filter(F.col("path").rlike(r"\.rs$")).select(F.explode(F.array(*[F.when(F.col("path").rlike(f"^{r}[^/]+\\.rs$"), F.regexp_extract("path", f"^{r}([^/]+)\\.rs$", 1)) for r in ("src/", "lib/", "")])).alias("key"), F.lit(1).alias("rank"), "path").filter("key IS NOT NULL"),
-        files.filter(F.col("path").rlike(r"/mod\.rs$")).select(F.regexp_extract("path", r"([^/]+)/mod\.rs$", 1).alias("key"), F.lit(2).alias("rank"), "path"),
-        files.select(F.explode(suffixes(stem)).alias("key"), F.lit(3).alias("rank"), "path"),
-        files.filter(parent != "").select(F.explode(suffixes(parent)).alias("key"), F.lit(4).alias("rank"), "path"),
-    ]
-    index = known[0]
-    for k in known[1:]:
-        index = index.union(k)
-    index = index.groupBy("key", F.when(F.col("rank") == 0, 0).otherwise(1).alias("exact")).agg(F.min(F.struct("rank", "path")).alias("best"))
+    roots = F.array_compact(F.array(*[F.when(F.col("path").rlike(f"^{r}[^/]+\\.rs$"), F.regexp_extract("path", f"^{r}([^/]+)\\.rs$", 1)) for r in ("src/", "lib/", "")]))
+    none = F.array().cast("array<string>")
+    named = lambda keys, rank, ok=None: F.transform(keys if ok is None else F.when(ok, keys).otherwise(none), lambda k: F.struct(k.alias("key"), F.lit(rank).alias("rank")))
+    keys = F.concat(
+        named(F.array(stem), 0),
+        named(roots, 1),
+        named(F.array(F.regexp_extract("path", r"([^/]+)/mod\.rs$", 1)), 2, F.col("path").rlike(r"/mod\.rs$")),
+        named(_suffixes(stem), 3),
+        named(_suffixes(parent), 4, parent != ""),
+    )
+    rows = files.select(*files.columns, F.explode(keys).alias("k"))
+    return rows.select("k.key", F.when(F.col("k.rank") == 0, 0).otherwise(1).alias("exact"), "k.rank", *files.columns)
+
 
+def import_keys(imports: DataFrame) -> DataFrame:
+    """``imports`` (importing_file, name, …) with the ``key`` and kind of look-up (``exact``) of each."""
     own_dir = F.regexp_extract("importing_file", "^(.*)/[^/]*$", 1)
     dots = F.length(F.regexp_extract("name", r"^\.+", 0))
     slash = F.col("name").rlike(r"^\.\.?/")
@@ -156,10 +200,36 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     relative = F.col("name").startswith(".")
     target = F.array_join(F.filter(F.array(base, rest), lambda x: x != ""), "/")
     plain = F.when(F.col("name").contains("/"), F.col("name")).otherwise(F.replace(F.col("name"), F.lit("."), F.lit("/")))
-    wanted = imports.select("importing_file", "name", F.when(relative, target).otherwise(plain).alias("key"), F.when(relative, 0).otherwise(1).alias("exact"))
+    return imports.select(*imports.columns, F.when(relative, target).otherwise(plain).alias("key"), F.when(relative, 0).otherwise(1).alias("exact"))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """``imports``: (importing_file, name); ``files``: (path). Adds ``path`` of the module, null if external.
+
+    Every file is known under all suffixes of its path, so each try is an equi-join; ties go to the first path in order.
+    """
+    index = import_index(files.select("path")).groupBy("key", "exact").agg(F.min(F.struct("rank", "path")).alias("best"))
+    wanted = import_keys(imports.select("importing_file", "name"))
     return wanted.join(index, ["key", "exact"], "left").select("importing_file", "name", F.col("best.path").alias("path"))
 
 
+def resolve_imports_at(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """``imports``: (importing_file, name, pos); ``files``: (path, lo, hi), there from position ``lo`` below ``hi`` (null: to the end).
+
+    As :func:`resolve_imports`, among the files that are there at the import's position. Of the files of a key that stay
+    for good only those count that are better than all that came before: a key that a third of all files answer to, such as
+    the name of a usual index file, keeps few.
+    """
+    index = import_index(files.select("path", "lo", "hi")).withColumn("best", F.struct("rank", "path"))
+    stays = index.filter("hi IS NULL").groupBy("key", "exact", "lo").agg(F.min("best").alias("best"))
+    line = Window.partitionBy("key", "exact").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    stays = stays.withColumn("before", F.min("best").over(line)).filter("before IS NULL OR best < before").select("key", "exact", "lo", F.lit(None).cast("long").alias("hi"), "best")
+    index = stays.unionByName(index.filter("hi IS NOT NULL").select("key", "exact", "lo", "hi", "best"))
+    wanted = import_keys(imports.select("importing_file", "name", "pos").distinct())
+    there = F.when((F.col("lo") <= F.col("pos")) & (F.col("hi").isNull() | (F.col("pos") < F.col("hi"))), F.col("best"))
+    return wanted.join(index, ["key", "exact"], "left").groupBy("importing_file", "name", "pos").agg(F.min(there).alias("best")).select("importing_file", "name", "pos", F.col("best.path").alias("path"))
+
+
 def unpivot(rows: DataFrame, entity: Column, attributes: dict[str, Column]) -> DataFrame:
     """Wide rows to (e, a, v); null values give no fact."""
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), c.cast("string").alias("v")) for a, c in attributes.items()])

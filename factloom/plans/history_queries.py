@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import idents, texts
-from factloom.operators import history
+from factloom.model import FOREVER
+from factloom.operators import history, versions
+from factloom.plans import fixtures as fx
 from factloom.plans.operator_queries import TOUCHES, derived
+from factloom.plans.registry import register
+from factloom.session import materialize
 
 derived("marker_idents", "SELECT concat(':function/part-', p_partkey) AS e, concat('abcdef0123456789', p_partkey) AS hash FROM part", lambda d: d.select("e", idents.marker_ident(F.col("e")).alias("marker"), idents.candidate_ident(F.col("hash"), F.col("e")).alias("candidate"), idents.commit_ident(F.col("hash")).alias("commit")), "SELECT e, ':lineage/' || replace(e[2:], '/', '-') AS marker, ':candidate/' || hash[1:12] || '-' || replace(e[2:], '/', '-') AS candidate, ':commit/' || hash[1:12] AS commit FROM src")
 derived("cut_texts", "SELECT doc_id, text FROM documents", lambda d: d.select("doc_id", texts.cut(F.col("text"), 120).alias("description"), texts.cut(F.col("text"), 200).alias("subject")), "SELECT doc_id, text[1:120] AS description, text[1:200] AS subject FROM src")
@@ -16,3 +21,40 @@ derived("removed_entities", "SELECT concat('f', o_custkey, '.py') AS path, CAST(
 derived("rename_facts", "SELECT CASE WHEN p_partkey % 3 = 0 THEN 'R' ELSE 'M' END AS status, concat('src/a', p_partkey, '.py') AS old_path, concat('lib/b', p_partkey, '.py') AS path, CAST(p_size AS BIGINT) AS vf_ms FROM part", lambda d: history.rename_facts(d), "SELECT ':module/' || replace(replace(path, '/', '-'), '.', '-') AS e, ':renamed-from' AS a, 'ref' AS v_type, ':module/' || replace(replace(old_path, '/', '-'), '.', '-') AS v, vf_ms FROM src WHERE status = 'R' UNION ALL SELECT ':module/' || replace(replace(old_path, '/', '-'), '.', '-'), ':renamed-to', 'ref', ':module/' || replace(replace(path, '/', '-'), '.', '-'), vf_ms FROM src WHERE status = 'R'")
 # of 60000 positions 900 steps at two to three: the lowest 360 are taken for good, the highest 540 on trial
 derived("converging_walk", TOUCHES, lambda d: history.walk(d, 60_000, 2, 3, 900), "SELECT e, arg_min(commit, pos) AS introduced_by, min(pos) AS pos, min(pos) >= 360 AS provisional FROM src WHERE pos < 360 OR pos >= 59460 GROUP BY e")
+
+# an order is a version of its customer's file, which supports an edge to each supplier of its lines; fifty customers share an entity
+_VERSIONS = "SELECT concat('c', o_custkey) AS owner, CAST(o_orderkey AS BIGINT) AS pos, {ms} AS at_ms FROM orders"
+_SUPPORTS = "SELECT concat('c', o_custkey) AS owner, CAST(o_orderkey AS BIGINT) AS pos, concat(':module/m', o_custkey % 50) AS e, ':depends-on' AS a, 'ref' AS v_type, concat(':class/supplier-', l_suppkey) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+def folded(pieces: int):
+    """The edges' windows, from the orders in so many pieces; each piece sees of those before what the last states say."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        all_versions = fx.sql(spark, sf_dir, _VERSIONS.format(ms=fx.ms("o_orderdate", "spark")))
+        all_supports = fx.sql(spark, sf_dir, _SUPPORTS)
+        least, most = all_versions.agg(F.min("pos"), F.max("pos")).first()
+        step = (most - least) // pieces + 1
+        facts, before = None, all_supports.select("owner", *versions.FACT).limit(0)
+        for k in range(pieces):
+            part = lambda df, lo=least + k * step: df.filter((F.col("pos") >= lo) & (F.col("pos") < lo + step))
+            own, holds = part(all_versions), part(all_supports)
+            opened, closed = versions.fold(own, holds, before)
+            facts = opened if facts is None else versions.applied(facts, opened, closed)
+            if pieces > 1:
+                facts = materialize(facts, "facts")
+                last = versions.last_supports(own, holds)
+                before = materialize(before.join(own.select("owner").distinct(), "owner", "left_anti").unionByName(last.filter("e IS NOT NULL").drop("pos")), "before")
+        return facts.select("e", "v", "vf_ms", "vt_ms")
+
+    return query
+
+
+_FOLDED = f"""WITH ver AS ({_VERSIONS.format(ms=fx.ms("o_orderdate", "duckdb"))}), sup AS (SELECT DISTINCT owner, pos, e, v FROM ({_SUPPORTS})),
+span AS (SELECT s.e, s.v, n.pos AS lo, coalesce(n.until, {FOREVER}) AS hi FROM sup s JOIN (SELECT owner, pos, lead(pos) OVER (PARTITION BY owner ORDER BY pos) AS until FROM ver) n USING (owner, pos)),
+cut AS (SELECT *, lo <= max(hi) OVER (PARTITION BY e, v ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS goes_on FROM span),
+isle AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY e, v ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS k FROM cut),
+whole AS (SELECT e, v, min(lo) AS lo, max(hi) AS hi FROM isle GROUP BY e, v, k)
+SELECT e, v, f.at_ms AS vf_ms, CASE WHEN hi = {FOREVER} THEN {FOREVER} ELSE greatest(f.at_ms, t.at_ms) END AS vt_ms FROM whole JOIN ver f ON f.pos = lo LEFT JOIN ver t ON t.pos = hi"""
+register("fold_versions", folded(1), _FOLDED)
+register("fold_in_pieces", folded(3), _FOLDED)

@@ -69,16 +69,22 @@ class Service:
         checked = memory.subjects(live.select("e", "a", "v_type", "v").unionByName(batch.select("e", "a", "v_type", "v")).join(batch.select("e").distinct(), "e", "left_semi"))
         rows = batch.unionByName(auto).withColumns({"vf_ms": F.lit(lo).cast("long"), "vt_ms": F.lit(hi).cast("long")})
         tx = self.store.transact(rows, reason, validate=checked)
-        if not self.index.needs_backfill():
-            self.index.insert(fact_index.history(self.store.facts().filter(F.col("tx") == tx)))
+        self._indexed(tx)
         return {"tx": tx}
 
+    def _indexed(self, tx: int | None) -> None:
+        """Bring the index to what transaction ``tx`` has retracted and asserted; one that needs a backfill gets all then."""
+        if tx is None or self.index.needs_backfill():
+            return
+        facts = self.store.facts().filter("v_type = 'str'")
+        gone = facts.filter(F.col("tx_retracted") == tx)
+        self.index.delete_current(gone.select(F.col("e").alias("entity"), F.col("a").alias("attribute"), F.col("v").alias("value")))
+        self.index.insert(fact_index.history(facts.filter(F.col("tx") == tx)))
+
     @_answers
     def retract(self, facts: str, reason: str) -> dict:
-        targets = self._facts(facts).select("e", "a", "v")
-        tx = self.store.retract(targets, reason)
-        if not self.index.needs_backfill():
-            self.index.delete_current(targets.select(F.col("e").alias("entity"), F.col("a").alias("attribute"), F.col("v").alias("value")))
+        tx = self.store.retract(self._facts(facts).select("e", "a", "v"), reason)
+        self._indexed(tx)
         return {"tx": tx}
 
     @_answers
@@ -90,12 +96,15 @@ class Service:
         if found and as_of is None:
             targets = memory.retractions(live)
             out["retracted"] = targets.count()
-            self.store.retract(targets, "audit")
+            self._indexed(self.store.retract(targets, "audit"))
         return out
 
     @_answers
-    def ingest_git(self, repo: str, branch: str | None = None, run_at: str = "1970-01-01T00:00:00Z") -> dict:
-        return history.ingest_git(self.spark, self.store, repo, branch, run_at)
+    def ingest_git(self, repo: str, branch: str | None = None, run_at: str = "1970-01-01T00:00:00Z", most: int | None = None) -> dict:
+        """Take in commits that are not taken yet, all or ``most`` of them; a later call goes on."""
+        got = history.ingest_git(self.spark, self.store, repo, branch, run_at, most)
+        self._indexed(got["tx"])
+        return got
 
     @_answers
     def ingest_status(self) -> dict:

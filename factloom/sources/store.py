@@ -109,6 +109,25 @@ class FactStore:
         tx = self._next()
         return self._append(_retracts(bounded, tx).unionByName(_asserts(bounded, tx)), "log", tx)
 
+    def write(self, reason: str, opened: DataFrame, closed: DataFrame, once: DataFrame | None = None, states: DataFrame | None = None, at_ms: int = 0) -> int:
+        """One transaction of asserts, closings and changed states, for a writer whose steps must not be seen apart.
+
+        ``opened`` (e, a, v_type, v, v_num, vf_ms, vt_ms) is asserted; ``closed`` (e, a, v, at_ms) ends open facts; ``once``, as
+        ``opened``, is asserted as far as it is new; ``states`` (e, a, v_type, v, v_num) are single-valued from ``at_ms`` on.
+        """
+        _need_reason(reason)
+        tx, facts = self._next(), self.facts()
+        live = facts.filter(F.col("tx_retracted").isNull() & (F.col("vt_ms") == FOREVER))
+        ended = live.join(closed.groupBy("e", "a", "v").agg(F.min("at_ms").alias("at_ms")), ["e", "a", "v"]).withColumn("vt_ms", F.greatest("at_ms", "vf_ms"))
+        rows = _asserts(opened, tx).unionByName(_retracts(ended, tx)).unionByName(_asserts(ended, tx))
+        if once is not None:
+            rows = rows.unionByName(_asserts(temporal.fresh(facts, once), tx))
+        if states is not None:
+            ops = temporal.upsert_if_changed(facts, states, at_ms, tx)
+            come = ops.filter("op = 'assert'").withColumns({"vf_ms": F.lit(at_ms).cast("long"), "vt_ms": F.lit(FOREVER)})
+            rows = rows.unionByName(_retracts(ops.filter("op = 'retract'"), tx)).unionByName(_asserts(come, tx))
+        return self._append(materialize(rows, "written"), "log", tx)
+
     def upsert(self, new: DataFrame, at_ms: int, reason: str) -> int | None:
         """Bring single-valued attributes to ``new`` (e, a, v_type, v, v_num); what has not changed is not written."""
         _need_reason(reason)

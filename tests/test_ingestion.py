@@ -1,5 +1,6 @@
 """Ingestion end to end on a small repository, the tool surface, the stored index and writers that race."""
 
+import random
 import subprocess
 
 import pytest
@@ -45,21 +46,120 @@ def test_ingest_resume_and_status(spark, repo, tmp_path):
     rows = lambda q: sorted(map(tuple, s.query(q)["results"]))
     assert rows("[:find ?e :where [?e :entity-type :type/function]]") == [(":function/a-py--f",), (":function/c-py--g",)]
     assert len(rows("[:find ?e :any-valid-time :where [?e :entity-type :type/function]]")) == 4
+    assert "second" in s.prepare_turn("what was the second")  # fills the index
     assert rows("[:find ?e :where [?e :renamed-from :module/b-py]]") == [(":module/c-py",)]
-    assert rows("[:find ?d :any-valid-time :where [:module/a-py :depends-on ?d]]") == [(":module/b-py",), (":module/os",)]
+    assert rows("[:find ?d :where [:module/a-py :depends-on ?d]]") == [(":module/b",), (":module/os",)]  # b.py is gone
+    assert rows("[:find ?d :any-valid-time :where [:module/a-py :depends-on ?d]]") == [(":module/b",), (":module/b-py",), (":module/os",)]
     assert len(rows("[:find ?c :any-valid-time :where [:function/a-py--f :modified-in ?c]]")) == 1
     assert rows("[:find ?t :where [?t :name \"v1\"]]") == [(":tag/v1",)]
     assert max(len(d) for _, d in rows("[:find ?c ?d :where [?c :entity-type :type/commit] [?c :description ?d]]")) == 120
     assert s.ingest_git(str(path))["commits"] == 0
+    assert "d.py" not in s.prepare_turn("d.py third")
     (path / "d.py").write_text("V = 1\n")
     git("add", ".")
     git("commit", "-qm", "third", day=3)
     assert (s.ingest_git(str(path))["total"], s.ingest_status()["total"], s.ingest_status()["format_version"]) == (3, 3, 1)
     assert rows("[:find ?e :where [?e :entity-type :type/variable]]") == [(":variable/d-py--v",)]
+    assert "third" in s.prepare_turn("d.py third") and "was valid" in s.prepare_turn("old function")
     blobs = git_log.read(spark, str(path), "blobs").collect()
     assert {b["path"]: b["source"] for b in blobs}["d.py"] == "V = 1\n" and git_log.default_branch(str(path)) == "main"
 
 
+def live(spark, path):
+    rows = FactStore(spark, path).facts().filter("tx_retracted IS NULL").filter("e NOT LIKE ':ingestion/%'")
+    return sorted((r["e"], r["a"], r["v"], r["vf_ms"], r["vt_ms"]) for r in rows.collect())
+
+
+def in_pieces(spark, repo, path, cuts):
+    store, n = FactStore(spark, path), 0
+    for most in [*cuts, None]:
+        n += history.ingest_git(spark, store, str(repo), most=most)["commits"]
+    return n, live(spark, path)
+
+
+@pytest.mark.parametrize("seed", [3, 8])
+def test_pieces_equal_the_whole(spark, repo, tmp_path, seed):
+    """Whatever a history holds and wherever runs end: files and functions that come, change, move and go, imports that come
+    back, idents that two files share, and dates that fall."""
+    path, git = repo
+    rng = random.Random(seed)
+    names = ["a.py", "p/a.py", "p-a.py", "q/b.py", "vendor/b.py", "lib/c.py"]
+    for k in range(7):
+        for name in rng.sample(names, 3):
+            f = path / name
+            f.parent.mkdir(exist_ok=True)
+            if f.exists() and rng.random() < 0.3:
+                f.unlink()
+            else:
+                body = "".join(f"import {m}\n" for m in rng.sample(["b", "q.b", "c", "os", "lib.c"], 2))
+                f.write_text(body + "".join(f"def f{i}(x):\n    return x + {rng.randrange(2)}\n" for i in rng.sample(range(3), 2)))
+        if k == 3 and (path / "a.py").exists():
+            (path / "lib").mkdir(exist_ok=True)
+            git("add", "-A")
+            git("mv", "-f", "a.py", "lib/c.py")
+        git("add", "-A")
+        git("commit", "-q", "--allow-empty", "-m", f"step {k}", day=rng.randrange(3, 20))
+    n, whole = in_pieces(spark, path, f"file://{tmp_path}/whole", [])
+    cuts = [rng.randrange(1, 4), rng.randrange(1, 4)]
+    assert in_pieces(spark, path, f"file://{tmp_path}/pieces", cuts) == (n, whole)
+
+
+def test_windows_submodules_and_ignored_paths(spark, repo, tmp_path):
+    path, git = repo
+    (path / "gen").mkdir()
+    (path / "gen" / "made.py").write_text("X = 1\n")
+    (path / ".temporalignore").write_text("gen/\n")
+    (path / "u.py").write_text("import gen.made\nimport engine.core\nimport c\n")
+    git("add", "u.py", "gen")
+    git("commit", "-qm", "third", day=3)
+    (path / "u.py").write_text("import engine.core\n")
+    git("add", "u.py")
+    git("commit", "-qm", "imports go", day=4)
+    git("update-index", "--add", "--cacheinfo", "160000," + "1" * 40 + ",sub/engine")
+    (path / "u.py").write_text("import engine.core\nimport c\n")
+    (path / ".gitmodules").write_text('[submodule "eng"]\n\tpath = sub/engine\n\turl = https://x/eng\n')
+    git("add", "u.py", ".gitmodules")
+    git("commit", "-qm", "submodule, import again", day=5)
+    git("update-index", "--cacheinfo", "160000," + "2" * 40 + ",sub/engine")
+    git("commit", "-qm", "bump", day=6)
+    git("rm", "-q", "--cached", "sub/engine")
+    git("commit", "-qm", "submodule goes", day=7)
+    _, whole = in_pieces(spark, path, f"file://{tmp_path}/whole", [])
+    assert in_pieces(spark, path, f"file://{tmp_path}/pieces", [3, 2, 1])[1] == whole
+    day = lambda n: 1_767_225_600_000 + (n - 1) * 86_400_000
+    of = lambda e, a: [(v, (lo - day(1)) // 86_400_000 + 1, None if hi == FOREVER else (hi - day(1)) // 86_400_000 + 1) for x, y, v, lo, hi in whole if (x, y) == (e, a)]
+    assert of(":module/u-py", ":depends-on") == [(":module/c-py", 3, 4), (":module/c-py", 5, None), (":module/engine-core", 3, None), (":module/gen-made-py", 3, 4)]
+    assert of(":module/gen-made-py", ":entity-type") == [(":type/external-dependency", 3, None)] and of(":variable/gen-made-py--x", ":ident") == []
+    assert of(":module/sub-engine", ":pinned-commit") == [("1" * 40, 5, 6), ("2" * 40, 6, 7)]
+    assert of(":module/sub-engine", ":entity-type") == [(":type/external-dependency", 5, 7)] and of(":module/sub-engine", ":submodule-url") == [("https://x/eng", 5, 7)]
+    assert of(":module/engine-core", ":resolves-to") == [(":module/sub-engine", 5, 7)]
+    assert [v[:8] for v, _, _ in of(":module/sub-engine", ":modified-in")] == [":commit/"]
+
+
+def test_renames_in_rounds(spark, repo, tmp_path):
+    """A renamed function that calls a renamed function is found in the second round; what is ambiguous is not."""
+    path, git = repo
+    (path / "m.py").write_text("def low(count, step):\n    return count * 31 + step\n\ndef high(value):\n    first = low(value, 17)\n    return first * first\n\ndef one_twin(a):\n    return a * 1234567\n\ndef two_twin(b):\n    return b * 1234567\n")
+    git("add", ".")
+    git("commit", "-qm", "third", day=3)
+    (path / "m.py").write_text("def base(n, width):\n    return n * 31 + width\n\ndef top(x):\n    y = base(x, 17)\n    return y * y\n\ndef red_twin(a):\n    return a * 1234567\n\ndef blue_twin(b):\n    return b * 1234567\n")
+    git("add", ".")
+    git("commit", "-qm", "fourth", day=4)
+    store = FactStore(spark, f"file://{tmp_path}/g")
+    history.ingest_git(spark, store, str(path))
+    found = {(r["e"], r["v"]) for r in store.facts().filter("a = ':renamed-to' AND e LIKE ':function/m-py%'").collect()}
+    assert found == {(":function/m-py--low", ":function/m-py--base"), (":function/m-py--high", ":function/m-py--top")}
+
+
+def test_rebased_branch_is_refused(spark, repo, tmp_path):
+    path, git = repo
+    store = FactStore(spark, f"file://{tmp_path}/g")
+    history.ingest_git(spark, store, str(path))
+    git("commit", "-q", "--amend", "-m", "another second", day=2)
+    with pytest.raises(ValueError):
+        history.ingest_git(spark, store, str(path))
+
+
 def test_other_formats_are_refused():
     assert history.check_format({}) is True and history.check_format({f"{history.FORMAT} :version": "1"}) is False
     for known in ({f"{history.WATERMARK} :hash": "x"}, {f"{history.FORMAT} :version": "7"}):

@@ -49,8 +49,20 @@ def test_git_history(spark, tmp_path):
     git("commit", "-qm", "second", date="2026-01-01T00:00:00Z")  # dated before its parent
     commits = sorted(git_log.read(spark, str(repo)).collect())
     assert [(c["pos"], c["subject"], len(c["parents"])) for c in commits] == [(0, "first", 0), (1, "second", 1)]
-    lines = [r["line"] for r in sorted(git_log.read(spark, str(repo), "changes").collect())]
-    assert lines[0].endswith("A\ta.py") and "R100\ta.py\tb.py" in lines[1]
+    (repo / "ü\tx.py").write_bytes("y = '\u2028'\n".encode())
+    git("add", ".")
+    git("commit", "-qm", "third\u2028line\x0c end")
+    changes = [(r["status"], r["score"], r["old_path"], r["path"]) for r in sorted(git_log.read(spark, str(repo), "changes").collect())]
+    assert changes == [("A", None, "a.py", "a.py"), ("R", 100, "a.py", "b.py"), ("A", None, "ü\tx.py", "ü\tx.py")]
+    assert [c["subject"] for c in sorted(git_log.read(spark, str(repo), commitsperpartition=1).collect())] == ["first", "second", "third\u2028line\x0c end"]
+    blobs = sorted(git_log.read(spark, str(repo), "blobs").collect())
+    assert [(b["source"], b["old_source"]) for b in blobs] == [("x = 1\n" * 5, None), ("x = 1\n" * 5, "x = 1\n" * 5), ("y = '\u2028'\n", None)]
+    order = git_log.linearization(str(repo))
+    assert git_log.following(str(repo), "HEAD", 1, git_log.digest(order[:1]), order[:1]) == order[1:] == git_log.following(str(repo), "HEAD", 1, "other", order[:1])
+    with pytest.raises(ValueError):
+        git_log.following(str(repo), "HEAD", 1, "other", ["0" * 40])
+    (repo / git_log.IGNORE_FILE).write_text("# no code here\n\ngen/\n*.gen.py\n")
+    assert git_log.ignore_patterns(str(repo)) == ("gen/", "*.gen.py") and git_log.ignore_patterns(str(tmp_path)) == ()
 
 
 def test_submodules():
