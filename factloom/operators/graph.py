@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from factloom.session import discard, materialize
 
 #: Single steps of a round of :func:`reach`; more cost a longer plan, fewer cost more jobs.
-HOPS = 2
+HOPS = 4
+#: Rounds of :func:`reach` after which long chains are looked for: a graph whose paths are short needs no jumps.
+PLAIN_ROUNDS = 6
 #: Levels of :func:`jumps` (of 2, 4, 8, … steps) from which they are worth their joins.
 LEAST_LEVELS = 5
 
@@ -55,14 +57,13 @@ def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, most_depth:
     """(seed, node, depth) of all nodes reachable from ``seeds`` (seed); only what the seeds touch is expanded.
 
     ``reverse`` walks edges backwards. Depth is the shortest path's length; the seed itself is a result
-    only if a cycle leads back to it. A round takes ``HOPS`` steps and then follows chains by jumps of doubling
-    length where there are long ones, so a chain of any length takes one round; a path takes a round for every
-    ``HOPS`` forks on it.
+    only if a cycle leads back to it. A round takes ``HOPS`` steps. Where paths go on after ``PLAIN_ROUNDS``, rounds also
+    follow chains by jumps of doubling length, so a chain of any length takes one round; a path takes a round for
+    every ``HOPS`` forks on it.
     """
     step = edges.select(F.col("dst" if reverse else "src").alias("at"), F.col("src" if reverse else "dst").alias("to")).distinct()
     step = materialize(step, "edges")
-    far = jumps(step)
-    far = far if len(far) >= LEAST_LEVELS else []
+    far, rounds = [], 0
     least = lambda df: df.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
 
     def follow(at: DataFrame, table: DataFrame, steps: int) -> DataFrame:
@@ -75,6 +76,10 @@ def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, most_depth:
     fresh = materialize(bounded(start), "reach")
     known = fresh
     while fresh.take(1):  # each round finds new nodes or shorter paths, and both end
+        rounds += 1
+        if rounds == PLAIN_ROUNDS:
+            far = jumps(step)
+            far = far if len(far) >= LEAST_LEVELS else []
         found = fresh
         for _ in range(HOPS):
             found = least(found.union(bounded(follow(found, step, 1))))

@@ -17,6 +17,8 @@ from factloom.session import discard, materialize, ship_package
 
 #: git's mode of a gitlink; shortest body that a rename is matched on, and rounds of matching.
 GITLINK, MIN_BODY, MOST_ROUNDS = "160000", 20, 10
+#: Steps of a round of :func:`linearize`.
+STEPS = 3
 
 
 def introduced_by(touches: DataFrame) -> DataFrame:
@@ -106,18 +108,22 @@ def rename_rounds(bodies: DataFrame, names: DataFrame, most: int = MOST_ROUNDS)
 
 
 def chain_ends(steps: DataFrame) -> DataFrame:
-    """``steps``: (src, dst), at most one a source. (src, last, hops) by pointer doubling: log rounds of a chain's length."""
+    """``steps``: (src, dst), at most one a source. (src, last, hops) by pointer doubling: a round makes paths four times as long."""
     at = materialize(steps.select("src", F.col("dst").alias("last"), F.lit(1).cast("long").alias("hops")), "chain")
-    for _ in range(64):
-        a, b = at.alias("a"), at.alias("b")
-        j = a.join(b, F.col("a.last") == F.col("b.src"), "left")
-        nxt = materialize(j.select("a.src", F.coalesce("b.last", "a.last").alias("last"), (F.col("a.hops") + F.coalesce("b.hops", F.lit(0))).alias("hops"), F.col("b.src").isNotNull().alias("moved")), "chain")
+    n = at.count()
+    for _ in range(max(2, n.bit_length() // 2 + 2)):
+        nxt = at.withColumn("moved", F.lit(False))
+        for _ in range(2):
+            a, b = nxt.alias("a"), nxt.alias("b")
+            j = a.join(b, F.col("a.last") == F.col("b.src"), "left")
+            nxt = j.select("a.src", F.coalesce("b.last", "a.last").alias("last"), (F.col("a.hops") + F.coalesce("b.hops", F.lit(0))).alias("hops"), (F.col("a.moved") | F.col("b.src").isNotNull()).alias("moved"))
+        nxt = materialize(nxt, "chain")
         more = nxt.filter("moved").take(1)
         discard(at)
         at = nxt.select("src", "last", "hops")
         if not more:
             return at
-    raise RuntimeError("a chain of renames runs in a circle")
+    raise ValueError("a chain runs in a circle")
 
 
 def gitlink_action(old_mode: Column, new_mode: Column) -> Column:
@@ -284,23 +290,35 @@ def python_entities(path: str, source: str | None) -> list[tuple[str, str, str,
 def linearize(commits: DataFrame) -> DataFrame:
     """``commits``: (hash, parents). (hash, level): each commit above all its parents, whatever the dates.
 
-    One round for each level of the graph; ``row_number`` over (level, hash) makes a position of it. A git
-    source gives positions directly and is the better way where there is one.
+    Commits with one parent that has no other child form chains; a chain is followed by doubling and counts as one node,
+    whose length is the weight of its edges. What is left takes a round for every ``STEPS`` merges or forks on a path.
+    ``row_number`` over (level, hash) makes a position of it.
     """
-    edges = materialize(commits.select("hash", F.explode_outer("parents").alias("parent")), "parents")
-    done = materialize(edges.groupBy("hash").agg(F.count("parent").alias("n")).filter("n = 0").select("hash", F.lit(0).alias("level")), "level")
-    total, level = commits.select("hash").distinct().count(), 0
-    while done.count() < total:
-        level += 1
-        known = done.select(F.col("hash").alias("parent"), F.lit(True).alias("ok"))
-        ready = edges.join(known, "parent", "left").groupBy("hash").agg(F.min(F.coalesce("ok", F.col("parent").isNull())).alias("ready")).filter("ready")
-        fresh = ready.join(done, "hash", "left_anti").select("hash", F.lit(level).alias("level"))
-        after = materialize(done.union(fresh), "level")
-        if after.count() == done.count():
-            raise ValueError("parents that are missing or form a circle")
-        discard(done)
-        done = after
-    return done
+    nodes = commits.select("hash").distinct()
+    edges = materialize(commits.select("hash", F.explode("parents").alias("parent")).distinct(), "parents")
+    if edges.join(nodes.withColumnRenamed("hash", "parent"), "parent", "left_anti").take(1):
+        raise ValueError("parents that are missing")
+    single = edges.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("hash")
+    lone = edges.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("parent")
+    ends = chain_ends(edges.join(single, "hash", "left_semi").join(lone, "parent", "left_semi").select(F.col("hash").alias("src"), F.col("parent").alias("dst")))
+    placed = nodes.join(ends, F.col("hash") == F.col("src"), "left").select("hash", F.coalesce("last", "hash").alias("head"), F.coalesce("hops", F.lit(0)).cast("long").alias("hops"))
+    placed = materialize(placed, "placed")
+    heads = placed.filter("hash = head").select("head")
+    up = edges.join(heads.withColumnRenamed("head", "hash"), "hash", "left_semi").join(placed.withColumnRenamed("hash", "parent"), "parent")
+    up = materialize(up.select(F.col("hash").alias("to"), F.col("head").alias("at"), (F.col("hops") + 1).alias("far")).distinct(), "contracted")
+    needs = materialize(heads.join(up.groupBy(F.col("to").alias("head")).agg(F.count(F.lit(1)).alias("n")), "head", "left").select("head", F.coalesce("n", F.lit(0)).alias("n")), "needs")
+    total, known = needs.count(), 0
+    done = materialize(needs.filter("n = 0").select("head", F.lit(0).cast("long").alias("level")), "level")
+    while (now := done.count()) < total:
+        if now == known:
+            raise ValueError("parents that form a circle")
+        known = now
+        for _ in range(STEPS):
+            met = up.join(done.withColumnRenamed("head", "at"), "at").groupBy("to").agg(F.count(F.lit(1)).alias("met"), F.max(F.col("level") + F.col("far")).alias("level"))
+            fresh = met.join(needs.withColumnRenamed("head", "to"), "to").filter("met = n").select(F.col("to").alias("head"), "level")
+            done = done.filter("level = 0").unionByName(fresh).groupBy("head").agg(F.max("level").alias("level"))
+        done = materialize(done, "level")
+    return placed.join(done, "head").select("hash", (F.col("level") + F.col("hops")).alias("level"))
 
 
 def tag_facts(tags: DataFrame, commits: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ keeping it in (a measurement must not understate).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.model import FOREVER
@@ -32,16 +32,44 @@ def live_at_position(facts: DataFrame, commits: DataFrame, watermark: int) -> Da
     return p.filter((F.col("intro_last") <= watermark) & ((F.col("vt_ms") >= FOREVER) | (F.col("close_first") > watermark))).select(*facts.columns)
 
 
-def live_edges_at(facts: DataFrame, commits: DataFrame, watermarks: DataFrame) -> DataFrame:
-    """(w, edge) for each watermark ``w``: live in the measuring sense; an end that fits no commit reads as open.
+#: Levels of the dyadic blocks in which positions and spans meet: positions are below 2^40.
+LEVELS = 40
+
+
+def _blocks_of_span(lo: Column, hi: Column) -> Column:
+    """The dyadic blocks (level, block) that make up positions from ``lo`` below ``hi``: two a level at most."""
+    none = F.lit(None).cast("struct<level:int,block:bigint>")
+
+    def level(k: Column) -> Column:
+        size = F.expr("1L").cast("long")
+        first, last = F.call_function("shiftright", lo + F.call_function("shiftleft", size, k) - 1, k), F.call_function("shiftright", hi, k)
+        take = lambda ok, block: F.when((first < last) & ok, F.struct(k.alias("level"), block.alias("block"))).otherwise(none)
+        return F.array(take(first % 2 == 1, first), take(last % 2 == 1, last - 1))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), level)))
 
-    Each edge is live on one run of positions, so watermarks and edges meet in a range join, not in a product
-    filtered later.
+
+def containing(points: DataFrame, at: str, spans: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Rows of ``points`` with those of ``spans`` that hold their position, from ``lo`` below ``hi`` (null: no end).
+
+    A span is cut into dyadic blocks, two a level at most, and a position lies in one block of each level, so both meet in
+    an equi-join that finds each pair once: no pair is compared in vain, and a position that many rows or spans
+    share is a hot key that adaptive execution splits.
     """
+    most = F.lit(1 << LEVELS)
+    end = F.least(F.coalesce(F.col(hi), most), most).cast("long")
+    cut = spans.withColumn("__b", F.explode(_blocks_of_span(F.greatest(F.col(lo), F.lit(0)).cast("long"), end)))
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col(at).cast("long"), k).alias("block")))
+    own = points.filter((F.col(at) >= 0) & (F.col(at) < most)).withColumn("__b", F.explode(blocks))
+    return own.join(cut, "__b").drop("__b")
+
+
+def live_edges_at(facts: DataFrame, commits: DataFrame, watermarks: DataFrame) -> DataFrame:
+    """(w, edge) for each watermark ``w``: live in the measuring sense; an end that fits no commit reads as open."""
     p = _placed(facts, commits).filter("intro_first IS NOT NULL")
     until = F.when(F.col("vt_ms") >= FOREVER, F.lit(None)).otherwise(F.col("close_last"))
-    spans = p.select(*facts.columns, F.col("intro_first").alias("lo"), until.alias("hi"))
-    return watermarks.join(spans, (F.col("lo") <= F.col("w")) & (F.col("hi").isNull() | (F.col("w") < F.col("hi")))).select("w", *facts.columns)
+    spans = p.select(*facts.columns, F.col("intro_first").alias("__lo"), until.alias("__hi"))
+    return containing(watermarks, "w", spans, "__lo", "__hi").select("w", *facts.columns)
 
 
 def unmappable(facts: DataFrame, commits: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,10 @@ class QueryError(ValueError):
     """A query that is well-formed but has no meaning."""
 
 
+class _Nothing(Exception):
+    """A body calls a relation that has no rows yet."""
+
+
 @dataclass
 class Query:
     find: list
@@ -175,6 +180,118 @@ def called(clauses: list, negative: bool = False) -> list[tuple[str, bool]]:
     return out
 
 
+def positive(clauses: list) -> list[Form]:
+    """The rule calls of a body that stand outside negations."""
+    return [c for c in clauses if isinstance(c, Form) and c and isinstance(c[0], Symbol) and c[0].name not in ("not", "not-join", *COMPARE, *TEXT)]
+
+
+def variables(c: Form | Vector) -> set[str]:
+    return {n for x in (c[1:] if isinstance(c, Form) else c) if (n := var_name(x)) is not None}
+
+
+def sideways(body: list, bound: set[str]) -> list:
+    """The order in which a body hands bindings on: what shares a bound variable first, patterns before calls, then what holds
+    a constant. Predicates and negations stay last; a body with windows keeps its order, which says what they mean."""
+    rows = [c for c in body if isinstance(c, Vector) and len(c) > 1]
+    if any(isinstance(c[1], Keyword) and c[1].name in WINDOW for c in rows):
+        return list(body)
+    left = [c for c in body if any(c is x for x in rows) or any(c is x for x in positive(body))]
+    rest = [c for c in body if not any(c is x for x in left)]
+    bound, out = set(bound), []
+    while left:
+        def rank(c: Form | Vector) -> tuple[int, int]:
+            constant = isinstance(c[0], Keyword) or (len(c) == 3 and var_name(c[2]) is None and c[2] != Symbol("_")) if isinstance(c, Vector) else any(isinstance(x, Keyword) for x in c[1:])
+            return (0 if variables(c) & bound else 1 if constant else 2, 0 if isinstance(c, Vector) else 1)
+
+        best = min(left, key=rank)  # the first of the best in the order given
+        left = [c for c in left if c is not best]
+        out.append(best)
+        bound |= variables(best)
+    return out + rest
+
+
+#: A derived relation and the places of its arguments that are bound; ``(name, places, True)`` names the bindings wanted of it.
+Key = tuple[str, tuple[int, ...]]
+
+
+@dataclass
+class Adorned:
+    """A rule for one pattern of bound arguments: its body in order, and the relation that each call of the system reads."""
+
+    head: Key
+    rule: Rule
+    body: list
+    calls: dict[int, Key] = field(default_factory=dict)  # by id of the clause
+
+    def literals(self) -> list:
+        """What changes from round to round, in order: the bindings of the head, then calls by id of the clause."""
+        return (["head"] if self.head[1] else []) + [id(c) for c in self.body if id(c) in self.calls]
+
+
+@dataclass
+class Round:
+    """The evaluation of one body: ``news`` is the literal that reads what the last round found, all others read all."""
+
+    rule: Adorned
+    loop: Loop
+    news: object
+    wanted: list[tuple[Key, DataFrame]] = field(default_factory=list)
+
+    def read(self, literal: object) -> DataFrame | None:
+        key = (*self.rule.head, True) if literal == "head" else self.rule.calls[literal]
+        return self.loop.news.get(key) if literal == self.news else self.loop.all(key)
+
+    def call(self, c: Form, b: Bound) -> DataFrame | None:
+        """The relation that a call reads; what it wants of it is noted if the news stand before the call."""
+        callee = self.rule.calls[id(c)]
+        order = self.rule.literals()
+        before = order[: order.index(id(c))]
+        if callee[1] and b.df is not None and (self.news in before if before else self.news is None or self.news == order[0]):
+            self.wanted.append((callee, bindings(c, callee[1], b)))
+        return self.read(id(c))
+
+
+def bindings(c: Form, places: tuple[int, ...], b: Bound) -> DataFrame:
+    """What ``b`` binds at the given arguments of a call."""
+    picked = []
+    for i in places:
+        x = c[1 + i]
+        if isinstance(x, Keyword):
+            picked += [F.lit(x.name).alias(f"{i}"), F.lit("ref").alias(f"{i}:t"), F.lit(None).cast("double").alias(f"{i}:n")]
+        else:
+            picked += [F.col(f"`{x.name[1:]}{s}`").alias(f"{i}{s}") for s in ("", ":t", ":n")]
+    return b.df.select(*picked).distinct()
+
+
+class Loop:
+    """Relations of a recursive system as they grow: what each has, in parts, and what the last round added."""
+
+    def __init__(self) -> None:
+        self.parts: dict[tuple, list[DataFrame]] = {}
+        self.news: dict[tuple, DataFrame] = {}
+
+    def all(self, key: tuple) -> DataFrame | None:
+        parts = self.parts.get(key)
+        return reduce(DataFrame.union, parts) if parts else None
+
+    def add(self, found: dict[tuple, list[DataFrame]]) -> bool:
+        """Take in what is new of ``found``; whether anything was."""
+        self.news = {}
+        for key, frames in found.items():
+            rows, had = reduce(DataFrame.union, frames), self.all(key)
+            keys = [c for c in rows.columns if not c.endswith(":n")]
+            rows = rows.dropDuplicates(keys)
+            rows = materialize(rows if had is None else rows.join(had.select(*keys), keys, "left_anti").select(*rows.columns), key[0])
+            if not rows.take(1):
+                continue
+            self.news[key] = rows
+            parts = self.parts.setdefault(key, [])
+            parts.append(rows)
+            if len(parts) > MOST_PARTS:
+                self.parts[key] = [materialize(reduce(DataFrame.union, parts), key[0])]
+        return bool(self.news)
+
+
 class Session:
     """Facts, rules and a clock. ``attr_types`` says which attributes hold numbers (``num``).
 
@@ -276,8 +393,8 @@ class Session:
             if v not in b.kinds:
                 raise QueryError(f"?{v} is bound by no clause")
 
-    def _where(self, q: Query, clauses: list, b: Bound) -> Bound:
-        """Data patterns, windows and rule calls in their order, then predicates and negations."""
+    def _where(self, q: Query, clauses: list, b: Bound, within: Round | None = None) -> Bound:
+        """Data patterns, windows and rule calls in their order, then predicates and negations. ``within``: a round of a loop."""
         later = []
         windows = {id(c): None for c in clauses if isinstance(c, Vector) and len(c) == 3 and isinstance(c[1], Keyword) and c[1].name in WINDOW}
         for c in clauses:
@@ -295,7 +412,7 @@ class Session:
                 elif c[0].name in COMPARE or c[0].name in TEXT or c[0].name in self.predicates:
                     raise QueryError(f"a predicate stands in square brackets: [({c[0].name} …)]")
                 else:
-                    b = self._call(q, c, b)
+                    b = self._call(q, c, b, within)
             else:
                 raise QueryError(f"not a clause: {c}")
         for c in later:
@@ -447,14 +564,16 @@ class Session:
 
     # rule calls
 
-    def _call(self, q: Query, c: Form, b: Bound) -> Bound:
+    def _call(self, q: Query, c: Form, b: Bound, within: Round | None = None) -> Bound:
         name, args = c[0].name, list(c[1:])
         if name not in self.rules:
             raise QueryError(f"no rule {name}")
         if len(args) != len(self.rules[name][0].args):
             raise QueryError(f"{name} takes {len(self.rules[name][0].args)} arguments")
         given = {i: x for i, x in enumerate(args) if var_name(x) is None and x != Symbol("_")}
-        df = self._relation(q, name, given)
+        df = within.call(c, b) if within is not None and id(c) in within.rule.calls else self._relation(q, c, given, b)
+        if df is None:
+            raise _Nothing
         names, picked = [], []
         for i, x in enumerate(args):
             if i in given:
@@ -477,54 +596,109 @@ class Session:
             return F.col(f"`{i}:n`") == float(x)
         return F.col(f"`{i}`") == (str(x).lower() if isinstance(x, bool) else x)
 
-    def _relation(self, q: Query, name: str, given: dict[int, object]) -> DataFrame:
-        """The derived relation, columns 0, 0:t, 0:n, 1, …; a set. Recursion runs semi-naively to its fixpoint.
+    def _systems(self) -> set[str]:
+        """Names of rules that are recursive, or reach a recursive one, outside negations."""
+        uses = {n: {c[0].name for r in rs for c in positive(r.body)} & set(self.rules) for n, rs in self.rules.items()}
+
+        def reached(n: str) -> set[str]:
+            seen, left = set(), list(uses[n])
+            while left:
+                if (x := left.pop()) not in seen:
+                    seen.add(x)
+                    left += uses[x]
+            return seen
+
+        recursive = {n for n in uses if n in reached(n)}
+        return {n for n in uses if n in recursive or reached(n) & recursive}
+
+    def _head(self, r: Rule, b: Bound) -> DataFrame:
+        self._need(b, r.args)
+        return b.df.select(*[F.col(f"`{a}{s}`").alias(f"{i}{s}") for i, a in enumerate(r.args) for s in ("", ":t", ":n")])
+
+    def _relation(self, q: Query, c: Form, given: dict[int, object], b: Bound) -> DataFrame:
+        """The derived relation of a call, columns 0, 0:t, 0:n, 1, …; a set.
 
-        Constants of the call go into the start of the loop where every recursive call hands that
-        argument on unchanged, so only what they touch is derived.
+        A rule that is not recursive is put in place. Recursion runs to its fixpoint in rounds, over all relations that
+        lean on each other at once, and derives only what the call's bound arguments ask for: constants, and what the
+        clauses before it bind.
         """
+        name = c[0].name
         rules = self.rules[name]
+        if name not in self._systems():
+            out = None
+            for r in rules:
+                rows = self._head(r, self._where(q, r.body, Bound()))
+                out = rows if out is None else out.union(rows)
+            return out.dropDuplicates([f"{i}{s}" for i in range(len(rules[0].args)) for s in ("", ":t")])
         if len(given) == 1 and (attributes := transitive(rules)):
             return self._reached(q, attributes, *next(iter(given.items())))
-        recursive = [r for r in rules if any(n == name for n, _ in called(r.body))]
-        base = [r for r in rules if r not in recursive]
-        keep = {i: x for i, x in given.items() if all(len(p) > i + 1 and var_name(p[i + 1]) == r.args[i] for r in recursive for p in r.body if isinstance(p, Form) and p[0].name == name)}
-        width = len(rules[0].args)
-        if not base:
-            raise QueryError(f"{name} has no rule to start from")
-
-        def derive(r: Rule, delta: DataFrame | None, which: int = 0) -> DataFrame:
-            b = self._body(q, r, name, delta, which)
-            self._need(b, r.args)
-            out = b.df.select(*[F.col(f"`{a}{s}`").alias(f"{i}{s}") for i, a in enumerate(r.args) for s in ("", ":t", ":n")])
-            for i, x in keep.items():
-                out = out.filter(self._argument(i, x))
-            return out
-
-        known = None
-        for r in base:
-            known = derive(r, None) if known is None else known.union(derive(r, None))
-        keys = [f"{i}{s}" for i in range(width) for s in ("", ":t")]
-        known = known.dropDuplicates(keys)
-        if not recursive:
-            return known
-        parts = [materialize(known, name)]
-        while True:  # no clause makes new values, so the fixpoint comes
-            delta, known = parts[-1], parts[0]
-            for p in parts[1:]:
-                known = known.union(p)
-            new = None
-            for r in recursive:
-                for k in range(sum(n == name for n, _ in called(r.body))):
-                    d = derive(r, (delta, known), k)
-                    new = d if new is None else new.union(d)
-            fresh = materialize(new.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti").select(*known.columns), name)
-            if not fresh.take(1):
-                return known
-            parts.append(fresh)
-            if len(parts) > MOST_PARTS:
-                whole = materialize(known, name)
-                parts = [whole, fresh]
+        places = tuple(i for i, x in enumerate(c[1:]) if isinstance(x, Keyword) or (var_name(x) in b.kinds and b.df is not None))
+        if any(not isinstance(c[1 + i], Keyword) for i in places):
+            seeds = materialize(bindings(c, places, b), "bindings")
+        elif places:
+            seeds = self.spark.createDataFrame([tuple(v for i in places for v in (c[1 + i].name, "ref", None))], ", ".join(f"`{i}` string, `{i}:t` string, `{i}:n` double" for i in places))
+        else:
+            seeds = None
+        return self._fixpoint(q, (name, places), seeds)
+
+    def _adorned(self, start: Key) -> list[Adorned]:
+        """The rules that answer ``start``, each for the patterns of bound arguments in which it is called."""
+        systems, out, left, seen = self._systems(), [], [start], {start}
+        while left:
+            head = left.pop()
+            for r in self.rules[head[0]]:
+                body = sideways(r.body, {r.args[i] for i in head[1]})
+                rule, bound = Adorned(head, r, body), {r.args[i] for i in head[1]}
+                for c in body:
+                    if isinstance(c, Form) and c[0].name in systems and any(c is x for x in positive(body)):
+                        key = (c[0].name, tuple(i for i, x in enumerate(c[1:]) if isinstance(x, Keyword) and bound or var_name(x) in bound))
+                        rule.calls[id(c)] = key
+                        if key not in seen:
+                            seen.add(key)
+                            left.append(key)
+                    if isinstance(c, Vector) and len(c) > 1 or any(c is x for x in positive(body)):
+                        bound |= variables(c)
+                out.append(rule)
+        return out
+
+    def _fixpoint(self, q: Query, start: Key, seeds: DataFrame | None) -> DataFrame:
+        """Rounds over all relations that ``start`` leans on, each reading what the last one found; no clause makes new values, so
+        they end. Bindings that a relation is asked for are relations of their own and grow with the others."""
+        rules, loop = self._adorned(start), Loop()
+        found: dict[tuple, list[DataFrame]] = {(*start, True): [seeds]} if seeds is not None else {}
+
+        def evaluate(rule: Adorned, news: object) -> None:
+            at = Round(rule, loop, news)
+            b = Bound()
+            if rule.head[1]:
+                wanted = at.read("head")
+                if wanted is None:
+                    return
+                args = [rule.rule.args[i] for i in rule.head[1]]
+                b = Bound(wanted.select(*[F.col(f"`{i}{s}`").alias(f"{a}{s}") for i, a in zip(rule.head[1], args, strict=True) for s in ("", ":t", ":n")]), {a: "text" for a in args})
+            try:
+                rows = self._head(rule.rule, self._where(q, rule.body, b, at))
+                found.setdefault(rule.head, []).append(rows)
+            except _Nothing:  # a relation that has nothing yet
+                pass
+            for key, rows in at.wanted:
+                found.setdefault((*key, True), []).append(rows)
+
+        for rule in rules:
+            if not rule.head[1]:  # nothing bound: what needs no other relation, and what the first call of a body asks for
+                evaluate(rule, None)
+        while loop.add(found):
+            found = {}
+            for rule in rules:
+                for literal in rule.literals():
+                    key = (*rule.head, True) if literal == "head" else rule.calls[literal]
+                    if key in loop.news:
+                        evaluate(rule, literal)
+        out = loop.all(start)
+        if out is None:
+            width = len(self.rules[start[0]][0].args)
+            return self.spark.createDataFrame([], ", ".join(f"`{i}` string, `{i}:t` string, `{i}:n` double" for i in range(width)))
+        return out
 
     def _reached(self, q: Query, attributes: set[str], bound: int, constant: object) -> DataFrame:
         """A transitive relation from one of its ends: only what that end reaches is expanded.
@@ -542,21 +716,3 @@ class Session:
             kind, value = F.substring_index(c, "\x00", 1), F.substring_index(c, "\x00", -1)
             cols += [value.alias(f"{i}"), kind.alias(f"{i}:t"), F.when(kind.isin("int", "float"), value.try_cast("double")).alias(f"{i}:n")]
         return pairs.select(*cols)
-
-    def _body(self, q: Query, r: Rule, name: str, delta, which: int) -> Bound:
-        """The rule's body, its ``which``-th recursive call reading the last round's news and others all that is known."""
-        outer = self._relation
-        seen = -1
-
-        def relation(query: Query, called_name: str, given: dict[int, object]) -> DataFrame:
-            nonlocal seen
-            if called_name != name:
-                return outer(query, called_name, given)
-            seen += 1
-            return delta[0] if seen == which else delta[1]
-
-        self._relation = relation
-        try:
-            return self._where(q, r.body, Bound())
-        finally:
-            self._relation = outer

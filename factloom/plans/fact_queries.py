@@ -227,6 +227,15 @@ datalog("rule_ancestor", "[:find ?b :any-valid-time :where (ancestor :commit/140
 _EDGES = "(" + " UNION ".join(f"SELECT e, v FROM {at(a)}" for a in (":depends-on", ":calls", ":contains")) + ")"
 datalog("rule_reachable", "[:find ?b :where (reachable :module/nation-7 ?b)]", f", r AS (SELECT v FROM {_EDGES} WHERE e = ':module/nation-7' UNION SELECT p.v FROM r JOIN {_EDGES} p ON p.e = r.v) SELECT v AS b FROM r")
 
+# rules that lean on each other: parts at an odd and at an even distance down the calls; one end is bound
+_PARITY = ("[(odd-calls ?a ?b) [?a :calls ?b]]", "[(odd-calls ?a ?b) [?a :calls ?m] (even-calls ?m ?b)]", "[(even-calls ?a ?b) [?a :calls ?m] (odd-calls ?m ?b)]")
+_HOPS = f", c AS (SELECT e, v FROM {at(':calls')}), r AS ({{start}} UNION SELECT {{keep}}, (n + 1) % 2 AS n FROM r JOIN c ON c.{{on}} = r.node)"
+datalog("rule_mutual", "[:find ?b :where (even-calls :function/part-1900 ?b)]", _HOPS.format(start="SELECT v AS node, 1 AS n FROM c WHERE e = ':function/part-1900'", keep="c.v AS node", on="e") + " SELECT node AS b FROM r WHERE n = 0", _PARITY)
+datalog("rule_mutual_reverse", "[:find ?a :where (odd-calls ?a :function/part-3)]", _HOPS.format(start="SELECT e AS node, 1 AS n FROM c WHERE v = ':function/part-3'", keep="c.e AS node", on="v") + " SELECT node AS a FROM r WHERE n = 1", _PARITY)
+# three arguments, bound by the clauses before the call: large parts, what they call at any depth, and its size
+_TRAIL = ("[(trail ?a ?b ?s) [?a :calls ?b] [?b :size ?s]]", "[(trail ?a ?b ?s) [?a :calls ?m] (trail ?m ?b ?s)]")
+datalog("rule_bound_by_clauses", "[:find ?a ?b ?s :where [?a :size 50] (trail ?a ?b ?s)]", f", c AS (SELECT e, v FROM {at(':calls')}), r AS (SELECT s.e AS a, c.v AS b FROM {at(':size')} s JOIN c ON c.e = s.e WHERE s.v_num = 50 UNION SELECT r.a, c.v FROM r JOIN c ON c.e = r.b) SELECT r.a, r.b, s.v AS s FROM r JOIN {at(':size')} s ON s.e = r.b", _TRAIL)
+
 
 def _edges(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFrame:
     live = model.snapshot(fx.facts(spark, sf_dir), fx.NOW)

@@ -3,7 +3,7 @@
 import pytest
 
 from factloom.model import FACT_DDL, FOREVER, to_ms
-from factloom.plans import edn
+from factloom.plans import datalog, edn
 from factloom.plans.datalog import QueryError, Session, parse_query
 
 JAN, FEB, MAR = (to_ms(f"2026-0{m}-01") for m in (1, 2, 3))
@@ -166,3 +166,57 @@ def test_edn_round_trip():
     for bad in ("[", "]", "(]", '"x', "{:a}", "1 2"):
         with pytest.raises(edn.EdnError):
             edn.read(bad)
+
+
+def family(spark, n):
+    """A chain of n commits, with labels that change every third."""
+    rows = [ref(f":c/{i}", ":parent", f":c/{i - 1}") for i in range(1, n)] + [text(f":c/{i}", ":label", f"l{i // 3}") for i in range(n)]
+    return spark.createDataFrame(rows, FACT_DDL).cache()
+
+
+PARITY = (
+    "[(odd ?a ?b) [?a :parent ?b]]",
+    "[(odd ?a ?b) [?a :parent ?m] (even ?m ?b)]",
+    "[(even ?a ?b) [?a :parent ?m] (odd ?m ?b)]",
+)
+
+
+def test_mutual_recursion(spark):
+    s = Session(family(spark, 9), MAR)
+    for r in PARITY:
+        s.rule(r)
+    pairs = {(i, j) for i in range(9) for j in range(i)}
+    name = lambda ij: (f":c/{ij[0]}", f":c/{ij[1]}")
+    assert run(s, "[:find ?a ?b :where (even ?a ?b)]") == sorted(name(p) for p in pairs if (p[0] - p[1]) % 2 == 0)
+    assert run(s, "[:find ?b :where (odd :c/6 ?b)]") == [(":c/1",), (":c/3",), (":c/5",)]
+    assert run(s, "[:find ?a :where (even ?a :c/2)]") == [(":c/4",), (":c/6",), (":c/8",)]
+    assert run(s, "[:find ?x :where [?x :label \"l2\"] (even ?x :c/0)]") == [(":c/6",), (":c/8",)]
+    assert run(s, "[:find ?x :where [?x :label \"l0\"] (not (odd ?x :c/0))]") == [(":c/0",), (":c/2",)]
+    assert run(s, "[:find ?b :where (even :c/0 ?b)]") == [] and run(s, "[:find ?b :where (even :none ?b)]") == []
+
+
+def test_bound_calls_derive_what_they_reach(spark, monkeypatch):
+    """A bound argument, of whatever place, and what clauses before a call bind keep the loop to what is asked for."""
+    s = Session(family(spark, 40), MAR)
+    for r in ("[(line ?a ?l ?b) [?a :parent ?b] [?b :label ?l]]", "[(line ?a ?l ?b) [?a :parent ?m] (line ?m ?l ?b)]", "[(back ?a ?l ?b) [?a :parent ?b] [?a :label ?l]]", "[(back ?a ?l ?b) (back ?a ?l ?m) [?m :parent ?b]]"):
+        s.rule(r)
+    sizes = {}
+    add = datalog.Loop.add
+
+    def counted(self, found):
+        more = add(self, found)
+        for key, rows in self.news.items():
+            sizes[key] = sizes.get(key, 0) + rows.count()
+        return more
+
+    monkeypatch.setattr(datalog.Loop, "add", counted)
+    assert run(s, "[:find ?l ?b :where (line :c/4 ?l ?b)]") == [("l0", ":c/0"), ("l0", ":c/1"), ("l0", ":c/2"), ("l1", ":c/3")]
+    assert sizes == {("line", (0,), True): 5, ("line", (0,)): 10}  # five commits, and their pairs, of 780
+    sizes.clear()
+    assert run(s, "[:find ?a :where (line ?a ?l :c/37)]") == [(":c/38",), (":c/39",)] and max(sizes.values()) <= 3
+    sizes.clear()
+    assert run(s, "[:find ?l :where (line :c/5 ?l :c/3)]") == [("l1",)] and sum(sizes.values()) <= 8
+    sizes.clear()
+    assert len(run(s, "[:find ?a ?b :where [?a :label \"l1\"] (back ?a ?l ?b)]")) == 3 + 4 + 5 and max(sizes.values()) <= 12
+    sizes.clear()
+    assert run(s, "[:find ?a :where (back ?a ?l :c/38)]") == [(":c/39",)] and max(sizes.values()) <= 4

@@ -1,8 +1,10 @@
 """Frontier claims, linearization, tags, submodules, reports."""
 
+import random
+
 import pytest
 
-from factloom.operators import ingest
+from factloom.operators import ingest, positions
 from factloom.operators.frontier import AUTHORITATIVE, PROVISIONAL, Frontier, ratio
 from factloom.sources import reports
 
@@ -56,3 +58,39 @@ def test_reports(spark, tmp_path):
     assert reports.markdown(t.select("pos", "apply_s"), "T") == "## T\n\n| pos | apply_s |\n| --- | --- |\n| 1 | 0.5 |\n"
     reports.write_json(t, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_long_history_takes_few_jobs(spark):
+    """50,000 commits in a line, with a side branch that is merged."""
+    n = 50_000
+    line = spark.range(n).selectExpr("CAST(id AS STRING) AS hash", "IF(id = 0, CAST(array() AS ARRAY<STRING>), IF(id = 40000, array('39999', 's2'), array(CAST(id - 1 AS STRING)))) AS parents")
+    side = spark.createDataFrame([("s1", ["10"]), ("s2", ["s1"])], "hash string, parents array<string>")
+    sc = spark.sparkContext
+    sc.setJobGroup("linearize", "count")
+    got = ingest.linearize(line.unionByName(side)).selectExpr("count(*) AS n", "max(level) AS most", "sum(level) AS total").first()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("linearize"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert (got["n"], got["most"], got["total"]) == (n + 2, n - 1, n * (n - 1) // 2 + 11 + 12)
+    assert jobs <= 150, jobs
+
+
+def test_random_histories(spark):
+    rng = random.Random(2)
+    rows = [(str(i), [str(p) for p in sorted(rng.sample(range(i), min(i, rng.choice([1, 1, 1, 2, 3]))))]) for i in range(120)]
+    level = {}
+    for h, parents in rows:
+        level[h] = max((level[p] + 1 for p in parents), default=0)
+    assert {r["hash"]: r["level"] for r in ingest.linearize(spark.createDataFrame(rows, "hash string, parents array<string>")).collect()} == level
+    with pytest.raises(ValueError):
+        ingest.linearize(spark.createDataFrame([("a", ["gone"])], "hash string, parents array<string>"))
+
+
+def test_containment(spark):
+    rng = random.Random(4)
+    spans = [(i, lo, None if rng.random() < 0.2 else lo + rng.randrange(0, 50)) for i in range(200) for lo in [rng.randrange(0, 80)]]
+    spans += [(900, 0, None), (901, 5, 5), (902, 5, 3), (903, 0, 1 << 41), (904, (1 << 40) - 1, None), (905, -5, 3)]
+    points = [0, 1, 7, 7, 63, 64, 100, (1 << 40) - 1]
+    got = positions.containing(spark.createDataFrame([(p,) for p in points], "p long"), "p", spark.createDataFrame(spans, "i int, lo long, hi long"), "lo", "hi")
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    expect = sorted((p, i) for p in points for i, lo, hi in spans if lo <= p and (hi is None or p < hi))
+    assert sorted((r["p"], r["i"]) for r in got.collect()) == expect
