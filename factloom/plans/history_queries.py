@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import idents, texts
 from factloom.model import FOREVER
-from factloom.operators import history, versions
+from factloom.operators import history, lineage, versions
 from factloom.plans import fixtures as fx
 from factloom.plans.operator_queries import TOUCHES, derived
 from factloom.plans.registry import register
-from factloom.session import materialize
+from factloom.session import materialize, workspace
+from factloom.sources.store import FactStore
+from factloom.streaming import walk
 
 derived("marker_idents", "SELECT concat(':function/part-', p_partkey) AS e, concat('abcdef0123456789', p_partkey) AS hash FROM part", lambda d: d.select("e", idents.marker_ident(F.col("e")).alias("marker"), idents.candidate_ident(F.col("hash"), F.col("e")).alias("candidate"), idents.commit_ident(F.col("hash")).alias("commit")), "SELECT e, ':lineage/' || replace(e[2:], '/', '-') AS marker, ':candidate/' || hash[1:12] || '-' || replace(e[2:], '/', '-') AS candidate, ':commit/' || hash[1:12] AS commit FROM src")
 derived("cut_texts", "SELECT doc_id, text FROM documents", lambda d: d.select("doc_id", texts.cut(F.col("text"), 120).alias("description"), texts.cut(F.col("text"), 200).alias("subject")), "SELECT doc_id, text[1:120] AS description, text[1:200] AS subject FROM src")
@@ -58,3 +62,33 @@ whole AS (SELECT e, v, min(lo) AS lo, max(hi) AS hi FROM isle GROUP BY e, v, k)
 SELECT e, v, f.at_ms AS vf_ms, CASE WHEN hi = {FOREVER} THEN {FOREVER} ELSE greatest(f.at_ms, t.at_ms) END AS vt_ms FROM whole JOIN ver f ON f.pos = lo LEFT JOIN ver t ON t.pos = hi"""
 register("fold_versions", folded(1), _FOLDED)
 register("fold_in_pieces", folded(3), _FOLDED)
+
+# a line of an order touches its part in the order's commit; the body is what its first line there says
+_TOUCHED = "SELECT concat(':function/part-', l_partkey) AS e, CAST(l_orderkey AS BIGINT) AS pos, concat(':commit/', l_orderkey) AS commit, {ms} AS vf_ms, min(concat(l_returnflag, l_linestatus, CASE WHEN l_quantity > 25 THEN 'many' ELSE 'few' END)) AS body_hash, l_partkey % 5 = 0 AS is_module FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey, l_orderkey, o_orderdate"
+_WALKED = f"WITH t AS ({_TOUCHED.format(ms=fx.ms('o_orderdate', 'duckdb'))}), w AS (SELECT *, lag(body_hash) OVER (PARTITION BY e ORDER BY pos) AS was FROM t) SELECT e, CASE WHEN was IS NULL THEN ':introduced-by' ELSE ':modified-in' END AS a, commit AS v FROM w WHERE was IS NULL OR was <> body_hash OR is_module"
+
+
+def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.sql(spark, sf_dir, _TOUCHED.format(ms=fx.ms("o_orderdate", "spark")))
+
+
+def stateful_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk as a stream with keyed state, its touches arriving in three increments."""
+    touches = _touched(spark, sf_dir).select("e", "pos", "commit", "body_hash", "is_module")
+    return walk.in_increments(touches, 3, f"{workspace(spark)}/walk-{uuid.uuid4().hex}")
+
+
+def correction_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reverse stream fills in the newest two thirds, the forward stream the rest, and the sweep settles what is between."""
+    touches = materialize(_touched(spark, sf_dir), "touches")
+    least, most = touches.agg(F.min("pos"), F.max("pos")).first()
+    met_at = least + (most - least) // 3
+    store = FactStore(spark, f"{workspace(spark)}/lineage-{uuid.uuid4().hex}")
+    store.transact(lineage.reverse_fill(touches.filter(F.col("pos") >= met_at)), "reverse")
+    store.transact(lineage.forward(touches.filter(F.col("pos") < met_at), touches.select("e", "pos", "body_hash").limit(0)), "forward")
+    lineage.correct(store, touches, met_at)
+    return store.facts().filter(F.col("tx_retracted").isNull()).select("e", "a", "v")
+
+
+register("stateful_walk", stateful_walk, _WALKED)
+register("correction_applied", correction_applied, _WALKED)

@@ -9,7 +9,7 @@ import subprocess
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from factloom.session import ship_package
@@ -125,6 +125,29 @@ class _Reader(DataSourceReader):
         yield from rows(self.repo, self.what, partition.lo, partition.hashes)
 
 
+class _StreamReader(DataSourceStreamReader):
+    """Offsets are numbers of commits of the linearization; a batch has ``perbatch`` of them at most."""
+
+    def __init__(self, options: dict):
+        self.repo, self.what, self.branch = options["path"], options.get("what", "commits"), options.get("branch", "HEAD")
+        self.most, self.at, self.step = int(options.get("perbatch", "100")), int(options.get("start", "0")), int(options.get("commitsperpartition", "500"))
+
+    def initialOffset(self) -> dict:
+        return {"pos": self.at}
+
+    def latestOffset(self) -> dict:
+        self.at = max(self.at, min(self.at + self.most, len(linearization(self.repo, self.branch))))
+        return {"pos": self.at}
+
+    def partitions(self, start: dict, end: dict) -> list[_Range]:
+        self.at = max(self.at, end["pos"])
+        order = linearization(self.repo, self.branch)
+        return [_Range(i, order[i : min(i + self.step, end["pos"])]) for i in range(start["pos"], end["pos"], self.step)]
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        yield from rows(self.repo, self.what, partition.lo, partition.hashes)
+
+
 def rows(repo: str, what: str, lo: int, hashes: list[str]) -> Iterator[tuple]:
     """Rows of commits with positions from ``lo`` on."""
     yield from {"commits": _commits, "changes": _changed, "blobs": _blobs, "tags": _tags}[what](repo, lo, hashes)
@@ -180,6 +203,9 @@ class GitLogSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _StreamReader(self.options)
+
 
 def read(spark: SparkSession, repo: str, what: str = "commits", branch: str = "HEAD", **options) -> DataFrame:
     """``options``: ``start`` commits that are taken already, the digest ``was`` of them and their ``heads``; ``most`` commits."""

@@ -128,6 +128,13 @@ class FactStore:
             rows = rows.unionByName(_retracts(ops.filter("op = 'retract'"), tx)).unionByName(_asserts(come, tx))
         return self._append(materialize(rows, "written"), "log", tx)
 
+    def replace(self, reason: str, gone: DataFrame, come: DataFrame) -> int | None:
+        """One transaction that retracts ``gone`` (e, a, v) and asserts what of ``come`` is new; None if there is neither."""
+        _need_reason(reason)
+        tx = self._next()
+        rows = materialize(_retracts(gone, tx).unionByName(_asserts(temporal.fresh(self.facts(), come), tx)), "replaced")
+        return self._append(rows, "log", tx) if rows.take(1) else None
+
     def upsert(self, new: DataFrame, at_ms: int, reason: str) -> int | None:
         """Bring single-valued attributes to ``new`` (e, a, v_type, v, v_num); what has not changed is not written."""
         _need_reason(reason)
