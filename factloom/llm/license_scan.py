@@ -129,6 +129,22 @@ def align(text: list[str | None], template: list[str], start: int, band: int) ->
     return int(matched[best]), int(first[best]), min(max(end, int(first[best])), len(text))
 
 
+def reachable(text: np.ndarray, template: np.ndarray, start: int, band: int) -> int:
+    """How many of the template's words :func:`align` could match at most: those that occur in the text inside the band.
+
+    Both sides are word numbers, with -1 in the text where a word is taken out or unknown to the template.
+    """
+    n, off = len(template), start - band
+    around = np.full(n + 2 * band, -1, np.int64)
+    lo, hi = max(off, 0), min(off + len(around), len(text))
+    if lo < hi:
+        around[lo - off : hi - off] = text[lo:hi]
+    found = np.zeros(n, bool)
+    for k in range(2 * band + 1):
+        found |= around[k : k + n] == template
+    return int(found.sum())
+
+
 def chains(hits: np.ndarray, size: int, whole: bool) -> list[np.ndarray]:
     """Rows of ``hits`` (text place, template place; sorted) that stand in the order of a template of ``size`` words, best first.
 
@@ -160,41 +176,49 @@ def occurrences(words: list[str], template: list[str], hits: np.ndarray, least:
     """(matched words, first, end) of each occurrence of the template around ``hits`` (text place, template place; sorted)."""
     left: list[str | None] = list(words)
     out: list[tuple[int, int, int]] = []
-
-    def take(part: list[str], shift: int, lo: int, hi: int, places: np.ndarray) -> None:
-        """Align ``part`` of the template, which begins at its word ``shift``, along the diagonals ``lo`` to ``hi`` as often as it is there."""
-        have, need = Counter(part), least * len(part)
-
-        def enough(a: int, b: int) -> bool:
-            return b - a >= need and sum(min(n, have[w]) for w, n in Counter(left[a:b]).items() if w in have) >= need
-
-        lo, hi = lo + shift, hi + shift
-        while any(left[x] is not None for x in places.tolist()) and enough(max(lo - BAND - 1, 0), min(hi + len(part) + BAND + 1, len(left))):
-            matched, first, end = align(left, part, (lo + hi) // 2, BAND + (hi - lo + 1) // 2)
+    ids = {w: k for k, w in enumerate(dict.fromkeys(template))}
+    own = np.fromiter((ids[w] for w in template), np.int64, len(template))
+    numbers = np.fromiter((ids.get(w, -1) for w in words), np.int64, len(words))
+
+    def take(at: int, stop: int, lo: int, hi: int, places: np.ndarray, fewest: float) -> None:
+        """Align the template's words from ``at`` to ``stop`` along the diagonals ``lo`` to ``hi`` as often as they are there."""
+        part = template[at:stop]
+        need = max(least * len(part), fewest)
+        start, band = (lo + hi) // 2 + at, BAND + (hi - lo + 1) // 2
+        while (numbers[places] >= 0).any() and reachable(numbers, own[at:stop], start, band) >= need:
+            matched, first, end = align(left, part, start, band)
             if matched < need:
                 break
-            while end > first and left[end - 1] not in have:
+            while end > first and left[end - 1] not in ids:
                 end -= 1
             if end <= first:
                 break
             out.append((matched, first, end))
             left[first:end] = [None] * (end - first)
+            numbers[first:end] = -1
 
     diagonal = hits[:, 0] - hits[:, 1]
     have, need = Counter(template), least * len(template)
     if sum(min(n, have[w]) for w, n in Counter(words).items() if w in have) >= need:
         # chains over all their diagonals; after them each diagonal of its own, for what no chain accounts for
         for c in chains(hits, len(template), True):
-            take(template, 0, int(diagonal[c].min()), int(diagonal[c].max()), hits[c, 0])
-        for x in np.unique(diagonal).tolist():
-            take(template, 0, x, x, hits[diagonal == x, 0])
+            take(0, len(template), int(diagonal[c].min()), int(diagonal[c].max()), hits[c, 0], 0)
+        order = np.argsort(diagonal, kind="stable")
+        for x, places in zip(*_groups(diagonal[order], hits[order, 0]), strict=True):
+            take(0, len(template), x, x, places, 0)
     for c in chains(hits, len(template), False):
         start, end = max(int(hits[c[0], 1]) - WINDOW + 1, 0), min(int(hits[c[-1], 1]) + K + WINDOW - 1, len(template))
-        if end - start >= passage / least:
-            take(template[start:end], start, int(diagonal[c].min()), int(diagonal[c].max()), hits[c, 0])
+        if end - start >= passage:
+            take(start, end, int(diagonal[c].min()), int(diagonal[c].max()), hits[c, 0], passage)
     return out
 
 
+def _groups(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The distinct ``keys``, which are sorted, and the ``values`` of each."""
+    distinct, at = np.unique(keys, return_index=True)
+    return distinct.tolist(), np.split(values, at[1:])
+
+
 def scan_words(words: list[str], index: Index, known: dict[str, int], least: float = 0.8, passage: int = 30) -> list[tuple[str, float, int, int, int]]:
     """(name, coverage, matched, first word, end word) of each template found."""
     h = _hashes(words, known)

@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from factloom.llm import license_scan as ls
@@ -145,3 +147,37 @@ def test_inserted_passages_and_repeated_notices():
         for n in (2, 3, 8, 50):
             assert names_of((TEMPLATES[notice] + "\n") * n) == [notice] * n
     assert names_of((TEMPLATES["ISC"] + "\n") * 3) == ["ISC"] * 3
+
+
+@pytest.mark.parametrize("size", [30, 31, 33, 37, 38, 45, 60])
+def test_verbatim_passages_are_found_at_every_place(size):
+    index = ls.build(TEMPLATES)
+    words = index.words[index.names.index("MIT")]
+    filler = [f"zz{i}" for i in range(120)]
+    for at in range(0, len(words) - size, 3):
+        found = ls.scan_words(filler[:60] + words[at : at + size] + filler[60:], index, {})
+        assert any(name.startswith("MIT") and matched >= size - 1 and first <= 61 and end >= 59 + size for name, _, matched, first, end in found), at
+    assert ls.scan_words(filler[:60] + words[20:44] + filler[60:], index, {}) == []
+
+
+def test_shuffled_legal_wording_takes_no_alignment_of_each_diagonal():
+    """Pieces of a long license in random order hold all its words and none of its passages."""
+    index = ls.build(TEMPLATES)
+    words = index.words[index.names.index("GPL-3.0")]
+    rng, text = random.Random(3), []
+    while len(text) < 6000:
+        at = rng.randrange(len(words) - 9)
+        text += words[at : at + rng.randrange(3, 9)]
+    began = time.process_time()
+    assert ls.scan_words(text, index, {}) == []
+    assert time.process_time() - began < 20  # minutes, if each diagonal is aligned
+
+
+def test_reachable_bounds_the_alignment():
+    rng = random.Random(9)
+    for _ in range(300):
+        text, template, band = rng.choices("abcde", k=rng.randrange(1, 30)), rng.choices("abcdf", k=rng.randrange(1, 15)), rng.randrange(1, 6)
+        start = rng.randrange(-5, 30)
+        ids = {w: k for k, w in enumerate(dict.fromkeys(template))}
+        bound = ls.reachable(np.array([ids.get(w, -1) for w in text]), np.array([ids[w] for w in template]), start, band)
+        assert ls.align(text, template, start, band)[0] <= bound
