@@ -189,60 +189,96 @@ class Labeller:
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The language number of each word of each text (lists of letter words)."""
         langs = len(self.model.langs)
-        most = max(self.BLOCK, self.HELD // (langs * langs + 4 * langs))
+        most = max(self.BLOCK, self.HELD // (langs * langs + 4 * langs) // self.BLOCK * self.BLOCK)
         out: list[np.ndarray] = []
         lo = 0
         while lo < len(texts):
+            if len(texts[lo]) > most:
+                out.append(self._long(texts[lo], most))
+                lo += 1
+                continue
             hi, held = lo, 0
-            while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= most):
+            while hi < len(texts) and len(texts[hi]) <= most and (hi == lo or held + len(texts[hi]) <= most):
                 held += len(texts[hi]) + self.BLOCK
                 hi += 1
             out += self._viterbi(texts[lo:hi])
             lo = hi
         return out
 
+    def _long(self, text: list[str], most: int) -> np.ndarray:
+        """A text in runs of ``most`` words. The way there keeps the scores at the start of each run, the way back forms a run's
+        pointers anew, so what is held does not grow with the text but for those scores."""
+        at, starts = np.zeros(len(self.model.langs), np.float64), []
+        for lo in range(0, len(text), most):
+            starts.append(at)
+            for block in _Blocks(self, [text[lo : lo + most]]).best:
+                at = (at[:, None] + block).max(axis=0)
+        state, out = int(at.argmax()), []
+        for k in range(len(starts) - 1, -1, -1):
+            b = _Blocks(self, [text[k * most : (k + 1) * most]])
+            state = b.trace(0, starts[k], state)
+            out.append(b.paths()[0])
+        return np.concatenate(out[::-1])
+
     def _viterbi(self, texts: list[list[str]]) -> list[np.ndarray]:
-        ids, table = self._ids(texts)
-        lengths = np.array([len(t) for t in texts])
-        blocks = -(-lengths // self.BLOCK)
-        n, size, langs, penalty = int(blocks.sum()), self.BLOCK, len(self.model.langs), np.float32(self.model.penalty)
-        if not n:
-            return [np.zeros(0, np.int32)] * len(texts)
-        first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
-        begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        b = _Blocks(self, texts)
+        for k in range(len(texts)):
+            b.trace(k, np.zeros(len(self.model.langs), np.float64), None)
+        return b.paths()
+
+
+class _Blocks:
+    """Texts cut into blocks of words that are solved side by side, for every language that may stand before a block."""
+
+    def __init__(self, labeller: Labeller, texts: list[list[str]]):
+        ids, table = labeller._ids(texts)
+        self.lengths = np.array([len(t) for t in texts])
+        self.blocks = -(-self.lengths // labeller.BLOCK)
+        n, size, langs, penalty = int(self.blocks.sum()), labeller.BLOCK, len(labeller.model.langs), np.float32(labeller.model.penalty)
+        self.first = np.concatenate([[0], np.cumsum(self.blocks)[:-1]])
+        begin = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         score = np.zeros((n * size, langs), np.float32)  # padding scores nothing and changes no path
-        score[np.arange(len(ids)) + np.repeat(first * size - begin, lengths)] = table[ids]
+        score[np.arange(len(ids)) + np.repeat(self.first * size - begin, self.lengths)] = table[ids]
         score = np.ascontiguousarray(score.reshape(n, size, langs).swapaxes(0, 1))
-        came = np.zeros((size, n, langs), np.int32)  # by entry: the language that a switch comes from
-        switched = np.zeros((size, n, langs, langs), bool)
+        self.came = np.zeros((size, n, langs), np.int32)  # by entry: the language that a switch comes from
+        self.switched = np.zeros((size, n, langs, langs), bool)
         best = score[0][:, None, :] - penalty * (1 - np.eye(langs, dtype=np.float32))
         for t in range(1, size):
             top = best.argmax(axis=2)
             jump = np.take_along_axis(best, top[:, :, None], 2) - penalty
-            came[t] = top
-            np.greater(jump, best, out=switched[t])
+            self.came[t] = top
+            np.greater(jump, best, out=self.switched[t])
             best = np.maximum(best, jump) + score[t][:, None, :]
-        entry, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for a, k in zip(first.tolist(), blocks.tolist(), strict=True):
-            if not k:
-                continue
-            at, back = np.zeros(langs, np.float64), []
-            for b in range(a, a + k):
-                through = at[:, None] + best[b]
-                back.append(through.argmax(axis=0))
-                at = through.max(axis=0)
+        self.best = best
+        self.entry, self.last = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def trace(self, text: int, at: np.ndarray, state: int | None) -> int | None:
+        """Choose the ways through a text's blocks, from the scores ``at`` before them to the language ``state`` at their end
+        (None: the best). Returns the language before them."""
+        a, k = int(self.first[text]), int(self.blocks[text])
+        back = []
+        for b in range(a, a + k):
+            through = at[:, None] + self.best[b]
+            back.append(through.argmax(axis=0))
+            at = through.max(axis=0)
+        if k and state is None:
             state = int(at.argmax())
-            for b in range(a + k - 1, a - 1, -1):
-                last[b], entry[b] = state, back[b - a][state]
-                state = int(entry[b])
-        each, state = np.arange(n), last
+        for b in range(a + k - 1, a - 1, -1):
+            self.last[b], self.entry[b] = state, back[b - a][state]
+            state = int(self.entry[b])
+        return state
+
+    def paths(self) -> list[np.ndarray]:
+        """The languages of each text's words, along the ways that are chosen."""
+        size, n = self.came.shape[:2]
+        each, state = np.arange(n), self.last
         path = np.empty((size, n), np.int32)
         for t in range(size - 1, 0, -1):
             path[t] = state
-            state = np.where(switched[t, each, entry, state], came[t, each, entry], state)
+            state = np.where(self.switched[t, each, self.entry, state], self.came[t, each, self.entry], state)
         path[0] = state
         flat = path.T.reshape(-1)
-        return [flat[f * size : f * size + k] for f, k in zip(first.tolist(), lengths.tolist(), strict=True)]
+        return [flat[f * size : f * size + k] for f, k in zip(self.first.tolist(), self.lengths.tolist(), strict=True)]
 
 
 _labellers: dict[str, Labeller] = {}

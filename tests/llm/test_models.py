@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
@@ -238,3 +239,24 @@ def test_descent_separates():
     rows = [np.unique(np.concatenate([rng.integers(0, 50, 6), [100 + k % 2]])).astype(np.int32) for k in range(200)]
     model = quality_model.train(rows, [k % 2 for k in range(200)])
     assert all((model.margin(r) > 0) == bool(k % 2) for k, r in enumerate(rows))
+
+
+def test_a_long_text_is_labelled_in_runs(monkeypatch):
+    """A text cut into runs gets the labels that it gets at once, and memory follows the run, not the text."""
+    rng = np.random.default_rng(3)
+    langs = 40
+    model = langid.Model([f"l{k:02d}" for k in range(langs)], rng.normal(-8, 2, (langid.FEATURES, langs)).astype(np.float32), np.ones((14, langs), bool), 4.0, "m")
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 6))) for _ in range(3000)]
+    whole = langid.Labeller(model)._viterbi([words])[0]
+    monkeypatch.setattr(langid.Labeller, "HELD", 128 * (langs * langs + 4 * langs) * 3)
+    labeller = langid.Labeller(model)
+    short, long, other = labeller.label([words[:50], words, words[100:400]])
+    assert (long == whole).all() and (short == langid.Labeller(model)._viterbi([words[:50]])[0]).all() and len(other) == 300
+    monkeypatch.undo()
+    model = langid.Model([f"l{k:03d}" for k in range(200)], rng.normal(-8, 2, (langid.FEATURES, 200)).astype(np.float32), np.ones((14, 200), bool), 4.0, "n")
+    labeller = langid.Labeller(model)
+    tracemalloc.start()
+    labeller.label([words * 33])  # a tenth of a million words
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6, peak
