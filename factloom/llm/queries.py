@@ -78,10 +78,13 @@ def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def planted(docs: DataFrame) -> DataFrame:
     """(doc_id, text): in a tenth of the documents, chosen by the id's crc32, the words from one on repeat with a period."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    w = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words(F.col("text"))).alias("w"))
-    w = w.withColumn("n", F.coalesce(F.size("w"), F.lit(0))).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
-    w = w.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
-    repeated = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))), " ")
+    w = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words(F.col("text"))).alias("w"))
+    w = w.withColumn("n", F.coalesce(F.size("w"), F.lit(0))).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    w = w.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    # whole slices, for a function of each word would split the text anew for each
+    unit = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times))
+    repeated = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), unit), F.lit(1), F.col("n")), " ")
     return w.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
 
 
