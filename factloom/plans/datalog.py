@@ -269,6 +269,13 @@ class Loop:
     def __init__(self) -> None:
         self.parts: dict[tuple, list[DataFrame]] = {}
         self.news: dict[tuple, DataFrame] = {}
+        self.scans: dict[int, DataFrame] = {}
+
+    def scan(self, clause: int, df: DataFrame) -> DataFrame:
+        """What a pattern finds among the facts, read from the store once for all rounds."""
+        if clause not in self.scans:
+            self.scans[clause] = materialize(df.select("e", "a", "v", "v_type", "v_num", "vf_ms", "vt_ms"), "pattern")
+        return self.scans[clause]
 
     def all(self, key: tuple) -> DataFrame | None:
         parts = self.parts.get(key)
@@ -405,7 +412,7 @@ class Session:
             elif isinstance(c, Vector) and len(c) == 1 and isinstance(c[0], Form):
                 later.append(c)
             elif isinstance(c, Vector):
-                b = self._pattern(q, c, b)
+                b = self._pattern(q, c, b, within)
             elif isinstance(c, Form) and c and isinstance(c[0], Symbol):
                 if c[0].name in ("not", "not-join"):
                     later.append(c)
@@ -437,7 +444,7 @@ class Session:
             return "str", (F.col("v_type") == "str") & (F.col("v") == x)
         raise QueryError(f"not a value: {x!r}")
 
-    def _pattern(self, q: Query, c: Vector, b: Bound) -> Bound:
+    def _pattern(self, q: Query, c: Vector, b: Bound, within: Round | None = None) -> Bound:
         if not 2 <= len(c) <= 3:
             raise QueryError(f"a pattern is [e a v]: {c}")
         e, a, v = c[0], c[1], c[2] if len(c) == 3 else Symbol("_")
@@ -462,6 +469,8 @@ class Session:
             df = df.filter(self._literal(v)[1])
         for x, y in same:
             df = df.filter((x[0] == y[0]) & (x[1] == y[1]))
+        if within is not None:
+            df = within.loop.scan(id(c), df)
         at = len(b.last_clause) + sum(1 for k in (b.df.columns if b.df is not None else ()) if k.endswith(":vf"))
         picked = [x for n, (s, t, k) in cols.items() for x in (s.alias(n), t.alias(f"{n}:t"), k.alias(f"{n}:n"))]
         picked += [F.col("vf_ms").alias(f"{at}:vf"), F.col("vt_ms").alias(f"{at}:vt")]
