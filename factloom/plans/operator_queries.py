@@ -321,6 +321,25 @@ indexed("bm25_boosted", lambda i: _scores(i.score(QUESTION, discount=1.0)), f"{_
 indexed("bm25_discount", lambda i: _scores(i.score(QUESTION, boost=1.0)), f"{_BM25} SELECT entity, round(score * CASE WHEN valid_to IS NOT NULL THEN 0.5 ELSE 1.0 END, 6) AS score FROM scored")
 indexed("bm25_topn", lambda i: _scores(i.top(QUESTION, 10)), f"{_BM25} SELECT entity, round(score, 6) AS score FROM ranked ORDER BY ranked.score, entity, attribute, value LIMIT 10")
 indexed("bm25_scan_limit", lambda i: _scores(i.top(QUESTION)), f"{_BM25} SELECT entity, round(score, 6) AS score FROM ranked ORDER BY ranked.score, entity, attribute, value LIMIT 50")
+
+
+def kept_up_index(spark: SparkSession, sf_dir: str) -> FactIndex:
+    """An index that took in two rows of three at first, lost current decisions, then was given all but the dependencies."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} kept up")
+    if key not in _indexes:
+        rows, path = fx.sql(spark, sf_dir, INDEX), f"{workspace(spark)}/index-{uuid.uuid4().hex}"
+        index = FactIndex(spark, path)
+        index.rebuild(rows.filter("length(value) % 3 <> 0"))
+        index.delete_current(rows.filter("entity LIKE ':decision/%' OR entity LIKE ':preference/%'"))
+        index.insert(rows.filter("entity NOT LIKE ':dependency/%' AND entity NOT LIKE ':preference/%'"))
+        _indexes[key] = path
+    return FactIndex(spark, _indexes[key])
+
+
+_KEPT = f"""WITH RECURSIVE every AS ({INDEX}), src AS (SELECT DISTINCT * FROM every WHERE CASE WHEN entity LIKE ':preference/%' THEN length(value) % 3 <> 0 AND valid_to IS NOT NULL
+WHEN entity LIKE ':dependency/%' THEN length(value) % 3 <> 0 ELSE true END){_BM25}"""
+register("index_kept_up", lambda spark, sf_dir: _scores(kept_up_index(spark, sf_dir).score(QUESTION)), f"{_KEPT} SELECT entity, round(score, 6) AS score FROM ranked")
+register("index_kept_up_topn", lambda spark, sf_dir: _scores(kept_up_index(spark, sf_dir).top(QUESTION, 25)), f"{_KEPT} SELECT entity, round(score, 6) AS score FROM ranked ORDER BY ranked.score, entity, attribute, value LIMIT 25")
 _FORMAT = "'  ' || entity || ' | ' || attribute || ' | ' || value || CASE WHEN valid_to IS NOT NULL THEN '  [was valid ' || coalesce(valid_from, 'None') || ' → ' || valid_to || ']' ELSE '' END"
 indexed("prepare_turn", lambda i: retrieval.numbered(i.top(QUESTION, 20)), f"{_BM25} SELECT row_number() OVER (ORDER BY score, entity, attribute, value) AS rank, {_FORMAT} AS line FROM (SELECT * FROM ranked ORDER BY score, entity, attribute, value LIMIT 20)")
 derived("format_facts", INDEX, lambda d: d.select("entity", retrieval.format_row().alias("line")), f"SELECT entity, {_FORMAT} AS line FROM src")

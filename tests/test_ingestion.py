@@ -1,15 +1,16 @@
 """Ingestion end to end on a small repository, the tool surface, the stored index and writers that race."""
 
 import random
+import re
 import subprocess
 
 import pytest
 
 from factloom.model import FOREVER
-from factloom.operators import graph, history
+from factloom.operators import graph, history, retrieval
 from factloom.service import Service
 from factloom.sources import git_log
-from factloom.sources.fact_index import FactIndex
+from factloom.sources.fact_index import FactIndex, runs
 from factloom.sources.store import FactStore
 
 NOW = 1_800_000_000_000
@@ -203,6 +204,67 @@ def test_index_life(spark, tmp_path):
     assert [r["score"] < 0 for r in i.score("new").collect()] == [True] and i.top("...").count() == 0
 
 
+def test_best_n_by_bounds_equals_scoring_all(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    words, often = [f"w{i}" for i in range(60)], [1 / (i + 1) for i in range(60)]
+    kinds = (":decision/", ":preference/", ":module/", ":function/", ":class/")
+    made = [(f"{rng.choice(kinds)}e{i}", ":description", " ".join(rng.choices(words, often, k=rng.choice((1, 3, 8, 40, 200)))), None, "2026" if rng.random() < 0.3 else None) for i in range(1500)]
+    frame = lambda rows: spark.createDataFrame(rows, "entity string, attribute string, value string, valid_from string, valid_to string")
+    index = FactIndex(spark, f"file://{tmp_path}/i", buckets=4, rows_a_block=4)
+    index.rebuild(frame(made[:1200]))
+
+    def same(live, asks=(("w3 w0 w0", 5),)):
+        everything = frame(live).coalesce(1).cache()
+        for query, n in asks:
+            want, got = retrieval.top(everything, query, n).collect(), index.top(query, n).collect()
+            assert [round(r["score"], 9) for r in want] == [round(r["score"], 9) for r in got]
+            edge = round(want[-1]["score"], 9)  # rows that tie with the last may be either
+            assert {r["entity"] for r in want if round(r["score"], 9) < edge} == {r["entity"] for r in got if round(r["score"], 9) < edge}
+
+    same(made[:1200], (("w3 w0 w0", 5), ("w55", 3), ("w1 w2 w9 none", 40), ("w40 w59", 2000)))
+    asked = index._question("w3 w0 w0", 2.0, 0.5)
+    blocks = asked.blocks(5)[0]
+    assert len(blocks) * 4 < asked.bounded().count()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    plan = index._within(asked.hits(), blocks)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert re.search(r"PushedFilters: .*GreaterThanOrEqual\(block", plan) and re.search(r"PartitionFilters: .*bucket", plan)
+    index.delete_current(frame(made[:400]))
+    index.insert(frame(made[300:]))
+    left = [r for i, r in enumerate(made) if i >= 300 or r[4]]
+    assert index.rows().count() == len(left)
+    same(left)
+    monkeypatch.setattr("factloom.sources.fact_index.MOST_BLOCKS", 3)  # what is not named in a filter is joined
+    same(left)
+    index.delete_current(frame(made))
+    assert index.rows().count() == sum(r[4] is not None for r in made)
+    index.insert(frame(made))
+    same(made)
+
+
+def test_runs_cover_their_blocks():
+    assert runs([]) == [] and runs([7]) == [(7, 7)]
+    assert runs([1, 2, 3, 9, 10, 40]) == [(1, 3), (9, 10), (40, 40)]
+    assert runs([1, 2, 3, 9, 10, 40], most=2) == [(1, 10), (40, 40)] and runs([1, 5, 9], most=1) == [(1, 9)]
+
+
+def test_a_write_that_dies_leaves_nothing(spark, tmp_path, monkeypatch):
+    rows = lambda *r: spark.createDataFrame(r, "entity string, attribute string, value string, valid_from string, valid_to string")
+    index = FactIndex(spark, f"file://{tmp_path}/i")
+    index.rebuild(rows((":m", ":name", "old", None, None)))
+
+    def dies(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr("factloom.sources.fact_index._claim", dies)
+        for write in (lambda: index.insert(rows((":n", ":name", "new", None, None))), lambda: index.delete_current(rows((":m", ":name", "old", None, None)))):
+            with pytest.raises(OSError):
+                write()
+    assert [r["value"] for r in index.rows().collect()] == ["old"]
+    assert index.top("new").count() == 0 and index.top("old").count() == 1
+
+
 def test_two_writers_never_share_a_number(spark, tmp_path):
     batch = lambda v: spark.createDataFrame([(":x", ":name", "str", v, None, 0, FOREVER)], "e string, a string, v_type string, v string, v_num double, vf_ms long, vt_ms long")
     a, b = FactStore(spark, f"file://{tmp_path}/s"), FactStore(spark, f"file://{tmp_path}/s")
