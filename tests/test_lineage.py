@@ -38,6 +38,15 @@ def test_walk_over_any_borders(spark, tmp_path, increments):
     assert sorted(map(tuple, got.collect())) == sorted(f[:3] for f in plain(rows))
 
 
+def test_walk_calls_follow_slices_not_entities(spark, tmp_path):
+    df, rows = touches(spark, 5, entities=40)
+    df.drop("vf_ms").write.parquet(f"{tmp_path}/in/0")
+    walk.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint", slices=2)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r["e"], r["a"], r["v"]) for r in got.collect()) == sorted(f[:3] for f in plain(rows))
+    assert spark.read.format("statestore").load(f"{tmp_path}/checkpoint").count() <= 2
+
+
 @pytest.mark.parametrize(("seed", "met_at"), [(1, 8), (2, 0), (3, 24)])
 def test_corrected_store_equals_the_forward_one(spark, tmp_path, seed, met_at):
     df, rows = touches(spark, seed)
