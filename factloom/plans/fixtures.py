@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.model import FOREVER
-from factloom.session import table, workspace
+from factloom.session import small_tasks, table, workspace
 from factloom.sources.store import FactStore
 
 DAY = 86_400_000
@@ -119,7 +119,9 @@ def store(spark: SparkSession, sf_dir: str) -> FactStore:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         path = f"{workspace(spark)}/facts-{uuid.uuid4().hex}"
-        FactStore(spark, path).load(derived_facts(spark, sf_dir))
+        rows = max(table(spark, sf_dir, t).count() for t in TABLES)  # from the files' footers
+        with small_tasks(spark, rows):
+            FactStore(spark, path).load(derived_facts(spark, sf_dir))
         _stored[key] = path
     return FactStore(spark, _stored[key])
 

@@ -6,10 +6,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows, about, that meet in one task of a shuffle, and bytes of shuffle files to which small partitions are put together.
+ROWS_A_TASK, BYTES_A_TASK = 500_000, 8 << 20
+
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 _workspaces: set[str] = set()
@@ -74,6 +79,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_tasks(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs inside shuffle ``rows`` rows to tasks of bounded size.
+
+    Adaptive execution puts partitions together by their compressed bytes, and rows of derived keys compress so well that
+    millions of them land in one task, whose sorts and hash tables then take gigabytes.
+    """
+    ours = {"spark.sql.shuffle.partitions": max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK)), "spark.sql.adaptive.advisoryPartitionSizeInBytes": BYTES_A_TASK}
+    before = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, which has about ``rows`` rows, dealt by ``keys`` to tasks of about ``ROWS_A_TASK``; see :func:`small_tasks`."""
+    at_least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(at_least, -(-rows // ROWS_A_TASK)), *keys)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table made by :func:`materialize` once nothing will read it."""
     path = getattr(df, "_factloom_path", None)

@@ -45,16 +45,20 @@ class FactStore:
             return read([parts[0][1]])[0].select(*FACT_COLUMNS)
         return temporal.facts_from_log(reduce(DataFrame.union, read([p for _, p in parts])))
 
-    def _append(self, rows: DataFrame, kind: str, tx: int) -> int:
+    def _append(self, rows: DataFrame, kind: str, tx: int | None) -> int:
         """Write a part of its own, then claim the transaction number by making its entry, which only one writer can.
 
         A writer that loses the number takes the next one: its rows carry the number in a column, so it writes again.
+        Without ``tx`` it is the last transaction that the written rows name.
         """
         while True:
-            tx = max(tx, self._next())
+            tx = tx if tx is None else max(tx, self._next())
             numbered = rows.withColumn("tx", F.lit(tx).cast("long")) if kind == "log" else rows
             staged = f"{self.path}/.staged-{uuid.uuid4().hex}"
             numbered.select(*LOG_COLUMNS).hint("rebalance", "a").write.partitionBy("a").parquet(staged)
+            if tx is None:
+                last = self.spark.read.schema(LOG_DDL).parquet(staged).agg(F.greatest(F.max("tx"), F.max("tx_retracted"))).first()[0] or 0
+                tx = max(last, self._next())
             if _claim(self.spark, f"{self.path}/_numbers/{tx}"):
                 _rename(self.spark, staged, f"{self.path}/{kind}-{tx}")
                 _claim(self.spark, f"{self.path}/_parts/{kind}-{tx}")
@@ -69,8 +73,7 @@ class FactStore:
         """Take in a whole fact table with its own transactions (a migration); the store must be empty."""
         if self._parts():
             raise ValueError("only an empty store takes in a whole table")
-        last = facts.agg(F.greatest(F.max("tx"), F.max("tx_retracted"))).first()[0] or 0
-        return self._append(facts.withColumn("asserted", F.lit(True)), "base", last)
+        return self._append(facts.withColumn("asserted", F.lit(True)), "base", None)
 
     def transact(self, batch: DataFrame, reason: str, validate: DataFrame | None = None) -> int:
         """Append the new facts of ``batch`` (e, a, v_type, v, v_num, vf_ms, vt_ms). ``validate``: facts that must

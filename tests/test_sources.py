@@ -4,6 +4,7 @@ import subprocess
 
 import pytest
 
+from factloom import session
 from factloom.model import FOREVER
 from factloom.sources import git_log, transcripts
 from factloom.sources.store import FactStore
@@ -74,3 +75,19 @@ def test_transcripts(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"role": "user", "content": "a"}\n{"role": "tool", "content": "x"}\nbroken\n{"role": "user", "content": [{"text": "b"}, {"text": "c"}]}\n{"role": "assistant", "content": "d"}\n')
     got = transcripts.last_exchange(transcripts.read(spark, str(tmp_path / "t.jsonl")), "file", "turn").collect()
     assert [r["exchange"] for r in got] == ["User: b c\nAssistant: d"]
+
+
+def test_load_derives_its_table_once_in_small_tasks(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    facts = spark.range(30).selectExpr("concat(':e/', id) AS e", "':a' AS a", "'str' AS v_type", "'x' AS v", "CAST(NULL AS DOUBLE) AS v_num", "0L AS vf_ms", f"{FOREVER}L AS vt_ms", "id + 1 AS tx", "IF(id = 3, 77L, NULL) AS tx_retracted")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with session.small_tasks(spark, 40 * session.ROWS_A_TASK):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+        tx = FactStore(spark, f"file://{tmp_path}/s").load(facts.mapInPandas(count, facts.schema))
+    assert (tx, seen.value, spark.conf.get("spark.sql.shuffle.partitions")) == (77, 30, before)
