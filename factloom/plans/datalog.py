@@ -17,7 +17,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.model import FOREVER, as_of, to_ms, valid_at
@@ -347,7 +347,8 @@ class Session:
         q = parse_query(text)
         if as_of is not None:
             q.as_of = as_of
-        out = self._find(q, self._where(q, q.where, Bound()))
+        out = self._counted_pairs(q)
+        out = self._find(q, self._where(q, q.where, Bound())) if out is None else out
         if order_by:
             out = out.orderBy(*order_by)
         out = out.offset(offset) if offset else out
@@ -394,6 +395,69 @@ class Session:
             return b.df.select(*groups)
         return (b.df.groupBy(*groups).agg(*aggs) if groups else b.df.agg(*aggs)).select(*order)
 
+    def _counted_pairs(self, q: Query) -> DataFrame | None:
+        """A count of pairs whose sides share the groups alone and meet in one comparison of numbers, without the pairs; else None.
+
+        Each side is counted by group and number. A row of the greater side pairs with what the lesser side has below it:
+        a running sum, formed inside ranges of numbers and over the ranges' totals. With ``!=`` between entities of both
+        sides, the pairs of an entity with itself are counted by a join on it and taken off.
+        """
+        groups, aggs = [var_name(x) for x in q.find if not isinstance(x, Form)], [x for x in q.find if isinstance(x, Form)]
+        patterns = [c for c in q.where if isinstance(c, Vector) and 2 <= len(c) <= 3 and not (isinstance(c[1], Keyword) and c[1].name in WINDOW)]
+        predicates = [c for c in q.where if isinstance(c, Vector) and len(c) == 1 and isinstance(c[0], Form) and len(c[0]) == 3]
+        if len(aggs) != 1 or len(aggs[0]) != 2 or aggs[0][0] != Symbol("count") or not groups or None in groups or len(patterns) + len(predicates) != len(q.where):
+            return None
+        sides: list[list] = []
+        for c in patterns:  # what shares a variable that is no group is one side
+            met = [s for s in sides if any(variables(c) & variables(x) - set(groups) for x in s)]
+            sides = [s for s in sides if not any(s is m for m in met)] + [[x for m in met for x in m] + [c]]
+        names = [{n for c in s for n in variables(c)} for s in sides]
+        if len(sides) != 2 or names[0] & names[1] != set(groups):
+            return None
+        across = []
+        for c in predicates:
+            at = [i for i in (0, 1) if variables(c[0]) <= names[i]]
+            (sides[at[0]] if at else across).append(c)
+        order, unequal = ([c[0] for c in across if isinstance(c[0][0], Symbol) and c[0][0].name in ops] for ops in ((">", ">=", "<", "<="), ("!=",)))
+        entities = {var_name(c[0]) for c in patterns} - {None}
+        if len(order) != 1 or len(unequal) > 1 or len(order) + len(unequal) != len(across) or any(not variables(p) <= entities for p in unequal):
+            return None
+        # the clauses of a side in the order of the query
+        bounds = [self._where(q, [c for c in q.where if any(c is x for x in s)], Bound()) for s in sides]
+        op, (great, less) = order[0][0].name, map(var_name, order[0][1:])
+        great, less = (great, less) if op[0] == ">" else (less, great)
+        a, b = bounds if great in names[0] else bounds[::-1]
+        counted = var_name(aggs[0][1])
+        self._need(Bound(kinds={**a.kinds, **b.kinds}), [n for n in [counted, *groups] if n is not None])
+        if counted is None or not {a.kinds[great], b.kinds[less]} <= {"int", "num"} or any(x.kinds[g] != "text" for x in bounds for g in groups):
+            return None
+
+        keys = [f"k{i}" for i in range(2 * len(groups))]
+
+        def side(x: Bound, number: str) -> DataFrame:
+            own = [F.col(f"`{g}{s}`").alias(keys[2 * i + j]) for i, g in enumerate(groups) for j, s in enumerate(("", ":t"))]
+            entity = [F.col(f"`{n}`").alias("entity") for p in unequal for n in variables(p) if n in x.kinds]
+            there = [F.col(f"`{n}`").isNotNull() for n in {counted, *groups, *(n for p in unequal for n in variables(p))} if n in x.kinds]
+            return x.df.filter(reduce(lambda p, c: p & c, there, F.col(f"`{number}:n`").isNotNull())).select(*own, F.col(f"`{number}:n`").alias("number"), *entity)
+
+        above, below = side(a, great), side(b, less)
+        once = lambda df, n: df.groupBy(*keys, "number").agg(F.count(F.lit(1)).alias(n))
+        both = once(above, "above").unionByName(once(below, "below"), allowMissingColumns=True)
+        both = both.groupBy(*keys, "number").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("above", "below")])
+        ranges = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        both = materialize(both.repartitionByRange(ranges, *keys, "number").withColumn("range", F.spark_partition_id()), "pairs")
+        first = Window.unboundedPreceding
+        earlier = F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(first, -1)), F.lit(0))
+        totals = both.groupBy(*keys, "range").agg(F.sum("below").alias("t")).select(*keys, "range", earlier.alias("earlier"))
+        inside = F.coalesce(F.sum("below").over(Window.partitionBy(*keys, "range").orderBy("number").rowsBetween(first, 0 if op.endswith("=") else -1)), F.lit(0))
+        found = both.withColumn("inside", inside).filter("above > 0").join(totals, [*keys, "range"])
+        found = found.select(*keys, (F.col("above") * (F.col("inside") + F.col("earlier"))).alias("n"))
+        if unequal:
+            same = above.join(below.withColumnRenamed("number", "other"), [*keys, "entity"])
+            found = found.unionByName(same.filter(COMPARE[op.replace("<", ">")](F.col("number"), F.col("other"))).select(*keys, F.lit(-1).cast("long").alias("n")))
+        out = found.groupBy(*[F.col(keys[2 * i]).alias(g) for i, g in enumerate(groups)]).agg(F.sum("n").alias(f"count_{counted}")).filter(F.col(f"count_{counted}") > 0)
+        return out.select(*[f"count_{counted}" if isinstance(x, Form) else var_name(x) for x in q.find])
+
     @staticmethod
     def _need(b: Bound, names: list[str]) -> None:
         for v in names:

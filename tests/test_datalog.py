@@ -111,6 +111,21 @@ def test_predicates(s):
     assert len(run(s, "[:find ?a ?b :where [?a :size ?x] [?b :size ?y] [(< ?x ?y)]]")) == 2
 
 
+@pytest.mark.parametrize("op", [">", ">=", "<", "<="])
+@pytest.mark.parametrize("apart", ["", "[(!= ?p ?q)]"])
+def test_pairs_are_counted_without_being_made(spark, op, apart):
+    size = [("a", 1.0), ("b", 1.0), ("c", 2.0), ("d", 5.0), ("d", 2.0), ("e", 7.0), ("f", None)]
+    group = [("a", "x"), ("b", "x"), ("c", "x"), ("d", "x"), ("d", "y"), ("e", "y"), ("f", "y"), ("c", "z")]
+    facts = [(f":{e}", ":size", "int", str(n), n, 0, FOREVER, 1, None) for e, n in size] + [(f":{e}", ":in", "ref", f":{g}", None, 0, FOREVER, 1, None) for e, g in group]
+    q = f"[:find ?g (count ?q) :where [?p :in ?g] [?p :size ?x] [?q :in ?g] [?q :size ?y] [({op} ?x ?y)] {apart}]"
+    compare = {">": float.__gt__, ">=": float.__ge__, "<": float.__lt__, "<=": float.__le__}[op]
+    pairs = [g for p, g in group for q_, h in group if g == h for u, m in size if u == p and m is not None for v, n in size if v == q_ and n is not None and compare(m, n) and not (apart and p == q_)]
+    got = Session(spark.createDataFrame(facts, FACT_DDL), MAR, {":size": "num"}).query(q)
+    assert sorted(map(tuple, got.collect())) == sorted((f":{g}", pairs.count(g)) for g in set(pairs))
+    read = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "k0" in read  # the groups' keys: numbers are counted, pairs are not joined
+
+
 def test_negation(s):
     assert run(s, "[:find ?e :where [?e :size ?n] (not [?e :depends-on ?d])]") == [(":svc/gate",)]
     assert run(s, "[:find ?e :where [?e :size ?n] (not-join [?e] [?x :calls ?e])]") == [(":svc/gate",), (":svc/jwt",)]
