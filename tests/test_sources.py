@@ -91,3 +91,12 @@ def test_load_derives_its_table_once_in_small_tasks(spark, tmp_path):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
         tx = FactStore(spark, f"file://{tmp_path}/s").load(facts.mapInPandas(count, facts.schema))
     assert (tx, seen.value, spark.conf.get("spark.sql.shuffle.partitions")) == (77, 30, before)
+
+
+def test_terms_are_counted_in_the_row(spark):
+    from factloom.sources import fact_index
+
+    rows = spark.createDataFrame([("r1", ":e/b", ":a", "b a é e b, b", 9, 0), ("r2", "!", "-", "", 0, 0)], "rid string, entity string, attribute string, value string, dl int, block long")
+    got = fact_index._terms(rows)
+    assert {(r["term"], r["tf"]) for r in got.collect()} == {("a", 2), ("b", 4), ("e", 3)}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
