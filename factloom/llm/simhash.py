@@ -9,6 +9,10 @@ The pairs that are left are found by a join of the tiles' bounds on the executor
 two packed arrays by exclusive-or and bit counts in numpy. Inside a job the arrays are cut once more into runs of
 ``SUB`` with bounds of their own, and skipped the same way. All skipping is exact: no pair within the radius is lost.
 
+The verified form (:func:`survivors`) compares fingerprints only inside lists of texts that can be similar at all: sets of
+shingles with a Jaccard similarity of t share one of the first |x| - ceil(t |x|) + 1 shingles of either, whatever the order of
+shingles, so texts meet by those. Frequent shingles come last in that order, so lists stay short. No similar pair is lost.
+
 A job unites what it finds and emits at most one link for each fingerprint, so a group of thousands of
 near copies gives a star, not all its pairs. Links are joined to components in
 :mod:`factloom.llm.components`.
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -34,7 +39,7 @@ from pyspark.sql import types as T
 
 from factloom.llm import components
 from factloom.llm.common import column, packed_row
-from factloom.session import materialize, ship_package
+from factloom.session import ROWS_A_TASK, materialize, ship_package
 
 #: Fingerprints of a tile.
 CHUNK = 1 << 15
@@ -263,6 +268,13 @@ _NODE = np.dtype([("fp", "<u8"), ("fp2", "<u8"), ("node", "<i8"), ("root", "<i8"
 _FAR = 1 << 20
 #: Links, at most about so many, whose texts are compared together.
 LINKS_A_BATCH = 256
+#: So many of a set's first shingles give the lists in which first links are sought; what those leave open is sought in all lists.
+FIRST = 4
+#: Sets, about, in which frequent shingles are counted; in how many of them a shingle is frequent; the most that are held.
+#: The order of shingles decides how long lists get, not what is found in them.
+COUNTED, FREQUENT, MOST_FREQUENT = 1 << 12, 5, 1 << 16
+#: Nodes of a list that are compared in one piece; rows of nodes in lists, about, of a task.
+TILE, MEMBERS_A_TASK, PAIRS_A_TASK = 1 << 13, 50_000, 200_000
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -285,8 +297,30 @@ def second_hashes(hashes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def set_fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """(who, fp, fp2, same) of ``docs`` (who, text): two SimHashes of the text's set of shingles and the set's 128-bit digest."""
+def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """The most frequent shingles of ``docs`` (text), counted in a bounded sample; sorted."""
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch["text"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, k).view(np.int64))], ["h"])
+
+    every = max(1, docs.count() // COUNTED)
+    counts = docs.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.filter(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT).select("h").collect()
+    return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
+
+
+def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, frequent ones last, of which similar sets have one in common."""
+    late = np.isin(hashes, frequent, assume_unique=True)
+    n = len(hashes)
+    return np.concatenate([hashes[~late], hashes[late]])[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+
+
+def set_fingerprints(docs: DataFrame, k: int, similarity: float, frequent: np.ndarray) -> DataFrame:
+    """(who, fp, fp2, same, prefix) of ``docs`` (who, text): two SimHashes of the text's set of shingles, the set's 128-bit digest and its :func:`prefix`."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,12 +330,71 @@ def set_fingerprints(docs: DataFrame, k: int) -> DataFrame:
             sets = [shingle_set(t, k) for t in batch["text"].to_pylist()]
             prints = [pa.array(np.array([majority(f(x)) for x in sets], np.uint64).view(np.int64)) for f in (lambda x: x, second_hashes)]
             same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["who"], *prints, same], ["who", "fp", "fp2", "same"])
+            first = pa.array([prefix(x, similarity, frequent).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["who"], *prints, same, first], ["who", "fp", "fp2", "same", "prefix"])
 
-    fields = [T.StructField("who", docs.schema["who"].dataType), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("same", T.BinaryType())]
+    fields = [T.StructField("who", docs.schema["who"].dataType), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("same", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
     return docs.select("who", "text").mapInArrow(run, T.StructType(fields))
 
 
+def lists(nodes: DataFrame, first: int | None = None) -> DataFrame:
+    """``nodes``: a written table (node, prefix). (list, nodes): the nodes, two at least, that share a shingle of their prefixes.
+
+    With ``first`` only so many shingles of a prefix count. Of lists with the same nodes one stays.
+    """
+    own = F.col("prefix") if first is None else F.slice("prefix", 1, first)
+    total = nodes.agg(F.sum(F.size(own))).first()[0] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        block, node = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("block", "node"))
+        order = np.lexsort([node, block])
+        block, node = block[order], node[order]
+        at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        size = np.diff(np.append(at, len(block)))
+        shared = size > 1
+        ends = np.concatenate([[0], np.cumsum(size[shared])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(block[at[shared]]), pa.ListArray.from_arrays(pa.array(ends), pa.array(node[np.repeat(shared, size)]))], ["list", "nodes"])
+
+    postings = nodes.select("node", F.explode(own).alias("block")).repartition(max(1, -(-total // ROWS_A_TASK)), "block")
+    met = postings.mapInArrow(run, "list long, nodes array<long>")
+    return materialize(met.groupBy("nodes").agg(F.min("list").alias("list")).select("list", "nodes"), "lists")
+
+
+def _members(of: DataFrame, nodes: DataFrame, run: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], ddl: str) -> DataFrame:
+    """What ``run`` makes of the lists ``of`` whose nodes have the columns of ``nodes`` (node, fp, fp2, …).
+
+    A list of more than ``TILE`` nodes is cut and its pieces are compared two by two. ``run`` gets the members of many lists, as
+    ``_NODE`` sorted by list and side, with their sides and the places where lists begin.
+    """
+    ship_package(nodes.sparkSession)
+    n = of.agg(F.sum(F.size("nodes"))).first()[0] or 0
+    last = F.floor((F.size("nodes") - 1) / TILE).cast("int")
+    pieces = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda a: F.transform(F.sequence(a, last), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    side = lambda c, s: F.transform(F.slice("nodes", F.col(c) * TILE + 1, F.lit(TILE)), lambda x: F.struct(x.alias("node"), F.lit(s).alias("side")))
+    both = F.when(F.col("a") < F.col("b"), F.concat(side("a", 0), side("b", 1))).otherwise(side("a", 0))
+    rows = of.select("list", "nodes", F.explode(pieces).alias("p")).select("list", "nodes", "p.*").select("list", "a", "b", F.explode(both).alias("m")).select("list", "a", "b", "m.*")
+    dealt = rows.join(nodes, "node").repartition(max(1, -(-n // MEMBERS_A_TASK)), "list", "a", "b").sortWithinPartitions("list", "a", "b", "side", "node")
+    names = [c.split()[0] for c in ddl.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        col = {c: np.concatenate([b[c].to_numpy() for b in held]) for c in held[0].schema.names}
+        new = np.concatenate([[True], (col["list"][1:] != col["list"][:-1]) | (col["a"][1:] != col["a"][:-1]) | (col["b"][1:] != col["b"][:-1])])
+        out = run(_nodes(col), col["side"], np.flatnonzero(new), col["list"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+
+    return dealt.mapInArrow(work, ddl)
+
+
+def _within(x: np.ndarray, y: np.ndarray, radius: int, second: int) -> np.ndarray:
+    return (np.bitwise_count(x["fp"] ^ y["fp"]) <= radius) & (np.bitwise_count(x["fp2"] ^ y["fp2"]) <= second)
+
+
 def _near(a: np.ndarray, b: np.ndarray | None, radius: int, second: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(p, q, distance) of all pairs inside both radii among ``a``, or between ``a`` and ``b`` (``q`` counts on from ``a``)."""
 
@@ -403,8 +496,81 @@ def _nodes(columns: dict[str, np.ndarray]) -> np.ndarray:
     return x
 
 
-def candidates(nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND) -> DataFrame:
-    """``nodes``: a written table (node, fp, fp2). First links (u, v), u < v, each once: first inside tiles, then between them."""
+def _pieces(at: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(begin, end of side 0, end) of each piece of lists that begin at ``at``."""
+    for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(side)], strict=True):
+        yield lo, lo + int(np.searchsorted(side[lo:hi], 1)), hi
+
+
+def _first_links(x: np.ndarray, side: np.ndarray, at: np.ndarray, key: np.ndarray, radius: int, second: int) -> list[np.ndarray]:
+    two = at[np.diff(np.append(at, len(x))) == 2]
+    two = two[_within(x[two], x[two + 1], radius, second)]
+    u, v = [x["node"][two]], [x["node"][two + 1]]
+    for lo, mid, hi in _pieces(at, side):
+        if hi - lo > 2:
+            # neighbours of like counts, so that runs of them are skipped
+            p, q = wide_links(_sorted(x[lo:mid]), _sorted(x[mid:hi]) if mid < hi else None, radius, second)
+            u.append(p)
+            v.append(q)
+    return [np.concatenate(u), np.concatenate(v)]
+
+
+def _sorted(x: np.ndarray) -> np.ndarray:
+    return x[_order(np.ascontiguousarray(x["fp"]))]
+
+
+def _open_links(x: np.ndarray, side: np.ndarray, at: np.ndarray, key: np.ndarray, radius: int, second: int) -> list[np.ndarray]:
+    u, v, of = [], [], []
+    apart = np.minimum.reduceat(x["root"], at) != np.maximum.reduceat(x["root"], at)
+    two = at[(np.diff(np.append(at, len(x))) == 2) & apart]
+    two = two[_within(x[two], x[two + 1], radius, second)]
+    u.append(x["node"][two])
+    v.append(x["node"][two + 1])
+    of.append(key[two])
+    for (lo, mid, hi), more in zip(_pieces(at, side), apart.tolist(), strict=True):
+        if more and hi - lo > 2:
+            for p, q in across(x[lo:mid], x[mid:hi] if mid < hi else None, radius, second):
+                u.append(p)
+                v.append(q)
+                of.append(np.full(len(p), key[lo]))
+    u, v = np.concatenate(u), np.concatenate(v)
+    return [np.minimum(u, v), np.maximum(u, v), np.concatenate(of)]
+
+
+def across(a: np.ndarray, b: np.ndarray | None, radius: int, second: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of all candidate pairs with different ``root`` among ``a``, or between ``a`` and ``b``.
+
+    A root with many nodes is compared with the nodes of other roots only, so a group that is joined already costs no pairs of its own.
+    """
+    roots, size = np.unique(a["root"], return_counts=True)
+    large = roots[size >= SUB]
+    left = a
+    for r in large.tolist():
+        own, left = left[left["root"] == r], left[left["root"] != r]
+        other = left if b is None else b[b["root"] != r]
+        if len(other):
+            x, y = _sorted(own), _sorted(other)
+            for p, q, _ in _near(x, y, radius, second):
+                yield x["node"][p], y["node"][q - len(x)]
+    if not len(left):
+        return
+    x = _sorted(left)
+    y = x if b is None else _sorted(b)
+    shift = 0 if b is None else len(x)
+    for p, q, _ in _near(x, None if b is None else y, radius, second):
+        ok = x["root"][p] != y["root"][q - shift]
+        if ok.any():
+            yield x["node"][p[ok]], y["node"][q[ok] - shift]
+
+
+def candidates(nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND, among: DataFrame | None = None) -> DataFrame:
+    """``nodes``: a written table (node, fp, fp2). First links (u, v), u < v, each once: first inside tiles, then between them.
+
+    With ``among``, :func:`lists` of nodes, inside each list instead.
+    """
+    if among is not None:
+        met = _members(among, nodes.select("node", "fp", "fp2"), partial(_first_links, radius=radius, second=second), "u long, v long")
+        return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
     def inside(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, bytes, bytes]:
         x = _nodes(columns)
@@ -428,8 +594,57 @@ def candidates(nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND)
     return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def remaining(nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND) -> DataFrame:
-    """``nodes``: a written table (node, fp, fp2, root). All candidate pairs between different roots, as batches (batch, nodes, pairs)."""
+def packed_pairs(found: DataFrame) -> DataFrame:
+    """``found`` (u, v, list): each pair once, with others of its list, as batches (batch, nodes, pairs) of ``2 * SUB`` nodes at most."""
+    once = materialize(found.groupBy("u", "v").agg(F.min("list").alias("list")), "open")
+    n = max(1, -(-once.count() // PAIRS_A_TASK))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        u, v, of = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("u", "v", "list"))
+        part, number = TaskContext.get().partitionId(), 0
+
+        def batch(rows: np.ndarray) -> pa.RecordBatch:
+            nonlocal number
+            at, pairs = np.unique(np.stack([u[rows], v[rows]], axis=1), return_inverse=True)
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([f"{part}:{number}"]), pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([pairs.reshape(-1, 2).astype("<u2").tobytes()])], ["batch", "nodes", "pairs"])
+
+        # nodes of a list in runs of SUB: the pairs of two runs have 2 * SUB nodes
+        runs = [np.zeros(len(of), np.int64) for _ in range(2)]
+        at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(of)], strict=True):
+            rank = np.unique(np.concatenate([u[lo:hi], v[lo:hi]]), return_inverse=True)[1] // SUB
+            runs[0][lo:hi], runs[1][lo:hi] = rank[: hi - lo], rank[hi - lo :]
+        order = np.lexsort([runs[1], runs[0], of])
+        k = np.stack([of[order], runs[0][order], runs[1][order]], axis=1)
+        cuts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)]))
+        rows: list[np.ndarray] = []
+        size = 0
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            own = order[lo:hi]
+            more = len(np.unique(np.concatenate([u[own], v[own]])))
+            if rows and size + more > 2 * SUB:
+                yield batch(np.concatenate(rows))
+                rows, size = [], 0
+            rows.append(own)
+            size += more
+        yield batch(np.concatenate(rows))
+
+    # a list with very many pairs is dealt by their first ends as well
+    dealt = once.repartition(n, "list", F.pmod(F.xxhash64("u"), F.lit(max(1, n // 8)))).sortWithinPartitions("list", "u", "v")
+    return dealt.mapInArrow(run, "batch string, nodes array<long>, pairs binary")
+
+
+def remaining(nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND, among: DataFrame | None = None) -> DataFrame:
+    """``nodes``: a written table (node, fp, fp2, root). All candidate pairs between different roots, as batches (batch, nodes, pairs).
+
+    With ``among``, :func:`lists` of nodes, the pairs that share a list.
+    """
+    if among is not None:
+        return packed_pairs(_members(among, nodes, partial(_open_links, radius=radius, second=second), "u long, v long, list long"))
 
     def pack(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, bytes, bytes]:
         x = _nodes(columns)
@@ -487,28 +702,29 @@ def verified(batches: DataFrame, texts: DataFrame, k: int, similarity: float) ->
 def survivors(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their own columns: one of each group of near duplicates.
 
-    Texts with the same set of ``k``-word shingles are one node. Candidates are pairs of nodes whose two SimHashes both
-    lie within a wide radius; a link counts if the exact Jaccard similarity of the sets reaches ``similarity``.
-    Compared exactly are first, for every node, its nearest candidate and the nearest candidate pair by which groups of
-    candidates first meet, and then all candidate pairs that the links found so do not join already; no candidate pair is
-    dropped untested. A group of thousands of copies that are alike takes few comparisons, one of candidates that are
+    Texts with the same set of ``k``-word shingles are one node. Candidates are pairs of nodes that share a list (those that share
+    none are not similar: :func:`prefix`) and whose two SimHashes both lie within a wide radius; a link counts if the exact
+    Jaccard similarity of the sets reaches ``similarity``. Compared exactly are first, for every node, its nearest candidate
+    in each of a few lists and the nearest candidate pair by which groups of candidates first meet there, and then all
+    candidate pairs that the links found so do not join already; no candidate pair is dropped untested. A group of thousands of copies that are alike takes few comparisons, one of candidates that are
     not takes all its pairs. Of a group the row with the smallest id (then text hash) stays.
     """
     text = F.coalesce(column(docs, text_col), F.lit(""))
     tie = F.xxhash64(text)
     who = F.struct(column(docs, id_col).isNull().alias("no_id"), column(docs, id_col).alias("id"), tie.alias("tie"))
-    prints = set_fingerprints(docs.select(who.alias("who"), text.alias("text")), k)
-    nodes = materialize(prints.groupBy("fp", "fp2", "same").agg(F.min("who").alias("who")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    own = docs.select(who.alias("who"), text.alias("text"))
+    prints = set_fingerprints(own, k, similarity, frequent_shingles(own, k))
+    nodes = materialize(prints.groupBy("fp", "fp2", "same").agg(F.min("who").alias("who"), F.first("prefix").alias("prefix")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = docs.select(column(docs, id_col).alias("id"), tie.alias("tie"), text.alias("text"))
 
     def texts(of: DataFrame) -> DataFrame:
         named = nodes.join(of.select(F.explode("nodes").alias("node")).distinct(), "node", "left_semi").select("node", F.col("who.id").alias("w_id"), F.col("who.tie").alias("w_tie"))
         return named.join(rows, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tie") == F.col("w_tie"))).select("node", "text").dropDuplicates(["node"])
 
-    first = materialize(batched(materialize(candidates(nodes), "candidates")), "batches")
+    first = materialize(batched(materialize(candidates(nodes, among=lists(nodes, FIRST)), "candidates")), "batches")
     first = materialize(verified(first, texts(first), k, similarity), "verified")
     joined = nodes.join(components.components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = materialize(remaining(materialize(joined.select("node", "fp", "fp2", "root"), "joined")), "remaining")
+    left = materialize(remaining(materialize(joined.select("node", "fp", "fp2", "root"), "joined"), among=lists(nodes)), "remaining")
     roots = components.components(first.union(verified(left, texts(left), k, similarity)))
     grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("who").alias("who"))
     keep = grouped.select(F.col("who").alias("kept"))

@@ -222,3 +222,53 @@ def test_components(spark):
                     up[n] = up[u]
     assert got == {n: min(s) for n, s in up.items()}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_lists_hold_all_similar_pairs_and_no_others(spark):
+    """Pairs are compared inside lists: unlike texts share none, similar ones at least one, frequent shingles or not."""
+    rng = random.Random(5)
+    line = " ".join(f"common{i}" for i in range(30))
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{rng.randrange(5000)}" for _ in range(rng.randrange(5, 90))]
+        for c in range(rng.randrange(1, 5)):
+            words = list(base)
+            for at in rng.sample(range(len(base)), min(c, 2)):
+                words[at] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(words) + (" " + line if g % 3 == 0 else "")))
+    sets = [simhash.shingle_set(t, 5) for _, t in rows]
+    similar = {(i, j) for j in range(len(rows)) for i in range(j) if simhash.jaccard(sets[i], sets[j]) >= 0.8}
+    docs = spark.createDataFrame(rows, "who long, text string")
+    frequent = simhash.frequent_shingles(docs, 5)
+    assert len(frequent) == 26
+    got = {}
+    for late in (frequent, frequent[:0]):
+        nodes = simhash.set_fingerprints(docs, 5, 0.8, late).withColumnRenamed("who", "node").localCheckpoint()
+        got[len(late)] = {(i, j) for r in simhash.lists(nodes).collect() for i in r["nodes"] for j in r["nodes"] if i < j}
+        assert similar and similar <= got[len(late)]
+        kept = {frozenset(r["nodes"]) for r in simhash.lists(nodes).collect()}
+        assert len(kept) == simhash.lists(nodes).count()
+    assert len(got[26]) < len(got[0])  # texts that share a frequent line alone are not compared
+
+
+def test_pairs_of_lists_cut_into_pieces_are_those_of_all_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    seed = rng.integers(0, 2**63, 12, dtype=np.uint64)
+    n = 400
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, 5, replace=False)) for _ in range(2 * n)], np.uint64)
+    fp, fp2 = seed[np.arange(n) % 12] ^ flips[:n], seed[np.arange(n) % 12] ^ flips[n:]
+    root = np.where(np.arange(n) % 12 < 2, np.arange(n) % 12, np.arange(n))
+    rows = [(i, int(a), int(b), int(r)) for i, (a, b, r) in enumerate(zip(fp.view(np.int64), fp2.view(np.int64), root, strict=True))]
+    nodes = spark.createDataFrame(rows, "node long, fp long, fp2 long, root long")
+    monkeypatch.setattr(simhash, "TILE", 90)
+    monkeypatch.setattr(simhash, "SUB", 16)
+    of = spark.createDataFrame([(1, list(range(n))), (2, list(range(0, n, 2))), (3, [0, 12]), (4, [2, 14])], "list long, nodes array<long>")
+
+    def pairs(batches):
+        return [tuple(sorted((r["nodes"][p], r["nodes"][q]))) for r in batches.collect() for p, q in np.frombuffer(r["pairs"], "<u2").reshape(-1, 2)]
+
+    want = pairs(simhash.remaining(nodes))
+    got = pairs(simhash.remaining(nodes, among=of))
+    assert len(got) == len(set(got)) and set(got) == set(want) and len(set(want)) > 1000
+    first = simhash.candidates(nodes, among=of).collect()
+    assert all(r["u"] < r["v"] for r in first) and {u for u, _ in want} <= {x for r in first for x in (r["u"], r["v"])}
