@@ -13,7 +13,7 @@ from factloom.operators import history, lineage, versions
 from factloom.plans import fixtures as fx
 from factloom.plans.operator_queries import TOUCHES, derived
 from factloom.plans.registry import register
-from factloom.session import materialize, workspace
+from factloom.session import materialize, small_tasks, table, workspace
 from factloom.sources.store import FactStore
 from factloom.streaming import walk
 
@@ -37,18 +37,20 @@ def folded(pieces: int):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         all_versions = fx.sql(spark, sf_dir, _VERSIONS.format(ms=fx.ms("o_orderdate", "spark")))
         all_supports = fx.sql(spark, sf_dir, _SUPPORTS)
-        least, most = all_versions.agg(F.min("pos"), F.max("pos")).first()
-        step = (most - least) // pieces + 1
-        facts, before = None, all_supports.select("owner", *versions.FACT).limit(0)
-        for k in range(pieces):
-            part = lambda df, lo=least + k * step: df.filter((F.col("pos") >= lo) & (F.col("pos") < lo + step))
-            own, holds = part(all_versions), part(all_supports)
-            opened, closed = versions.fold(own, holds, before)
-            facts = opened if facts is None else versions.applied(facts, opened, closed)
-            if pieces > 1:
-                facts = materialize(facts, "facts")
-                last = versions.last_supports(own, holds)
-                before = materialize(before.join(own.select("owner").distinct(), "owner", "left_anti").unionByName(last.filter("e IS NOT NULL").drop("pos")), "before")
+        with small_tasks(spark, table(spark, sf_dir, "lineitem").count()):
+            least, most = all_versions.agg(F.min("pos"), F.max("pos")).first()
+            step = (most - least) // pieces + 1
+            facts, before = None, all_supports.select("owner", *versions.FACT).limit(0)
+            for k in range(pieces):
+                part = lambda df, lo=least + k * step: df.filter((F.col("pos") >= lo) & (F.col("pos") < lo + step))
+                own, holds = part(all_versions), part(all_supports)
+                if pieces > 1:
+                    holds = materialize(holds, "supports")
+                opened, closed = versions.fold(own, holds, before)
+                facts = opened if facts is None else materialize(versions.applied(facts, opened, closed), "facts")
+                if k + 1 < pieces:
+                    last = versions.last_supports(own, holds)
+                    before = materialize(before.join(own.select("owner").distinct(), "owner", "left_anti").unionByName(last.filter("e IS NOT NULL").drop("pos")), "before")
         return facts.select("e", "v", "vf_ms", "vt_ms")
 
     return query
