@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.session import discard, materialize, ship_package
+from factloom.session import ROWS_A_TASK, discard, materialize, ship_package
 
 #: git's mode of a gitlink; shortest body that a rename is matched on, and rounds of matching.
 GITLINK, MIN_BODY, MOST_ROUNDS = "160000", 20, 10
+#: Keys under which a file is found, about.
+KEYS_A_FILE = 8
 #: Steps of a round of :func:`linearize`.
 STEPS = 3
 
@@ -191,7 +193,9 @@ def import_index(files: DataFrame) -> DataFrame:
         named(_suffixes(stem), 3),
         named(_suffixes(parent), 4, parent != ""),
     )
-    rows = files.select(*files.columns, F.explode(keys).alias("k"))
+    # a file has a key for each part of its path, so tasks that hold many short paths make many times their rows
+    dealt = files.repartition(max(1, -(-files.count() * KEYS_A_FILE // ROWS_A_TASK)), "path")
+    rows = dealt.select(*files.columns, F.explode(keys).alias("k"))
     return rows.select("k.key", F.when(F.col("k.rank") == 0, 0).otherwise(1).alias("exact"), "k.rank", *files.columns)
 
 
@@ -216,7 +220,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """
     index = import_index(files.select("path")).groupBy("key", "exact").agg(F.min(F.struct("rank", "path")).alias("best"))
     wanted = import_keys(imports.select("importing_file", "name"))
-    return wanted.join(index, ["key", "exact"], "left").select("importing_file", "name", F.col("best.path").alias("path"))
+    # never broadcast: the planner goes by the size of files, which says nothing of the keys made of their rows
+    return wanted.join(index.hint("merge"), ["key", "exact"], "left").select("importing_file", "name", F.col("best.path").alias("path"))
 
 
 def resolve_imports_at(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -233,7 +238,7 @@ def resolve_imports_at(imports: DataFrame, files: DataFrame) -> DataFrame:
     index = stays.unionByName(index.filter("hi IS NOT NULL").select("key", "exact", "lo", "hi", "best"))
     wanted = import_keys(imports.select("importing_file", "name", "pos").distinct())
     there = F.when((F.col("lo") <= F.col("pos")) & (F.col("hi").isNull() | (F.col("pos") < F.col("hi"))), F.col("best"))
-    return wanted.join(index, ["key", "exact"], "left").groupBy("importing_file", "name", "pos").agg(F.min(there).alias("best")).select("importing_file", "name", "pos", F.col("best.path").alias("path"))
+    return wanted.join(index.hint("merge"), ["key", "exact"], "left").groupBy("importing_file", "name", "pos").agg(F.min(there).alias("best")).select("importing_file", "name", "pos", F.col("best.path").alias("path"))
 
 
 def unpivot(rows: DataFrame, entity: Column, attributes: dict[str, Column]) -> DataFrame:

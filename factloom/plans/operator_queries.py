@@ -14,7 +14,7 @@ from factloom.operators import ingest, intervals, memory, positions, retrieval,
 from factloom.plans import fixtures as fx
 from factloom.plans.fact_queries import at
 from factloom.plans.registry import register
-from factloom.session import table, workspace
+from factloom.session import ROWS_A_TASK, materialize, small_tasks, table, workspace
 from factloom.sources.fact_index import FactIndex
 
 
@@ -105,7 +105,11 @@ IMPORTS = """SELECT concat('src/mod', p_partkey % 17, '/part', p_partkey, '.py')
 
 
 def resolve_import(d: DataFrame) -> DataFrame:
-    return ingest.resolve_imports(d, d.select(F.col("importing_file").alias("path")).distinct())
+    # a small file holds millions of parts, and one task reads it: deal them out before they are put in hash tables and sorted
+    keys = d.count() * ingest.KEYS_A_FILE
+    d = d.repartition(max(1, -(-keys // ROWS_A_TASK)), "importing_file")
+    with small_tasks(d.sparkSession, keys):
+        return materialize(ingest.resolve_imports(d, d.select(F.col("importing_file").alias("path")).distinct()), "resolved")
 
 
 derived(
@@ -132,7 +136,8 @@ _EDGES = {d: _EDGE.format(ms=fx.ms("o_orderdate", d), ship=fx.ms("l_shipdate", d
 def _on_edges(run):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         commits = fx.sql(spark, sf_dir, COMMITS.format(ms=fx.ms("o_orderdate", "spark")))
-        return run(spark, fx.sql(spark, sf_dir, _EDGES["spark"]), commits)
+        with small_tasks(spark, table(spark, sf_dir, "lineitem").count()):  # a row of the edges is wide, and their keys compress well
+            return materialize(run(spark, fx.sql(spark, sf_dir, _EDGES["spark"]), commits), "edges")
 
     return query
 

@@ -20,6 +20,13 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_the_index_of_imports_is_not_broadcast(spark):
+    files = spark.createDataFrame([("src/a/b.py",)], "path string")
+    imports = spark.createDataFrame([("src/a/b.py", "a.b")], "importing_file string, name string")
+    plan = plan_of(ingest.resolve_imports(imports, files))
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_folding_shuffles_supports_once_and_changes_once(spark):
     v = spark.createDataFrame([("f", 1, 10)], "owner string, pos long, at_ms long")
     s = spark.createDataFrame([("f", 1, "e", "a", "ref", "v")], "owner string, pos long, e string, a string, v_type string, v string")
