@@ -29,11 +29,14 @@ from pyspark.sql import functions as F
 
 from factloom.llm import for_codec, tokens
 from factloom.llm.common import column
-from factloom.session import ship_package, workspace
+from factloom.session import materialize, settings, ship_package, workspace
 
 SEGMENT = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
 SEGMENT_DDL = "shard int, segment int, before long, n_ids long, payload binary, doc_ids array<long>, lengths array<long>"
 
+#: Rows that travel to a Python worker at once: by Spark's own number, which ignores their size, a whole file of payloads would.
+BATCH, TEXTS_A_BATCH, SEGMENTS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024, 8
+
 
 def _segments(path: str, end_id: int, segment_ids: int, percentile: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,10 +73,12 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 2, id_col: str = "
     ship_package(spark)
     rows = docs.select(column(docs, id_col).cast("long").alias("id"), F.coalesce(column(docs, text_col), F.lit("")).alias("body")).withColumn("tie", F.xxhash64("body"))
     ranged = rows.repartitionByRange(shards, "id", "tie") if shards else rows.repartitionByRange("id", "tie")
-    ranged.sortWithinPartitions("id", "tie", "body").mapInArrow(_segments(path, end_id, segment_ids, percentile), SEGMENT_DDL).write.parquet(out)
+    with settings(spark, {BATCH: TEXTS_A_BATCH}):
+        ranged.sortWithinPartitions("id", "tie", "body").mapInArrow(_segments(path, end_id, segment_ids, percentile), SEGMENT_DDL).write.parquet(out)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens.forget()
     for batch in batches:
         for first, payload, docs, lengths in zip(*(batch[c].to_pylist() for c in ("first", "payload", "doc_ids", "lengths")), strict=True):
             raw = memoryview(np.ascontiguousarray(for_codec.decode(payload), "<u4")).cast("B")
@@ -101,7 +106,9 @@ def read_digest(spark: SparkSession, out: str) -> DataFrame:
     ship_package(spark)
     segments = spark.read.schema(SEGMENT_DDL).parquet(out)
     placed = segments.join(shard_starts(spark, out), "shard")
-    return placed.select((F.col("first") + F.col("before")).alias("first"), "payload", "doc_ids", "lengths").mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    digest = placed.select((F.col("first") + F.col("before")).alias("first"), "payload", "doc_ids", "lengths").mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    with settings(spark, {BATCH: SEGMENTS_A_BATCH}):
+        return materialize(digest, "digest")
 
 
 def scratch(spark: SparkSession) -> str:

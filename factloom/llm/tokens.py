@@ -99,6 +99,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Free what this worker's encoders hold: workers are used again by stages that encode nothing."""
+    _encoders.clear()
+
+
 def default_path() -> str:
     import public_tokenizers
 

@@ -86,7 +86,13 @@ def small_tasks(spark: SparkSession, rows: int) -> Iterator[None]:
     Adaptive execution puts partitions together by their compressed bytes, and rows of derived keys compress so well that
     millions of them land in one task, whose sorts and hash tables then take gigabytes.
     """
-    ours = {"spark.sql.shuffle.partitions": max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK)), "spark.sql.adaptive.advisoryPartitionSizeInBytes": BYTES_A_TASK}
+    with settings(spark, {"spark.sql.shuffle.partitions": max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK)), "spark.sql.adaptive.advisoryPartitionSizeInBytes": BYTES_A_TASK}):
+        yield
+
+
+@contextmanager
+def settings(spark: SparkSession, ours: dict[str, object]) -> Iterator[None]:
+    """Jobs inside run with these settings of the session."""
     before = {k: spark.conf.get(k, None) for k in ours}
     for k, v in ours.items():
         spark.conf.set(k, str(v))

@@ -133,3 +133,21 @@ def test_plan_places_everything(lengths):
 
 def test_plan_uses_exact_complements():
     assert sorted(packing.plan({30: 4, 10: 1, 4: 1, 6: 1, 2: 1, 3: 1, 5: 1}, 40)) == [(1, (30,)), (1, (30, 5, 3, 2)), (1, (30, 6, 4)), (1, (30, 10))]
+
+
+def test_few_segments_travel_to_a_worker_at_once(spark, tmp_path, monkeypatch):
+    real, most = token_output._decode, token_output.SEGMENTS_A_BATCH
+
+    def checked(batches):
+        def few():
+            for b in batches:
+                assert b.num_rows <= most, b.num_rows
+                yield b
+
+        yield from real(few())
+        assert not tokens._encoders  # a worker that decodes holds no table of known words
+
+    monkeypatch.setattr(token_output, "_decode", checked)
+    docs = spark.createDataFrame([(i, f"text number {i} of many") for i in range(100)], "doc_id long, text string")
+    token_output.write(docs, f"{tmp_path}/t", tokens.default_path(), segment_ids=10, shards=1)
+    assert token_output.read_digest(spark, f"{tmp_path}/t").count() == 100
