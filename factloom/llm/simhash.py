@@ -275,6 +275,8 @@ FIRST = 4
 COUNTED, FREQUENT, MOST_FREQUENT = 1 << 12, 5, 1 << 16
 #: Nodes of a list that are compared in one piece; rows of nodes in lists, about, of a task.
 TILE, MEMBERS_A_TASK, PAIRS_A_TASK = 1 << 13, 50_000, 200_000
+#: Shingles, about, of a piece of a cluster and of the pieces of a task; shingles of a block in which overlaps are counted.
+PIECE, SHINGLES_A_TASK, VOCABULARY = 1 << 18, 1 << 20, 1 << 13
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -537,6 +539,24 @@ def _open_links(x: np.ndarray, side: np.ndarray, at: np.ndarray, key: np.ndarray
     return [np.minimum(u, v), np.maximum(u, v), np.concatenate(of)]
 
 
+def _cluster_links(x: np.ndarray, side: np.ndarray, at: np.ndarray, key: np.ndarray, radius: int, second: int) -> list[np.ndarray]:
+    """Links (u, v) that join in each list what its candidate pairs with different ``root`` join: fewer than it has nodes."""
+    apart = np.minimum.reduceat(x["root"], at) != np.maximum.reduceat(x["root"], at)
+    two = at[(np.diff(np.append(at, len(x))) == 2) & apart]
+    two = two[_within(x[two], x[two + 1], radius, second)]
+    u, v = [x["node"][two]], [x["node"][two + 1]]
+    for (lo, mid, hi), more in zip(_pieces(at, side), apart.tolist(), strict=True):
+        if more and hi - lo > 2:
+            own, found = np.sort(x["node"][lo:hi]), _Union(hi - lo)
+            for p, q in across(x[lo:mid], x[mid:hi] if mid < hi else None, radius, second):
+                found.unite(np.searchsorted(own, p), np.searchsorted(own, q))
+            top = found.roots(np.arange(hi - lo))
+            linked = top != np.arange(hi - lo)
+            u.append(own[linked])
+            v.append(own[top[linked]])
+    return [np.concatenate(u), np.concatenate(v)]
+
+
 def across(a: np.ndarray, b: np.ndarray | None, radius: int, second: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Nodes of all candidate pairs with different ``root`` among ``a``, or between ``a`` and ``b``.
 
@@ -699,6 +719,113 @@ def verified(batches: DataFrame, texts: DataFrame, k: int, similarity: float) ->
     return batches.groupBy("batch").cogroup(wanted.groupBy("of")).applyInPandas(run, "u long, v long")
 
 
+def clusters(nodes: DataFrame, among: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND) -> DataFrame:
+    """``nodes``: a written table (node, fp, fp2, root). (node, cluster): all candidate pairs that share one of the lists ``among`` and have different roots lie inside clusters.
+
+    What comes out of a list follows its nodes, not its pairs.
+    """
+    met = _members(among, nodes.select("node", "fp", "fp2", "root"), partial(_cluster_links, radius=radius, second=second), "u long, v long")
+    return components.components(met).withColumnRenamed("root", "cluster")
+
+
+def set_tables(texts: DataFrame, k: int) -> DataFrame:
+    """(node, size, shingles) of ``texts`` (node, text)."""
+    ship_package(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SUB):
+                part = batch.slice(lo, SUB)
+                sets = [shingle_set(t, k) for t in part["text"].to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part["node"], pa.array(np.diff(ends).astype(np.int64)), flat], ["node", "size", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, size long, shingles array<long>")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each of ``left`` shares with each of ``right``; all are sets."""
+    flat = [np.concatenate(x) for x in (left, right)]
+    shared = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(shared):
+        return out
+    entries = []
+    for sets, x in zip((left, right), flat, strict=True):
+        of, at = np.repeat(np.arange(len(sets)), [len(y) for y in sets]), np.minimum(np.searchsorted(shared, x), len(shared) - 1)
+        met = np.flatnonzero(shared[at] == x)
+        met = met[np.argsort(at[met], kind="stable")]
+        entries.append((of[met], at[met]))
+    for lo in range(0, len(shared), VOCABULARY):
+        width, dense = min(VOCABULARY, len(shared) - lo), []
+        for sets, (of, at) in zip((left, right), entries, strict=True):
+            i, j = np.searchsorted(at, [lo, lo + width])
+            block = np.zeros((len(sets), width), np.float32)
+            block[of[i:j], at[i:j] - lo] = 1
+            dense.append(block)
+        out += (dense[0] @ dense[1].T).astype(np.int64)  # counts below 2^24 are exact
+    return out
+
+
+def similar_links(x: np.ndarray, sets: list[np.ndarray], mid: int, radius: int, second: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) between roots that join what the similar candidates among ``x``, or between ``x[:mid]`` and ``x[mid:]``, join."""
+    alone = mid == len(x)
+    order = _order(np.ascontiguousarray(x["fp"])) if alone else np.concatenate([_order(np.ascontiguousarray(x["fp"][:mid])), mid + _order(np.ascontiguousarray(x["fp"][mid:]))])
+    x, sets = x[order], [sets[i] for i in order.tolist()]
+    size = np.array([len(y) for y in sets], np.int64)
+    roots, label = np.unique(x["root"], return_inverse=True)
+    found = _Union(len(roots))
+    for p, q, _ in _near(x[:mid], None if alone else x[mid:], radius, second):
+        r, s = found.roots(label[p]), found.roots(label[q])
+        ok = (r != s) & (np.minimum(size[p], size[q]) >= similarity * np.maximum(size[p], size[q]))
+        if not ok.any():
+            continue
+        p, q, r, s = p[ok], q[ok], r[ok], s[ok]
+        (at_p, p), (at_q, q) = np.unique(p, return_inverse=True), np.unique(q, return_inverse=True)
+        both = overlaps([sets[i] for i in at_p.tolist()], [sets[i] for i in at_q.tolist()])[p, q]
+        all_of = size[at_p][p] + size[at_q][q] - both
+        like = (both / np.maximum(all_of, 1) >= similarity) | (all_of == 0)
+        found.unite(r[like], s[like])
+    top = found.roots(np.arange(len(roots)))
+    linked = top != np.arange(len(roots))
+    return roots[linked], roots[top[linked]]
+
+
+def settled(open_nodes: DataFrame, radius: int = WIDE, second: int = WIDE_SECOND, similarity: float = 0.8) -> DataFrame:
+    """``open_nodes``: a written table (node, cluster, fp, fp2, root, size, shingles). Links (u, v) between roots that join what the similar candidates of each cluster join.
+
+    A cluster of more than ``PIECE`` shingles is cut and its pieces are compared two by two, where the sets themselves are: out come
+    fewer links than a piece has roots, whatever the number of its pairs.
+    """
+    ship_package(open_nodes.sparkSession)
+    large = open_nodes.groupBy("cluster").agg(F.sum("size").alias("total")).filter(F.col("total") > PIECE)  # a bounded share of all: a row for PIECE shingles
+    large = large.select("cluster", F.ceil(F.col("total") / PIECE).cast("int").alias("pieces"))
+    placed = open_nodes.join(F.broadcast(large), "cluster", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    work_of = placed.agg(F.sum(F.col("size") * F.col("pieces"))).first()[0] or 0
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    pairs = pairs.select("cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "fp", "fp2", "root", "shingles")
+    dealt = pairs.repartition(max(1, -(-int(work_of) // SHINGLES_A_TASK)), "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "side", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        col = {c: np.concatenate([b[c].to_numpy() for b in held]) for c in ("cluster", "a", "b", "side", "node", "fp", "fp2", "root")}
+        x = _nodes(col)
+        sets = [s.view(np.uint64) for b in held for s in np.split(b["shingles"].flatten().to_numpy(), np.cumsum(b["shingles"].value_lengths().to_numpy())[:-1])]
+        at = np.flatnonzero(np.concatenate([[True], np.any([col[c][1:] != col[c][:-1] for c in ("cluster", "a", "b")], axis=0)]))
+        for lo, mid, hi in _pieces(at, col["side"]):
+            if mid == lo or (mid == hi and col["a"][lo] != col["b"][lo]):
+                continue  # the other piece is empty
+            u, v = similar_links(x[lo:hi], sets[lo:hi], mid - lo, radius, second, similarity)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
 def survivors(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their own columns: one of each group of near duplicates.
 
@@ -706,7 +833,9 @@ def survivors(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str
     none are not similar: :func:`prefix`) and whose two SimHashes both lie within a wide radius; a link counts if the exact
     Jaccard similarity of the sets reaches ``similarity``. Compared exactly are first, for every node, its nearest candidate
     in each of a few lists and the nearest candidate pair by which groups of candidates first meet there, and then all
-    candidate pairs that the links found so do not join already; no candidate pair is dropped untested. A group of thousands of copies that are alike takes few comparisons, one of candidates that are
+    candidate pairs that the links found so do not join already; no candidate pair is dropped untested. Those pairs are compared
+    inside clusters of nodes (:func:`clusters`, :func:`settled`), where the sets are at hand: pairs become no rows, only links do.
+    A group of thousands of copies that are alike takes few comparisons, one of candidates that are
     not takes all its pairs. Of a group the row with the smallest id (then text hash) stays.
     """
     text = F.coalesce(column(docs, text_col), F.lit(""))
@@ -718,14 +847,16 @@ def survivors(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str
     rows = docs.select(column(docs, id_col).alias("id"), tie.alias("tie"), text.alias("text"))
 
     def texts(of: DataFrame) -> DataFrame:
-        named = nodes.join(of.select(F.explode("nodes").alias("node")).distinct(), "node", "left_semi").select("node", F.col("who.id").alias("w_id"), F.col("who.tie").alias("w_tie"))
+        named = nodes.join(of, "node", "left_semi").select("node", F.col("who.id").alias("w_id"), F.col("who.tie").alias("w_tie"))
         return named.join(rows, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tie") == F.col("w_tie"))).select("node", "text").dropDuplicates(["node"])
 
     first = materialize(batched(materialize(candidates(nodes, among=lists(nodes, FIRST)), "candidates")), "batches")
-    first = materialize(verified(first, texts(first), k, similarity), "verified")
+    first = materialize(verified(first, texts(first.select(F.explode("nodes").alias("node")).distinct()), k, similarity), "verified")
     joined = nodes.join(components.components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = materialize(remaining(materialize(joined.select("node", "fp", "fp2", "root"), "joined"), among=lists(nodes)), "remaining")
-    roots = components.components(first.union(verified(left, texts(left), k, similarity)))
+    joined = materialize(joined.select("node", "fp", "fp2", "root"), "joined")
+    left = materialize(clusters(joined, lists(nodes)), "clusters")
+    left = materialize(left.join(joined, "node").join(set_tables(texts(left.select("node")), k), "node"), "open")
+    roots = components.components(first.union(settled(left, similarity=similarity)))
     grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("who").alias("who"))
     keep = grouped.select(F.col("who").alias("kept"))
     own = docs.select(packed_row(docs).alias("row"), who.alias("who"))

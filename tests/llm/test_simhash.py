@@ -272,3 +272,66 @@ def test_pairs_of_lists_cut_into_pieces_are_those_of_all_tiles(spark, monkeypatc
     assert len(got) == len(set(got)) and set(got) == set(want) and len(set(want)) > 1000
     first = simhash.candidates(nodes, among=of).collect()
     assert all(r["u"] < r["v"] for r in first) and {u for u, _ in want} <= {x for r in first for x in (r["u"], r["v"])}
+
+
+def _near_copies(n, edits, seed=8, length=120):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(length)]
+    rows = []
+    for c in range(n):
+        words = list(base)
+        for at in rng.sample(range(0, length, 6), edits):
+            words[at] = f"edit{rng.random()}"
+        rows.append((c, " ".join(words)))
+    return rows
+
+
+def test_candidates_that_are_not_similar_become_no_rows(spark, monkeypatch):
+    """What comes out of lists follows the nodes in them, not the pairs of a group."""
+    made, members, whole = [], [], simhash._members
+
+    def counted(of, *rest):
+        out = whole(of, *rest).localCheckpoint()
+        made.append(out.count())
+        members.append(sum(len(r["nodes"]) for r in of.collect()))
+        return out
+
+    monkeypatch.setattr(simhash, "_members", counted)
+    docs = spark.createDataFrame(_near_copies(300, 3), "doc_id long, text string")
+    assert simhash.survivors(docs).count() > 100
+    assert len(made) == 2 and all(m <= 2 * n for m, n in zip(made, members, strict=True)) and members[1] < 300 * 300 / 4
+
+
+@pytest.mark.parametrize(("piece", "vocabulary"), [(1 << 18, 1 << 13), (3000, 50)])
+def test_clusters_settle_all_similar_candidates(spark, monkeypatch, piece, vocabulary):
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    monkeypatch.setattr(simhash, "VOCABULARY", vocabulary)
+    monkeypatch.setattr(simhash, "SUB", 32)
+    texts = [t for n, e, s in ((80, 2, 1), (60, 3, 2), (7, 1, 3)) for _, t in _near_copies(n, e, s)]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    f = [(simhash.majority(x), simhash.majority(simhash.second_hashes(x))) for x in sets]
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    prints = simhash.set_fingerprints(docs.withColumnRenamed("node", "who"), 5, 0.8, np.zeros(0, np.uint64)).withColumnRenamed("who", "node").withColumn("root", simhash.F.col("node")).localCheckpoint()
+    of = simhash.clusters(prints, simhash.lists(prints)).localCheckpoint()
+    cluster = {r["node"]: r["cluster"] for r in of.collect()}
+    opened = of.join(prints, "node").join(simhash.set_tables(docs, 5), "node").localCheckpoint()
+    assert {r["node"]: r["size"] for r in opened.collect()} == {n: len(sets[n]) for n in cluster}
+    got = {(r["u"], r["v"]) for r in simhash.settled(opened).collect()}
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if (f[i][0] ^ f[j][0]).bit_count() <= simhash.WIDE and (f[i][1] ^ f[j][1]).bit_count() <= simhash.WIDE_SECOND]
+    like = [(i, j) for i, j in near if simhash.jaccard(sets[i], sets[j]) >= 0.8]
+    assert 0 < len(like) < len(near) and all(cluster[i] == cluster[j] for i, j in like)
+
+    def joined(edges):
+        up = list(range(len(texts)))
+        for u, v in edges:
+            a, b = up[u], up[v]
+            up = [min(a, b) if x in (a, b) else x for x in up]
+        return up
+
+    assert joined(got) == joined(like)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 400, n, dtype=np.uint64)) for n in (0, 1, 30, 200, 400)]
+    assert simhash.overlaps(sets, sets[::-1]).tolist() == [[len(np.intersect1d(a, b)) for b in sets[::-1]] for a in sets]
