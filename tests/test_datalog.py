@@ -235,3 +235,14 @@ def test_bound_calls_derive_what_they_reach(spark, monkeypatch):
     assert len(run(s, "[:find ?a ?b :where [?a :label \"l1\"] (back ?a ?l ?b)]")) == 3 + 4 + 5 and max(sizes.values()) <= 12
     sizes.clear()
     assert run(s, "[:find ?a :where (back ?a ?l :c/38)]") == [(":c/39",)] and max(sizes.values()) <= 4
+
+
+def test_facts_of_two_entities_that_meet_by_attribute_are_spread(spark):
+    n = 300
+    rows = [ref(f":m/{m}", ":contains", f":f/{m}-{i}") for m in (1, 2) for i in range(n)] + [text(":m/1", ":name", "one"), text(":m/2", ":name", "two"), text(":m/1", ":path", "p")]
+    out = Session(spark.createDataFrame(rows, FACT_DDL), JAN).query("[:find ?a ?x ?y :where [:m/1 ?a ?x] [:m/2 ?a ?y]]")
+    got = [tuple(r) for r in out.collect()]
+    want = {(":contains", f":f/1-{i}", f":f/2-{j}") for i in range(n) for j in range(n)} | {(":name", "one", "two")}
+    assert len(got) == len(want) and set(got) == want
+    per = [r["count"] for r in out.groupBy(datalog.F.spark_partition_id()).count().collect()]
+    assert sum(per) == len(want) and max(per) < len(want) / 10  # not in the one task of `:contains`
