@@ -5,6 +5,7 @@ import re
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.model import FOREVER
 from factloom.operators import graph, history, retrieval
@@ -242,6 +243,17 @@ def test_best_n_by_bounds_equals_scoring_all(spark, tmp_path, monkeypatch):
     same(made)
 
 
+def test_scores_do_not_follow_the_order_of_postings(spark, tmp_path):
+    rng = random.Random(9)
+    made = [(f":class/e{i}", ":description", " ".join(rng.choices([f"w{k}" for k in range(9)], range(1, 10), k=rng.choice((9, 30, 90)))), None, None) for i in range(200)]
+    made += [(f":class/none{i}", ":description", "nothing of that", None, None) for i in range(300)]
+    index = FactIndex(spark, f"file://{tmp_path}/i", buckets=4)
+    index.rebuild(spark.createDataFrame(made, "entity string, attribute string, value string, valid_from string, valid_to string"))
+    asked = index._question("w8 w0 w3 w5 w3 w1 w7", 2.0, 0.5)
+    up, down = ({bytes(r["rid"]): r["score"] for r in asked.scores(asked.hits().coalesce(1).sortWithinPartitions(order)).collect()} for order in ("term", F.desc("term")))
+    assert len(up) > 150 and up == down  # to the last bit: rows that tie are told apart by their entity
+
+
 def test_runs_cover_their_blocks():
     assert runs([]) == [] and runs([7]) == [(7, 7)]
     assert runs([1, 2, 3, 9, 10, 40]) == [(1, 3), (9, 10), (40, 40)]
