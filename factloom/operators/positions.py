@@ -7,12 +7,16 @@ keeping it in (a measurement must not understate).
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.model import FOREVER
 from factloom.operators.prefix import running
 
+#: Ranges, at most, into which positions of points are cut; rows of points, at most, that are broadcast; instants likewise.
+RANGES, FEW_POINTS, FEW_INSTANTS = 1024, 100_000, 100_000
+
 
 def ts_positions(commits: DataFrame) -> DataFrame:
     """(ts_ms, first_pos, last_pos, n): the positions that share an instant."""
@@ -21,6 +25,8 @@ def ts_positions(commits: DataFrame) -> DataFrame:
 
 def _placed(facts: DataFrame, commits: DataFrame) -> DataFrame:
     at = ts_positions(commits)
+    if at.limit(FEW_INSTANTS + 1).count() <= FEW_INSTANTS:
+        at = F.broadcast(at)  # facts stay where they are
     intro = at.select(F.col("ts_ms").alias("vf_ms"), F.col("first_pos").alias("intro_first"), F.col("last_pos").alias("intro_last"))
     close = at.select(F.col("ts_ms").alias("vt_ms"), F.col("first_pos").alias("close_first"), F.col("last_pos").alias("close_last"))
     return facts.join(intro, "vf_ms", "left").join(close, "vt_ms", "left")
@@ -32,36 +38,42 @@ def live_at_position(facts: DataFrame, commits: DataFrame, watermark: int) -> Da
     return p.filter((F.col("intro_last") <= watermark) & ((F.col("vt_ms") >= FOREVER) | (F.col("close_first") > watermark))).select(*facts.columns)
 
 
-#: Levels of the dyadic blocks in which positions and spans meet: positions are below 2^40.
-LEVELS = 40
-
-
-def _blocks_of_span(lo: Column, hi: Column) -> Column:
-    """The dyadic blocks (level, block) that make up positions from ``lo`` below ``hi``: two a level at most."""
-    none = F.lit(None).cast("struct<level:int,block:bigint>")
+def _count_to(df: DataFrame, value: Column, limits: list[int], out: str) -> DataFrame:
+    """Adds ``out``: how many of the sorted ``limits`` are at or below ``value``."""
+    splits = [float("-inf"), *map(float, limits), float("inf")]
+    counted = Bucketizer(splits=splits, inputCol="__value", outputCol=out).transform(df.withColumn("__value", value.cast("double")))
+    return counted.withColumn(out, F.col(out).cast("int")).drop("__value")
 
-    def level(k: Column) -> Column:
-        size = F.expr("1L").cast("long")
-        first, last = F.call_function("shiftright", lo + F.call_function("shiftleft", size, k) - 1, k), F.call_function("shiftright", hi, k)
-        take = lambda ok, block: F.when((first < last) & ok, F.struct(k.alias("level"), block.alias("block"))).otherwise(none)
-        return F.array(take(first % 2 == 1, first), take(last % 2 == 1, last - 1))
 
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), level)))
+def _copies(spans: DataFrame, lo: str, hi: str, firsts: list[int], lasts: list[int]) -> DataFrame:
+    """A row ``__r`` of a span for each range, by its first and last position, that its ends reach."""
+    most = F.lit(1 << 53)
+    begin, end = F.greatest(F.coalesce(F.col(lo), F.lit(0)), -most), F.least(F.coalesce(F.col(hi), most), most)
+    to = _count_to(_count_to(spans, begin.cast("long") - 1, lasts, "__from"), end.cast("long") - 1, firsts, "__to").filter("__from < __to")
+    return to.withColumn("__r", F.explode(F.sequence("__from", F.col("__to") - 1))).drop("__from", "__to")
 
 
 def containing(points: DataFrame, at: str, spans: DataFrame, lo: str, hi: str) -> DataFrame:
     """Rows of ``points`` with those of ``spans`` that hold their position, from ``lo`` below ``hi`` (null: no end).
 
-    A span is cut into dyadic blocks, two a level at most, and a position lies in one block of each level, so both meet in
-    an equi-join that finds each pair once: no pair is compared in vain, and a position that many rows or spans
-    share is a hot key that adaptive execution splits.
+    Positions are below 2^53. Those that points have are cut into ranges, and a span goes to the ranges between its ends, so both
+    meet in an equi-join. A range between the ends' own holds points throughout, so a span has at most two copies that
+    may pair with none, and spans that hold no point are gone before the join. Few points are broadcast and spans stay where
+    they are; else a range that many rows or spans share is a hot key that adaptive execution splits.
     """
-    most = F.lit(1 << LEVELS)
-    end = F.least(F.coalesce(F.col(hi), most), most).cast("long")
-    cut = spans.withColumn("__b", F.explode(_blocks_of_span(F.greatest(F.col(lo), F.lit(0)).cast("long"), end)))
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col(at).cast("long"), k).alias("block")))
-    own = points.filter((F.col(at) >= 0) & (F.col(at) < most)).withColumn("__b", F.explode(blocks))
-    return own.join(cut, "__b").drop("__b")
+    points = points.filter(F.col(at).isNotNull())
+    cuts = sorted(set(points.select(F.col(at).cast("double").alias("at")).approxQuantile("at", [i / RANGES for i in range(1, RANGES)], 0.25 / RANGES)))
+    if not cuts:
+        return points.crossJoin(spans).filter(F.lit(False))
+    cut = _count_to(points, F.col(at), cuts, "__r")
+    held = sorted(tuple(r) for r in cut.groupBy("__r").agg(F.min(at), F.max(at), F.count(F.lit(1))).collect())  # a row a range
+    firsts, lasts = [first for _, first, _, _ in held], [last for _, _, last, _ in held]
+    own = _count_to(points, F.col(at), firsts, "__r").withColumn("__r", F.col("__r") - 1)
+    if sum(n for *_, n in held) <= FEW_POINTS:
+        own = F.broadcast(own)
+    to = _copies(spans, lo, hi, firsts, lasts)
+    inside = (F.col(at) >= F.coalesce(F.col(lo), F.lit(0))) & (F.col(hi).isNull() | (F.col(at) < F.col(hi)))
+    return own.join(to, "__r").filter(inside).drop("__r")
 
 
 def live_edges_at(facts: DataFrame, commits: DataFrame, watermarks: DataFrame) -> DataFrame:

@@ -133,22 +133,31 @@ _EDGE = "SELECT DISTINCT concat(':function/part-', l_partkey) AS src_e, concat('
 _EDGES = {d: _EDGE.format(ms=fx.ms("o_orderdate", d), ship=fx.ms("l_shipdate", d)) for d in ("spark", "duckdb")}
 
 
+# the lines by their keys, repeats included, for which an edge's names are made and repeats dropped once the lines left are few
+_LINES = f"SELECT l_partkey, l_suppkey, {fx.ms('o_orderdate', 'spark')} AS vf_ms, vt_ms FROM (SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'N' THEN CAST({FOREVER} AS BIGINT) ELSE {fx.ms('l_shipdate', 'spark')} END AS vt_ms FROM lineitem) l JOIN orders ON l_orderkey = o_orderkey"
+
+
 def _on_edges(run):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         commits = fx.sql(spark, sf_dir, COMMITS.format(ms=fx.ms("o_orderdate", "spark")))
-        with small_tasks(spark, table(spark, sf_dir, "lineitem").count()):  # a row of the edges is wide, and their keys compress well
-            return materialize(run(spark, fx.sql(spark, sf_dir, _EDGES["spark"]), commits), "edges")
+        with small_tasks(spark, table(spark, sf_dir, "lineitem").count()):  # keys compress well
+            return materialize(run(spark, fx.sql(spark, sf_dir, _LINES), commits), "edges")
 
     return query
 
 
+def _edges(lines: DataFrame) -> DataFrame:
+    named = {"l_partkey": F.concat(F.lit(":function/part-"), "l_partkey").alias("src_e"), "l_suppkey": F.concat(F.lit(":class/supplier-"), "l_suppkey").alias("dep")}
+    return lines.distinct().select(*[named.get(c, c) for c in lines.columns])
+
+
 _POSITIONED = f"""WITH edges AS ({_EDGES['duckdb']}), commits AS ({COMMITS.format(ms=fx.ms('o_orderdate', 'duckdb'))}),
 t AS (SELECT ts_ms, min(pos) AS lo, max(pos) AS hi FROM commits GROUP BY ts_ms),
 p AS (SELECT e.*, i.lo AS i_lo, i.hi AS i_hi, c.lo AS c_lo, c.hi AS c_hi FROM edges e LEFT JOIN t i ON i.ts_ms = e.vf_ms LEFT JOIN t c ON c.ts_ms = e.vt_ms)"""
 WATERMARKS = (100, 700)
-register("live_at_position", _on_edges(lambda s, e, c: positions.live_at_position(e, c, 700)), f"{_POSITIONED} SELECT src_e, dep, vf_ms, vt_ms FROM p WHERE i_hi <= 700 AND (vt_ms >= {FOREVER} OR c_lo > 700)")
-register("live_edges_at", _on_edges(lambda s, e, c: positions.live_edges_at(e, c, s.createDataFrame([(w,) for w in WATERMARKS], "w long"))), f"{_POSITIONED} SELECT w, src_e, dep, vf_ms, vt_ms FROM p JOIN (SELECT unnest([{', '.join(map(str, WATERMARKS))}])::BIGINT AS w) ON i_lo <= w AND (vt_ms >= {FOREVER} OR c_hi IS NULL OR w < c_hi)")
-register("unmappable_facts", _on_edges(lambda s, e, c: positions.unmappable(e, c)), f"{_POSITIONED} SELECT count(*) FILTER (i_lo IS NULL) AS unmappable_from, count(*) FILTER (vt_ms < {FOREVER} AND c_lo IS NULL) AS unmappable_to FROM p")
+register("live_at_position", _on_edges(lambda s, l, c: _edges(positions.live_at_position(l, c, 700))), f"{_POSITIONED} SELECT src_e, dep, vf_ms, vt_ms FROM p WHERE i_hi <= 700 AND (vt_ms >= {FOREVER} OR c_lo > 700)")
+register("live_edges_at", _on_edges(lambda s, l, c: _edges(positions.live_edges_at(l, c, s.createDataFrame([(w,) for w in WATERMARKS], "w long")))), f"{_POSITIONED} SELECT w, src_e, dep, vf_ms, vt_ms FROM p JOIN (SELECT unnest([{', '.join(map(str, WATERMARKS))}])::BIGINT AS w) ON i_lo <= w AND (vt_ms >= {FOREVER} OR c_hi IS NULL OR w < c_hi)")
+register("unmappable_facts", _on_edges(lambda s, l, c: positions.unmappable(l.distinct(), c)), f"{_POSITIONED} SELECT count(*) FILTER (i_lo IS NULL) AS unmappable_from, count(*) FILTER (vt_ms < {FOREVER} AND c_lo IS NULL) AS unmappable_to FROM p")
 
 
 def diff_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,27 @@ def test_containment(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
     expect = sorted((p, i) for p in points for i, lo, hi in spans if lo <= p and (hi is None or p < hi))
     assert sorted((r["p"], r["i"]) for r in got.collect()) == expect
+
+
+def test_containment_by_ranges(spark, monkeypatch):
+    rng = random.Random(5)
+    points = [rng.choice((rng.randrange(1000), 500)) for _ in range(300)]
+    spans = [(i, lo, None if rng.random() < 0.1 else lo + rng.randrange(0, 300)) for i in range(300) for lo in [rng.randrange(1200)]]
+    expect = sorted((p, i) for p in points for i, lo, hi in spans if lo <= p and (hi is None or p < hi))
+    frames = spark.createDataFrame([(p,) for p in points], "p long"), spark.createDataFrame(spans, "i int, lo long, hi long")
+    for ranges, few, join in ((8, 0, "SortMergeJoin"), (8, 1000, "BroadcastHashJoin"), (1024, 1000, "BroadcastHashJoin")):
+        monkeypatch.setattr(positions, "RANGES", ranges)
+        monkeypatch.setattr(positions, "FEW_POINTS", few)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = positions.containing(frames[0], "p", frames[1], "lo", "hi")
+        assert join in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["p"], r["i"]) for r in got.collect()) == expect
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert positions.containing(frames[0].limit(0), "p", frames[1], "lo", "hi").count() == 0
+
+
+def test_spans_have_few_copies(spark):
+    firsts, lasts = [100, 700], [100, 700]
+    spans = spark.createDataFrame([(0, None), (0, 100), (101, 700), (100, 101), (3, 1 << 40), (701, None)], "lo long, hi long")
+    got = positions._copies(spans, "lo", "hi", firsts, lasts)
+    assert sorted((r["lo"], r["__r"]) for r in got.collect()) == [(0, 0), (0, 1), (3, 0), (3, 1), (100, 0)]
