@@ -74,8 +74,11 @@ def iso_text(ms: Column) -> Column:
 def fresh(facts: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows of ``batch`` that are new: a live fact with the same e, a, v and start makes a row a no-op."""
     keys = ["e", "a", "v", "vf_ms"]
-    live = facts.filter("tx_retracted IS NULL").select(*keys)
-    return batch.dropDuplicates(keys).join(live, keys, "left_anti")
+    live = facts.filter("tx_retracted IS NULL").select(*keys).alias("l")
+    # dealt as the window that makes facts of a log deals them, and joined on that, so facts are not shuffled again
+    new = batch.repartition("e", "a", "v").dropDuplicates(keys).alias("n")
+    same = [F.col(f"n.{k}") == F.col(f"l.{k}") for k in ("e", "a", "v")]
+    return new.join(live, [*same, F.col("n.vf_ms").between(F.col("l.vf_ms"), F.col("l.vf_ms"))], "left_anti")
 
 
 def transact(facts: DataFrame, batch: DataFrame, tx: int) -> DataFrame:

@@ -45,17 +45,21 @@ class FactStore:
             return read([parts[0][1]])[0].select(*FACT_COLUMNS)
         return temporal.facts_from_log(reduce(DataFrame.union, read([p for _, p in parts])))
 
-    def _append(self, rows: DataFrame, kind: str, tx: int | None) -> int:
+    def _append(self, rows: DataFrame, kind: str, tx: int | None, most: int | None = None) -> int:
         """Write a part of its own, then claim the transaction number by making its entry, which only one writer can.
 
         A writer that loses the number takes the next one: its rows carry the number in a column, so it writes again.
-        Without ``tx`` it is the last transaction that the written rows name.
+        Without ``tx`` it is the last transaction that the written rows name. Values of more than ``most`` characters are
+        looked for in what is written, before it counts, so rows are not made twice.
         """
         while True:
             tx = tx if tx is None else max(tx, self._next())
             numbered = rows.withColumn("tx", F.lit(tx).cast("long")) if kind == "log" else rows
             staged = f"{self.path}/.staged-{uuid.uuid4().hex}"
             numbered.select(*LOG_COLUMNS).hint("rebalance", "a").write.partitionBy("a").parquet(staged)
+            if most is not None and self.spark.read.schema(LOG_DDL).parquet(staged).filter(F.length("v") > most).take(1):
+                _remove(self.spark, staged)
+                raise ValueError(f"a value is longer than {most} characters")
             if tx is None:
                 last = self.spark.read.schema(LOG_DDL).parquet(staged).agg(F.greatest(F.max("tx"), F.max("tx_retracted"))).first()[0] or 0
                 tx = max(last, self._next())
@@ -79,12 +83,10 @@ class FactStore:
         """Append the new facts of ``batch`` (e, a, v_type, v, v_num, vf_ms, vt_ms). ``validate``: facts that must
         meet the closed schema (see :mod:`factloom.operators.memory`)."""
         _need_reason(reason)
-        if batch.filter(F.length("v") > MAX_VALUE_CHARS).take(1):
-            raise ValueError(f"a value is longer than {MAX_VALUE_CHARS} characters")
         if validate is not None and (bad := memory.validate(validate).take(5)):
             raise ValueError(f"violations: {[tuple(r) for r in bad]}")
         tx = self._next()
-        return self._append(_asserts(temporal.fresh(self.facts(), batch), tx), "log", tx)
+        return self._append(_asserts(temporal.fresh(self.facts(), batch), tx), "log", tx, most=MAX_VALUE_CHARS)
 
     def retract(self, targets: DataFrame, reason: str) -> int:
         _need_reason(reason)
@@ -131,11 +133,14 @@ class FactStore:
             rows = rows.unionByName(_retracts(ops.filter("op = 'retract'"), tx)).unionByName(_asserts(come, tx))
         return self._append(materialize(rows, "written"), "log", tx)
 
-    def replace(self, reason: str, gone: DataFrame, come: DataFrame) -> int | None:
-        """One transaction that retracts ``gone`` (e, a, v) and asserts what of ``come`` is new; None if there is neither."""
+    def replace(self, reason: str, gone: DataFrame, come: DataFrame, known: bool = False) -> int | None:
+        """One transaction that retracts ``gone`` (e, a, v) and asserts what of ``come`` is new; None if there is neither.
+
+        ``known``: the caller knows that all of ``come`` is new, so facts are not read for it.
+        """
         _need_reason(reason)
         tx = self._next()
-        rows = materialize(_retracts(gone, tx).unionByName(_asserts(temporal.fresh(self.facts(), come), tx)), "replaced")
+        rows = materialize(_retracts(gone, tx).unionByName(_asserts(come if known else temporal.fresh(self.facts(), come), tx)), "replaced")
         return self._append(rows, "log", tx) if rows.take(1) else None
 
     def upsert(self, new: DataFrame, at_ms: int, reason: str) -> int | None:

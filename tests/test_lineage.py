@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from factloom.operators import history, lineage
+from factloom.operators import history, lineage, temporal
 from factloom.sources.store import FactStore
 from factloom.streaming import git_stream, walk
 
@@ -62,6 +62,40 @@ def test_corrected_store_equals_the_forward_one(spark, tmp_path, seed, met_at):
     assert lineage.correct(store, df, met_at) is None
 
 
+def test_a_transaction_makes_its_rows_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def seen_too(v):
+        seen.add(1)
+        return v
+
+    rows = spark.range(200).coalesce(1).select(F.concat(F.lit(":e/"), "id").alias("e"), F.lit(":name").alias("a"), F.lit("str").alias("v_type"), F.udf(seen_too)(F.col("id").cast("string")).alias("v"), F.lit(None).cast("double").alias("v_num"), F.lit(1).cast("long").alias("vf_ms"), F.lit(2).cast("long").alias("vt_ms"))
+    store = FactStore(spark, f"file://{tmp_path}/s")
+    store.transact(rows, "once")
+    assert store.facts().count() == 200 and seen.value == 200
+    with pytest.raises(ValueError, match="longer"):
+        store.transact(rows.withColumns({"e": F.lit(":long"), "v": F.repeat(F.lit("x"), 1_000_000)}), "too long")
+    assert store.facts().count() == 200
+    store.transact(rows.withColumn("vf_ms", F.when(F.col("v") < "2", 1).otherwise(3).cast("long")), "the same with other starts")
+    assert store.facts().count() == 200 + sum(str(i) >= "2" for i in range(200))
+
+
+def test_correcting_shuffles_touches_and_facts_once_by_entity(spark, tmp_path):
+    df, _ = touches(spark, 1)
+    store = FactStore(spark, f"file://{tmp_path}/s")
+    store.transact(lineage.reverse_fill(df.filter("pos >= 8")), "reverse")
+    new = lineage.forward(df.filter("pos < 8"), df.select("e", "pos", "body_hash").limit(0))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    of_facts, alone = (plan(x).count("Exchange hashpartitioning") for x in (store.facts(), new))
+    assert plan(temporal.fresh(store.facts(), new)).count("Exchange hashpartitioning") == of_facts + alone + 1
+    settled = plan(lineage._settled(store.facts().filter("tx_retracted IS NULL"), df, 8))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert settled.count("Exchange hashpartitioning") == of_facts + 2 and "Join" not in settled  # by entity, and for distinct changes
+
+
 def test_git_stream_stops_and_goes_on(spark, tmp_path):
     path = tmp_path / "r"
     path.mkdir()
