@@ -4,6 +4,7 @@ import random
 
 from factloom.operators import ingest, versions
 from factloom.plans import operator_queries
+from factloom.sources.store import FactStore
 
 
 def test_import_keys_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
@@ -53,3 +54,21 @@ def test_steps_against_a_walk(spark):
     ddl = "e string, a string, v_type string, v string"
     got = versions.steps(spark.createDataFrame(v, "owner string, pos long, at_ms long"), spark.createDataFrame(s, f"owner string, pos long, {ddl}"), spark.createDataFrame(b, f"owner string, {ddl}")).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_facts_that_lie_apart_are_not_shuffled(spark, tmp_path):
+    rows = "concat(':e/', id) AS e", "concat(':a', pmod(id, 40)) AS a", "'str' AS v_type", "string(id) AS v", "double(null) AS v_num", "1L AS vf_ms", "2L AS vt_ms", "1L AS tx", "bigint(null) AS tx_retracted"
+    mixed = spark.range(1000).selectExpr(*rows)  # more attributes in a task than it has writers
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("apart", "apart")
+    store = FactStore(spark, f"file://{tmp_path}/s")
+    store.load(mixed, apart=True)
+    stages = {s for j in tracker.getJobIdsForGroup("apart") for s in tracker.getJobInfo(j).stageIds}
+    sc.setJobGroup("laid", "laid")
+    FactStore(spark, f"file://{tmp_path}/t").load(mixed)
+    laid = {s for j in tracker.getJobIdsForGroup("laid") for s in tracker.getJobInfo(j).stageIds}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(stages) < len(laid)
+    assert sorted(map(tuple, store.facts().select("e", "a", "v", "tx").collect())) == sorted(map(tuple, mixed.select("e", "a", "v", "tx").collect()))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
